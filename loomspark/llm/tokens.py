@@ -10,10 +10,9 @@ library whole.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Texts of these signs only are split here: printable Latin, tab, line feed and carriage return.
 #: All of them are stable under NFC and have one-to-one lower-case forms but for U+0130.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
@@ -24,6 +23,16 @@ _RUNS = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGIT}]|[^\t\n\r\x20
 _ASCII_RUNS = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t\n\r a-z0-9]+")
 
 
+def _byte_signs() -> dict[int, str]:
+    """Byte -> the sign that stands for it in byte-level vocabularies.
+
+    Printable bytes stand for themselves, the others for the code points from 256 on, in order.
+    """
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class _Words(dict):
     """Run -> its ids as little-endian unsigned 32-bit bytes; emptied when it holds too many."""
 
@@ -45,11 +54,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = _Words(self._by_library, cached_runs)
+        self.model, self.signs = self.library.model, _byte_signs()
+        self.words = _Words(self._run, cached_runs)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def _by_library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """A run needs no normalising or splitting any more, only its bytes' signs and the model."""
+        signs = run if run.isascii() else run.encode().decode("latin-1").translate(self.signs)
+        return array("I", [token.id for token in self.model.tokenize(signs)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
