@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, mixing, packing, simhash, simple8b
+from . import flac, kdtree, mainline, mixing, packing, simhash, simple8b, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainline.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -25,6 +29,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_features(flac.store(table(spark, sf_dir, "documents")))
+
+
+def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_token_files(simple8b.write_token_files(table(spark, sf_dir, "documents"), word_vocabulary()))
 
@@ -87,8 +99,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_flac_media": op6_flac_media,
+    "op7_toxicity_neighbours": op7_toxicity_neighbours,
     "op8_token_files": op8_token_files,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_top_k": op10_exact_top_k,
