@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, kdtree, mainline, mixing, packing, secrets, simhash, simple8b, toxicity
+from . import flac, kdtree, mainline, mixing, mixlm, packing, secrets, simhash, simple8b, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_mixing_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"))
 
@@ -106,6 +110,7 @@ QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_mixing_model_scores": op4_mixing_model_scores,
     "op5_secret_scan": op5_secret_scan,
     "op6_flac_media": op6_flac_media,
     "op7_toxicity_neighbours": op7_toxicity_neighbours,

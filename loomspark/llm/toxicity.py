@@ -99,16 +99,16 @@ def choose_features(counts: DataFrame, toxic: int, clean: int, most: int = FEATU
 
 
 def vectors(docs: DataFrame, chosen: list[str]) -> DataFrame:
-    """doc_id, held_out, and the numbers and counts of the chosen features in every row's whole text."""
+    """doc_id, held_out, a hash of the text, and the numbers and counts of the chosen features in every row's text."""
     numbers = {f: i for i, f in enumerate(chosen)}
-    kinds = [T.StructField("held_out", T.BooleanType()), T.StructField("features", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+    kinds = [T.StructField("held_out", T.BooleanType()), T.StructField("tie", T.LongType()), T.StructField("features", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *kinds])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             ids, counts = [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 seen: Counter = Counter()
                 for word, times in Counter(_WORDS.findall((text.as_py() or "").lower())).items():
                     own = known.get(word)
@@ -121,9 +121,9 @@ def vectors(docs: DataFrame, chosen: list[str]) -> DataFrame:
                 ids.append(sorted(seen))
                 counts.append([seen[i] for i in ids[-1]])
             arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=schema.names)
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(find, schema)
+    return docs.select("doc_id", held_out().alias("held_out"), F.xxhash64("text").alias("tie"), "text").mapInArrow(find, schema)
 
 
 class BlockMaxIndex:
@@ -251,7 +251,7 @@ def labelled(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features: int = FEATURES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence for every row of docs (doc_id, text)."""
+    """For every row of docs (doc_id, text): doc_id, held_out, tie (a hash of the text), score, predicted and evidence."""
     spark = docs.sparkSession
     sample = materialize(labelled(labels, examples))
     training = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -278,7 +278,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, featu
     names = ("score", "predicted", "nearest", "cosine", "words")
     doc_type = docs.schema["doc_id"].dataType
     kinds = (T.DoubleType(), T.IntegerType(), doc_type, T.DoubleType(), T.ArrayType(T.StringType()))
-    schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("held_out", T.BooleanType()), *map(T.StructField, names, kinds)])
+    schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("held_out", T.BooleanType()), T.StructField("tie", T.LongType()), *map(T.StructField, names, kinds)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -287,7 +287,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, featu
         index, chosen = shared.value
         for batch in batches:
             columns: list[list] = [[] for _ in names]
-            for ids, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for ids, counts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 score, nearest, cosine, words = index.default, -1, 0.0, []
                 if ids:
                     score, nearest, cosine, weights = index.score(ids, counts, neighbours)
@@ -296,7 +296,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, featu
                 row = (score, int(score >= THRESHOLD), index.examples[nearest] if nearest >= 0 else None, float(cosine), words)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], schema=arrow)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[3:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], schema=arrow)
 
     return found.mapInArrow(judge, schema)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with their columns as they are.
+
+    The rejected rows are known by doc_id and a hash of the text; they are few, so the join is an anti-join
+    on both, in which no key is hot but repeated rows, and those AQE splits.
+    """
+    toxic = materialize(toxicity(docs, labels, **how).where("predicted = 1").select("doc_id", "tie").distinct())
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
+    rejected = toxic.withColumns(key).select("_none", "_id", F.col("tie").alias("_tie"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_tie"), row).withColumns(key)
+    return rows.join(rejected, ["_none", "_id", "_tie"], "left_anti").select("row.*")
