@@ -1,0 +1 @@
+"""A Spark-native web-content analytics engine."""
