@@ -169,7 +169,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, paired: int = PAIRED, parti
     sizes = probed.groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if("own").alias("indexed")).where("n > 1 AND indexed > 0")
     sizes = materialize(sizes)
     salted = sizes.select("part", "key", "n", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    shared = materialize(probed.join(salted, ["part", "key", "salt"]).select("part", "key", "own", "fp", "n"))
+    # The hint: salted has no size bound, and its estimate, from the written table, leaves out the sixteenfold copy.
+    shared = materialize(probed.join(salted.hint("merge"), ["part", "key", "salt"]).select("part", "key", "own", "fp", "n"))
 
     members = F.collect_list(F.struct("own", "fp"))
     small = shared.where(F.col("n") <= paired).groupBy("part", "key").agg(members.alias("m"))
