@@ -2,8 +2,8 @@
 
 A record is a row of side-specific JSON or of columns; its long form has a row for each leaf: key, path, kind and
 text. Kinds keep "19.99" apart from 19.99; strings are compared with their white space collapsed, numbers in
-canonical form, long texts by their hash. All joins are equi-joins on (key) or (key, path), so they shuffle once
-by key and nothing is collected.
+canonical form, long texts by their hash. The sides meet in one full outer join on the key, with their leaves in arrays
+by path, so each side is shuffled once and nothing is collected.
 """
 
 from __future__ import annotations
@@ -37,23 +37,48 @@ def leaf(value: Column, kind: T.DataType) -> Column:
     return F.struct(kind_name.alias("kind"), kept.alias("text"), F.coalesce(is_long, F.lit(False)).alias("is_long"))
 
 
+def _walk(prefix: str, column: Column, kind: T.DataType, key: str, ignore: tuple[str, ...]):
+    if prefix == key or any(prefix == i or prefix.startswith(i + ".") for i in ignore):
+        return
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            yield from _walk(f"{prefix}.{f.name}", column.getField(f.name), f.dataType, key, ignore)
+    else:
+        yield prefix, leaf(column, kind)
+
+
+def leaves(records: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Dotted path -> leaf; nested structs are walked, arrays are one leaf."""
+    return dict(x for f in records.schema.fields for x in _walk(f.name, F.col(f"`{f.name}`"), f.dataType, key, ignore))
+
+
 def long_form(records: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """key, path, kind, text, is_long; nested structs are walked, arrays are one leaf."""
-
-    def walk(prefix: str, column: Column, kind: T.DataType):
-        if prefix == key or any(prefix == i or prefix.startswith(i + ".") for i in ignore):
-            return
-        if isinstance(kind, T.StructType):
-            for f in kind.fields:
-                yield from walk(f"{prefix}.{f.name}", column.getField(f.name), f.dataType)
-        else:
-            yield F.struct(F.lit(prefix).alias("path"), leaf(column, kind).alias("leaf"))
-
-    leaves = [x for f in records.schema.fields for x in walk(f.name, F.col(f"`{f.name}`"), f.dataType)]
-    rows = records.select(F.col(key).cast("string").alias("key"), F.explode(F.array(*leaves)).alias("x"))
+    """key, path, kind, text, is_long: a row for each leaf."""
+    each = [F.struct(F.lit(p).alias("path"), x.alias("leaf")) for p, x in leaves(records, key, ignore).items()]
+    rows = records.select(F.col(key).cast("string").alias("key"), F.explode(F.array(*each)).alias("x"))
     return rows.select("key", "x.path", "x.leaf.kind", "x.leaf.text", "x.leaf.is_long")
 
 
+def matched(prev: DataFrame, cur: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """key, in_prev, in_cur and changes, an array of (path, old, new): one full outer join on the key.
+
+    A path that only one side has is a change of every record there. Null keys match nothing and go.
+    """
+    sides = [leaves(df, key, ignore) for df in (prev, cur)]
+    paths = sorted({*sides[0], *sides[1]})
+    missing = F.lit(None).cast("struct<kind:string,text:string,is_long:boolean>")
+
+    def wide(df: DataFrame, own: dict[str, Column], name: str) -> DataFrame:
+        row = F.array(*(own.get(p, missing) for p in paths)) if paths else F.array()
+        return df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), row.alias(name))
+
+    both = wide(prev, sides[0], "old").join(wide(cur, sides[1], "new"), "key", "full_outer")
+    each = F.transform(F.array(*map(F.lit, paths)), lambda p, i: F.struct(p.alias("path"), F.get("old", i).alias("old"), F.get("new", i).alias("new")))
+    differ = F.filter(each, lambda x: ~x["old"].eqNullSafe(x["new"]))
+    changes = F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), differ)
+    return both.select("key", F.col("old").isNotNull().alias("in_prev"), F.col("new").isNotNull().alias("in_cur"), changes.alias("changes"))
+
+
 def last_by_key(records: DataFrame, key: str, order: str) -> DataFrame:
     """The last record of each key; adds repeats, how many came before it. Null keys go."""
     w = Window.partitionBy(key)
@@ -62,27 +87,22 @@ def last_by_key(records: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def field_changes(prev: DataFrame, cur: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """key, path, old, new, long of every leaf that differs in records of both sides; a missing side is null."""
-    a, b = long_form(prev, key, ignore), long_form(cur, key, ignore)
-    both = a.select("key").distinct().join(b.select("key").distinct(), "key", "left_semi")
-    name = lambda df, s: df.select("key", "path", *(F.col(c).alias(f"{s}_{c}") for c in ("kind", "text", "is_long")))
-    joined = name(a, "old").join(name(b, "new"), ["key", "path"], "full_outer").join(both, "key", "left_semi")
-    same = F.col("old_kind").eqNullSafe(F.col("new_kind")) & F.col("old_text").eqNullSafe(F.col("new_text")) & F.col("old_is_long").eqNullSafe(F.col("new_is_long"))
-    is_long = F.coalesce("old_is_long", F.lit(False)) | F.coalesce("new_is_long", F.lit(False))
-    return joined.where(~same).select("key", "path", F.col("old_text").alias("old"), F.col("new_text").alias("new"), is_long.alias("long"))
+    """key, path, old, new, long of every leaf that differs in records of both sides; a missing leaf is null."""
+    rows = matched(prev, cur, key, ignore).select("key", F.explode("changes").alias("c"))
+    is_long = F.coalesce("c.old.is_long", F.lit(False)) | F.coalesce("c.new.is_long", F.lit(False))
+    return rows.select("key", "c.path", F.col("c.old.text").alias("old"), F.col("c.new.text").alias("new"), is_long.alias("long"))
 
 
 def row_kinds(prev: DataFrame, cur: DataFrame, key: str, ignore: tuple[str, ...] = (), unseen: DataFrame | None = None, no_gone: bool = False) -> DataFrame:
     """key and kind (added, changed or gone). unseen: keys that were not looked at; a partial run has no_gone."""
-    a, b = (df.select(F.col(key).cast("string").alias("key")).where("key IS NOT NULL").distinct() for df in (prev, cur))
-    added = b.join(a, "key", "left_anti").withColumn("kind", F.lit("added"))
-    gone = a.join(b, "key", "left_anti").withColumn("kind", F.lit("gone"))
-    if unseen is not None:
-        gone = gone.join(unseen.select(F.col(unseen.columns[0]).cast("string").alias("key")), "key", "left_anti")
+    kind = F.when(~F.col("in_prev"), "added").when(~F.col("in_cur"), "gone").when(F.size("changes") > 0, "changed")
+    rows = matched(prev, cur, key, ignore).select("key", kind.alias("kind")).where("kind IS NOT NULL")
     if no_gone:
-        gone = gone.where("false")
-    changed = field_changes(prev, cur, key, ignore).select("key").distinct().withColumn("kind", F.lit("changed"))
-    return added.unionByName(changed).unionByName(gone)
+        rows = rows.where("kind <> 'gone'")
+    if unseen is not None:
+        names = unseen.select(F.col(unseen.columns[0]).cast("string").alias("key")).distinct().withColumn("_unseen", F.lit(True))
+        rows = rows.join(names, "key", "left").where("NOT (kind = 'gone' AND _unseen IS NOT NULL)").drop("_unseen")
+    return rows
 
 
 def ordered_rows(kinds: DataFrame, most: int = 200) -> DataFrame:
