@@ -12,12 +12,12 @@ def activity(runs: DataFrame, offset_minutes: int, since: str | None = None) ->
     rows = runs.where("command <> 'watch'").withColumn("day", day).where("day IS NOT NULL")
     if since:
         rows = rows.where(F.col("ts") >= F.lit(since).cast("timestamp"))
-    sums = [F.count("*").alias("runs"), F.sum("pages").alias("pages"), F.sum("tokens").alias("tokens"), F.round(F.sum("usd"), 2).alias("usd")]
+    sums = [F.count("*").alias("runs"), F.sum("pages").alias("pages"), F.sum("tokens").alias("tokens"), F.round(F.sum("usd"), 6).alias("usd")]
     return rows.groupBy("day", "command", "status").agg(*sums)
 
 
 def spend_by(calls: DataFrame, key: str = "provider", usd: str = "usd") -> DataFrame:
-    return calls.groupBy(key).agg(F.count("*").alias("calls"), F.round(F.sum(usd), 2).alias("usd"))
+    return calls.groupBy(key).agg(F.count("*").alias("calls"), F.round(F.sum(usd), 6).alias("usd"))
 
 
 def status_counts(state: DataFrame, statuses: tuple[str, ...], by: str | None = None) -> DataFrame:

@@ -90,14 +90,14 @@ def _runs(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_RUNS} SELECT CAST(ts + INTERVAL 420 MINUTE AS DATE) AS day, command, status, COUNT(*) AS runs, CAST(SUM(pages) AS BIGINT) AS pages, CAST(SUM(tokens) AS BIGINT) AS tokens, round(SUM(usd), 2) AS usd
+    f"""WITH {_RUNS} SELECT CAST(ts + INTERVAL 420 MINUTE AS DATE) AS day, command, status, COUNT(*) AS runs, CAST(SUM(pages) AS BIGINT) AS pages, CAST(SUM(tokens) AS BIGINT) AS tokens, round(SUM(usd), 6) AS usd
     FROM runs WHERE command <> 'watch' AND ts >= TIMESTAMP '1997-01-01' GROUP BY 1, 2, 3"""
 )
 def activity_by_day(spark, sf_dir):
     return ledger.activity(_runs(spark, sf_dir), 420, since="1997-01-01")
 
 
-@query(f"WITH {_RUNS} SELECT provider_no, COUNT(*) AS calls, round(SUM(usd), 2) AS usd FROM runs GROUP BY 1")
+@query(f"WITH {_RUNS} SELECT provider_no, COUNT(*) AS calls, round(SUM(usd), 6) AS usd FROM runs GROUP BY 1")
 def spend_by_provider(spark, sf_dir):
     return ledger.spend_by(_runs(spark, sf_dir), "provider_no")
 
