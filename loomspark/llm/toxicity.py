@@ -11,7 +11,8 @@ inverted index whose postings are cut into blocks of entries, with each feature'
 block. A search adds the blocks' bounds up for a query, takes blocks in falling order of bound, scores them
 exactly and stops when the next bound is below the kth cosine; it returns the exact nearest entries.
 
-The nearest entries vote with weight count / (distance + 0.05). Votes become scores by isotonic regression on
+The nearest entries vote with weight count * (1 - distance)^2, against a vote of weight PRIOR_VOTE for the rate among all
+examples, so that far neighbours, which share a chance word, say little. Votes become scores by isotonic regression on
 the examples' own votes, each made without the example itself. A text without any feature gets the rate among
 such examples. Evidence is the nearest entry's example, its cosine, and the text's heaviest features.
 
@@ -42,6 +43,7 @@ FEATURES = 1024
 #: The least log-likelihood ratio, times two, of a feature; and how much likelier it must be in toxic texts.
 LEAST_G2, LEAST_LIFT = 20.0, 4.0
 NEIGHBOURS = 15
+PRIOR_VOTE = 0.5
 THRESHOLD = 0.3
 BLOCK = 64
 FOLDS, TEST_FOLD = 4, 2
@@ -132,7 +134,7 @@ class BlockMaxIndex:
     def __init__(self, idf: np.ndarray, block: int = BLOCK):
         self.idf, self.block = idf, block
         self.entries: dict[tuple, list] = {}
-        self.default = 0.0
+        self.prior = self.default = 0.0
         self.steps: tuple[list[float], list[float]] = ([0.0], [0.0])
 
     def weigh(self, ids, counts) -> np.ndarray:
@@ -192,8 +194,8 @@ class BlockMaxIndex:
 
     def vote(self, ids, weights: np.ndarray, k: int, own: tuple[int, bool] | None = None) -> tuple[float | None, int, float]:
         """The share of toxic votes, the nearest entry and its cosine. own: leave out one example of an entry."""
-        toxic = total = 0.0
-        best = (-1, 0.0)
+        toxic, total = PRIOR_VOTE * self.prior, PRIOR_VOTE
+        best, left = (-1, 0.0), float(k)
         for cosine, n in self.search(ids, weights, k):
             t, c = self.votes[n]
             if own and own[0] == n:
@@ -201,14 +203,18 @@ class BlockMaxIndex:
             if t + c > 0:
                 if best[0] < 0:
                     best = (n, cosine)
-                weight = 1 / (1 - min(1.0, cosine) + 0.05)
+                # The k nearest examples vote, not k entries: of the last entry only as many as are left.
+                weight = min(1.0, cosine) ** 2 * min(1.0, left / (t + c))
+                left -= min(left, t + c)
                 toxic, total = toxic + weight * t, total + weight * (t + c)
-        return (toxic / total if total else None), *best
+                if not left:
+                    break
+        return (toxic / total if best[0] >= 0 else None), *best
 
     def calibrate(self, k: int, empty: tuple[int, int]) -> None:
         """Isotonic regression of the labels on left-one-out votes; empty: toxic and clean without features."""
         toxic, clean = self.votes[:, 0].sum() + empty[0], self.votes[:, 1].sum() + empty[1]
-        prior = toxic / (toxic + clean) if toxic + clean else 0.0
+        prior = self.prior = toxic / (toxic + clean) if toxic + clean else 0.0
         self.default = (empty[0] + prior) / (sum(empty) + 1)
         points: list[tuple[float, float, float]] = []
         for n, (ids, counts) in enumerate(self.keys):
