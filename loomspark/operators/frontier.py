@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import shared_dir
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -21,12 +20,8 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def _keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = "file://" + tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    """Cut the lineage in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

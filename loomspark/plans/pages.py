@@ -6,11 +6,12 @@ Their work is on document trees or ordered state, so most have no SQL; tests hol
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..session import shared_dir
 from ..operators import clean, diff, evidence, frontier, selectors, sites
 from ..sources import web as answers
 from ..sources.tables import table
@@ -142,8 +143,7 @@ def crawl_corpus(spark, sf_dir):
 
 
 def _stream(spark, rows, name):
-    folder = tempfile.mkdtemp(prefix="loomspark-") if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir")
-    base = f"{folder.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{id(rows)}"
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.mode("overwrite").parquet(f"{base}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{base}/in"), base
 

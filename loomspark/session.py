@@ -28,6 +28,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
+
+    Only where the setting is absent (tests, a single machine) a temporary folder takes its place.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="loomspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def session(app: str = "loomspark", **conf: str) -> SparkSession:
     """A session with the settings that the operators expect; more settings by keyword, dots as __."""
     builder = SparkSession.builder.appName(app)
