@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: A word: a run of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,15 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent (tests, a single machine) a temporary folder is used instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loomspark-{uuid.uuid4().hex}"
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share."""
+    return f"{shared_dir(spark)}/loomspark-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
