@@ -2,8 +2,8 @@
 
 A text's features are its words (runs of letters, lower-cased) and their beginnings of 4, 5 and 6 letters,
 which stand for a stem with any ending. The space has the features that toxic examples hold more often than
-others, by the log-likelihood ratio; other words say nothing about the label and would only dilute the
-cosine. Document frequencies are counted over all documents.
+others, by the log-likelihood ratio. All other words of a text are one more feature, OTHER, with a fixed idf: so a chance
+stem in a long text is far from a text that is full of them. Document frequencies are counted over all documents.
 
 The examples are a bounded sample of labelled rows (EXAMPLES, the least hashes of doc_id), and those with the
 same vector are one entry with their counts, so the index has a proven size and is broadcast. It is an
@@ -45,7 +45,8 @@ LEAST_G2, LEAST_LIFT = 20.0, 4.0
 NEIGHBOURS = 15
 PRIOR_VOTE = 0.5
 THRESHOLD = 0.3
-BLOCK = 64
+BLOCK = 512
+OTHER_IDF = 2.0
 FOLDS, TEST_FOLD = 4, 2
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -112,6 +113,7 @@ def vectors(docs: DataFrame, chosen: list[str]) -> DataFrame:
             ids, counts = [], []
             for text in batch.column(3):
                 seen: Counter = Counter()
+                others = 0
                 for word, times in Counter(_WORDS.findall((text.as_py() or "").lower())).items():
                     own = known.get(word)
                     if own is None:
@@ -120,6 +122,10 @@ def vectors(docs: DataFrame, chosen: list[str]) -> DataFrame:
                         own = known[word] = tuple(numbers[f] for f in features_of(word) if f in numbers)
                     for i in own:
                         seen[i] += times
+                    if not own:
+                        others += times
+                if seen and others:
+                    seen[len(chosen)] = others
                 ids.append(sorted(seen))
                 counts.append([seen[i] for i in ids[-1]])
             arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
@@ -267,7 +273,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, featu
     found = materialize(vectors(docs, chosen))
     counts = {r.f: r.n for r in found.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect()}
     total = found.count()
-    idf = np.array([log((1 + total) / (1 + counts.get(i, 0))) + 1 for i in range(len(chosen))])
+    idf = np.array([log((1 + total) / (1 + counts.get(i, 0))) + 1 for i in range(len(chosen))] + [OTHER_IDF])
     index = BlockMaxIndex(idf)
     empty = [0, 0]
     # Bounded by `examples`, but for rows that repeat a doc_id.
@@ -297,7 +303,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, featu
                 score, nearest, cosine, words = index.default, -1, 0.0, []
                 if ids:
                     score, nearest, cosine, weights = index.score(ids, counts, neighbours)
-                    words = [chosen[ids[i]] for i in np.argsort(-weights, kind="stable")[:5]]
+                    words = [chosen[ids[i]] for i in np.argsort(-weights, kind="stable") if ids[i] < len(chosen)][:5]
                 score = min(1.0, max(0.0, float(score)))
                 row = (score, int(score >= THRESHOLD), index.examples[nearest] if nearest >= 0 else None, float(cosine), words)
                 for column, value in zip(columns, row, strict=True):
