@@ -44,11 +44,13 @@ _NOT_TEXT = frozenset("nav aside form footer button select textarea dialog head
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 _MAIN_ROLES = frozenset("main article".split())
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adbox|adslot|banner|promo|promotion|promoted|sponsor|sponsored|nav|navbar|navigation|menu|submenu|topnav|breadcrumb|breadcrumbs|"
-    r"sidebar|side|aside|widget|related|recommended|recommendations|trending|popular|footer|foot|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"signup|login|comment|comments|commentlist|disqus|respond|replies|discussion|share|sharing|social|pager|pagination|skip|copyright|legal|paywall|toc|hidden)(?=$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adbox|adslot|adsbygoogle|adunit|dfp|taboola|outbrain|banner|promo|promotion|promoted|sponsor|sponsored|nav|navbar|navigation|menu|submenu|topnav|breadcrumb|breadcrumbs|"
+    r"sidebar|side|aside|widget|related|recommended|recommendations|trending|popular|footer|foot|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|notices|disclaimer|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
+    r"signup|login|comment|comments|commentlist|disqus|respond|responses|replies|reactions|feedback|guestbook|discussion|share|sharing|social|pager|pagination|skip|copyright|legal|paywall|toc|hidden)(?=$|[\s_-]|\d)",
     re.I,
 )
+#: Headers of a site; an article's own header is not one.
+_HEADER = re.compile(r"(?:^|\s)(?:header|(?:site|page|top|global|main)[_-]?header|header[_-](?:top|main|bar|wrap|wrapper|inner|container))(?=$|\s)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -65,6 +67,8 @@ def _is_boiler(tag: str, at: dict[str, str], inside: bool) -> bool:
     """inside: within a marked article, where a header is the article's own."""
     if tag in _NOT_TEXT or tag == "header" and not inside:
         return True
+    if not inside and any(_HEADER.search(at.get(k, "")) for k in ("class", "id")):
+        return True
     if not at or tag in ("html", "body"):
         return False
     role = at.get("role", "").lower()

@@ -28,6 +28,7 @@ LONG = " ".join(["word"] * 40)
         (f"<div id=menu><a href=x>A</a> <a href=y>B</a></div><div class=content><h1>Title</h1><p>{LONG}</p><p>Short.</p></div><div class=sidebar>side</div><div class='cookie-notice'>c</div>", f"Title {LONG} Short."),
         (f"<div><a href=a>link one</a></div><div><a href=b>link two</a></div><div>{LONG} <a href=c>in text</a></div><div><a href=d>more</a></div>", f"{LONG} in text"),
         ("<article><h1>" + "x" * 200000 + "</h1></article>", "x" * 200000),
+        ("<div class='site-header'>site</div><article><div class='post-header'><h1>T</h1></div>x</article><div id=feedback>say</div>", "T x"),
         ("<script>1<2</script>z", "z"),
         ("a &notanentity; &#65; &#x42; < b", "a ¬anentity; A B < b"),
     ],
