@@ -236,8 +236,9 @@ class BlockMaxIndex:
                 _, ones, times = pools.pop()
                 pools[-1][1] += ones
                 pools[-1][2] += times
-        # Half an example towards the prior keeps small pools from 0 and 1.
-        self.steps = ([p[0] for p in pools], [(p[1] + 0.5 * prior) / (p[2] + 0.5) for p in pools])
+        # Two examples' worth of the vote itself, so that a single odd label does not set the score of its surroundings.
+        values = [(ones + 2 * share) / (times + 2) for share, ones, times in pools]
+        self.steps = ([p[0] for p in pools], np.maximum.accumulate(values).tolist() if values else [])
 
     def score(self, ids, counts, k: int) -> tuple[float, int, float, np.ndarray]:
         """The calibrated score, the nearest entry, its cosine, and the text's weights."""
