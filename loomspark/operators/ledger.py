@@ -118,3 +118,57 @@ def throttle(reports: DataFrame, host: str, order: str, floor: float = 1.0, most
         return F.when(bad, slower).when(r["status"].between(200, 299), F.greatest(F.lit(floor), delay * 0.75)).otherwise(delay)
 
     return reports.groupBy(host).agg(F.aggregate(ordered, F.lit(floor), step).alias("delay"))
+
+
+#: From which states a research run may go to which (fixed values).
+TRANSITIONS = {"launch": (None,), "running": ("launch", "running", "writing"), "writing": ("running",), "done": ("writing", "running"), "failed": ("launch", "running", "writing"), "stopped": ("launch", "running", "writing")}
+
+
+def valid_transitions(log: DataFrame, run: str, order: list[str]) -> DataFrame:
+    """valid: whether a state may follow the one before it in its run; done, failed and stopped are the end."""
+    before = F.lag("status").over(Window.partitionBy(run).orderBy(*order))
+    valid = F.lit(False)
+    for status, sources in TRANSITIONS.items():
+        ok = before.isNull() if sources == (None,) else before.isin(*sources)
+        valid = valid | ((F.col("status") == status) & ok)
+    return log.withColumn("valid", F.coalesce(valid, F.lit(False)))
+
+
+VERDICTS = ("verified", "softened", "dropped", "contested")
+
+
+def apply_verdicts(facts: DataFrame, verdicts: DataFrame, order: str) -> DataFrame:
+    """facts (run_id, fact_id, status, note) under the last valid verdict of each; a softened one needs a note.
+
+    Verdicts on unknown facts are ignored.
+    """
+    good = verdicts.where(F.col("status").isin(*VERDICTS) & ((F.col("status") != "softened") | (F.coalesce("note", F.lit("")) != "")))
+    last = good.groupBy("run_id", "fact_id").agg(F.max(F.struct(order, "status", "note")).alias("v"))
+    joined = facts.join(last, ["run_id", "fact_id"], "left")
+    return joined.select("run_id", "fact_id", F.coalesce("v.status", "status").alias("status"), F.when(F.col("v").isNotNull(), F.col("v.note")).otherwise(F.col("note")).alias("note"))
+
+
+def resume(state: DataFrame) -> DataFrame:
+    """The crawl state to go on with after a break: what was in flight is pending again."""
+    return state.withColumn("status", F.when(F.col("status") == "inflight", "pending").otherwise(F.col("status")))
+
+
+def enqueue(queue: DataFrame, found: DataFrame, key: str = "url_hash") -> DataFrame:
+    """Rows of found that the queue does not have yet, each key once: insert or ignore."""
+    return found.dropDuplicates([key]).join(queue.select(key), key, "left_anti")
+
+
+def schedule(fetches: DataFrame, host: str, order: list[str], rate: float = 1.0, burst: int = 3) -> DataFrame:
+    """earliest: seconds after the start at which a host's token bucket admits each fetch, all asked for at once."""
+    n = F.row_number().over(Window.partitionBy(host).orderBy(*order))
+    return fetches.withColumn("earliest", F.greatest(F.lit(0.0), (n - burst) / F.lit(rate)))
+
+
+def attach_pages(hits: DataFrame, pages: DataFrame, n: int) -> DataFrame:
+    """Search hits with the pages that were read for the first n of each query, by (query, rank)."""
+    return hits.join(pages.where(F.col("rank") <= n), ["query", "rank"], "left")
+
+
+def evict(selectors: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The selector table without the rows that match on the keys; no keys clear it."""
+    return selectors.join(gone.select(*keys).distinct(), keys, "left_anti") if keys else selectors.limit(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pages, records, texts, web  # noqa: F401
+from . import guards, pages, records, texts, web  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
