@@ -151,7 +151,7 @@ def _stream(spark, rows, name):
 @query()
 def watch_stream(spark, sf_dir):
     """Every user's events as versions of a page, watched as a stream."""
-    events = table(spark, sf_dir, "events").where("event_id < 2000")
+    events = table(spark, sf_dir, "events")
     source = F.when(F.col("event_type") == "view", "read").otherwise("watch")
     rows = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("seq"), source.alias("source"), F.concat(F.lit("value is "), F.floor(F.col("value") / 20).cast("string")).alias("markdown"))
     stream, state = _stream(spark, rows, "watch")
@@ -234,10 +234,10 @@ def robots_decisions(spark, sf_dir):
     return answers.robots_allowed(checks, "loom/1").select("page_id", "allowed", "delay")
 
 
-@query("SELECT DISTINCT 'http://ex.com/p/' || o_custkey AS page FROM orders WHERE o_custkey < 1000")
+@query("SELECT page FROM (SELECT DISTINCT 'http://ex.com/p/' || o_custkey AS page FROM orders) ORDER BY page LIMIT 10000")
 def sitemap_urls(spark, sf_dir):
-    """An index of sitemaps, one for each nation, which list customers' pages."""
-    orders = table(spark, sf_dir, "orders").where("o_custkey < 1000").select("o_custkey").distinct()
+    """An index of 25 sitemaps, which list customers' pages; a tour ends at 10,000 pages."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey").distinct()
     loc = F.concat(F.lit("<url><loc> http://ex.com/p/"), F.col("o_custkey").cast("string"), F.lit(" </loc></url>"))
     child = orders.groupBy((F.col("o_custkey") % 25).alias("n")).agg(F.array_join(F.collect_list(loc), "").alias("l"))
     child = child.select(F.concat(F.lit("http://ex.com/s"), F.col("n").cast("string")).alias("url"), F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "l", F.lit("</urlset>")).alias("body"))

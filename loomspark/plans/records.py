@@ -146,11 +146,11 @@ def change_flag(spark, sf_dir):
     return ledger.change_flags(_versions(spark, sf_dir), "url", ["seq"], "content").select("url", "seq", "changed")
 
 
-@query(f"WITH {_VERSIONS} SELECT v.url, v.seq, v.content FROM versions v JOIN (SELECT o_custkey AS url, o_orderkey AS seq FROM orders) p ON p.url = v.url AND p.seq = v.seq UNION ALL SELECT url, seq, content FROM versions WHERE seq % 500 = 3")
+@query(f"WITH {_VERSIONS} SELECT v.url, v.seq, v.content FROM versions v JOIN (SELECT user_id AS url, event_id AS seq FROM events WHERE event_type = 'purchase') p ON p.url = v.url AND p.seq = v.seq")
 def snapshot_at(spark, sf_dir):
     versions = _versions(spark, sf_dir).select("url", "seq", "content")
-    pins = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("seq"))
-    return versions.join(pins, ["url", "seq"]).unionByName(versions.where("seq % 500 = 3"))
+    pins = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("url"), F.col("event_id").alias("seq"))
+    return versions.join(pins, ["url", "seq"])
 
 
 @query(f"WITH {_VERSIONS}, r AS (SELECT url, seq, ROW_NUMBER() OVER (PARTITION BY url ORDER BY seq DESC) AS nth FROM versions) SELECT url, seq, CAST(nth AS INTEGER) AS nth FROM r WHERE nth <= 10")
