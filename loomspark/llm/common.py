@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship
 
@@ -30,6 +31,7 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_dir(spark)
+    _made.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -37,10 +39,26 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def drop_work(spark: SparkSession, path: str) -> None:
-    """Remove a folder that work_dir named, through the file system that holds it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+_made: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the tables that operators have written so far, once no result that reads them is needed any more."""
+    while _made:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def least_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of df, those whose key has the least hashes: a sample that is the same in every run.
+
+    A first cut by the hash alone leaves a little more than is wanted, so that the sort for the last rows gets few
+    rows from each task, however many tasks there are.
+    """
+    n = df.count()
+    if n > 2 * most:
+        df = df.where(F.xxhash64(key) < int(-(2**63) + 1.3 * most / n * 2**64))
+    return df.orderBy(F.xxhash64(key), key).limit(most)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import least_hashes, materialize
 from .graph import components, lookup
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -161,7 +161,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, paired: int = PAIRED, parti
     join the same fingerprints.
     """
     if partitions is None:
-        sample = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).collect()]
+        sample = [r.fp for r in least_hashes(distinct.select("fp"), "fp", PLAN_SAMPLE).collect()]
         partitions = plan(sample, distinct.count(), radius)
     probes = [_probes(number, bits, threshold) for number, (bits, threshold) in enumerate(partitions)]
     probed = distinct.select("fp", F.explode(F.concat(*probes)).alias("p")).select("fp", "p.part", "p.key", "p.own")

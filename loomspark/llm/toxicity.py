@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import least_hashes, materialize
 
 EXAMPLES = 20000
 FEATURES = 1024
@@ -260,7 +260,7 @@ def labelled(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """doc_id and toxic of at most `examples` training rows, those with the least hashes."""
     rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
     rows = rows.groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("toxic"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    return least_hashes(rows, "doc_id", examples)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features: int = FEATURES, neighbours: int = NEIGHBOURS) -> DataFrame:
