@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 MOST_WORDS = 2000
 
 
@@ -71,4 +73,4 @@ def word_diffs(pairs: DataFrame, key: str) -> DataFrame:
                     out.append((k, None, str(e)))
             yield pd.DataFrame(out, columns=[key, "diff", "error"])
 
-    return pairs.select(key, "old", "new").mapInPandas(run, f"{key} {kind}, diff string, error string")
+    return spread(pairs.select(key, "old", "new")).mapInPandas(run, f"{key} {kind}, diff string, error string")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 LEAST, MOST = 20, 600
 # Characters that are swapped when a quote is copied.
 FOLDS = {"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "−": "-", "…": "...", "\u00a0": " ", "`": ""}
@@ -89,7 +91,7 @@ def verify_quotes(facts: DataFrame, pages: DataFrame, key: str = "url") -> DataF
 
     The join shuffles by page; a page is normalised once for all its facts in a batch.
     """
-    joined = facts.join(pages.select(key, "markdown"), key, "left").sortWithinPartitions(key)
+    joined = spread(facts.join(pages.select(key, "markdown"), key, "left")).sortWithinPartitions(key)
     schema = T.StructType([*facts.schema.fields, T.StructField("found", T.BooleanType())])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

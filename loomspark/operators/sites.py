@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .clean import sidecar
 from .dom import Node, first, first_text, meta, parse, select
 
@@ -547,5 +548,5 @@ def extract(bodies: DataFrame, key: str, name: str | None = None) -> DataFrame:
                 errors.append(None if record else "no data" if extractor else "no extractor")
             yield pd.DataFrame({key: pdf[key], "extractor": pdf["extractor"], "record": records, "error": errors})
 
-    rows = bodies.select(key, "url", "body", chosen.alias("extractor"))
+    rows = spread(bodies.select(key, "url", "body", chosen.alias("extractor")))
     return rows.mapInPandas(run, f"{key} {kind}, extractor string, record string, error string")

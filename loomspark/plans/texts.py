@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, jsonfns, text
 from ..operators import lines
+from ..session import spread
 from ..sources.tables import table
 from .registry import query
 
@@ -17,7 +18,7 @@ _MD = r"""md AS (SELECT doc_id, '# Doc ' || doc_id || chr(10) || '![alt](http://
 def _markdown(documents):
     n = F.col("doc_id").cast("string")
     lead = F.concat(F.lit("# Doc "), n, F.lit("\n![alt](http://x/i.png) **bold** and [link "), n, F.lit("](http://ex.com/"), (F.col("doc_id") % 7).cast("string"), F.lit(' "t") [](http://ex.com/bare) [in](#a)\n```\n> quoted *it* `code`\n\n\n\n'))
-    return documents.select("doc_id", F.concat(lead, F.col("text")).alias("md"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", F.concat(lead, F.col("text")).alias("md"))
 
 
 @query(
