@@ -7,15 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship
+from ..session import shared_dir, ship, spread
 
 #: A word: a run of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables; any path that Spark's readers can open will do."""
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables, over all cores; any path that Spark's readers can open will do."""
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def work_dir(spark: SparkSession) -> str:
