@@ -37,6 +37,12 @@ def page_llm_text(spark, sf_dir):
     return clean.llm_views(clean.clean(table(spark, sf_dir, "pages")))
 
 
+@query()
+def page_reduction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return clean.reduction(clean.clean(pages), pages)
+
+
 @query()
 def page_brand(spark, sf_dir):
     return clean.clean(table(spark, sf_dir, "pages")).select("page_id", "colors", "fonts", "logo", "favicon")

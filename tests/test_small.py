@@ -46,3 +46,40 @@ def test_spread_and_shared_folder(spark):
     assert spread(spark.range(3).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(spark.range(99).repartition(9)).rdd.getNumPartitions() == 9
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_page_files(spark, tmp_path):
+    from loomspark.sources.tables import page_files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.html").write_text("<p>é</p>")
+    (tmp_path / "y.html").write_bytes(b"%PDF-1.4 \xff")
+    got = {r.url.rsplit("/", 1)[1]: (r.html, r.content_type) for r in page_files(spark, str(tmp_path)).collect()}
+    assert got == {"x.html": ("<p>é</p>", "text/html"), "y.html": (None, "application/pdf")}
+
+
+def test_what_callers_bring(spark):
+    import json
+
+    import pytest
+
+    from loomspark.operators import clean, selectors
+
+    html = "<body><div><div><section><ul><li class=a>one</li><li>two</li></ul></section></div></div><script>x</script><p>far</p></body>"
+    assert selectors.trimmed(html, ["one"]) == '<div><div><section><ul><li class="a">one</li><li>two</li></ul></section></div></div>'
+    records = spark.createDataFrame([(1, '{"a": 1}'), (2, "{}")], "id int, record string")
+    got = {r.id: (r.record, r.error) for r in selectors.transform_records(records, "id", lambda r: {"b": r["a"] + 1}).collect()}
+    assert got == {1: ('{"b": 2}', None), 2: (None, "KeyError: 'a'")}
+    answers = iter(["no", '{"n": "x"}', '{"n": "3,5", "m": ""}'])
+    asked = []
+    schema = {"type": "object", "required": ["n", "m"], "properties": {"n": {"type": "number"}, "m": {"type": "string"}}}
+    record = selectors.extract_with_repair("page", schema, lambda q: asked.append(q) or next(answers), side={"m": {"v": "side"}}, paths={"m": "$.m.v"}, hints={"n": {"coerce": "float"}})
+    assert record == {"n": 3.5, "m": "side"} and len(asked) == 3 and "Wrong so far" in asked[1]
+    with pytest.raises(ValueError):
+        selectors.extract_with_repair("page", schema, lambda q: "{}", tries=2)
+    page = clean.clean_page("<h1>T</h1><p>text</p>", "http://x/")
+    assert clean.render({**page, "url": "http://x/"}, "llm").startswith("> Source") and json.loads(clean.render(page, "json"))["markdown"] == clean.render(page, "markdown")
+    assert clean.prepare("# x", "markdown") == ("# x", None) and clean.prepare("<p>y</p>", "html")[0] == "y"
+    for call in (lambda: clean.render(page, "pdf"), lambda: clean.prepare("", "csv")):
+        with pytest.raises(ValueError):
+            call()
