@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from loomspark.llm import graph, simhash
+from loomspark.llm.common import materialize
 
 
 def plain_fingerprint(text):
@@ -49,13 +50,11 @@ def near(rng, value, bits):
     return value
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3])
-@pytest.mark.parametrize("partitions", [None, [(list(range(64)), 9)], [(list(range(0, 64, 2)), 0), (list(range(1, 64, 2)), 1)]])
-def test_links_connect_exactly(spark, radius, partitions):
-    if partitions and len(partitions) == 2 and radius != 2:
-        pytest.skip("those thresholds are for two bits")
-    if partitions and len(partitions) == 1:
-        partitions = [(partitions[0][0], radius)] if radius < 3 else None
+HALVES = [(list(range(0, 64, 2)), 0), (list(range(1, 64, 2)), 1)]
+
+
+@pytest.mark.parametrize("radius, partitions, paired", [(1, None, 64), (2, None, 64), (2, None, 2), (2, [(list(range(64)), 2)], 64), (2, HALVES, 64), (3, None, 2)])
+def test_links_connect_exactly(spark, radius, partitions, paired):
     rng = random.Random(radius)
     values = {rng.getrandbits(64) for _ in range(60)} | {0, 2**64 - 1}
     for v in list(values)[:30]:
@@ -68,11 +67,10 @@ def test_links_connect_exactly(spark, radius, partitions):
     df = spark.createDataFrame([(signed(v), i) for i, v in enumerate(values)], "fp long, least long")
     close = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= radius
     expected = plain_components([signed(v) for v in values], close)
-    for paired in (64, 2):
-        edges = simhash.links(df, radius, paired, partitions)
-        assert all(close(e.a, e.b) for e in edges.collect())
-        got = {r.node: r.label for r in graph.components(edges).collect()}
-        assert {k: got.get(k, k) for k in expected} == expected
+    edges = materialize(simhash.links(df, radius, paired, partitions))
+    assert all(close(e.a, e.b) for e in edges.collect())
+    got = {r.node: r.label for r in graph.components(edges).collect()}
+    assert {k: got.get(k, k) for k in expected} == expected
 
 
 def test_dynamic_program_is_optimal():
