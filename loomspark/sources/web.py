@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import json
 import re
 import zlib
@@ -212,10 +211,6 @@ def _bounded(reader, body: bytes) -> bytes:
     return out
 
 
-def deflate_for_test(body: bytes) -> bytes:
-    return gzip.compress(body)
-
-
 def is_pdf(body: Column, content_type: Column) -> Column:
     return F.lower(F.coalesce(content_type, F.lit(""))).startswith("application/pdf") | F.coalesce(body.startswith("%PDF-"), F.lit(False))
 

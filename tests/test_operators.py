@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -185,7 +186,7 @@ def test_web_answers(spark, tmp_path):
     robots = "User-agent: *\nDisallow: /private\nAllow: /private/ok\nCrawl-delay: 2"
     assert web.robots_decision(200, robots, "x", "/private/a") == (False, 2.0) and web.robots_decision(200, robots, "x", "/private/ok")[0]
     assert web.robots_decision(404, "", "x", "/")[0] and not web.robots_decision(500, "", "x", "/")[0]
-    assert web.inflate(web.deflate_for_test(b"abc")) == b"abc" and web.inflate(web.deflate_for_test(web.deflate_for_test(b"abc")), "gzip") == b"abc"
+    assert web.inflate(gzip.compress(b"abc")) == b"abc" and web.inflate(gzip.compress(gzip.compress(b"abc")), "gzip") == b"abc"
     with pytest.raises(ValueError):
         web.inflate(b"x", "br")
     for text, n in (('{"a":1}\n{"a":2}\n', 2), ('[{"a":1},\n {"a":9007199254749936}]', 2), ('{"a":\n1}', 1)):
