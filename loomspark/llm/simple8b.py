@@ -51,14 +51,19 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     grid[escaped] = np.arange(len(escapes), dtype=np.uint64)
     # The best selector for a word that begins at each place: from wide to narrow, later ones win.
     best = np.full((blocks, block), 15, np.uint8)
-    column = np.arange(block)
-    narrow = grid
+    # Narrow arrays for the comparisons: most ids need no more than 32 bits.
+    small = grid.astype(np.uint32) if n and int(values.max()) < 1 << 32 else grid
+    wide, over, fits = np.empty(grid.shape, bool), np.zeros((blocks, block + 1), np.int16), np.empty(grid.shape, bool)
     for selector in range(14, 0, -1):
         count, bits = int(COUNTS[selector]), int(BITS[selector])
-        wide = (narrow >> np.uint64(bits) != 0) | escaped
-        over = np.zeros((blocks, block + 1), np.int16)
+        np.greater(small, small.dtype.type((1 << min(bits, small.itemsize * 8)) - 1), out=wide)
+        if len(escapes):
+            wide |= escaped
         np.cumsum(wide, axis=1, dtype=np.int16, out=over[:, 1:])
-        fits = over[:, np.minimum(column + count, block)] == over[:, :-1]
+        # A word holds `count` values from a place on, or what is left of the block.
+        cut = max(0, block - count)
+        np.equal(over[:, count : count + cut], over[:, :cut], out=fits[:, :cut])
+        np.equal(over[:, block:], over[:, cut:block], out=fits[:, cut:])
         if not fits.any():
             break
         best[fits] = selector
