@@ -222,7 +222,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, paired:
     Of several rows with that doc_id the one whose text has the least hash stays, once. The columns come out
     as they are; texts are shuffled once.
     """
-    found = near_duplicates(docs, words, radius, paired)
+    return pick(docs, near_duplicates(docs, words, radius, paired))
+
+
+def pick(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of docs that stays, for each label of found (doc_id, tie and label of rows of docs)."""
     leader = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "tie"))
     leaders = found.groupBy("label").agg(leader.alias("l")).select("l.doc_id", "l.tie")
     key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
