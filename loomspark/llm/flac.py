@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
+
 FRAME = 1024
 ALIGN = 64
 LPC_ORDER = 4
@@ -517,6 +519,14 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(write, schema)
 
 
+def _describe(payload: bytes) -> tuple[int, str, int, str]:
+    x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
+    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+    size = np.abs(x)
+    feature = f"crossings={crossings};magnitude={int(size.sum(dtype=np.int64))};peak={int(size.max())};frames={-(-len(x) // FRAME)}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature
+
+
 def read_features(stored: DataFrame) -> DataFrame:
     """Decode stored media, verify it, and describe it; raises if a checksum is wrong.
 
@@ -531,11 +541,8 @@ def read_features(stored: DataFrame) -> DataFrame:
             media = batch.column(2).to_pylist()
             columns: list[list] = [[] for _ in names]
             for stream, payload in zip(media, decode(media), strict=True):
-                x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
-                crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-                size = np.abs(x)
-                feature = f"crossings={crossings};magnitude={int(size.sum(dtype=np.int64))};peak={int(size.max())};frames={-(-len(x) // FRAME)}"
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature)
+                size, digest, tail, feature = _describe(payload)
+                row = (size, digest, tail, len(stream), hashlib.sha256(stream).hexdigest(), feature)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             arrow = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -557,3 +564,51 @@ def pcm_blocks(stored: DataFrame, block: int = 1 << 16) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row] * len(at))), pa.array(at, pa.int64()), pa.array(blocks, pa.binary())], names=schema.names)
 
     return stored.mapInArrow(read, schema)
+
+
+def decoded(stored: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """A row for every row of stored media: its size and hash, and blocks, its PCM by sample_offset."""
+    blocks = T.ArrayType(T.StructType([T.StructField("sample_offset", T.LongType()), T.StructField("pcm", T.BinaryType())]))
+    added = [T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("blocks", blocks)]
+    schema = T.StructType([stored.schema["doc_id"], stored.schema["n_bytes"], *added])
+    arrow = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = 0
+            for media in _batches(whole.column(2).to_pylist()):
+                cut = [[{"sample_offset": a, "pcm": p[a : a + block]} for a in range(0, len(p), block)] for p in decode(media)]
+                kept = [whole.column(0).slice(at, len(media)), whole.column(1).slice(at, len(media))]
+                sizes, hashes = pa.array(list(map(len, media)), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media])
+                yield pa.RecordBatch.from_arrays([*kept, sizes, hashes, pa.array(cut, arrow)], names=schema.names)
+                at += len(media)
+
+    return stored.mapInArrow(read, schema)
+
+
+def block_features(table: DataFrame) -> DataFrame:
+    """What read_features gives, from the PCM blocks of decoded(); raises if blocks do not follow each other."""
+    numbers, texts = T.LongType(), T.StringType()
+    kinds = {"payload_bytes": numbers, "payload_sha256": texts, "tail_crc32": numbers, "media_bytes": numbers, "media_sha256": texts, "feature": texts}
+    schema = T.StructType([table.schema["doc_id"], table.schema["n_bytes"], *(T.StructField(n, k) for n, k in kinds.items())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for held in batch.column(4):
+                payload = bytearray()
+                for b in sorted(held.as_py(), key=lambda b: b["sample_offset"]):
+                    if b["sample_offset"] != len(payload):
+                        raise ValueError("a PCM block is missing")
+                    payload += b["pcm"]
+                rows.append(_describe(bytes(payload)))
+            size, digest, tail, feature = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
+            made = [pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(tail, pa.int64()), batch.column(2), batch.column(3), pa.array(feature, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=schema.names)
+
+    return table.mapInArrow(read, schema)
+
+
+def through_storage(docs: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """block_features of docs, by two written tables: the media, and the PCM blocks decoded from it as read again."""
+    return block_features(materialize(decoded(materialize(store(docs)), block)))

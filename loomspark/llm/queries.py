@@ -38,7 +38,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_features(flac.store(table(spark, sf_dir, "documents")))
+    return flac.through_storage(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,3 +127,18 @@ def test_rows(spark):
     blocks = sorted((r.sample_offset, bytes(r.pcm)) for r in flac.pcm_blocks(stored.where("doc_id = 9"), 40).collect())
     assert [a for a, _ in blocks] == [0, 40, 80, 120] and b"".join(b for _, b in blocks) == b"y" * 65 + bytes(63)
     assert flac.read_features(flac.store(docs.limit(0))).count() == 0
+
+
+def test_query_reads_media_and_blocks_from_storage(spark, tmp_path):
+    from loomspark.llm import common, queries
+
+    rows = [(3, "héllo " * 99), (1, None), (None, "x" * 64), (3, "héllo " * 99)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, before = spark.read.parquet(f"{tmp_path}/documents.parquet"), len(common._made)
+    got = queries.op6_flac_media(spark, str(tmp_path))
+    media, blocks = (spark.read.parquet(p) for p in common._made[before:])
+    assert got.inputFiles() and all(f in blocks.inputFiles() for f in got.inputFiles())
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, flac.read_features(flac.store(docs)).collect()))
+    assert media.columns == ["doc_id", "n_bytes", "media"] and media.count() == 4
+    cut = flac.decoded(media.where("doc_id = 3"), 100).first().blocks
+    assert [b.sample_offset for b in cut] == list(range(0, 704, 100)) and b"".join(bytes(b.pcm) for b in cut) == flac.payload_of(rows[0][1].encode())
