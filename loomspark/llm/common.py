@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship, spread
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def fold(folds: int) -> Column:
+    """The fold of a row: crc32 of its doc_id as text, modulo folds; a null doc_id counts as empty."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share."""
     return f"{shared_dir(spark)}/loomspark-{uuid.uuid4().hex}"

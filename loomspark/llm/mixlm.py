@@ -1,449 +1,205 @@
-"""Language-model scores by logistic context mixing.
+"""Language-model scores by logistic context mixing over whole texts.
 
-A token is spelled as its bytes and an end sign, bit by bit. Several predictors each look up the bit's history in
-a context, the last few bytes, hashed into a table of counts; their logits are mixed with weights that a gate chooses,
-by how many contexts have been seen and by the place in the word; an adaptive map refines the mixed probability by
-the bits of the byte so far. The product over the bits is a distribution over all possible words.
+A document is the stream of its lower-cased words, each with a space, and an end; mixer.py predicts it bit by bit. The
+logarithms of the bits add up to the probability of the token sequence. What the model knows comes from the training
+documents only:
 
-The counts come from every different word of the training documents. The weights and the map are learned online,
-word by word, on at most MIX_WORDS words of each part of the vocabulary, and averaged.
+* Counts. Every nibble of every training text is counted under every predictor's context, in one table of hashed lines.
+  Tasks count apart and send slices of their tables, which are added up by slice.
+* Weights and adaptive map, by deleted estimation: one fold of the training documents (TUNE_FOLD of FOLDS) is predicted
+  from the counts of the other training folds. ROUNDS passes each sum up a Newton step of the gated weights, the last one
+  the map too. The counts of that fold are in the final table like all others.
 
-A document's class, one of CLASSES, is inferred while it is read, from the frequent words so far, under a mixture of
-word distributions fitted to a bounded sample (CLASS_DOCS); the word after is predicted from the class's counts
-over all training documents, which back off to the counts of all classes, and these to the spelled probability:
+The table has a fixed number of cells (mixer.CELLS), which bounds memory and broadcasts; counts grow with the input, and so
+does the tuning fold. All sums are of whole numbers, so scores do not depend on how rows are dealt to tasks.
 
-    P(w | class) = (1 - e) c(w, class) / N(class) + e ((1 - d) c(w) / N + d P_spelled(w))
+The base score takes exact counts of words, by a map-side count and one shuffle by word. For scoring, the most frequent
+words (at most TOP_WORDS, by a threshold that is found from a histogram of counts) are broadcast; all other words of texts
+are shuffled to the counts. So no word is a hot key, and a task holds bounded tables only. Intermediate tables are written
+to the shared folder.
 
-where e and d are the shares of tokens that were new, after Good and Turing. As the class depends on earlier words
-only, the sum of the logarithms is the probability of the whole token sequence.
-
-Words are counted by a map-side count and one shuffle by word. For scoring, the most frequent words (at most TOP_WORDS,
-by a threshold that is found from a histogram of counts) are broadcast; tokens of all other words are shuffled to the
-vocabulary. So no word is a hot key, and a task holds bounded tables only. Intermediate tables are written to the shared
-folder.
-
-Defined results: a null text is an empty one; an empty text has the end token only; repeated and null doc_ids are documents
-of their own; words without a training count have c = 0. Without any training document, N = V = 0 and all
-probability is spelled. Only doc_id and text are used.
+Defined results: a null text is an empty one; an empty text has the end token only; repeated rows and null doc_ids are
+documents of their own; words without a training count have c = 0; ties do not arise, as every row is scored by itself.
+Without any training document N = V = 0 and every bit is predicted from the text alone. Only doc_id and text are used.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
 from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import least_hashes, materialize, shuffle_partitions
-from .toxicity import held_out
+from . import mixer
+from .common import fold, materialize
 
-END = b"\n"
-FOLDS, TEST_FOLD = 7, 2
-CLASSES, CLASS_DOCS, CLASS_WORDS = 8, 3000, 1024
+FOLDS, TEST_FOLD, TUNE_FOLD = 7, 2, 3
+ROUNDS = 2
 TOP_WORDS = 120_000
-ORDERS = (1, 2, 3, 4, 6)
-SLOTS = 1 << 19
-GATES = (len(ORDERS) + 1) * 4
-MIX_WORDS = 512
-RATE = 0.02
-STEPS = 33
-SLICE = 1 << 16
-PARTS = 64
-
-
-# --- spelling --------------------------------------------------------------------------------------------------
-
-
-class Letters:
-    """Words as columns of bytes: the words, longest first, and for each column how many reach it."""
-
-    def __init__(self, words: list[bytes]):
-        spelled = sorted(((w + b" ", i) for i, w in enumerate(words)), key=lambda x: -len(x[0]))
-        self.order = np.array([i for _, i in spelled])
-        lengths = np.array([len(w) for w, _ in spelled])
-        longest = int(lengths[0]) if len(words) else 0
-        self.bytes = np.frombuffer(b"".join(w.ljust(longest, b" ") for w, _ in spelled), np.uint8).reshape(len(words), longest)
-        self.reach = [int(np.searchsorted(-lengths, -j, side="left")) for j in range(longest)]
-
-    def contexts(self):
-        """For each column: column, number of words n, the hash of each order's context (orders, n), and the bytes."""
-        for j, n in enumerate(self.reach):
-            hashes = []
-            for order in ORDERS:
-                h = np.full(n, order, np.uint32)
-                for i in range(j - order, j):
-                    h = (h + (self.bytes[:n, i] if i >= 0 else np.uint8(32)).astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-                    h ^= h >> np.uint32(15)
-                hashes.append(h)
-            yield j, n, hashes, self.bytes[:n, j].astype(np.uint32)
-
-    def bits(self):
-        """For each bit of each column: column, number of words n, slots (orders, n), the bits so far and the bit."""
-        for j, n, hashes, column in self.contexts():
-            for node, bit in _byte_bits(column):
-                yield j, n, [_slot(h, node) for h in hashes], node, bit
-
-
-def _byte_bits(column: np.ndarray):
-    """The bits so far, with a leading one, and the bit, for the eight bits of bytes."""
-    for b in range(7, -1, -1):
-        yield (column >> np.uint32(b + 1)) | np.uint32(1 << (7 - b)), (column >> np.uint32(b)) & np.uint32(1)
-
-
-def _slot(h: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((h + node) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOTS.bit_length() + 1)
-
-
-def _chunks(words: list[bytes], most_bytes: int = 1 << 20) -> Iterator[list[int]]:
-    """Places of words, in pieces whose padded letters stay small whatever the lengths."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    held: list[int] = []
-    for i in order:
-        if held and (len(held) + 1) * (len(words[i]) + 1) > most_bytes or len(held) >= 16384:
-            yield held
-            held = []
-        held.append(i)
-    if held:
-        yield held
-
-
-class BitCounts:
-    """Counts (orders, slots, 2) of the bits of words.
-
-    Contexts with their bytes are held as numbers and counted by sorting; only the different ones are then taken
-    apart into bits.
-    """
-
-    def __init__(self, most: int = 1 << 20):
-        self.counts = np.zeros((len(ORDERS), SLOTS, 2), np.uint32)
-        self.most, self.size = most, 0
-        self.held: list[list[np.ndarray]] = [[] for _ in ORDERS]
-
-    def add(self, words: list[bytes]) -> None:
-        for places in _chunks(words):
-            for _, n, hashes, column in Letters([words[i] for i in places]).contexts():
-                for own, h in zip(self.held, hashes, strict=True):
-                    own.append(h.astype(np.uint64) << np.uint64(8) | column)
-                self.size += n
-            if self.size >= self.most:
-                self.close()
-
-    def close(self) -> np.ndarray:
-        for counts, own in zip(self.counts, self.held, strict=True):
-            if own:
-                pairs, times = np.unique(np.concatenate(own), return_counts=True)
-                h, column = (pairs >> np.uint64(8)).astype(np.uint32), (pairs & np.uint64(255)).astype(np.uint32)
-                for node, bit in _byte_bits(column):
-                    np.add.at(counts.reshape(-1), _slot(h, node) * 2 + bit, times.astype(np.uint32))
-                own.clear()
-        self.size = 0
-        return self.counts
-
-
-class Speller:
-    """Mixed predictors with frozen counts. learn() goes online over words; score() gives log10 probabilities."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts: np.ndarray | None = counts
-        self.logit = self._logits(counts[:, :, 0], counts[:, :, 1])
-        self.weights = np.full((GATES, len(ORDERS)), 0.35, np.float32)
-        centres = np.linspace(-8, 8, STEPS)
-        start = 1 / (1 + np.exp(-centres))
-        self.map = np.stack([np.tile((1 - start) * 4, (256, 1)), np.tile(start * 4, (256, 1))], axis=2)
-
-    @staticmethod
-    def _logits(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-        """A context that has been seen a few times says less than one that has been seen often."""
-        n = (zeros + ones).astype(np.float32)
-        p = (ones + np.float32(0.3)) / (n + np.float32(0.6))
-        return np.log(p / (1 - p)) * (n / (n + np.float32(1.5)))
-
-    def _mix(self, j: int, slots: list[np.ndarray], bit: np.ndarray | None = None):
-        """The predictors' logits, the gate and the mixed logit. bit: what the counts hold of the words themselves, left out."""
-        if bit is None:
-            inputs = np.empty((len(slots[0]), len(ORDERS)), np.float32)
-            for k, s in enumerate(slots):
-                inputs[:, k] = self.logit[k][s]
-        else:
-            own = np.stack([self.counts[k][s] for k, s in enumerate(slots)], axis=1)
-            inputs = self._logits(own[:, :, 0] - (1 - bit)[:, None], own[:, :, 1] - bit[:, None])
-        gate = np.count_nonzero(inputs, axis=1) * 4 + min(j, 3)
-        total = np.clip(np.einsum("ij,ij->i", inputs, self.weights[gate]), -12, 12)
-        return inputs, gate, total
-
-    def _refine(self, total: np.ndarray, node: np.ndarray, frozen: np.ndarray | None = None):
-        """The refined probability, the mixed one, and the place in the map. frozen: the map as probabilities."""
-        place = np.clip((total + 8) * np.float32((STEPS - 1) / 16), 0, np.float32(STEPS - 1.001))
-        low = place.astype(np.int32)
-        share = (place - low).astype(np.float32)
-        if frozen is None:
-            a, b = self.map[node, low], self.map[node, low + 1]
-            below, above = a[:, 1] / a.sum(axis=1), b[:, 1] / b.sum(axis=1)
-        else:
-            at = node.astype(np.int32) * STEPS + low
-            below, above = frozen[at], frozen[at + 1]
-        mixed = 1 / (1 + np.exp(-total))
-        return np.clip((mixed + (1 - share) * below + share * above) / 2, 1e-5, 1 - 1e-5), mixed, low, share
-
-    def learn(self, words: list[bytes], at_once: int = 16) -> None:
-        """Online, over words that the counts hold once: each is predicted from the others."""
-        for a in range(0, len(words), at_once):
-            for j, n, slots, node, bit in Letters(words[a : a + at_once]).bits():
-                inputs, gate, total = self._mix(j, slots, bit)
-                _, mixed, low, share = self._refine(total, node)
-                error = (bit - mixed).astype(np.float32)
-                step = np.zeros_like(self.weights)
-                np.add.at(step, gate, error[:, None] * inputs)
-                self.weights += RATE * step / np.maximum(1, np.bincount(gate, minlength=GATES))[:, None].astype(np.float32)
-                np.add.at(self.map, (node, low, bit), 1 - share)
-                np.add.at(self.map, (node, low + 1, bit), share)
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(words))
-        frozen = (self.map[:, :, 1] / self.map.sum(axis=2)).astype(np.float32).reshape(-1)
-        for places in _chunks(words):
-            letters = Letters([words[i] for i in places])
-            total = np.zeros(len(places))
-            for j, n, slots, node, bit in letters.bits():
-                p = self._refine(self._mix(j, slots)[2], node, frozen)[0]
-                total[:n] += np.log10(np.where(bit == 1, p, 1 - p))
-            out[np.array(places)[letters.order]] = total
-        return out
-
-
-# --- document classes -------------------------------------------------------------------------------------------
-
-
-class Classes:
-    """A mixture of word distributions over frequent words; follow() gives the class at every token."""
-
-    def __init__(self, documents: list[dict[str, int]], classes: int = CLASSES, words: int = CLASS_WORDS):
-        common = Counter()
-        for d in documents:
-            common.update(dict.fromkeys(d, 1))
-        chosen = sorted(common, key=lambda w: (-common[w], w))[:words]
-        self.numbers = {w.encode(): i for i, w in enumerate(chosen)}
-        x = np.zeros((len(documents), len(chosen) + 1), np.float64)
-        for row, d in zip(x, documents, strict=True):
-            for i, w in enumerate(chosen):
-                row[i] = d.get(w, 0)
-        x = x[:, :-1]
-        best = None
-        for seed in range(4):
-            rng = np.random.default_rng(seed)
-            share = rng.dirichlet(np.ones(classes) * 0.3, len(documents)) if len(documents) else np.zeros((0, classes))
-            for _ in range(30):
-                prior = (share.sum(axis=0) + 1) / (share.sum() + classes)
-                spread = share.T @ x + 0.05
-                logs = np.log(spread / spread.sum(axis=1, keepdims=True)) if x.shape[1] else np.zeros((classes, 0))
-                joint = x @ logs.T + np.log(prior)
-                top = joint.max(axis=1, keepdims=True) if len(joint) else np.zeros((0, 1))
-                share = np.exp(joint - top)
-                total = share.sum(axis=1, keepdims=True)
-                fit = float((top + np.log(total)).sum())
-                share /= total
-            if best is None or fit > best[0]:
-                best = (fit, prior, logs)
-        _, prior, logs = best
-        self.start = np.log(prior)
-        # The last row belongs to words that tell nothing.
-        self.rows = np.vstack([logs.T, np.zeros((1, classes))]).astype(np.float32)
-
-    def follow(self, tokens: list[bytes]) -> list[tuple[int, int, int]]:
-        """Stretches (class, begin, end) of a document's tokens; a token's class depends on those before it."""
-        get, none = self.numbers.get, len(self.rows) - 1
-        ids = np.array([get(t, none) for t in tokens[:-1]], np.int64)
-        telling = np.flatnonzero(ids != none)
-        sums = np.cumsum(self.rows[ids[telling]].astype(np.float64), axis=0) + self.start
-        classes = np.concatenate([[int(np.argmax(self.start))], sums.argmax(axis=1)])
-        turns = np.flatnonzero(classes[1:] != classes[:-1])
-        edges = [0, *(telling[turns] + 1).tolist(), len(tokens)]
-        own = [int(classes[0]), *classes[turns + 1].tolist()]
-        return [(c, a, b) for c, (a, b) in zip(own, pairwise(edges), strict=True) if a < b]
+#: Cells of a slice of the table of counts.
+SLICE = 1 << 14
+#: A counting task takes so many input partitions, as it sends a whole table.
+COUNT_TOGETHER = 2
 
 
 def tokens_of(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) words, split at space and U+0009 to U+000D, and the end token."""
-    return [*text.lower().split(), END]
+    return [*text.lower().split(), mixer.END]
 
 
-def fit_classes(docs: DataFrame, most: int = CLASS_DOCS) -> Classes:
-    """Classes from at most `most` training documents, those with the least hashes."""
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").where(~held_out(FOLDS, TEST_FOLD)).distinct()
-    sample = materialize(least_hashes(ids, "doc_id", most))
+# --- the model ---------------------------------------------------------------------------------------------------
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [Counter(tokens_of(x.as_py() or b"")[:-1]).most_common(300) for x in batch.column(0)]
-            words = pa.array([[w.decode() for w, _ in p] for p in pairs], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([words, pa.array([[n for _, n in p] for p in pairs], pa.list_(pa.int64()))], names=["words", "counts"])
 
-    texts = docs.join(F.broadcast(sample), "doc_id").select(F.col("text").cast("binary").alias("text"))
-    rows = texts.mapInArrow(count, "words array<string>, counts array<long>").collect()
-    documents = sorted((dict(zip(r.words, r.counts, strict=True)) for r in rows), key=lambda d: sorted(d.items()))
-    return Classes(documents[:most])
+def planes(counts: np.ndarray) -> bytes:
+    """Counts as their low bytes, then their second bytes, and so on; planes above the highest in use are left out."""
+    split = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    used = max(1, 4 - next((i for i in range(4) if split[3 - i].any()), 4))
+    return split[:used].tobytes()
 
 
-# --- counting and scoring ----------------------------------------------------------------------------------------
+def unplanes(data: bytes, size: int = SLICE) -> np.ndarray:
+    found = np.zeros(size, np.uint64)
+    for i, plane in enumerate(np.frombuffer(data, np.uint8).reshape(-1, size)):
+        found += plane.astype(np.uint64) << np.uint64(8 * i)
+    return found
 
 
-def vocabulary(docs: DataFrame, classes) -> DataFrame:
-    """word, c0 .. cK: every word of all documents with its counts by class in the training documents."""
+def _streams(column: pa.Array) -> list[bytes]:
+    return [mixer.stream(x.as_py() or b"")[0] for x in column]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        follow = classes.value.follow
-        held: dict[int, Counter] = {}
-        new: set[bytes] = set()
-
-        def take() -> Iterator[pa.RecordBatch]:
-            names = ["word", "class", "n"]
-            for c, own in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in own], pa.string()), pa.array([c] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in new], pa.string()), pa.array([0] * len(new), pa.int32()), pa.array([0] * len(new), pa.int64())], names=names)
-            held.clear()
-            new.clear()
 
-        for batch in batches:
-            for out, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = tokens_of(text.as_py() or b"")
-                if out:
-                    new.update(tokens)
-                    continue
-                for c, a, b in follow(tokens):
-                    held.setdefault(c, Counter()).update(tokens[a:b])
-            if sum(map(len, held.values())) + len(new) > 400_000:
-                yield from take()
-        yield from take()
-
-    rows = docs.select(held_out(FOLDS, TEST_FOLD), F.col("text").cast("binary")).mapInArrow(count, "word string, class int, n long")
-    sums = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(CLASSES)]
-    return rows.groupBy("word").agg(*sums)
-
-
-def train_speller(words: DataFrame) -> Speller:
-    """A Speller from all words of a written table (word).
-
-    Parts count apart and send their counts in slices, which are added up by slice; the tables have a fixed size.
-    """
-    spark = words.sparkSession
-    parts = min(shuffle_partitions(spark), PARTS)
+def count_lines(texts: DataFrame, tuning: Column) -> DataFrame:
+    """slice, known, counts: the slices of each task's table, apart for texts of the tuning fold and all others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_words = BitCounts(), False
+        table = None
         for batch in batches:
-            own = [w.encode() for w in batch.column(0).to_pylist()]
-            any_words |= bool(own)
-            counts.add(own)
-        if any_words:
-            flat = counts.close().reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([s.tobytes() for s in flat], pa.binary())], names=["slice", "counts"])
+            if batch.num_rows:
+                table = np.zeros(mixer.CELLS, np.uint32) if table is None else table
+                mixer.count(table, _streams(batch.column(0)))
+        if table is not None:
+            slices = table.reshape(-1, SLICE)
+            used = np.flatnonzero(slices.any(axis=1))
+            for at in range(0, len(used), 256):
+                own = used[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([planes(slices[i]) for i in own], pa.binary())], names=["slice", "counts"])
+
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, texts.rdd.getNumPartitions() // COUNT_TOGETHER)
+    made = [texts.where(tuning == of).select("text").coalesce(parts).mapInArrow(count, "slice int, counts binary").withColumn("tuning", F.lit(of)) for of in (False, True)]
+    return made[0].unionByName(made[1])
+
+
+def logit_slices(counted: DataFrame) -> DataFrame:
+    """slice, known, full: the logits of slices by the counts without and with the tuning fold."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for n, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(counts.as_buffer(), np.uint32)
-                sums[n] = sums[n] + own if n in sums else own.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    schema = "slice int, counts binary"
-    # Words are dealt by their hash, so that parts are alike and the same in every run.
-    dealt = materialize(words.select("word").repartition(parts, "word"))
-    counted = dealt.coalesce(parts).mapInArrow(count, schema)
-    table = np.zeros((len(ORDERS), SLOTS, 2), np.uint32)
-    flat = table.reshape(-1, SLICE)
-    for n, counts in counted.repartition(min(parts, 16), "slice").mapInArrow(add, schema).collect():
-        flat[n] = np.frombuffer(counts, np.uint32)
-    speller = Speller(table)
-    shared = spark.sparkContext.broadcast(speller)
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[tuple[int, bytes]] = []
-        for batch in batches:
-            own = sorted([*own, *zip(batch.column(0).to_pylist(), (w.encode() for w in batch.column(1).to_pylist()), strict=True)])[:MIX_WORDS]
-        if own:
-            model = shared.value
-            start = (model.weights.copy(), model.map.copy())
-            model.learn([w for _, w in own])
-            row = [[len(own)], [model.weights.tobytes()], [model.map.tobytes()]]
-            model.weights, model.map = start
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["n", "weights", "map"])
-
-    learned = dealt.select(F.xxhash64("word"), "word").mapInArrow(learn, "n long, weights binary, map binary").collect()
-    total = sum(r.n for r in learned)
-    if total:
-        ordered = sorted(learned, key=lambda r: (r.n, bytes(r.weights)))
-        speller.weights = sum(np.frombuffer(r.weights, np.float32).reshape(GATES, -1) * np.float32(r.n / total) for r in ordered)
-        speller.map = sum(np.frombuffer(r.map, np.float64).reshape(256, STEPS, 2) * (r.n / total) for r in ordered)
-    shared.unpersist()
-    speller.counts = None
-    return speller
-
-
-class Totals:
-    """N, V, and by class the tokens and the share of new ones."""
-
-    def __init__(self, tokens: int, distinct: int, singles: int, by_class: list[tuple[int, int]]):
-        self.tokens, self.distinct = tokens, distinct
-        share = lambda once, n: min(0.5, (once + 1) / (n + 2)) if n else 1.0
-        self.new = share(singles, tokens)
-        self.by_class = [n for n, _ in by_class]
-        self.new_in = [share(once, n) for n, once in by_class]
-
-    def base(self, c: int) -> float:
-        return log10((c + 1) / (self.tokens + self.distinct + 1))
-
-    def score(self, of_class: int, n: int, c: int, spelled: float) -> float:
-        e = self.new_in[of_class]
-        p = e * self.new * 10.0**spelled
-        if self.tokens:
-            p += e * (1 - self.new) * c / self.tokens
-        if self.by_class[of_class]:
-            p += (1 - e) * n / self.by_class[of_class]
-        if p > 1e-290:
-            return log10(p)
-        return log10(e) + log10(self.new) + spelled
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """A row for each of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+            for n, data, tuning in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                sums.setdefault(n, np.zeros((2, SLICE), np.uint64))[int(tuning)] += unplanes(data.as_buffer())
+        for n, (rest, tuned) in sums.items():
+            row = [[n], [mixer.logits(rest).tobytes()], [mixer.logits(rest + tuned).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "known", "full"])
+
+    return counted.repartition("slice").mapInArrow(add, "slice int, known binary, full binary")
+
+
+def _table(slices: DataFrame, column: str) -> np.ndarray:
+    """One column of the written slices as the table of logits; its size is fixed."""
+    table = np.zeros(mixer.CELLS, np.int8).reshape(-1, SLICE)
+    for r in slices.select("slice", column).toLocalIterator():
+        table[r[0]] = np.frombuffer(r[1], np.int8)
+    return table.reshape(-1)
+
+
+def train(docs: DataFrame) -> tuple[np.ndarray, mixer.Mixer]:
+    """The table of logits and the mixer to start texts with, from the training documents of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    classes = spark.sparkContext.broadcast(fit_classes(docs))
-    counted = materialize(vocabulary(docs, classes))
-    names = [f"c{c}" for c in range(CLASSES)]
-    known = sum((F.col(c) for c in names[1:]), F.col(names[0]))
-    speller = spark.sparkContext.broadcast(train_speller(counted.where(known > 0).select("word")))
-    schema = T.StructType([*counted.schema.fields, T.StructField("spelled", T.DoubleType())])
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = fold(FOLDS)
+    texts = docs.where(number != TEST_FOLD).select(F.col("text").cast("binary").alias("text"), (number == TUNE_FOLD).alias("tuning"))
+    slices = materialize(logit_slices(count_lines(texts, F.col("tuning"))))
+    model = mixer.Mixer()
+    table = spark.sparkContext.broadcast(_table(slices, "known"))
+    sizes = ((mixer.GATES, mixer.INPUTS), (mixer.GATES, mixer.INPUTS, mixer.INPUTS), (mixer.MAP, 2))
+    for _ in range(ROUNDS):
+        weights = model.weights
+
+        def sums(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            own, total = mixer.Mixer(weights), None
+            for batch in batches:
+                made = own.gradients(table.value, _streams(batch.column(0)))
+                total = made if total is None else [a + b for a, b in zip(total, made, strict=True)]
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.reshape(-1) for x in total])], pa.list_(pa.int64()))], names=["sums"])
+
+        found = texts.where("tuning").select("text").mapInArrow(sums, "sums array<long>").select(F.posexplode("sums"))
+        flat = np.zeros(sum(int(np.prod(s)) for s in sizes))
+        for r in found.groupBy("pos").agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("n")).collect():
+            flat[r.pos] = float(r.n)
+        slope, bend, seen = (x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in sizes])[:-1]), sizes, strict=True))
+        model = mixer.Mixer(model.stepped(slope, bend), seen)
+    table.unpersist()
+    return _table(slices, "full"), model
+
+
+# --- the base ----------------------------------------------------------------------------------------------------
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """word and c, its count in the training documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def take() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            held.clear()
+            return made
+
         for batch in batches:
-            spelled = speller.value.score([w.encode() for w in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled, pa.float64())], names=schema.names)
-
-    words = materialize(counted.mapInArrow(spell, schema).withColumn("c", known))
-    level = F.when(F.col("c") > 0, F.floor(8 * F.log2("c")).cast("int"))
-    sums = [F.coalesce(F.sum(x), F.lit(0)) for c in names for x in (F.col(c), (F.col(c) == 1).cast("long"))]
-    t = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), *sums).first()
-    totals = Totals(t[0], t[1], t[2], list(zip(t[3::2], t[4::2], strict=True)))
+            for text in batch.column(0):
+                held.update(tokens_of(text.as_py() or b""))
+                if len(held) > 400_000:
+                    yield take()
+        yield take()
+
+    texts = docs.where(fold(FOLDS) != TEST_FOLD).select(F.col("text").cast("binary"))
+    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def frequent_words(words: DataFrame, most: int) -> dict[bytes, int]:
+    """The words with the highest counts, at most so many; all words of a count are in it or none is."""
+    level = F.floor(8 * F.log2("c")).cast("int")
     least, so_far = 1 << 62, 0
-    for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).where("level IS NOT NULL").orderBy(F.desc("level")).collect():
+    for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect():
         so_far += r.n
-        if so_far > TOP_WORDS:
+        if so_far > most:
             break
         least = r.least
-    frequent = {}
-    for r in words.where(F.col("c") >= least).toLocalIterator():
-        frequent[r.word.encode()] = (totals.base(r.c), *(totals.score(c, r[names[c]], r.c, r.spelled) for c in range(CLASSES)))
-    shared = spark.sparkContext.broadcast(frequent)
+    return {r.word.encode(): r.c for r in words.where(F.col("c") >= least).toLocalIterator()}
+
+
+# --- scores ------------------------------------------------------------------------------------------------------
+
+
+def score(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
+    """A row for each of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    words = materialize(vocabulary(docs))
+    tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    whole = tokens + distinct + 1
+    table, model = train(docs)
+    shared = spark.sparkContext.broadcast((table, model, frequent_words(words, top_words)))
+    del table
     doc_id = T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    fields = [("row", T.LongType()), ("bytes", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("words", T.ArrayType(T.StringType())), ("classes", T.ArrayType(T.IntegerType())), ("counts", T.ArrayType(T.LongType()))]
+    fields = [("row", T.LongType()), ("bytes", T.LongType()), ("n_tokens", T.LongType()), ("k", T.LongType()), ("b", T.DoubleType()), ("score", T.DoubleType()), ("words", T.ArrayType(T.StringType())), ("counts", T.ArrayType(T.LongType()))]
     schema = T.StructType([doc_id, *(T.StructField(n, k) for n, k in fields)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,46 +207,37 @@ def score(docs: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        follow, known_words = classes.value.follow, shared.value
+        logits, own_model, counts = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             columns: list[list] = [[] for _ in fields]
+            streams = []
             for text in batch.column(1):
                 raw = text.as_py() or b""
-                tokens = tokens_of(raw)
-                base = total = 0.0
-                seen, rare = 0, Counter()
-                for c, a, b in follow(tokens):
-                    for w, n in Counter(tokens[a:b]).items():
-                        found = known_words.get(w)
-                        if found:
-                            seen += n
-                            base += n * found[0]
-                            total += n * found[1 + c]
-                        else:
-                            rare[w, c] += n
-                values = (row, len(raw), len(tokens), seen, base, total, [w.decode() for w, _ in rare], [c for _, c in rare], list(rare.values()))
+                own = tokens_of(raw)
+                streams.append(b" ".join(own))
+                base, known, rare = 0.0, 0, {}
+                for w, n in Counter(own).items():
+                    c = counts.get(w)
+                    if c:
+                        known += n
+                        base += n * log10((c + 1) / whole)
+                    else:
+                        rare[w] = n
+                values = (row, len(raw), len(own), known, base, 0.0, [w.decode() for w in rare], list(rare.values()))
                 row += 1
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
+            columns[5] = own_model.score(logits, streams).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
     read_docs = materialize(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, schema))
-    each = read_docs.select("row", F.explode(F.arrays_zip("words", "classes", "counts")).alias("z")).selectExpr("row", "z.words AS word", "z.classes AS class", "z.counts AS n")
-    joined = each.join(words, "word")
-    of_class = F.element_at(F.array(*names), F.col("class") + 1)
-    by_class = lambda values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("class") + 1)
-    e = by_class(totals.new_in)
-    rest = e * totals.new * F.pow(F.lit(10.0), "spelled") + (e * (1 - totals.new) * F.col("c") / totals.tokens if totals.tokens else 0)
-    p = rest + F.when(by_class(totals.by_class) > 0, (1 - e) * of_class / F.greatest(F.lit(1.0), by_class(totals.by_class))).otherwise(0.0)
-    logs = F.when(p > 1e-290, F.log10(p)).otherwise(F.log10(e) + log10(totals.new) + F.col("spelled"))
-    base = F.log10((F.col("c") + 1) / F.lit(float(totals.tokens + totals.distinct + 1)))
-    n = F.col("n")
-    rare = joined.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("k"), F.sum(n * base).alias("b"), F.sum(n * logs).alias("s"))
-    nothing = [F.lit(None).cast(k).alias(x) for x, k in (("bytes", "long"), ("n_tokens", "long"))]
-    whole = read_docs.select("row", "doc_id", "bytes", "n_tokens", F.col("n_known").alias("k"), F.col("base_score").alias("b"), F.col("score").alias("s"))
-    every = whole.unionByName(rare.select("row", F.lit(None).cast(doc_id.dataType).alias("doc_id"), *nothing, "k", "b", "s"))
-    kinds = [F.max("doc_id").alias("doc_id"), F.max("bytes").alias("bytes"), F.max("n_tokens").alias("n_tokens"), F.sum("k").alias("n_known"), F.sum("b").alias("base_score"), F.sum("s").alias("score")]
+    each = read_docs.select("row", F.explode(F.arrays_zip("words", "counts")).alias("z")).selectExpr("row", "z.words AS word", "z.counts AS n")
+    c = F.coalesce("c", F.lit(0))
+    joined = each.join(words, "word", "left").select("row", F.when(c > 0, F.col("n")).otherwise(0).alias("k"), (F.col("n") * F.log10((c + 1) / F.lit(float(whole)))).alias("b"))
+    nothing = [F.lit(None).cast(k).alias(x) for x, k in (("doc_id", doc_id.dataType), ("bytes", "long"), ("n_tokens", "long"), ("score", "double"))]
+    every = read_docs.select("row", "k", "b", "doc_id", "bytes", "n_tokens", "score").unionByName(joined.select("row", "k", "b", *nothing))
+    kinds = [F.max("doc_id").alias("doc_id"), F.max("bytes").alias("bytes"), F.max("n_tokens").alias("n_tokens"), F.sum("k").alias("n_known"), F.sum("b").alias("base_score"), F.max("score").alias("score")]
     out = every.groupBy("row").agg(*kinds)
     bits = -F.col("score") * F.lit(1 / log10(2)) / F.greatest(F.lit(1), F.col("bytes"))
-    return out.select("doc_id", held_out(FOLDS, TEST_FOLD).alias("held_out"), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+    return out.select("doc_id", (fold(FOLDS) == TEST_FOLD).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -1,101 +1,247 @@
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import product
-from math import log10
+from math import exp, log, log10
 
 import numpy as np
 import pytest
 
-from loomspark.llm import mixlm
+from loomspark.llm import mixer, mixlm
 
 ROWS = [(i, text) for i, text in enumerate(["the cat sat on the mat", "The dog sat ON the log", "le chat est la", None, "", "  ", "a\x85b c\xa0d É", "cat cat cat"] * 6)]
 ROWS += [(None, "the cat"), (3, "twice"), (3, "twice"), (100, "long words " * 5000), (101, "zyzzyva quux unseen"), (102, "w" * 3000)]
+BITS64 = (1 << 64) - 1
+FACTOR = 0x9E3779B97F4A7C15
 
 
-def is_held_out(doc_id):
-    return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 7 == 2
+def fold(doc_id):
+    return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 7
 
 
 def words(text):
     return [*(text or "").encode().lower().split(), b"\n"]
 
 
+def stream(text):
+    return b"".join(w + b" " for w in words(text)[:-1]) + b"\n"
+
+
+# --- a plain scorer: one bit at a time, dictionaries in place of tables ---------------------------------------------
+
+
+def span(data):
+    """The hash of bytes: the sum of (byte + 1) times the powers of FACTOR."""
+    total = 0
+    for i, byte in enumerate(data):
+        total += (byte + 1) * pow(FACTOR, i, 1 << 64)
+    return total & BITS64
+
+
+def plain_contexts(data, at):
+    """The predictors' hashes before data[at]."""
+    before = data[max(0, at - mixer.LOOK) : at].rjust(mixer.LOOK, b"\n")
+    current = before.replace(b"\n", b" ").rsplit(b" ", 1)[-1][-32:]
+    brief = b""
+    for end in range(len(before) - 1, len(before) - 65, -1):
+        if before[end] in b" \n":
+            word = before[:end].replace(b"\n", b" ").rsplit(b" ", 1)[-1]
+            if 1 <= len(word) <= 3:
+                brief = word
+                break
+    h = span(brief) if brief else 0
+    h ^= h >> 31
+    found = {"short": span(before[-2:]) + h * 0x2545F4914F6CDD1D + 57, "word": span(current) + 101}
+    found.update({k: span(before[-k:]) + 7 * k for k in (3, 4, 6)})
+    return [found[k] & BITS64 for k in mixer.PREDICTORS]
+
+
+def plain_line(k, context, more):
+    h = (context + more) * FACTOR & BITS64
+    h ^= h >> 29
+    return k, (h * FACTOR & BITS64) >> (64 - mixer.LINE_BITS[mixer.PREDICTORS[k]])
+
+
+def plain_lines(data, at):
+    """For each predictor the lines of the byte's halves."""
+    more = (((data[at] >> 4) + 1) * 0xD6E8FEB86659FD93) & BITS64
+    return [(plain_line(k, c, 0), plain_line(k, c, more)) for k, c in enumerate(plain_contexts(data, at))]
+
+
+def plain_counts(streams):
+    counts = defaultdict(lambda: [0] * 16)
+    for data in streams:
+        for at, byte in enumerate(data):
+            for high, low in plain_lines(data, at):
+                counts[high][byte >> 4] += 1
+                counts[low][byte & 15] += 1
+    return counts
+
+
+def plain_logit(counts, line, depth, nibble):
+    """In steps of 1 / UNIT, for the bit after the first `depth` bits of a nibble."""
+    if line not in counts:
+        return 0
+    width = 8 >> depth
+    first = (nibble >> (4 - depth)) * 2 * width
+    zeros, ones = sum(counts[line][first : first + width]), sum(counts[line][first + width : first + 2 * width])
+    n = zeros + ones
+    if not n:
+        return 0
+    raw = log((ones + 0.4) / (zeros + 0.4)) * n / (n + 0.5) * mixer.UNIT
+    return (-1 if raw < 0 else 1) if abs(raw) < 0.5 else max(-127, min(127, int(np.round(raw))))
+
+
+def plain_score(counts, data, model):
+    # Mixed logits are float32 here too: a rounding can move one to the next cell of the map.
+    one = np.float32
+    weights = {(g, k): model.weights[g, k] / one(mixer.UNIT) for g in range(mixer.GATES) for k in range(mixer.INPUTS)}
+    ones, sizes = [float(x) for x in model.map], [mixer.MAP_STRENGTH] * mixer.MAP
+    total, ends, begin, last, run = 0.0, [32, 64, 128, 256, 512, 1024], 0, {}, 0
+    while begin < len(data):
+        end = min(next((e for e in ends if e > begin), begin + 1024), len(data))
+        steps, times, seen = defaultdict(float), Counter(), []
+        for at in range(begin, end):
+            six = data[max(0, at - 6) : at].rjust(6, b"\n")
+            guess, lines = last.get(six), plain_lines(data, at)
+            for depth in range(8):
+                half, nibble = depth // 4, data[at] >> 4 if depth < 4 else data[at] & 15
+                x = [plain_logit(counts, line[half], depth % 4, nibble) for line in lines]
+                agree = guess is not None and guess >> (8 - depth) == data[at] >> (8 - depth)
+                gate = (sum(v != 0 for v in x) * 3 + (1 + (run > 5) if agree else 0)) * 2 + half
+                x.append(int(np.round(mixer.UNIT * log(run + 2.0))) * (1 if guess >> (7 - depth) & 1 else -1) if agree else 0)
+                mixed = one(0)
+                for k, v in enumerate(x):
+                    mixed += one(v) * weights[gate, k]
+                mixed = float(max(one(-12), min(one(12), mixed)))
+                p = 1 / (1 + exp(-mixed))
+                place = depth * mixer.STEPS + int(max(0, min(mixer.STEPS - 1, mixed + mixer.STEPS / 2)))
+                bit = data[at] >> (7 - depth) & 1
+                q = max(1e-5, min(1 - 1e-5, (p + ones[place] / sizes[place]) / 2))
+                total += log10(q if bit else 1 - q)
+                times[gate] += 1
+                for k, v in enumerate(x):
+                    steps[gate, k] += (bit - p) * v
+                seen.append((place, bit))
+            run = min(run + 1, 21) if guess == data[at] else 0
+            last[six] = data[at]
+        for (gate, k), step in steps.items():
+            weights[gate, k] += one(mixer.RATE / mixer.UNIT**2 * step / (times[gate] + 30) ** 0.5)
+        for place, bit in seen:
+            ones[place] += bit
+            sizes[place] += 1
+        begin = end
+    return total
+
+
+def trained(texts, tuned=()):
+    table = np.zeros(mixer.CELLS, np.uint32)
+    mixer.count(table, texts)
+    logits, model = mixer.logits(table), mixer.Mixer()
+    if tuned:
+        slope, bend, _ = model.gradients(logits, tuned)
+        weights = model.stepped(slope, bend)
+        model = mixer.Mixer(weights, mixer.Mixer(weights).gradients(logits, tuned)[2])
+    return logits, model
+
+
+def test_scores_equal_a_plain_scorer():
+    texts = [stream(t) for t in ("the cat sat on the mat and the dog ran to it " * 4, "le chat est la " * 9, "É ö \x1f ß", "", "w" * 90)]
+    logits, model = trained(texts, [stream("the dog sat on a mat la la"), stream("le chat a été là")])
+    counts = plain_counts(texts)
+    own = [*texts, stream("the dog est la on the mat, the dog est la on the mat"), stream("unseen words: zyzzyva quux " * 60), stream("x")]
+    got = model.score(logits, own)
+    assert got == pytest.approx([plain_score(counts, d, model) for d in own], rel=1e-6)
+    # No text changes another's score, bit for bit.
+    assert all(model.score(logits, [d])[0] == s for d, s in zip(own, got, strict=True))
+
+
+def test_long_texts_go_on_from_piece_to_piece(monkeypatch):
+    texts = [stream("the cat sat on the mat and looked at the dog " * 60)]
+    logits, model = trained(texts)
+    data = stream("mat dog cat other " * 140)
+    monkeypatch.setattr(mixer, "GROUP", 64)
+    whole = model.score(logits, [data])[0]
+    monkeypatch.setattr(mixer, "PIECE", 1024)
+    # Only the match predictor looks back to the beginning of a piece, and no further.
+    assert model.score(logits, [data])[0] == pytest.approx(whole, rel=0.2)
+    table, cut = np.zeros(mixer.CELLS, np.uint32), np.zeros(mixer.CELLS, np.uint32)
+    mixer.count(cut, texts)
+    monkeypatch.undo()
+    mixer.count(table, texts)
+    assert (table == cut).all()
+
+
+def test_a_distribution_that_learns():
+    seen = ["".join(s) for s in product(["ka", "lo", "mi"], repeat=4)]
+    np.random.default_rng(1).shuffle(seen)
+    logits, model = trained([stream(w) for w in seen[:60]])
+    # One more byte in a word, or its end: no two of them together are likelier than the beginning.
+    longer = [b"kal" + bytes([b]) for b in range(256)]
+    assert sum(10 ** model.score(logits, longer)) <= 10 ** model.score(logits, [b"kal"])[0] + 1e-6
+    assert model.score(logits, [stream(seen[70])])[0] > model.score(logits, [stream("qwxzptvb")])[0] + 3
+    tuned = trained([stream(w) for w in seen[:60]], [stream(w) for w in seen[60:70]])
+    rest = [stream(w) for w in seen[70:]]
+    assert tuned[1].score(logits, rest).sum() > model.score(logits, rest).sum()
+
+
+def test_slices_hold_any_count():
+    counts = np.array([0, 1, 255, 256, 70_000, 2**32 - 1, *[0] * (mixlm.SLICE - 6)], np.uint32)
+    assert (mixlm.unplanes(mixlm.planes(counts)) == counts).all()
+    assert len(mixlm.planes(counts * 0)) == mixlm.SLICE
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "1 AS word", "2 AS row", "3 AS score", "4 AS c")
+
+
 @pytest.fixture(scope="module")
-def result(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "1 AS word", "2 AS row", "3 AS score", "4 AS c")
+def result(docs):
     assert mixlm.score(docs.limit(0)).count() == 0
-    return mixlm.score(docs).collect()
+    return mixlm.score(docs, top_words=3).collect()
 
 
 def test_counts_and_base_score(result):
     train = Counter()
     for doc_id, text in ROWS:
-        if not is_held_out(doc_id):
+        if fold(doc_id) != 2:
             train.update(words(text))
     n, v = sum(train.values()), len(train)
     expected = []
     for doc_id, text in ROWS:
         own = words(text)
         base = sum(log10((train[w] + 1) / (n + v + 1)) for w in own)
-        expected.append((doc_id, is_held_out(doc_id), len(own), sum(train[w] > 0 for w in own), n, round(base, 6)))
+        expected.append((doc_id, fold(doc_id) == 2, len(own), sum(train[w] > 0 for w in own), n, round(base, 6)))
     got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in result]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
     assert any(r.held_out for r in result)
 
 
-def test_scores_are_log_probabilities(result):
-    for r in result:
-        assert np.isfinite(r.score) and r.score < 0 and r.bits_per_byte > 0
-    same = [r.score for r in result if r.doc_id == 3 and r.n_tokens == 2]
-    assert same[0] == pytest.approx(same[1])
-
-
-def speller(texts, learn=True):
-    counts = mixlm.BitCounts(most=100)
-    counts.add(texts)
-    model = mixlm.Speller(counts.close())
-    if learn:
-        model.learn(texts)
-    return model
-
-
-def test_bits_are_counted_one_by_one():
-    words = [b"ab", b"abc", b"ab", b"", b"zz" * 40]
-    expected = np.zeros((len(mixlm.ORDERS), mixlm.SLOTS, 2), np.uint32)
-    for w in words:
-        for _, _, slots, _, bit in mixlm.Letters([w]).bits():
-            for k, slot in enumerate(slots):
-                expected[k, slot[0], bit[0]] += 1
-    for most in (3, 1 << 20):
-        counts = mixlm.BitCounts(most)
-        counts.add(words)
-        assert (counts.close() == expected).all()
-
-
-def test_speller_is_a_distribution_and_learns():
-    seen = ["".join(s).encode() for s in product(["ka", "lo", "mi"], repeat=4)]
-    np.random.default_rng(1).shuffle(seen)
-    model = speller(seen[:60])
-    # Words with one more byte, and the word that ends there, cannot be likelier than the beginning alone.
-    longer = [b"kal" + bytes([b]) for b in range(256) if b != 32]
-    assert sum(10 ** model.score([b"kal", *longer])) < 1
-    assert model.score([seen[70]])[0] > model.score([b"qwxzptvb"])[0] + 3
-    before, after = speller(seen[:60], False), model
-    assert after.score(seen[60:]).sum() > before.score(seen[60:]).sum()
-    # The same in any batch.
-    assert model.score(seen[60:])[3] == pytest.approx(model.score([seen[63]])[0], rel=1e-5)
-
-
-def test_classes_follow_what_was_read():
-    texts = [{"the": 9, "of": 5, "and": 3}, {"der": 8, "und": 4, "die": 5}] * 20
-    classes = mixlm.Classes(texts, classes=2, words=10)
-    tokens = [b"x", b"the", b"of", b"and", b"y", b"\n"]
-    runs = classes.follow(tokens)
-    assert runs[0][1] == 0 and runs[-1][2] == len(tokens) and all(a[2] == b[1] for a, b in zip(runs, runs[1:], strict=False))
-    assert classes.follow([b"q", b"der", b"und", b"z", b"\n"])[-1][0] != runs[-1][0]
-    # A class depends on earlier words only.
-    assert classes.follow([b"x", b"der", b"\n"])[0][:2] == runs[0][:2]
-    assert mixlm.Classes([]).follow([b"\n"])[0][1:] == (0, 1)
+def test_scores_are_those_of_all_training_texts(result):
+    by_fold = defaultdict(list)
+    for doc_id, text in ROWS:
+        by_fold[fold(doc_id)].append(stream(text))
+    known = [s for f, own in by_fold.items() if f not in (2, 3) for s in own]
+    table, full = np.zeros(mixer.CELLS, np.uint32), np.zeros(mixer.CELLS, np.uint32)
+    mixer.count(table, known)
+    mixer.count(full, known + by_fold[3])
+    model = mixer.Mixer()
+    for _ in range(mixlm.ROUNDS):
+        slope, bend, seen = model.gradients(mixer.logits(table), by_fold[3])
+        model = mixer.Mixer(model.stepped(slope, bend), seen)
+    expected = model.score(mixer.logits(full), [stream(t) for _, t in ROWS])
+    assert sorted(r.score for r in result) == sorted(expected)
+    assert all(r.bits_per_byte > 0 for r in result)
+
+
+def test_the_same_for_any_partitions(spark, docs, result):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        again = mixlm.score(docs.repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r.score for r in again) == sorted(r.score for r in result)
 
 
 def test_better_than_base_on_text_it_has_not_seen(spark):
