@@ -1,25 +1,34 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines: one for each block of a page, in page order. The lengths of lines are summed over
-a sliding window; a surge is where the sums rise above a threshold, a dive where they fall to nothing, and the
-text from surge to dive is kept.
+a sliding window. A surge is where the sums rise above the threshold, a dive where they have fallen to nothing; the text
+between the dives around a surge is kept, on every page by the same rule: the threshold is THRESHOLD signs a window, or
+a PEAK-th of the page's highest window if that is more.
 
-What cannot be article text has length zero in the distribution, so it makes the dives: lines in menus, headers
-and footers of the page, sidebars, notices, adverts, forms and reader comments, known by element, role or by the
-words of class and id; and lines that are links for the most part. Scripts, styles and comments leave no line. If a
-page marks its article (article, main, or a role of that kind), lines elsewhere have length zero too and the
-threshold is one sign, so that an article's shortest paragraph counts. If it marks none, the threshold is
-THRESHOLD signs a window, as such pages have stray text outside their article.
+Elements and attributes only weigh the distribution:
+
+* A line that cannot be article text has length zero: in menus, headers and footers of the page, sidebars, notices,
+  adverts, forms and reader comments, known by element, role or by a class or id that says nothing else; and lines that are
+  links for the most part. A class or id (or a form) that would hide more than half of a page's text, and its heading or
+  article with it, is a wrapper around the page and hides nothing.
+* A line in a marked article (article, main, or a role of that kind) weighs WEIGHT times its length, and the edges of marked
+  articles are dives, so that what stands beside them surges on its own or not at all. Hidden lines inside an article are
+  taken out of the distribution, so that they do not cut the article in two.
+
+Scripts, styles and comments leave no line. Reading is linear in the page's length, however deep its elements nest: open
+elements are found by name. A quote is a quote only where a value begins, as browsers have it.
 
 Defined results: a null or empty page has the empty text. Unclosed and misnested elements, cut pages and stray end tags
-are read as browsers read them, in outline. Repeated rows come out each; ties do not arise; other columns are ignored.
+are read as browsers read them, in outline. Repeated rows come out each; ties do not arise, as all that surges is kept; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +37,11 @@ from pyspark.sql import types as T
 
 WINDOW = 3
 THRESHOLD = 86
+WEIGHT = PEAK = 8
 #: A line with more than this share of its signs in links is a menu line.
 LINK_SHARE = 0.6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # HTML's void elements, elements whose content is not text, and inline elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,17 +50,23 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = frozenset("ul ol dl table menu select article body html div section td".split())
-_NOT_TEXT = frozenset("nav aside form footer button select textarea dialog head menu fieldset title option datalist".split())
+_NOT_TEXT = frozenset("nav aside footer button select textarea dialog head menu fieldset title option datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 _MAIN_ROLES = frozenset("main article".split())
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adbox|adslot|adsbygoogle|adunit|dfp|taboola|outbrain|banner|promo|promotion|promoted|sponsor|sponsored|nav|navbar|navigation|menu|submenu|topnav|breadcrumb|breadcrumbs|"
-    r"sidebar|side|aside|widget|related|recommended|recommendations|trending|popular|footer|foot|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|notices|disclaimer|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"signup|login|comment|comments|commentlist|disqus|respond|responses|replies|reactions|feedback|guestbook|discussion|share|sharing|social|pager|pagination|skip|copyright|legal|paywall|toc|hidden)(?=$|[\s_-]|\d)",
-    re.I,
+#: What a class or id says of an element that holds no article text, in the singular.
+_BOILER = frozenset(
+    "ad adv advert advertisement advertising adsense adbox adslot adsbygoogle adunit dfp taboola outbrain banner promo promotion promoted sponsor sponsored nav navbar navigation menu submenu topnav breadcrumb "
+    "sidebar side aside widget related recommended recommendation trending popular footer foot masthead topbar toolbar cookie consent gdpr notice disclaimer alert popup modal overlay newsletter subscribe subscription "
+    "signup login comment commentlist disqu respond response reply reaction feedback guestbook discussion share sharing social pager pagination skip copyright legal paywall toc hidden".split()
+)
+#: Words beside them that change nothing. A class with any other word ("has-sidebar", "legal-guide") says something else.
+_NEUTRAL = frozenset(
+    "list box wrap wrapper container inner outer section area bar block panel left right top bottom main site page global primary secondary item link slot unit group row col column content body text title heading form field button "
+    "author meta count thread tree post article entry story new user reader blog media icon info law google my the js sticky fixed floating mobile desktop small large big first last and".split()
 )
 #: Headers of a site; an article's own header is not one.
-_HEADER = re.compile(r"(?:^|\s)(?:header|(?:site|page|top|global|main)[_-]?header|header[_-](?:top|main|bar|wrap|wrapper|inner|container))(?=$|\s)", re.I)
+_HEADER = frozenset("header site-header page-header top-header global-header main-header header-top header-main header-bar header-wrap header-wrapper header-inner header-container".split())
+_WORD_EDGE = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -63,36 +79,96 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _is_boiler(tag: str, at: dict[str, str], inside: bool) -> bool:
-    """inside: within a marked article, where a header is the article's own."""
+@lru_cache(1 << 14)
+def _names(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names a site's header, and whether it names other boilerplate."""
+    header = boiler = False
+    for name in value.split():
+        words = [w.lower() for w in _WORD_EDGE.split(name) if w]
+        header |= "-".join(words) in _HEADER
+        plain = [w if w in _BOILER else w.removesuffix("s") for w in words]
+        boiler |= any(w in _BOILER for w in plain) and all(w in _BOILER or w in _NEUTRAL for w in plain)
+    return header, boiler
+
+
+def _is_boiler(tag: str, at: dict[str, str], inside: bool) -> int:
+    """2 if the element itself holds no article text, 1 if its names (or a form) say so, else 0.
+
+    inside: within a marked article, where a header is the article's own.
+    """
+    if tag == "form":
+        return 1
     if tag in _NOT_TEXT or tag == "header" and not inside:
-        return True
-    if not inside and any(_HEADER.search(at.get(k, "")) for k in ("class", "id")):
-        return True
-    if not at or tag in ("html", "body"):
-        return False
+        return 2
+    if not at:
+        return 0
+    names = [_names(at[k]) for k in ("class", "id") if at.get(k)]
+    if not inside and any(header for header, _ in names):
+        return 2
+    if tag in ("html", "body"):
+        return 0
     role = at.get("role", "").lower()
     if role in _ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(at.get("style", "")):
-        return True
-    if tag in ("article", "main") or role in _MAIN_ROLES:
-        return False
-    return any(_BOILER.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", at[k])) for k in ("class", "id") if at.get(k))
+        return 2
+    return int(any(boiler for _, boiler in names))
 
 
 class Line:
-    __slots__ = ("text", "links", "boiler", "article")
+    """mark: the number of the innermost element that hides it, or 0. article: whether it is in a marked article."""
+
+    __slots__ = ("text", "links", "mark", "article")
+
+    def __init__(self, text: str, links: int, mark: int, article: bool):
+        self.text, self.links, self.mark, self.article = text, links, mark, article
+
+
+class Mark:
+    """An element that hides its text, unless it turns out to be a wrapper around the page."""
+
+    __slots__ = ("parent", "named", "size", "holds")
+
+    def __init__(self, parent: int, named: bool):
+        self.parent, self.named, self.size, self.holds = parent, named, 0, False
+
 
-    def __init__(self, text: str, links: int, boiler: bool, article: int):
-        self.text, self.links, self.boiler, self.article = text, links, boiler, article
+class Open:
+    """The open elements, innermost last, and the places of each kind."""
 
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, mark, article, link
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
-def lines(page: str) -> list[Line]:
-    """The page's lines. article: the number of the outermost marked article that a line is in, or 0."""
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, entry: tuple[str, int, bool, bool]) -> None:
+        self.places.setdefault(entry[0], []).append(len(self.stack))
+        if entry[0] not in _INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(entry)
+
+    def cut(self, depth: int) -> bool:
+        """Close all elements from a place on; whether a block was among them."""
+        block = False
+        while len(self.stack) > depth:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag not in _INLINE:
+                self.blocks.pop()
+                block = True
+        return block
+
+
+def lines(page: str) -> tuple[list[Line], list[Mark]]:
+    """The page's lines and the marks that hide some of them; marks[0] hides nothing."""
     out: list[Line] = []
+    marks = [Mark(0, False)]
     parts: list[str] = []
-    links = articles = 0
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, boiler, article, link
-    boiler, article, link = False, 0, False
+    links = 0
+    opened = Open()
+    mark, article, link = 0, False, False
 
     def text(raw: str) -> None:
         nonlocal links
@@ -106,19 +182,18 @@ def lines(page: str) -> list[Line]:
         nonlocal links
         line = " ".join("".join(parts).split())
         if line:
-            out.append(Line(line, links, boiler, article))
+            out.append(Line(line, links, mark, article))
+            marks[mark].size += len(line)
         parts.clear()
         links = 0
 
-    def state() -> None:
-        nonlocal boiler, article, link
-        _, boiler, article, link = stack[-1] if stack else ("", False, 0, False)
-
-    def pop_to(depth: int) -> None:
-        if any(tag not in _INLINE for tag, *_ in stack[depth:]):
+    def close(depth: int) -> None:
+        nonlocal mark, article, link
+        # The line ends before its element does.
+        if opened.blocks and opened.blocks[-1] >= depth:
             end_line()
-        del stack[depth:]
-        state()
+        opened.cut(depth)
+        _, mark, article, link = opened.stack[-1] if opened.stack else ("", 0, False, False)
 
     at, end = 0, len(page)
     while at < end:
@@ -132,20 +207,15 @@ def lines(page: str) -> list[Line]:
         if not tag:
             continue
         if token[1]:
-            if tag == "p" and not any(t == "p" for t, *_ in stack):
+            place = opened.last((tag,))
+            if place >= 0 and not (tag in _INLINE and opened.blocks and opened.blocks[-1] > place):
+                close(place)
+            elif tag == "p" and place < 0:
                 end_line()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if tag in _INLINE and stack[depth][0] not in _INLINE:
-                    break
             continue
         if tag in _RAW and not token[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(page, at)
-            at = close.end() if close else end
-            if tag not in ("svg", "math"):
-                continue
+            ending = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(page, at)
+            at = ending.end() if ending else end
             continue
         if tag in _VOID:
             if tag in ("br", "hr"):
@@ -153,53 +223,75 @@ def lines(page: str) -> list[Line]:
             continue
         if tag in _CLOSES_P or tag in _ALIKE:
             closed = _ALIKE.get(tag, set()) | ({"p"} if tag in _CLOSES_P or tag in ("li", "dd", "dt") else set())
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in closed:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in _HOLDS:
-                    break
+            place = opened.last(closed)
+            if place > opened.last(_HOLDS - closed):
+                close(place)
         attributes = _attributes(token[3])
         if tag not in _INLINE:
             end_line()
-        bad = boiler or _is_boiler(tag, attributes, article > 0)
-        inside = article
-        if not bad and not article and (tag in ("article", "main") or attributes.get("role", "").lower() in _MAIN_ROLES):
-            articles += 1
-            inside = articles
-        if bad != boiler and tag in _INLINE:
-            end_line()
-        stack.append((tag, bad, inside, link or tag == "a"))
-        state()
+        marked = tag in ("article", "main") or attributes.get("role", "").lower() in _MAIN_ROLES
+        bad = _is_boiler(tag, attributes, article)
+        if tag == "h1" or marked and not bad:
+            marks[mark].holds = True
+        own = mark
+        if bad:
+            if tag in _INLINE:
+                end_line()
+            marks.append(Mark(mark, bad == 1))
+            own = len(marks) - 1
+        opened.push((tag, own, article or marked and not bad, link or tag == "a"))
+        _, mark, article, link = opened.stack[-1]
     end_line()
-    return out
+    return out, marks
+
+
+def hiding(marks: list[Mark]) -> list[bool]:
+    """For each mark, whether it or one around it hides text."""
+    for m in reversed(marks[1:]):
+        around = marks[m.parent]
+        around.size += m.size
+        around.holds |= m.holds
+    hides = [False]
+    for m in marks[1:]:
+        wrapper = m.named and m.holds and 2 * m.size > marks[0].size
+        hides.append(not wrapper or hides[m.parent])
+    return hides
+
+
+def distribution(page: str, weight: int = WEIGHT, window: int = WINDOW) -> tuple[list[str], list[int]]:
+    """The texts of the page's lines and their weighed lengths, with empty lines at the edges of marked articles."""
+    found, marks = lines(page)
+    hides = hiding(marks)
+    texts: list[str] = []
+    lengths: list[int] = []
+    inside = False
+    for x in found:
+        if x.article and hides[x.mark]:
+            continue
+        if x.article != inside:
+            texts += [""] * window
+            lengths += [0] * window
+            inside = x.article
+        texts.append(x.text)
+        menu = not x.article and x.links > LINK_SHARE * len(x.text)
+        lengths.append(0 if hides[x.mark] or menu else len(x.text) * (weight if x.article else 1))
+    return texts, lengths
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """The page's main text: its blocks joined by one space."""
     if not page:
         return ""
-    found = lines(page)
-    sizes = {}
-    for x in found:
-        if x.article and not x.boiler:
-            sizes[x.article] = sizes.get(x.article, 0) + len(x.text)
-    marked = max(sizes, key=lambda a: (sizes[a], -a), default=0)
-    if marked:
-        lengths = [0 if x.boiler or x.article != marked else len(x.text) for x in found]
-        threshold = 1
-    else:
-        lengths = [0 if x.boiler or x.links > LINK_SHARE * len(x.text) else len(x.text) for x in found]
-    kept = surges(lengths, window, threshold)
-    return " ".join(found[i].text for i in kept if lengths[i])
+    texts, lengths = distribution(page, window=window)
+    return " ".join(texts[i] for i in surges(lengths, window, threshold) if lengths[i])
 
 
 def surges(lengths: list[int], window: int, threshold: int) -> list[int]:
-    """Lines from each surge to its dive.
+    """The lines between the dives around each surge.
 
-    sums[i] is over the lines i to i + window - 1. A surge is at the first line of a window whose sum reaches the
-    threshold, a dive at the first line from there on whose window is empty or at the end. If no window reaches the
-    threshold, the whole distribution is below it and its highest window stands in for the surge.
+    sums[i] is over the lines i to i + window - 1. A dive is where a window is empty; between two dives the sums rise and
+    fall, and if one of them reaches the threshold, or a PEAK-th of the highest if that is more, all lines there are
+    kept. If no window of the page reaches the threshold, the highest stands in for it.
     """
     n = len(lengths)
     total = [0]
@@ -208,15 +300,16 @@ def surges(lengths: list[int], window: int, threshold: int) -> list[int]:
     if not total[-1]:
         return []
     sums = [total[min(n, i + window)] - total[i] for i in range(n)]
-    least = min(threshold, max(sums))
+    highest = max(sums)
+    least = min(max(threshold, highest / PEAK), highest)
     kept, i = [], 0
     while i < n:
-        if sums[i] >= least and lengths[i]:
-            while i < n and sums[i]:
-                kept.append(i)
-                i += 1
-        else:
+        begin = i
+        while i < n and sums[i]:
             i += 1
+        if i > begin and max(sums[begin:i]) >= least:
+            kept += range(begin, i)
+        i += 1
     return kept
 
 

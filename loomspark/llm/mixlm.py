@@ -25,6 +25,7 @@ Without any training document N = V = 0 and every bit is predicted from the text
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from math import log10
@@ -110,22 +111,35 @@ def logit_slices(counted: DataFrame) -> DataFrame:
     return counted.repartition("slice").mapInArrow(add, "slice int, known binary, full binary")
 
 
-def _table(slices: DataFrame, column: str) -> np.ndarray:
-    """One column of the written slices as the table of logits; its size is fixed."""
-    table = np.zeros(mixer.CELLS, np.int8).reshape(-1, SLICE)
-    for r in slices.select("slice", column).toLocalIterator():
-        table[r[0]] = np.frombuffer(r[1], np.int8)
-    return table.reshape(-1)
+class Logits:
+    """The table of logits, of a fixed size; compressed when it is sent, as a small corpus leaves most of it empty."""
 
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
 
-def train(docs: DataFrame) -> tuple[np.ndarray, mixer.Mixer]:
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.cells, 1)
+
+    def __setstate__(self, data: bytes) -> None:
+        self.cells = np.frombuffer(zlib.decompress(data), np.int8)
+
+    @classmethod
+    def read(cls, slices: DataFrame, column: str) -> Logits:
+        """From one column of the written slices."""
+        table = np.zeros(mixer.CELLS, np.int8).reshape(-1, SLICE)
+        for r in slices.select("slice", column).toLocalIterator():
+            table[r[0]] = np.frombuffer(r[1], np.int8)
+        return cls(table.reshape(-1))
+
+
+def train(docs: DataFrame) -> tuple[Logits, mixer.Mixer]:
     """The table of logits and the mixer to start texts with, from the training documents of docs (doc_id, text)."""
     spark = docs.sparkSession
     number = fold(FOLDS)
     texts = docs.where(number != TEST_FOLD).select(F.col("text").cast("binary").alias("text"), (number == TUNE_FOLD).alias("tuning"))
     slices = materialize(logit_slices(count_lines(texts, F.col("tuning"))))
     model = mixer.Mixer()
-    table = spark.sparkContext.broadcast(_table(slices, "known"))
+    table = spark.sparkContext.broadcast(Logits.read(slices, "known"))
     sizes = ((mixer.GATES, mixer.INPUTS), (mixer.GATES, mixer.INPUTS, mixer.INPUTS), (mixer.MAP, 2))
     for _ in range(ROUNDS):
         weights = model.weights
@@ -133,7 +147,7 @@ def train(docs: DataFrame) -> tuple[np.ndarray, mixer.Mixer]:
         def sums(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             own, total = mixer.Mixer(weights), None
             for batch in batches:
-                made = own.gradients(table.value, _streams(batch.column(0)))
+                made = own.gradients(table.value.cells, _streams(batch.column(0)))
                 total = made if total is None else [a + b for a, b in zip(total, made, strict=True)]
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.reshape(-1) for x in total])], pa.list_(pa.int64()))], names=["sums"])
@@ -144,8 +158,8 @@ def train(docs: DataFrame) -> tuple[np.ndarray, mixer.Mixer]:
             flat[r.pos] = float(r.n)
         slope, bend, seen = (x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in sizes])[:-1]), sizes, strict=True))
         model = mixer.Mixer(model.stepped(slope, bend), seen)
-    table.unpersist()
-    return _table(slices, "full"), model
+    table.destroy()
+    return Logits.read(slices, "full"), model
 
 
 # --- the base ----------------------------------------------------------------------------------------------------
@@ -228,7 +242,7 @@ def score(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
                 row += 1
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
-            columns[5] = own_model.score(logits, streams).tolist()
+            columns[5] = own_model.score(logits.cells, streams).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
     read_docs = materialize(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, schema))
