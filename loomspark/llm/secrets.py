@@ -12,7 +12,9 @@ others. Training looks at this bounded table only, on the driver; the trees beco
 is a projection of the documents: no shuffle, no Python, and a lost task is simply run again.
 
 Defined results: null and empty texts have no candidates and stay as they are; repeated rows are scanned each; the
-whole text is scanned, whatever its length. Offsets and lengths count code points. Other columns do not matter.
+whole text is scanned, whatever its length: the pattern repeats groups possessively only, so that it neither recurses nor
+goes over a sign again, and offsets are summed up in blocks, so that the work is linear in candidates. A score of exactly
+THRESHOLD is a secret; there are no other ties. Offsets and lengths count code points. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,10 +35,10 @@ _NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_
 _ASSIGN = rf"(?i:{_NAMES})[\"'\]]{{0,2}}\s{{0,2}}(?:=>|:=|[:=])\s{{0,2}}[\"']?"
 _RUN = r"A-Za-z0-9_+/~-"
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=\s:,]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
     rf"|{_ASSIGN}[^\s\"'<>,;]{{6,}}"
     rf"|(?<![{_RUN}])(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![{_RUN}])|gh[pousr]_[A-Za-z0-9]{{30,}}+|[sr]k_live_[A-Za-z0-9]{{16,}}+)"
-    rf"|(?<![{_RUN}])(?=[A-Za-z_+/~-]*+[0-9])(?:[A-Za-z0-9_+/~-]{{16,}}+|eyJ[A-Za-z0-9_-]{{8,}}+)(?:\.[A-Za-z0-9_-]{{16,}}+)*={{0,2}}"
+    rf"|(?<![{_RUN}])(?=[A-Za-z_+/~-]*+[0-9])(?:[A-Za-z0-9_+/~-]{{16,}}+|eyJ[A-Za-z0-9_-]{{8,}}+)(?:\.[A-Za-z0-9_-]{{16,}}+)*+={{0,2}}"
 )
 _KEY_WORDS = rf"(?i)\b{_NAMES}\b|\b(?:key|keys|aws|auth|login|export|credential|config|env)\b"
 _OTHER_WORDS = r"(?i)\b(?:commit|sha|sha1|sha256|md5|checksum|digest|hash|uuid|guid|etag|revision|rev|order|invoice|card|visa|phone|tel|fax|isbn|iban|account|tracking|serial|version|release|build|image|png|jpg|base64|integrity|example|sample|dummy|test|blob|tree|parent)\b"
@@ -62,7 +64,7 @@ FEATURES = {
     "classes": "regexp_count({v}, '(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])') / greatest(1, length({v}))",
     "syllables": "regexp_count(lower({v}), '(?<=[b-df-hj-np-tv-z])[aeiou](?![0-9])') / greatest(1, length({v}))",
     "doubles": "regexp_count({v}, '(.)\\\\1') / greatest(1, length({v}))",
-    "distinct": "size(array_distinct(split(left({v}, 200), ''))) / greatest(1, least(200, length({v})))",
+    "distinct": "aggregate(sequence(33, 126), 0, (n, k) -> n + int(contains({v}, char(k)))) / greatest(1, least(94, length({v})))",
     "words": "1 - length(regexp_replace(lower({v}), '" + "|".join(sorted(WORDS, key=len, reverse=True)) + "', '')) / greatest(1, length({v}))",
     "hex": "int({v} rlike '^(?:[0-9a-f]+|[0-9A-F]+)$')",
     "numeric": "int({v} rlike '^[0-9+_-]+$')",
@@ -103,9 +105,19 @@ def find_candidates(df: DataFrame, text: str = "text") -> DataFrame:
           'before', concat(right(rest[i], {CONTEXT}), left(r, length(r) - length({value}))),
           'after', left(rest[i + 1], {CONTEXT}), 'gap', length(rest[i]) + length(r)))"""
     df = df.withColumn("found", F.expr(candidate))
-    # The end of candidate i is the sum of all gaps up to it.
-    ends = "aggregate(found, array(cast(0 as bigint)), (a, c) -> concat(a, array(element_at(a, -1) + c.gap)))"
-    return df.drop("raw").withColumn("ends", F.when(F.size("found") > 0, F.expr(ends)))
+    return df.drop("raw").withColumn("ends", F.when(F.size("found") > 0, F.expr(_running("transform(found, c -> cast(c.gap as bigint))"))))
+
+
+def _running(values: str, block: int = 256) -> str:
+    """The running sums of an array. An array grows by copying, so sums run within blocks, and then over the blocks."""
+    add = "concat(s, array(element_at(s, -1) + x))"
+    sums = f"slice(aggregate(b, array(0L), (s, x) -> {add}), 2, size(b))"
+    blocks = f"transform(sequence(0, (size(v) - 1) div {block}), k -> slice(v, int(k) * {block} + 1, {block}))"
+    inner = f"transform({blocks}, b -> {sums})"
+    begin = f"aggregate(inner, array(0L), (s, b) -> concat(s, array(element_at(s, -1) + element_at(b, -1))))"
+    whole = f"transform(array(named_struct('inner', inner, 'begin', {begin})), w -> flatten(transform(w.inner, (b, i) -> transform(b, x -> x + w.begin[i]))))[0]"
+    # Each name is bound by a transform over one element, so that nothing is computed again for every block.
+    return f"transform(array({values}), v -> transform(array({inner}), inner -> {whole})[0])[0]"
 
 
 # --- the labelled findings -------------------------------------------------------------------------------------
@@ -218,14 +230,18 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     """
     rows = find_candidates(findings).where("size(found) > 0").withColumn("feature", F.expr(_feature_sql()))
     rows = rows.select("label", F.element_at("feature", -1).alias("f")).orderBy("label", "f").collect()
-    x, y = np.array([list(r.f) for r in rows], float), np.array([r.label for r in rows], float)
+    grown = grow(np.array([list(r.f) for r in rows], float), np.array([r.label for r in rows], float), trees, depth, seed)
+    return "(" + " + ".join(_tree_sql(t, list(FEATURES)) for t in grown) + f") / {trees}D"
+
+
+def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> list:
+    """Trees, each grown on as many rows as there are, drawn with repeats."""
     rng = np.random.default_rng(seed)
     grown = []
     for _ in range(trees):
         own = rng.integers(0, len(y), len(y))
         grown.append(_grow(x[own], y[own], rng, depth))
-    names = list(FEATURES)
-    return "(" + " + ".join(_tree_sql(t, names) for t in grown) + f") / {trees}D"
+    return grown
 
 
 @lru_cache(maxsize=4)
@@ -249,8 +265,8 @@ def findings(docs: DataFrame, forest: str | None = None) -> DataFrame:
     """A row for each candidate in docs (doc_id, text): doc_id, start, length, value, kind, score, is_secret."""
     forest = forest or default_forest(docs.sparkSession)
     rows = scored(docs.select("doc_id", "text"), forest)
-    each = rows.select("doc_id", F.posexplode(F.expr("arrays_zip(found, scores, slice(ends, 2, size(found)))")).alias("n", "z"))
-    each = each.selectExpr("doc_id", "z.found.value", "z.found.named", "z.scores as score", "z['2'] as end")
+    each = rows.select("doc_id", F.posexplode(F.expr("arrays_zip(found, scores, ends)")).alias("n", "z"))
+    each = each.selectExpr("doc_id", "z.found.value", "z.found.named", "z.scores as score", "z.ends as end")
     kind = F.when(F.col("value").startswith("-----BEGIN"), "private key").when(F.col("named"), "assigned value").otherwise("run")
     length = F.length("value").cast("long")
     return each.select("doc_id", (F.col("end") - length).alias("start"), length.alias("length"), "value", kind.alias("kind"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("is_secret"))

@@ -1,5 +1,7 @@
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,58 @@ def test_forest_on_findings_it_has_not_seen(spark):
     scores = secrets.scored(rows.where(text % 4 == 0), forest).where("size(scores) > 0")
     right = scores.selectExpr("avg(int((element_at(scores, -1) >= 0.5) = (label = 1))) AS r").first().r
     assert right > 0.95
+
+
+def test_long_candidates_and_many(spark):
+    """A value of a million dotted segments, a hundred thousand candidates, keys that never end: no recursion, no quadratic step."""
+    dotted = "a1234567890123456" + ".abcdefghijklmnop9" * 1_000_000
+    many = " ".join(f"token=k{i:06d}Zq" for i in range(100_000))
+    begun = "-----BEGIN PRIVATE KEY-----\nabc\n" * 50_000
+    docs = spark.createDataFrame([(1, dotted), (2, many), (3, begun)], "doc_id long, text string")
+    start = time.perf_counter()
+    rows = secrets.findings(docs).select("doc_id", "start", "length", F.left("value", F.lit(40)).alias("value")).collect()
+    assert time.perf_counter() - start < 120
+    own = {n: sorted((r.start, r.length, r.value) for r in rows if r.doc_id == n) for n in (1, 2, 3)}
+    assert [x[:2] for x in own[1]] == [(0, len(dotted))]
+    assert own[2] == [(m.start() + 6, 9, m[0][6:]) for m in re.finditer(r"token=\w+", many)]
+    assert [x[0] for x in own[3]] == [m.start() for m in re.finditer("-----BEGIN", begun)]
+
+
+def plain_features(value, named, before, after):
+    n, rate = max(1, len(value)), lambda pattern: len(re.findall(pattern, value)) / max(1, len(value))
+    has = lambda pattern, text: float(re.search(pattern, text) is not None)
+    covered = len(re.sub("|".join(sorted(secrets.WORDS, key=len, reverse=True)), "", value.lower()))
+    return {
+        "length": float(len(value)), "digits": rate("[0-9]"), "uppers": rate("[A-Z]"), "signs": rate("[^A-Za-z0-9]"), "words": 1 - covered / n,
+        "doubles": rate(r"(.)\1"), "distinct": len({c for c in value if "!" <= c <= "~"}) / max(1, min(94, len(value))), "slashes": value.count("/") / n,
+        "named": float(named), "hex": float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", value))), "numeric": float(bool(re.fullmatch("[0-9+_-]+", value))),
+        "near_key": has(secrets._KEY_WORDS, before[-40:]), "quoted": float(before[-1:] in ("'", '"') and bool(before) or after[:1] in ("'", '"') and bool(after)),
+    }
+
+
+def vote(tree, features):
+    while not isinstance(tree, float):
+        f, threshold, low, high = tree
+        tree = low if features[f] <= threshold else high
+    return round(tree, 4)
+
+
+def test_features_and_votes_against_a_plain_forest(spark):
+    rows = secrets.find_candidates(secrets.labelled_findings(spark, 800)).where("size(found) > 0").withColumn("f", F.expr(secrets._feature_sql()))
+    rows = rows.select("label", F.element_at("found", -1).alias("c"), F.element_at("f", -1).alias("f")).orderBy("label", "f").collect()
+    for r in rows:
+        for name, value in plain_features(r.c.value, r.c.named, r.c.before, r.c.after).items():
+            assert r.f[name] == pytest.approx(value), (name, r.c)
+    x, y = np.array([list(r.f) for r in rows], float), np.array([r.label for r in rows], float)
+    trees = secrets.grow(x, y, trees=5)
+    expected = [sum(vote(t, list(r.f)) for t in trees) / 5 for r in rows]
+    made = spark.createDataFrame([(i, r.f) for i, r in enumerate(rows)], "i int, f struct<" + ", ".join(f"{n}: double" for n in secrets.FEATURES) + ">")
+    got = made.selectExpr("i", secrets.train(secrets.labelled_findings(spark, 800), trees=5) + " AS score").orderBy("i").collect()
+    assert [r.score for r in got] == pytest.approx(expected)
+    assert np.mean((np.array(expected) >= 0.5) == y) > 0.97
+
+
+def test_running_sums(spark):
+    for n in (1, 2, 255, 256, 257, 1000):
+        got = spark.sql(f"SELECT {secrets._running(f'transform(sequence(1, {n}), i -> bigint(i))')} AS s").first().s
+        assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
