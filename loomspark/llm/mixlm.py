@@ -4,8 +4,9 @@ A document is the stream of its lower-cased words, each with a space, and an end
 logarithms of the bits add up to the probability of the token sequence. What the model knows comes from the training
 documents only:
 
-* Counts. Every nibble of every training text is counted under every predictor's context, in one table of hashed lines.
-  Tasks count apart and send slices of their tables, which are added up by slice.
+* Counts. Every byte of every training text is counted under every predictor's context, in one table of hashed lines.
+  Tasks count apart and send slices of their tables, which are added up by slice. The code of bytes is by their ranks in
+  the vocabulary, weighed with its counts.
 * Weights and adaptive map, by deleted estimation: one fold of the training documents (TUNE_FOLD of FOLDS) is predicted
   from the counts of the other training folds. ROUNDS passes each sum up a Newton step of the gated weights, the last one
   the map too. The counts of that fold are in the final table like all others.
@@ -74,7 +75,25 @@ def _streams(column: pa.Array) -> list[bytes]:
     return [mixer.stream(x.as_py() or b"")[0] for x in column]
 
 
-def count_lines(texts: DataFrame, tuning: Column) -> DataFrame:
+def byte_ranks(words: DataFrame) -> np.ndarray:
+    """The code of each byte, by its frequency in the training texts, of a written table of their words (word, c)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(256, np.int64)
+        for batch in batches:
+            own, times = [w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy()
+            letters = np.frombuffer(b"".join(own), np.uint8)
+            np.add.at(found, letters, np.repeat(times, [len(w) for w in own]))
+            found[32] += sum(int(c) for w, c in zip(own, times, strict=True) if w != mixer.END)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(found, pa.int64())], names=["byte", "n"])
+
+    frequency = np.zeros(256, object)
+    for r in words.select("word", "c").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect():
+        frequency[r.byte] = int(r.n)
+    return mixer.ranks(frequency)
+
+
+def count_lines(texts: DataFrame, tuning: Column, codes: np.ndarray) -> DataFrame:
     """slice, known, counts: the slices of each task's table, apart for texts of the tuning fold and all others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +101,7 @@ def count_lines(texts: DataFrame, tuning: Column) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 table = np.zeros(mixer.CELLS, np.uint32) if table is None else table
-                mixer.count(table, _streams(batch.column(0)))
+                mixer.count(table, _streams(batch.column(0)), codes)
         if table is not None:
             slices = table.reshape(-1, SLICE)
             used = np.flatnonzero(slices.any(axis=1))
@@ -100,15 +119,26 @@ def logit_slices(counted: DataFrame) -> DataFrame:
     """slice, known, full: the logits of slices by the counts without and with the tuning fold."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        # Rows come sorted by slice, so a task holds one slice at a time.
+        own, sums = -1, np.zeros((2, SLICE), np.uint64)
+
+        def made() -> pa.RecordBatch:
+            places = mixer.holds_places(own * SLICE)
+            row = [[own], [mixer.logits(sums[0], places).tobytes()], [mixer.logits(sums[0] + sums[1], places).tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "known", "full"])
+
         for batch in batches:
             for n, data, tuning in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                sums.setdefault(n, np.zeros((2, SLICE), np.uint64))[int(tuning)] += unplanes(data.as_buffer())
-        for n, (rest, tuned) in sums.items():
-            row = [[n], [mixer.logits(rest).tobytes()], [mixer.logits(rest + tuned).tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "known", "full"])
+                if n != own:
+                    if own >= 0:
+                        yield made()
+                    own = n
+                    sums[:] = 0
+                sums[int(tuning)] += unplanes(data.as_buffer())
+        if own >= 0:
+            yield made()
 
-    return counted.repartition("slice").mapInArrow(add, "slice int, known binary, full binary")
+    return counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, known binary, full binary")
 
 
 class Logits:
@@ -132,20 +162,21 @@ class Logits:
         return cls(table.reshape(-1))
 
 
-def train(docs: DataFrame) -> tuple[Logits, mixer.Mixer]:
-    """The table of logits and the mixer to start texts with, from the training documents of docs (doc_id, text)."""
+def train(docs: DataFrame, words: DataFrame) -> tuple[Logits, mixer.Mixer]:
+    """The table of logits and the mixer to start texts with, from the training documents of docs (doc_id, text) and their words."""
     spark = docs.sparkSession
     number = fold(FOLDS)
     texts = docs.where(number != TEST_FOLD).select(F.col("text").cast("binary").alias("text"), (number == TUNE_FOLD).alias("tuning"))
-    slices = materialize(logit_slices(count_lines(texts, F.col("tuning"))))
-    model = mixer.Mixer()
+    codes = byte_ranks(words)
+    slices = materialize(logit_slices(count_lines(texts, F.col("tuning"), codes)))
+    model = mixer.Mixer(codes)
     table = spark.sparkContext.broadcast(Logits.read(slices, "known"))
     sizes = ((mixer.GATES, mixer.INPUTS), (mixer.GATES, mixer.INPUTS, mixer.INPUTS), (mixer.MAP, 2))
     for _ in range(ROUNDS):
         weights = model.weights
 
         def sums(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
-            own, total = mixer.Mixer(weights), None
+            own, total = mixer.Mixer(codes, weights), None
             for batch in batches:
                 made = own.gradients(table.value.cells, _streams(batch.column(0)))
                 total = made if total is None else [a + b for a, b in zip(total, made, strict=True)]
@@ -157,7 +188,7 @@ def train(docs: DataFrame) -> tuple[Logits, mixer.Mixer]:
         for r in found.groupBy("pos").agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("n")).collect():
             flat[r.pos] = float(r.n)
         slope, bend, seen = (x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in sizes])[:-1]), sizes, strict=True))
-        model = mixer.Mixer(model.stepped(slope, bend), seen)
+        model = mixer.Mixer(codes, model.stepped(slope, bend), seen)
     table.destroy()
     return Logits.read(slices, "full"), model
 
@@ -209,7 +240,7 @@ def score(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
     words = materialize(vocabulary(docs))
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     whole = tokens + distinct + 1
-    table, model = train(docs)
+    table, model = train(docs, words)
     shared = spark.sparkContext.broadcast((table, model, frequent_words(words, top_words)))
     del table
     doc_id = T.StructField("doc_id", docs.schema["doc_id"].dataType)

@@ -55,35 +55,46 @@ def plain_contexts(data, at):
     return [found[k] & BITS64 for k in mixer.PREDICTORS]
 
 
-def plain_line(k, context, more):
+def plain_line(k, context, more, places):
     h = (context + more) * FACTOR & BITS64
     h ^= h >> 29
-    return k, (h * FACTOR & BITS64) >> (64 - mixer.LINE_BITS[mixer.PREDICTORS[k]])
+    return k, places, (h * FACTOR & BITS64) >> (65 - mixer.LINE_BITS[mixer.PREDICTORS[k]])
 
 
-def plain_lines(data, at):
-    """For each predictor the lines of the byte's halves."""
-    more = (((data[at] >> 4) + 1) * 0xD6E8FEB86659FD93) & BITS64
-    return [(plain_line(k, c, 0), plain_line(k, c, more)) for k, c in enumerate(plain_contexts(data, at))]
+def plain_lines(data, at, codes):
+    """For each predictor the lines of the byte's group and place."""
+    more = ((int(codes[data[at]]) >> 4) + 1) * 0xD6E8FEB86659FD93 & BITS64
+    return [(plain_line(k, c, 0, False), plain_line(k, c, more, True)) for k, c in enumerate(plain_contexts(data, at))]
 
 
-def plain_counts(streams):
+def plain_counts(streams, codes):
     counts = defaultdict(lambda: [0] * 16)
     for data in streams:
         for at, byte in enumerate(data):
-            for high, low in plain_lines(data, at):
-                counts[high][byte >> 4] += 1
-                counts[low][byte & 15] += 1
+            for group, place in plain_lines(data, at, codes):
+                counts[group][codes[byte] >> 4] += 1
+                counts[place][codes[byte] & 15] += 1
     return counts
 
 
-def plain_logit(counts, line, depth, nibble):
-    """In steps of 1 / UNIT, for the bit after the first `depth` bits of a nibble."""
+def plain_bits(code):
+    """(in the place, what is left to choose from, the bit) one after another: is it this group, or a later one; which half of the place."""
+    group, place = int(code) >> 4, int(code) & 15
+    for i in range(min(group + 1, 15)):
+        yield False, (range(i + 1, 16), range(i, i + 1)), int(group == i)
+    left = range(16)
+    for depth in range(4):
+        half = len(left) // 2
+        bit = place >> (3 - depth) & 1
+        yield True, (left[:half], left[half:]), bit
+        left = left[half:] if bit else left[:half]
+
+
+def plain_logit(counts, line, halves):
+    """In steps of 1 / UNIT."""
     if line not in counts:
         return 0
-    width = 8 >> depth
-    first = (nibble >> (4 - depth)) * 2 * width
-    zeros, ones = sum(counts[line][first : first + width]), sum(counts[line][first + width : first + 2 * width])
+    zeros, ones = (sum(counts[line][i] for i in half) for half in halves)
     n = zeros + ones
     if not n:
         return 0
@@ -102,20 +113,20 @@ def plain_score(counts, data, model):
         steps, times, seen = defaultdict(float), Counter(), []
         for at in range(begin, end):
             six = data[max(0, at - 6) : at].rjust(6, b"\n")
-            guess, lines = last.get(six), plain_lines(data, at)
-            for depth in range(8):
-                half, nibble = depth // 4, data[at] >> 4 if depth < 4 else data[at] & 15
-                x = [plain_logit(counts, line[half], depth % 4, nibble) for line in lines]
-                agree = guess is not None and guess >> (8 - depth) == data[at] >> (8 - depth)
-                gate = (sum(v != 0 for v in x) * 3 + (1 + (run > 5) if agree else 0)) * 2 + half
-                x.append(int(np.round(mixer.UNIT * log(run + 2.0))) * (1 if guess >> (7 - depth) & 1 else -1) if agree else 0)
+            guess, lines, code = last.get(six), plain_lines(data, at, model.codes), model.codes[data[at]]
+            hint = [] if guess is None else list(plain_bits(model.codes[guess]))
+            for i, (in_place, halves, bit) in enumerate(plain_bits(code)):
+                x = [plain_logit(counts, line[in_place], halves) for line in lines]
+                same = i < len(hint) and hint[i][:2] == (in_place, halves) and all(a == b for a, b in zip(hint[:i], plain_bits(code), strict=False))
+                gate = (sum(v != 0 for v in x) * 3 + (1 + (run > 5) if same else 0)) * 2 + in_place
+                x.append(int(np.round(mixer.UNIT * log(run + 2.0))) * (1 if hint[i][2] else -1) if same else 0)
                 mixed = one(0)
                 for k, v in enumerate(x):
                     mixed += one(v) * weights[gate, k]
                 mixed = float(max(one(-12), min(one(12), mixed)))
                 p = 1 / (1 + exp(-mixed))
-                place = depth * mixer.STEPS + int(max(0, min(mixer.STEPS - 1, mixed + mixer.STEPS / 2)))
-                bit = data[at] >> (7 - depth) & 1
+                node = halves[1][0] + 1 if not in_place else 16 + 8 // len(halves[0]) + halves[0][0] // (2 * len(halves[0]))
+                place = node * mixer.STEPS + int(max(0, min(mixer.STEPS - 1, one(mixed) + one(mixer.STEPS / 2))))
                 q = max(1e-5, min(1 - 1e-5, (p + ones[place] / sizes[place]) / 2))
                 total += log10(q if bit else 1 - q)
                 times[gate] += 1
@@ -135,19 +146,20 @@ def plain_score(counts, data, model):
 
 def trained(texts, tuned=()):
     table = np.zeros(mixer.CELLS, np.uint32)
-    mixer.count(table, texts)
-    logits, model = mixer.logits(table), mixer.Mixer()
+    codes = mixer.ranks(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    mixer.count(table, texts, codes)
+    logits, model = mixer.table_of(table), mixer.Mixer(codes)
     if tuned:
         slope, bend, _ = model.gradients(logits, tuned)
         weights = model.stepped(slope, bend)
-        model = mixer.Mixer(weights, mixer.Mixer(weights).gradients(logits, tuned)[2])
+        model = mixer.Mixer(codes, weights, mixer.Mixer(codes, weights).gradients(logits, tuned)[2])
     return logits, model
 
 
 def test_scores_equal_a_plain_scorer():
     texts = [stream(t) for t in ("the cat sat on the mat and the dog ran to it " * 4, "le chat est la " * 9, "É ö \x1f ß", "", "w" * 90)]
     logits, model = trained(texts, [stream("the dog sat on a mat la la"), stream("le chat a été là")])
-    counts = plain_counts(texts)
+    counts = plain_counts(texts, model.codes)
     own = [*texts, stream("the dog est la on the mat, the dog est la on the mat"), stream("unseen words: zyzzyva quux " * 60), stream("x")]
     got = model.score(logits, own)
     assert got == pytest.approx([plain_score(counts, d, model) for d in own], rel=1e-6)
@@ -165,9 +177,9 @@ def test_long_texts_go_on_from_piece_to_piece(monkeypatch):
     # Only the match predictor looks back to the beginning of a piece, and no further.
     assert model.score(logits, [data])[0] == pytest.approx(whole, rel=0.2)
     table, cut = np.zeros(mixer.CELLS, np.uint32), np.zeros(mixer.CELLS, np.uint32)
-    mixer.count(cut, texts)
+    mixer.count(cut, texts, model.codes)
     monkeypatch.undo()
-    mixer.count(table, texts)
+    mixer.count(table, texts, model.codes)
     assert (table == cut).all()
 
 
@@ -223,13 +235,14 @@ def test_scores_are_those_of_all_training_texts(result):
         by_fold[fold(doc_id)].append(stream(text))
     known = [s for f, own in by_fold.items() if f not in (2, 3) for s in own]
     table, full = np.zeros(mixer.CELLS, np.uint32), np.zeros(mixer.CELLS, np.uint32)
-    mixer.count(table, known)
-    mixer.count(full, known + by_fold[3])
-    model = mixer.Mixer()
+    codes = mixer.ranks(np.bincount(np.frombuffer(b"".join(known + by_fold[3]), np.uint8), minlength=256))
+    mixer.count(table, known, codes)
+    mixer.count(full, known + by_fold[3], codes)
+    model = mixer.Mixer(codes)
     for _ in range(mixlm.ROUNDS):
-        slope, bend, seen = model.gradients(mixer.logits(table), by_fold[3])
-        model = mixer.Mixer(model.stepped(slope, bend), seen)
-    expected = model.score(mixer.logits(full), [stream(t) for _, t in ROWS])
+        slope, bend, seen = model.gradients(mixer.table_of(table), by_fold[3])
+        model = mixer.Mixer(codes, model.stepped(slope, bend), seen)
+    expected = model.score(mixer.table_of(full), [stream(t) for _, t in ROWS])
     assert sorted(r.score for r in result) == sorted(expected)
     assert all(r.bits_per_byte > 0 for r in result)
 
