@@ -1,34 +1,37 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine, with evidence.
 
-A text's features are its words (runs of letters, lower-cased) and their beginnings of 4, 5 and 6 letters,
-which stand for a stem with any ending. The space has the features that toxic examples hold more often than
-others, by the log-likelihood ratio. All other words of a text are one more feature, OTHER, with a fixed idf: so a chance
-stem in a long text is far from a text that is full of them. Document frequencies are counted over all documents.
-
-The examples are a bounded sample of labelled rows (EXAMPLES, the least hashes of doc_id), and those with the
-same vector are one entry with their counts, so the index has a proven size and is broadcast. It is an
-inverted index whose postings are cut into blocks of entries, with each feature's largest weight in each
-block. A search adds the blocks' bounds up for a query, takes blocks in falling order of bound, scores them
-exactly and stops when the next bound is below the kth cosine; it returns the exact nearest entries.
-
-The nearest entries vote with weight count * (1 - distance)^2, against a vote of weight PRIOR_VOTE for the rate among all
-examples, so that far neighbours, which share a chance word, say little. Votes become scores by isotonic regression on
-the examples' own votes, each made without the example itself. A text without any feature gets the rate among
-such examples. Evidence is the nearest entry's example, its cosine, and the text's heaviest features.
+The space has a dimension for every word (a run of letters, lower-cased) of the labelled examples, and for those of their
+beginnings of 4, 5 and 6 letters that speak for toxicity, which stand for a stem with any ending. A feature that toxic
+examples hold more often than others, by the log-likelihood ratio, weighs LIFT times its TF-IDF. Document frequencies are
+counted over all documents. A word that no example has can meet none; it lengthens its text's vector like a word of one
+document.
+
+The examples are a bounded sample of labelled rows (EXAMPLES, the least hashes of doc_id), and those with the same vector
+are one entry with their counts, so the index has a proven size and is broadcast. It is an inverted index whose
+postings are cut into blocks of entries, with each feature's largest weight in each block. A search adds the blocks'
+bounds up for a query, scores the blocks with the highest bounds, and then all blocks whose bound reaches the kth cosine
+found there; it returns the exact nearest entries.
+
+The k nearest examples vote with their cosine (one less the distance) as weight, against a vote of weight PRIOR_VOTE for
+the rate among all examples, so that far neighbours say little. Votes become scores by isotonic regression on the examples'
+own votes, each made without the example itself. A text without a neighbour gets the rate among such examples. Evidence is
+the nearest entry's example, its cosine, and the features of the text that speak for toxicity, heaviest first.
+
+Documents are read twice, for document frequencies and for scores; no text is shuffled.
 
 Defined results: null and empty texts have no features; a doc_id with several labels is toxic if one of them
-is, null labels count as none; null and repeated doc_ids are scored row by row; without labelled examples every
-score is 0. Only doc_id and text of the documents are used.
+is, null labels count as none; a doc_id with several texts gives one example, the one with the least hash; null and
+repeated doc_ids are scored row by row; of equally near entries the first in the index's order counts; without labelled
+examples every score is 0. Only doc_id and text of the documents are used.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +39,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import least_hashes, materialize
+from .common import fold, least_hashes, materialize, sliced
 
 EXAMPLES = 20000
-FEATURES = 1024
-#: The least log-likelihood ratio, times two, of a feature; and how much likelier it must be in toxic texts.
-LEAST_G2, LEAST_LIFT = 20.0, 4.0
+#: The least log-likelihood ratio, times two, of a feature that speaks for toxicity; how much likelier it must be in toxic texts; its weight.
+LEAST_G2, LEAST_LIFT, LIFT = 20.0, 4.0, 6.0
 NEIGHBOURS = 15
-PRIOR_VOTE = 0.5
+PRIOR_VOTE = 2.0
 THRESHOLD = 0.3
-BLOCK = 512
-OTHER_IDF = 2.0
+BLOCK = 64
+#: Blocks that are scored before the kth cosine is asked for.
+FIRST_BLOCKS = 8
 FOLDS, TEST_FOLD = 4, 2
+_SEED = 42
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def held_out(folds: int = FOLDS, fold: int = TEST_FOLD) -> Column:
+def held_out(folds: int = FOLDS, of: int = TEST_FOLD) -> Column:
     """Whether a row is kept from training, by crc32 of its doc_id as text; a null doc_id counts as empty."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold
+    return fold(folds) == of
+
 
+def stems_of(word: str) -> list[str]:
+    return [word[:n] + "*" for n in (4, 5, 6) if len(word) > n]
 
-def features_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
+
+def words_of(text: bytes | str | None) -> Counter:
+    return Counter(_WORDS.findall((text or "").lower()))
 
 
 def _text_features(text: str) -> set[str]:
-    return {f for w in set(_WORDS.findall(text.lower())) for f in features_of(w)}
+    return {f for w in words_of(text) for f in (w, *stems_of(w))}
 
 
 def feature_counts(examples: DataFrame) -> DataFrame:
@@ -87,8 +95,8 @@ def feature_counts(examples: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose_features(counts: DataFrame, toxic: int, clean: int, most: int = FEATURES) -> list[str]:
-    """At most `most` features that speak for toxicity, strongest first."""
+def choose_features(counts: DataFrame, toxic: int, clean: int) -> list[str]:
+    """All features that speak for toxicity, strongest first; the examples' own words bound them."""
     n = toxic + clean
     if not toxic or not clean:
         return []
@@ -98,111 +106,165 @@ def choose_features(counts: DataFrame, toxic: int, clean: int, most: int = FEATU
     g2 = 2 * (part(t, rate * toxic) + part(c, rate * clean) + part(toxic - t, (1 - rate) * toxic) + part(clean - c, (1 - rate) * clean))
     lift = (t / toxic) / ((c + 0.5) / clean)
     kept = counts.where((t > 0) & (lift >= LEAST_LIFT)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
-    return [r.feature for r in kept.orderBy(F.desc("g2"), "feature").limit(most).collect()]
-
-
-def vectors(docs: DataFrame, chosen: list[str]) -> DataFrame:
-    """doc_id, held_out, a hash of the text, and the numbers and counts of the chosen features in every row's text."""
-    numbers = {f: i for i, f in enumerate(chosen)}
-    kinds = [T.StructField("held_out", T.BooleanType()), T.StructField("tie", T.LongType()), T.StructField("features", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *kinds])
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(3):
-                seen: Counter = Counter()
-                others = 0
-                for word, times in Counter(_WORDS.findall((text.as_py() or "").lower())).items():
-                    own = known.get(word)
-                    if own is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        own = known[word] = tuple(numbers[f] for f in features_of(word) if f in numbers)
-                    for i in own:
-                        seen[i] += times
-                    if not own:
-                        others += times
-                if seen and others:
-                    seen[len(chosen)] = others
-                ids.append(sorted(seen))
-                counts.append([seen[i] for i in ids[-1]])
-            arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=schema.names)
-
-    return docs.select("doc_id", held_out().alias("held_out"), F.xxhash64("text").alias("tie"), "text").mapInArrow(find, schema)
+    return [r.feature for r in kept.orderBy(F.desc("g2"), "feature").collect()]
+
+
+class Space:
+    """The dimensions: hashes of the examples' words, in order, and of the stems that speak for toxicity."""
+
+    def __init__(self, chosen: list[str], hashes: np.ndarray):
+        self.chosen = chosen
+        self.terms = np.unique(np.concatenate([hashes.astype(np.uint64), np.array([self.hash(f) for f in chosen], np.uint64)]))
+        self.start()
+
+    def start(self) -> None:
+        self.names = {int(np.searchsorted(self.terms, np.uint64(self.hash(f)))): f for f in self.chosen}
+        self.stems = {f: n for n, f in self.names.items() if f.endswith("*")}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self):
+        return self.chosen, self.terms
+
+    def __setstate__(self, state) -> None:
+        self.chosen, self.terms = state
+        self.start()
+
+    @staticmethod
+    def hash(feature: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        return xxh64_intdigest(feature.encode(), _SEED)
+
+    def dimensions(self, word: str) -> tuple[int, ...]:
+        """A word's dimensions: -1 for the word itself if no example has it."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            h = np.uint64(self.hash(word))
+            at = int(np.searchsorted(self.terms, h))
+            own = at if at < len(self.terms) and self.terms[at] == h else -1
+            found = self.known[word] = (own, *(self.stems[s] for s in stems_of(word) if s in self.stems))
+        return found
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Dimensions in order and their counts, and the squared length that all other words add, before their idf."""
+        seen: dict[int, int] = {}
+        other: list[int] = []
+        for word, times in words_of(text).items():
+            for i in self.dimensions(word):
+                if i < 0:
+                    other.append(times)
+                else:
+                    seen[i] = seen.get(i, 0) + times
+        ids = np.fromiter(seen, np.int64, len(seen))
+        order = np.argsort(ids)
+        rest = float(((1 + np.log(other)) ** 2).sum()) if other else 0.0
+        return ids[order], np.fromiter(seen.values(), np.int64, len(seen))[order], rest
+
+
+def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers of spans one after another, and the spans' sizes."""
+    sizes = end - begin
+    last = np.cumsum(sizes)
+    return np.repeat(begin - (last - sizes), sizes) + np.arange(last[-1] if len(last) else 0), sizes
 
 
 class BlockMaxIndex:
-    """Exact nearest entries by cosine: entries are (unit vector, toxic count, clean count, a doc_id)."""
+    """Exact nearest entries by cosine. Entries have a vector, counts of toxic and clean examples, and a doc_id."""
 
-    def __init__(self, idf: np.ndarray, block: int = BLOCK):
-        self.idf, self.block = idf, block
-        self.entries: dict[tuple, list] = {}
+    def __init__(self, idf: np.ndarray, other: float, block: int = BLOCK):
+        """idf: the weight of each dimension. other: that of a word outside."""
+        self.idf, self.other, self.block = np.asarray(idf, float), other, block
+        self.made: dict[tuple[bytes, bytes], list] = {}
         self.prior = self.default = 0.0
         self.steps: tuple[list[float], list[float]] = ([0.0], [0.0])
 
-    def weigh(self, ids, counts) -> np.ndarray:
-        weights = (1 + np.log(np.asarray(counts, float))) * self.idf[list(ids)]
-        return weights / np.sqrt(weights @ weights)
+    def weigh(self, ids: np.ndarray, counts: np.ndarray, rest: float = 0.0) -> np.ndarray:
+        weights = (1 + np.log(counts)) * self.idf[ids]
+        length = np.sqrt(weights @ weights + rest * self.other**2)
+        return weights / length if length else weights
 
-    def add(self, ids, counts, toxic: bool, doc_id) -> None:
-        entry = self.entries.setdefault((tuple(ids), tuple(counts)), [0, 0, doc_id])
+    def add(self, ids: np.ndarray, counts: np.ndarray, toxic: bool, doc_id) -> None:
+        entry = self.made.setdefault((np.asarray(ids, np.int32).tobytes(), np.asarray(counts, np.int32).tobytes()), [0, 0, doc_id])
         entry[0 if toxic else 1] += 1
 
     def close(self) -> None:
-        """Build the postings: for each feature, arrays of entries and weights, and bounds by block."""
-        # Entries that share their rarest features lie together, which makes the blocks' bounds tight.
-        keys = sorted(self.entries, key=lambda k: ([*sorted(k[0], key=lambda i: -self.idf[i])], k[1]))
-        self.keys, self.votes = keys, np.array([self.entries[k][:2] for k in keys], float).reshape(-1, 2)
-        self.examples = [self.entries[k][2] for k in keys]
-        self.blocks = -(-len(keys) // self.block)
-        postings: dict[int, tuple[list, list]] = {}
-        for n, (ids, counts) in enumerate(keys):
-            for i, w in zip(ids, self.weigh(ids, counts), strict=True):
-                at, weights = postings.setdefault(i, ([], []))
-                at.append(n)
-                weights.append(w)
-        self.postings, self.bounds = {}, {}
-        edges = np.arange(self.blocks + 1) * self.block
-        for i, (at, weights) in postings.items():
-            at, weights = np.array(at), np.array(weights)
-            largest = np.zeros(self.blocks)
-            np.maximum.at(largest, at // self.block, weights)
-            self.postings[i], self.bounds[i] = (at, weights, np.searchsorted(at, edges)), largest
-        self.entries = {}
-
-    def search(self, ids, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """Lay the entries out, those that share their heaviest and most common features together, which makes bounds tight."""
+        entries = []
+        rank = np.argsort(np.argsort(self.idf, kind="stable"), kind="stable")
+        for (ids, counts), (toxic, clean, doc_id) in self.made.items():
+            ids, counts = np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32)
+            by = ids[np.argsort(rank[ids], kind="stable")]
+            entries.append(((by[::-1][:1].tolist() if toxic else [-1], by[:3].tolist(), ids.tolist(), counts.tolist()), ids, counts, toxic, clean, doc_id))
+        entries.sort(key=lambda e: e[0])
+        self.made = {}
+        self.votes = np.array([e[3:5] for e in entries], float).reshape(-1, 2)
+        self.examples = [e[5] for e in entries]
+        self.ids = np.concatenate([np.zeros(0, np.int32), *(e[1] for e in entries)])
+        self.counts = np.concatenate([np.zeros(0, np.int32), *(e[2] for e in entries)])
+        self.edges = np.cumsum([0, *(len(e[1]) for e in entries)])
+        self.invert()
+
+    def invert(self) -> None:
+        """Postings by dimension and entry, and (dimension, block) pairs with their largest weight."""
+        n = len(self.examples)
+        entry = np.repeat(np.arange(n), np.diff(self.edges))
+        weights = (1 + np.log(np.maximum(self.counts, 1))) * self.idf[self.ids]
+        length = np.sqrt(np.bincount(entry, weights**2, minlength=n))
+        weights = weights / length[entry]
+        order = np.argsort(self.ids, kind="stable")
+        self.entry, self.weight = entry[order].astype(np.int32), weights[order]
+        pair = self.ids[order].astype(np.int64) * (n // self.block + 1) + self.entry // self.block
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        self.pair_edges = np.append(first, len(pair))
+        self.pair_block = (self.entry[first] // self.block).astype(np.int64)
+        self.pair_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.term_edges = np.searchsorted(self.ids[order][first], np.arange(len(self.idf) + 1))
+        self.blocks = -(-n // self.block)
+
+    def __getstate__(self):
+        packed = zlib.compress(self.ids.astype(np.int32).tobytes() + self.counts.astype(np.int32).tobytes(), 1)
+        return self.idf, self.other, self.block, self.prior, self.default, self.steps, self.votes, self.examples, self.edges, packed
+
+    def __setstate__(self, state) -> None:
+        self.idf, self.other, self.block, self.prior, self.default, self.steps, self.votes, self.examples, self.edges, packed = state
+        self.made = {}
+        self.ids, self.counts = np.frombuffer(zlib.decompress(packed), np.int32).reshape(2, -1)
+        self.invert()
+
+    def search(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k nearest entries as (cosine, entry), best first, ties to the smaller entry; only positive cosines."""
-        terms = [(w, *self.postings[i], self.bounds[i]) for i, w in zip(ids, weights, strict=True) if i in self.postings]
-        if not terms:
+        if not len(ids) or not self.blocks:
+            return []
+        pairs, sizes = _spans(self.term_edges[ids], self.term_edges[ids + 1])
+        if not len(pairs):
             return []
-        bound = sum(w * largest for w, *_, largest in terms)
-        kept: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(kept) == k and bound[b] + 1e-12 < kept[0][0]:
-                break
-            scores = np.zeros(self.block)
-            first = b * self.block
-            for w, at, own, edges, _ in terms:
-                span = slice(edges[b], edges[b + 1])
-                scores[at[span] - first] += w * own[span]
-            for n in np.flatnonzero(scores > 0):
-                item = (float(scores[n]), -int(first + n))
-                if first + n == without:
-                    continue
-                if len(kept) < k:
-                    heapq.heappush(kept, item)
-                elif item > kept[0]:
-                    heapq.heapreplace(kept, item)
-        return [(s, -n) for s, n in sorted(kept, reverse=True)]
-
-    def vote(self, ids, weights: np.ndarray, k: int, own: tuple[int, bool] | None = None) -> tuple[float | None, int, float]:
+        of = np.repeat(weights, sizes)
+        block = self.pair_block[pairs]
+        bound = np.bincount(block, of * self.pair_most[pairs], minlength=self.blocks)
+        scores = np.zeros(len(self.examples))
+        order = np.argsort(-bound, kind="stable")
+        todo, least = order[:FIRST_BLOCKS], 0.0
+        while len(todo):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[todo] = True
+            own = chosen[block]
+            at, sizes = _spans(self.pair_edges[pairs[own]], self.pair_edges[pairs[own] + 1])
+            scores += np.bincount(self.entry[at], np.repeat(of[own], sizes) * self.weight[at], minlength=len(scores))
+            bound[todo] = -1.0
+            # A block whose bound is not above the kth cosine, or is nothing, has no nearer entry.
+            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+            todo = np.flatnonzero((bound + 1e-9 >= least) & (bound > 0))
+        found = np.flatnonzero(scores >= max(least, 1e-12))
+        found = found[np.lexsort((found, -scores[found]))][:k]
+        return [(float(scores[n]), int(n)) for n in found]
+
+    def vote(self, ids: np.ndarray, weights: np.ndarray, k: int, own: tuple[int, bool] | None = None) -> tuple[float | None, int, float]:
         """The share of toxic votes, the nearest entry and its cosine. own: leave out one example of an entry."""
         toxic, total = PRIOR_VOTE * self.prior, PRIOR_VOTE
         best, left = (-1, 0.0), float(k)
-        for cosine, n in self.search(ids, weights, k):
+        for cosine, n in self.search(ids, weights, k + 1 if own else k):
             t, c = self.votes[n]
             if own and own[0] == n:
                 t, c = t - own[1], c - (not own[1])
@@ -210,24 +272,32 @@ class BlockMaxIndex:
                 if best[0] < 0:
                     best = (n, cosine)
                 # The k nearest examples vote, not k entries: of the last entry only as many as are left.
-                weight = min(1.0, cosine) ** 2 * min(1.0, left / (t + c))
+                weight = min(1.0, cosine) * min(1.0, left / (t + c))
                 left -= min(left, t + c)
                 toxic, total = toxic + weight * t, total + weight * (t + c)
                 if not left:
                     break
         return (toxic / total if best[0] >= 0 else None), *best
 
-    def calibrate(self, k: int, empty: tuple[int, int]) -> None:
-        """Isotonic regression of the labels on left-one-out votes; empty: toxic and clean without features."""
+    def own_votes(self, n: int, k: int) -> list[float | None]:
+        """The votes for an entry's toxic and for its clean examples, each without one of them."""
+        span = slice(self.edges[n], self.edges[n + 1])
+        ids = self.ids[span].astype(np.int64)
+        weights = self.weigh(ids, self.counts[span])
+        return [self.vote(ids, weights, k, (n, label))[0] if times else None for label, times in zip((True, False), self.votes[n], strict=True)]
+
+    def set_prior(self, empty: tuple[int, int]) -> None:
+        """empty: toxic and clean examples without features."""
         toxic, clean = self.votes[:, 0].sum() + empty[0], self.votes[:, 1].sum() + empty[1]
-        prior = self.prior = toxic / (toxic + clean) if toxic + clean else 0.0
-        self.default = (empty[0] + prior) / (sum(empty) + 1)
-        points: list[tuple[float, float, float]] = []
-        for n, (ids, counts) in enumerate(self.keys):
-            weights = self.weigh(ids, counts)
-            for label, times in zip((True, False), self.votes[n], strict=True):
+        self.prior = toxic / (toxic + clean) if toxic + clean else 0.0
+        self.default = (empty[0] + self.prior) / (sum(empty) + 1)
+
+    def calibrate(self, votes: dict[int, list[float | None]]) -> None:
+        """Isotonic regression of the labels on the entries' own votes."""
+        points = []
+        for n, own in sorted(votes.items()):
+            for label, share, times in zip((True, False), own, self.votes[n], strict=True):
                 if times:
-                    share = self.vote(ids, weights, k, (n, label))[0]
                     points.append((self.default if share is None else share, times * label, times))
         pools: list[list[float]] = []
         for share, ones, times in sorted(points):
@@ -240,9 +310,9 @@ class BlockMaxIndex:
         values = [(ones + 2 * share) / (times + 2) for share, ones, times in pools]
         self.steps = ([p[0] for p in pools], np.maximum.accumulate(values).tolist() if values else [])
 
-    def score(self, ids, counts, k: int) -> tuple[float, int, float, np.ndarray]:
+    def score(self, ids: np.ndarray, counts: np.ndarray, rest: float, k: int) -> tuple[float, int, float, np.ndarray]:
         """The calibrated score, the nearest entry, its cosine, and the text's weights."""
-        weights = self.weigh(ids, counts)
+        weights = self.weigh(ids, counts, rest)
         share, nearest, cosine = self.vote(ids, weights, k)
         if share is None:
             return self.default, -1, 0.0, weights
@@ -256,74 +326,126 @@ class BlockMaxIndex:
         return values[at], nearest, cosine, weights
 
 
-def labelled(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """doc_id and toxic of at most `examples` training rows, those with the least hashes."""
+def labelled(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """doc_id, text and toxic of at most `examples` training rows, those with the least hashes; written."""
     rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
     rows = rows.groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("toxic"))
-    return least_hashes(rows, "doc_id", examples)
+    sample = materialize(least_hashes(rows, "doc_id", examples))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return materialize(texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features: int = FEATURES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """For every row of docs (doc_id, text): doc_id, held_out, tie (a hash of the text), score, predicted and evidence."""
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Space, BlockMaxIndex]:
+    """The space and the calibrated index. What the driver holds is bounded by `examples`."""
     spark = docs.sparkSession
-    sample = materialize(labelled(labels, examples))
-    training = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    texts = materialize(training.select("text", "toxic"))
+    texts = labelled(docs, labels, examples)
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    chosen = choose_features(feature_counts(texts), sizes.get(True, 0), sizes.get(False, 0), features)
-    found = materialize(vectors(docs, chosen))
-    counts = {r.f: r.n for r in found.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect()}
-    total = found.count()
-    idf = np.array([log((1 + total) / (1 + counts.get(i, 0))) + 1 for i in range(len(chosen))] + [OTHER_IDF])
-    index = BlockMaxIndex(idf)
+    chosen = choose_features(feature_counts(texts), sizes.get(True, 0), sizes.get(False, 0))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: set[int] = set()
+        for batch in batches:
+            own.update(Space.hash(w) for text in batch.column(0).to_pylist() for w in words_of(text))
+        yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(own, np.uint64, len(own)).view(np.int64))], names=["h"])
+
+    found = texts.select("text").mapInArrow(hashes, "h long").distinct().toArrow()
+    space = Space(chosen, found.column(0).to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast(space)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        seen, rows = np.zeros(len(of.terms), np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for text in batch.column(0):
+                own = of.vector(text.as_py())[0]
+                seen[own] += 1
+        ids = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(seen[ids], rows))], names=["id", "n"])
+
+    counted = docs.select("text").mapInArrow(frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(len(space.terms) + 1)
+    frequency[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    total = frequency[-1]
+    idf = np.log((1 + total) / (1 + frequency[:-1]))
+    idf[list(space.names)] *= LIFT
+    # No weight is quite nothing, so that texts which share only words that are everywhere have neighbours.
+    index = BlockMaxIndex(np.maximum(idf, 0.01), max(0.01, float(np.log((1 + total) / 2))))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shared.value.vector(t) for t in batch.column(1).to_pylist()]
+            lists = [pa.array([v[i] for v in made], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "toxic", "ids", "counts"])
+
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["toxic"], *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("ids", "counts"))])
     empty = [0, 0]
-    # Bounded by `examples`, but for rows that repeat a doc_id.
-    rows = found.join(F.broadcast(sample), "doc_id").groupBy("features", "counts", "toxic").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    for r in rows.orderBy("doc_id", "toxic").collect():
-        if r.features:
-            for _ in range(r.n):
-                index.add(r.features, r.counts, r.toxic, r.doc_id)
-        else:
-            empty[0 if r.toxic else 1] += r.n
+    for batch in texts.select("doc_id", "text", "toxic").mapInArrow(vectors, schema).orderBy("doc_id").toArrow().to_batches():
+        for doc_id, toxic, ids, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            own = ids.values.to_numpy()
+            if len(own):
+                index.add(own, counts.values.to_numpy(), toxic, doc_id)
+            else:
+                empty[0 if toxic else 1] += 1
     index.close()
-    index.calibrate(neighbours, (empty[0], empty[1]))
-    shared = spark.sparkContext.broadcast((index, chosen))
-    names = ("score", "predicted", "nearest", "cosine", "words")
-    doc_type = docs.schema["doc_id"].dataType
-    kinds = (T.DoubleType(), T.IntegerType(), doc_type, T.DoubleType(), T.ArrayType(T.StringType()))
-    schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("held_out", T.BooleanType()), T.StructField("tie", T.LongType()), *map(T.StructField, names, kinds)])
+    index.set_prior((empty[0], empty[1]))
+    early = spark.sparkContext.broadcast(index)
+
+    def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [early.value.own_votes(n, neighbours) for n in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([v[i] for v in votes], pa.float64()) for i in (0, 1))], names=["id", "toxic", "clean"])
+
+    parts = spark.sparkContext.defaultParallelism * 2
+    votes = spark.range(0, len(index.examples), 1, parts).mapInArrow(leave_one_out, "id long, toxic double, clean double").collect()
+    index.calibrate({r.id: [r.toxic, r.clean] for r in votes})
+    early.destroy()
+    return space, index
+
+
+def judged(docs: DataFrame, labels: DataFrame, columns: list[str], text: str, schema: T.StructType, clean_only: bool = False, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """`columns` of docs as they are, and a score, predicted and evidence for each row, or only rows not predicted toxic.
+
+    text: the column to score; schema: that of the result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, examples, neighbours))
+    at = len(columns)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        index, chosen = shared.value
-        for batch in batches:
-            columns: list[list] = [[] for _ in names]
-            for ids, counts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        space, index = shared.value
+        for batch in sliced(batches):
+            rows = []
+            for raw in batch.column(at):
+                ids, counts, rest = space.vector(raw.as_py())
                 score, nearest, cosine, words = index.default, -1, 0.0, []
-                if ids:
-                    score, nearest, cosine, weights = index.score(ids, counts, neighbours)
-                    words = [chosen[ids[i]] for i in np.argsort(-weights, kind="stable") if ids[i] < len(chosen)][:5]
+                if len(ids):
+                    score, nearest, cosine, weights = index.score(ids, counts, rest, neighbours)
+                    telling = [i for i in range(len(ids)) if int(ids[i]) in space.names]
+                    words = [space.names[int(ids[i])] for i in sorted(telling, key=lambda i: -weights[i])][:5]
                 score = min(1.0, max(0.0, float(score)))
-                row = (score, int(score >= THRESHOLD), index.examples[nearest] if nearest >= 0 else None, float(cosine), words)
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[3:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], schema=arrow)
+                rows.append((score, int(score >= THRESHOLD), index.examples[nearest] if nearest >= 0 else None, float(cosine), words))
+            kept = batch.columns[:at]
+            if clean_only:
+                clean = pa.array([not r[1] for r in rows], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(clean) for c in kept], schema=arrow)
+            else:
+                made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(arrow)[at:], strict=True)] if rows else [pa.array([], f.type) for f in list(arrow)[at:]]
+                yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
 
-    return found.mapInArrow(judge, schema)
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*columns, text]))).mapInArrow(judge, schema)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns as they are.
+def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """For every row of docs (doc_id, text): doc_id, held_out, score, predicted, and nearest, cosine and words as evidence."""
+    doc = docs.schema["doc_id"].dataType
+    names = {"doc_id": doc, "held_out": T.BooleanType(), "score": T.DoubleType(), "predicted": T.IntegerType(), "nearest": doc, "cosine": T.DoubleType(), "words": T.ArrayType(T.StringType())}
+    schema = T.StructType([T.StructField(n, k) for n, k in names.items()])
+    return judged(docs.select("doc_id", held_out().alias("held_out"), "text"), labels, ["doc_id", "held_out"], "text", schema, examples=examples, neighbours=neighbours)
 
-    The rejected rows are known by doc_id and a hash of the text; they are few, so the join is an anti-join
-    on both, in which no key is hot but repeated rows, and those AQE splits.
-    """
-    toxic = materialize(toxicity(docs, labels, **how).where("predicted = 1").select("doc_id", "tie").distinct())
-    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
-    rejected = toxic.withColumns(key).select("_none", "_id", F.col("tie").alias("_tie"))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_tie"), row).withColumns(key)
-    return rows.join(rejected, ["_none", "_id", "_tie"], "left_anti").select("row.*")
+
+def keep_clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with their columns as they are; rows are judged where they are read."""
+    return judged(docs, labels, docs.columns, "text", T.StructType(docs.schema.fields), clean_only=True, **how)

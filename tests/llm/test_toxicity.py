@@ -1,7 +1,10 @@
+import pickle
 import random
 import zlib
+from math import log, sqrt
 
 import numpy as np
+import pytest
 
 from loomspark.llm import toxicity
 
@@ -50,39 +53,138 @@ def test_nothing_to_learn_from(spark):
     assert {r.predicted for r in toxicity.toxicity(docs, spark.createDataFrame([(1, 0), (5, 0)], "doc_id long, toxic int")).collect()} == {0}
 
 
+def plain_cosines(index, ids, weights):
+    """(cosine, entry) of all entries, nearest first, ties to the smaller entry."""
+    out = []
+    for n in range(len(index.examples)):
+        span = slice(index.edges[n], index.edges[n + 1])
+        own = dict(zip(index.ids[span].tolist(), index.weigh(index.ids[span].astype(int), index.counts[span]), strict=True))
+        out.append((-float(sum(w * own.get(int(i), 0.0) for i, w in zip(ids, weights, strict=True))), n))
+    return [(-c, n) for c, n in sorted(out) if c < 0]
+
+
 def test_index_is_exact():
     rng = random.Random(2)
     idf = np.array([1 + rng.random() * 5 for _ in range(30)])
     for block in (4, 64):
-        index = toxicity.BlockMaxIndex(idf, block)
-        made = {}
+        index = toxicity.BlockMaxIndex(idf, 5.0, block)
         for i in range(400):
-            ids = tuple(sorted(rng.sample(range(30), rng.randint(1, 5))))
-            counts = tuple(rng.choice([1, 1, 2, 9]) for _ in ids)
-            index.add(ids, counts, rng.random() < 0.3, i)
-            made[ids, counts] = 0
+            ids = np.array(sorted(rng.sample(range(30), rng.randint(1, 5))))
+            index.add(ids, np.array([rng.choice([1, 1, 2, 9]) for _ in ids]), rng.random() < 0.3, i)
         index.close()
+        index = pickle.loads(pickle.dumps(index))
         for _ in range(100):
-            ids = sorted(rng.sample(range(30), rng.randint(1, 6)))
-            weights = index.weigh(ids, [rng.randint(1, 3) for _ in ids])
-            dense = np.zeros(30)
-            dense[ids] = weights
-            cosines = []
-            for n, (own, counts) in enumerate(index.keys):
-                other = np.zeros(30)
-                other[list(own)] = index.weigh(own, counts)
-                cosines.append((-float(dense @ other), n))
-            best = [(-c, n) for c, n in sorted(cosines)[:7] if c < 0]
-            got = index.search(ids, weights, 7)
+            ids = np.array(sorted(rng.sample(range(30), rng.randint(1, 6))))
+            weights = index.weigh(ids, np.array([rng.randint(1, 3) for _ in ids]), rng.choice([0.0, 3.0]))
+            best, got = plain_cosines(index, ids, weights)[:7], index.search(ids, weights, 7)
             assert np.allclose([c for c, _ in got], [c for c, _ in best])
             assert {n for c, n in got if c > best[-1][0] + 1e-9} == {n for c, n in best if c > best[-1][0] + 1e-9}
 
 
 def test_calibration_keeps_order():
-    index = toxicity.BlockMaxIndex(np.ones(3))
+    index = toxicity.BlockMaxIndex(np.ones(3), 1.0)
     for i in range(60):
-        index.add((i % 3,), (1,), i % 3 == 0 or i % 7 == 0, i)
+        index.add(np.array([i % 3]), np.array([1 + i // 3]), i % 3 == 0 or i % 7 == 0, i)
     index.close()
-    index.calibrate(5, (2, 50))
-    scores = [index.score([i], [1], 5)[0] for i in range(3)]
+    index.set_prior((2, 50))
+    index.calibrate({n: index.own_votes(n, 5) for n in range(len(index.examples))})
+    scores = [index.score(np.array([i]), np.array([1]), 0.0, 5)[0] for i in range(3)]
     assert scores[0] > max(scores[1:]) and index.steps[1] == sorted(index.steps[1]) and index.default < 0.3
+
+
+def isotonic(points):
+    """By the definition: the value at i is the greatest of all least means of runs that hold i."""
+    points = sorted(points)
+    at = sorted({p for p, _ in points})
+    ones, size = {p: 0 for p in at}, {p: 0 for p in at}
+    for p, label in points:
+        ones[p] += label
+        size[p] += 1
+    mean = lambda i, j: sum(ones[p] for p in at[i : j + 1]) / sum(size[p] for p in at[i : j + 1])
+    return {p: max(min(mean(i, j) for j in range(n, len(at))) for i in range(n + 1)) for n, p in enumerate(at)}, at, ones, size
+
+
+def test_end_to_end_against_brute_force(spark):
+    """Vectors, neighbours, votes, calibration and scores of 500 rows, all made again from the definitions."""
+    rows, labels = corpus(500, seed=3)
+    rows[7], rows[8] = (7, None), (8, "only unseenwordaa unseenwordbb")
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    space, _ = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    telling = set(space.chosen)
+    label = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    words = {i: toxicity.words_of(t) for i, t in rows}
+    vocabulary = {w for i in label for w in words[i]}
+
+    def features(i):
+        known, other = {}, []
+        for w, n in words[i].items():
+            if w in vocabulary:
+                known[w] = known.get(w, 0) + n
+            else:
+                other.append(n)
+            for s in toxicity.stems_of(w):
+                if s in telling:
+                    known[s] = known.get(s, 0) + n
+        return known, other
+
+    made = {i: features(i) for i, _ in rows}
+    df = {}
+    for known, _ in made.values():
+        for f in known:
+            df[f] = df.get(f, 0) + 1
+    n = len(rows)
+
+    def vector(i):
+        known, other = made[i]
+        v = {f: (1 + log(k)) * max(0.01, log((1 + n) / (1 + df[f])) * (toxicity.LIFT if f in telling else 1)) for f, k in known.items()}
+        length = sqrt(sum(x * x for x in v.values()) + sum((1 + log(k)) ** 2 for k in other) * max(0.01, log((1 + n) / 2)) ** 2)
+        return {f: x / length for f, x in v.items()} if length else {}
+
+    unit = {i: vector(i) for i, _ in rows}
+    examples = [i for i in sorted(label) if unit[i]]
+    empty = [i for i in label if not unit[i]]
+    prior = sum(label.values()) / len(label)
+
+    def vote(i):
+        near = sorted(((sum(x * unit[e].get(f, 0.0) for f, x in unit[i].items()), e) for e in examples if e != i), reverse=True)[: toxicity.NEIGHBOURS]
+        near = [(min(1, c), label[e]) for c, e in near if c > 1e-12]
+        if not near:
+            return None
+        return (toxicity.PRIOR_VOTE * prior + sum(c * y for c, y in near)) / (toxicity.PRIOR_VOTE + sum(c for c, _ in near))
+
+    default = (sum(label[i] for i in empty) + prior) / (len(empty) + 1)
+    values, at, ones, size = isotonic([(default if (v := vote(i)) is None else v, label[i]) for i in examples])
+    pools = []
+    for p in at:
+        if not pools or abs(values[p] - pools[-1][3]) > 1e-12:
+            pools.append([p, 0, 0, values[p]])
+        pools[-1][1] += ones[p]
+        pools[-1][2] += size[p]
+    steps = np.maximum.accumulate([(o + 2 * p) / (s + 2) for p, o, s, _ in pools])
+    for i, _ in rows:
+        if i in label and i in examples:
+            continue  # such a text has itself among its neighbours
+        share = vote(i)
+        expected = default if share is None else float(np.interp(share, [p[0] for p in pools], steps))
+        assert got[i].score == pytest.approx(expected, abs=1e-6), i
+    assert got[7].nearest is None
+    assert sum(r.nearest is None for r in got.values()) < 0.05 * n
+
+
+def test_one_example_for_a_repeated_doc_id(spark):
+    docs = spark.createDataFrame([(1, f"copy number {i % 9}") for i in range(300)] + [(2, "clean text"), (5, None)], "doc_id long, text string")
+    found = toxicity.labelled(docs, spark.createDataFrame([(1, 1), (2, 0), (5, 0), (None, 1)], "doc_id long, toxic int")).collect()
+    assert sorted(r.doc_id for r in found) == [i for i in (1, 2, 5) if zlib.crc32(str(i).encode()) % 4 != 2]
+
+
+def test_keep_clean_keeps_rows_as_they_are(spark):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame([*rows, (None, None), (None, None), (900, ""), (901, "vilorm grudzok snaff"), (None, "vilorm vilorm grudzok")], "doc_id long, text string")
+    docs = docs.selectExpr("text", "doc_id", "1 AS score", "'a' AS `_judged`", "array(1) AS words", "CAST(NULL AS int) AS `a.b`")
+    marked = spark.createDataFrame(labels, "doc_id long, toxic int")
+    kept = toxicity.keep_clean(docs, marked)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    predicted = toxicity.toxicity(docs, marked).where("predicted = 1").count()
+    assert kept.count() == docs.count() - predicted and predicted > 40
+    assert kept.where("doc_id IS NULL").count() == 2 and kept.where("doc_id = 900").count() == 1 and kept.where("doc_id = 901").count() == 0
+    assert toxicity.keep_clean(docs.limit(0), marked).count() == 0
