@@ -32,7 +32,7 @@ LOOK = 80
 PIECE = 1 << 16
 #: Texts are put side by side until they have about so many bytes.
 GROUP = 1 << 14
-LINE_BITS = {"short": 19, 3: 18, 4: 19, 6: 19, "word": 20}
+LINE_BITS = {"short": 19, 3: 17, 4: 18, 6: 18, "word": 19}
 PREDICTORS = tuple(LINE_BITS)
 INPUTS = len(PREDICTORS) + 1
 #: Where the counts of each predictor begin in the one table that holds all.

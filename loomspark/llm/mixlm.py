@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import mixer
-from .common import fold, materialize
+from .common import fold, materialize, sliced
 
 FOLDS, TEST_FOLD, TUNE_FOLD = 7, 2, 3
 ROUNDS = 2
@@ -98,7 +98,7 @@ def count_lines(texts: DataFrame, tuning: Column, codes: np.ndarray) -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 table = np.zeros(mixer.CELLS, np.uint32) if table is None else table
                 mixer.count(table, _streams(batch.column(0)), codes)
@@ -177,7 +177,7 @@ def train(docs: DataFrame, words: DataFrame) -> tuple[Logits, mixer.Mixer]:
 
         def sums(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             own, total = mixer.Mixer(codes, weights), None
-            for batch in batches:
+            for batch in sliced(batches):
                 made = own.gradients(table.value.cells, _streams(batch.column(0)))
                 total = made if total is None else [a + b for a, b in zip(total, made, strict=True)]
             if total is not None:
@@ -210,7 +210,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 held.update(tokens_of(text.as_py() or b""))
-                if len(held) > 400_000:
+                if len(held) > 150_000:
                     yield take()
         yield take()
 
@@ -254,7 +254,7 @@ def score(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
         arrow = to_arrow_schema(schema)
         logits, own_model, counts = shared.value
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list] = [[] for _ in fields]
             streams = []
             for text in batch.column(1):
