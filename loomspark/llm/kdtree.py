@@ -7,16 +7,19 @@ query stops when that bound is below its kth best score.
 
 The kth score is propagated: a first round searches one shard for each query, and its kth score goes
 with the query to all other shards, which return only what can still enter the result. Each shard returns
-k rows for a query at most, so what is merged does not grow with the shards' size. The vectors go
-through a shuffle once and are written with their shard; queries are stated beforehand, and every query
+k rows for a query at most, so what is merged does not grow with the shards' size. The vectors are written with their
+shard and shuffled once in each of the two rounds; queries are stated beforehand, and every query
 block meets every shard, as an exact search must. A task holds one shard and one batch of queries.
 
+How many leaves the bounds leave out depends on the vectors (KDTree.visited counts them): most on vectors of few effective
+dimensions, hardly any where all directions are alike, as no exact bound on a box helps there.
+
 Scores are integer inner products of floor(scale * x), added in 64-bit integers where they cannot
 overflow, else in Python's integers and cut to the range of a long. Defined results: vectors that are
 null, empty or hold null or non-finite components take no part; vectors are compared within their number of
-dimensions; a row's other copies with the same vec_id are candidates like any other, only the row
-itself, known by its vec_id, is left out; ties go to the smaller vec_id; rows with a null vec_id take no part;
-an empty table gives no rows. A repeated query row is answered once.
+dimensions; every query row is answered, and only the row itself is left out: other rows with its vec_id are candidates like
+any other, and of several query rows with one vec_id each has its own ranks; ties go to the smaller vec_id; rows with a
+null vec_id take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from .common import materialize
 SCALE = 1024
 K = 10
 LEAF = 256
-SHARD = 8192
+#: A shard has so many bytes of coordinates at most, and no fewer rows than SHARD_LEAST for the sake of more tasks.
+SHARD_BYTES = 1 << 25
+SHARD_LEAST = 8192
 _SAFE = float(2**52)
 _LONG = 2**63 - 1
 
@@ -47,8 +52,9 @@ def scaled(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
 class KDTree:
     """Nodes in arrays: low and high corners, children, and each leaf's rows, which lie together."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
         order = np.arange(len(ids))
+        self.visited = 0  # leaves, over all searches
         self.low, self.high, self.children, self.span = [], [], [], []
         waiting = [(0, len(ids), -1, 0)]
         while waiting:
@@ -67,14 +73,15 @@ class KDTree:
                 middle = (a + b) // 2
                 order[a:b] = order[a:b][np.argpartition(own[:, widest], middle - a)]
                 waiting += [(a, middle, node, 0), (middle, b, node, 1)]
-        self.ids, self.points = ids[order], points[order]
+        self.rows, self.ids, self.points = rows[order], ids[order], points[order]
+        self.leaves = sum(left < 0 for left, _ in self.children)
         self.low, self.high = np.array(self.low), np.array(self.high)
         largest = np.abs(points).max(initial=0)
         self.exact = largest**2 * points.shape[1] < _SAFE
         self.largest = largest
 
     def search(self, query: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) with scores of at least `least`, best first."""
+        """The k best (score, vec_id) with scores of at least `least`, best first, without the row `own`."""
         exact = self.exact and self.largest * np.abs(query).max(initial=0) * len(query) < _SAFE
         # A node's bound: each side's better corner. Outside the exact range it is only used with a margin.
         bounds = np.maximum(self.low * query, self.high * query).sum(axis=1)
@@ -92,6 +99,7 @@ class KDTree:
                 heapq.heappush(heap, (-bounds[right], right))
                 continue
             a, b = self.span[node]
+            self.visited += 1
             if exact:
                 scores = self.points[a:b] @ query
                 floor = max(least, kept[0][0]) if len(kept) == k else least
@@ -99,12 +107,12 @@ class KDTree:
                 if len(good) > k:
                     # Keep what is above the kth and all ties with it.
                     good = good[scores[good] >= np.partition(scores[good], -k - 1)[-k - 1]]
-                found = zip(scores[good].astype(np.int64).tolist(), self.ids[a:b][good].tolist(), strict=True)
+                found = zip(scores[good].astype(np.int64).tolist(), self.ids[a:b][good].tolist(), self.rows[a:b][good].tolist(), strict=True)
             else:
                 whole = [int(x) for x in query]
-                found = [(max(-_LONG - 1, min(_LONG, sum(int(x) * q for x, q in zip(p, whole, strict=True)))), int(i)) for p, i in zip(self.points[a:b], self.ids[a:b], strict=True)]
-            for score, vec_id in found:
-                if vec_id != own and score >= least:
+                found = [(max(-_LONG - 1, min(_LONG, sum(int(x) * q for x, q in zip(p, whole, strict=True)))), int(i), int(r)) for p, i, r in zip(self.points[a:b], self.ids[a:b], self.rows[a:b], strict=True)]
+            for score, vec_id, row in found:
+                if row != own and score >= least:
                     if len(kept) < k:
                         heapq.heappush(kept, (score, -vec_id))
                     elif (score, -vec_id) > kept[0]:
@@ -120,7 +128,7 @@ def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return df.where(~bad).withColumn("dims", F.size("vector"))
 
 
-RESULT = "query_id long, dims int, vec_id long, score long"
+RESULT = "query_row long, query_id long, dims int, vec_id long, score long"
 
 
 def _searcher(k: int, scale: int, leaf: int):
@@ -128,12 +136,11 @@ def _searcher(k: int, scale: int, leaf: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shard = None
-        ids: list[np.ndarray] = []
-        points: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            return batch.column("vec_id").to_numpy(zero_copy_only=False), scaled(flat.reshape(batch.num_rows, -1), scale)
+            return *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "vec_id")), scaled(flat.reshape(batch.num_rows, -1), scale)
 
         for whole in batches:
             at = 0
@@ -145,52 +152,57 @@ def _searcher(k: int, scale: int, leaf: int):
                 batch, (dims, number, kind) = whole.slice(at, end - at), marks[at]
                 at = end
                 if (dims, number) != shard:
-                    shard, tree, ids, points = (dims, number), None, [], []
-                own, own_points = rows_of(batch)
+                    shard, tree, held = (dims, number), None, []
+                own = rows_of(batch)
                 if kind == 0:
-                    ids.append(own)
-                    points.append(own_points)
+                    held.append(own)
                     continue
-                if not ids:
+                if not held and tree is None:
                     continue
                 if tree is None:
-                    tree = KDTree(np.concatenate(ids), np.concatenate(points), leaf)
-                out: list[tuple[int, int, int, int]] = []
-                for query_id, query, least in zip(own.tolist(), own_points, batch.column("least").to_pylist(), strict=True):
-                    out += [(query_id, dims, vec_id, score) for score, vec_id in tree.search(query, query_id, k, -np.inf if least is None else least)]
-                columns = list(zip(*out, strict=True)) or [[], [], [], []]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "dims", "vec_id", "score"])
+                    tree, held = KDTree(*(np.concatenate(c) for c in zip(*held, strict=True)), leaf), []
+                out: list[tuple[int, int, int, int, int]] = []
+                for row, query_id, query, least in zip(own[0].tolist(), own[1].tolist(), own[2], batch.column("least").to_pylist(), strict=True):
+                    out += [(row, query_id, dims, vec_id, score) for score, vec_id in tree.search(query, row, k, -np.inf if least is None else least)]
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_row", "query_id", "dims", "vec_id", "score"])
 
     return search
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("dims", "query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, shard_rows: int = SHARD, leaf: int = LEAF) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k best among all other rows."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, shard_rows: int | None = None, leaf: int = LEAF) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query row's k best among all other rows."""
     rows = usable(vectors, scale)
-    shards = max(1, -(-rows.count() // shard_rows))
-    sharded = materialize(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int")))
-    queries = sharded.where(is_query).dropDuplicates(["dims", "vec_id"]).withColumnRenamed("shard", "home")
+    n, widest = rows.agg(F.count("*"), F.max("dims")).first()
+    if shard_rows is None:
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        shard_rows = min(max(1, SHARD_BYTES // (8 * (widest or 1))), max(SHARD_LEAST, -(-n // cores)))
+    shards = max(1, -(-n // shard_rows))
+    # Rows have a number from here on; the table is written, so that it stays.
+    numbered = rows.withColumns({"shard": F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"), "row": F.monotonically_increasing_id()})
+    sharded = materialize(numbered)
+    queries = sharded.where(is_query).withColumnRenamed("shard", "home")
     empty = F.lit(None).cast("double")
 
     def searched(asked: DataFrame) -> DataFrame:
         both = sharded.withColumns({"kind": F.lit(0), "least": empty}).unionByName(asked.withColumn("kind", F.lit(1)))
-        dealt = both.repartition(max(shards, 1), "dims", "shard").sortWithinPartitions("dims", "shard", "kind")
+        dealt = both.repartition(shards, "dims", "shard").sortWithinPartitions("dims", "shard", "kind")
         return dealt.mapInArrow(_searcher(k, scale, leaf), RESULT)
 
-    seeds = queries.select("vec_id", "vector", "dims", F.col("home").alias("shard"), empty.alias("least"))
+    seeds = queries.select("row", "vec_id", "vector", "dims", F.col("home").alias("shard"), empty.alias("least"))
     first = materialize(searched(seeds))
     if shards == 1:
-        return _best(first, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-    kth = first.groupBy("dims", F.col("query_id").alias("vec_id")).agg(F.min("score").alias("worst"), F.count("*").alias("n"))
-    kth = kth.select("dims", "vec_id", F.when(F.col("n") >= k, F.col("worst")).cast("double").alias("least"))
-    asked = queries.join(kth, ["dims", "vec_id"], "left")
+        return _best(first, k)
+    kth = first.groupBy(F.col("query_row").alias("row")).agg(F.min("score").alias("worst"), F.count("*").alias("n"))
+    kth = kth.select("row", F.when(F.col("n") >= k, F.col("worst")).cast("double").alias("least"))
+    asked = queries.join(kth, "row", "left")
     other = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home"))
-    asked = asked.select("vec_id", "vector", "dims", F.explode(other).alias("shard"), "least")
-    rest = searched(asked)
-    return _best(first.unionByName(rest), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    asked = asked.select("row", "vec_id", "vector", "dims", F.explode(other).alias("shard"), "least")
+    return _best(first.unionByName(searched(asked)), k)

@@ -51,7 +51,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = mixing.mixing_report(table(spark, sf_dir, "documents"))
-    return report.select("doc_id", "size", "source_size", "target", "taken")
+    positions = [F.get("positions", F.lit(i)).alias(n) for i, n in enumerate(("first_position", "second_position"))]
+    return report.select("doc_id", "size", "source_size", "target", "taken", *positions)
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ SQL = {}
 
 SQL["op9_source_mixing"] = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(COALESCE(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || COALESCE(md5(text), '')) AS k,
          COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
   FROM documents),
 sources AS (
@@ -78,31 +79,38 @@ levels AS (
          / SUM(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM ranked),
 targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, CASE (rank - 1) % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS tilt,
          LEAST(cap, COALESCE((SELECT FIRST(level ORDER BY cap / weight, rank) FROM levels WHERE cap > level * weight) * weight, cap)) AS target
   FROM levels),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.tilt,
          COALESCE(SUM(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2.0::DOUBLE AS middle
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT *, size > 0 AND middle < target AS one, size > 0 AND source_size + middle < target AS two,
+         middle / target AS share, (source_size + middle) / target AS later
+  FROM placed)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (CASE WHEN middle < target THEN 1 ELSE 0 END
-            + CASE WHEN source_size + middle < target THEN 1 ELSE 0 END) END AS BIGINT) AS taken
-FROM placed
+       CAST(size * (CASE WHEN one THEN 1 ELSE 0 END + CASE WHEN two THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CASE WHEN NOT one THEN NULL WHEN tilt = 0 THEN share
+            ELSE ((1 + tilt) - sqrt((1 + tilt) * (1 + tilt) - 4 * tilt * share)) / (2 * tilt) END AS first_position,
+       CASE WHEN NOT two THEN NULL WHEN tilt = 0 THEN later
+            ELSE ((1 + tilt) - sqrt((1 + tilt) * (1 + tilt) - 4 * tilt * later)) / (2 * tilt) END AS second_position
+FROM copies
 """
 
 SQL["op10_exact_top_k"] = r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  SELECT ROW_NUMBER() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.x) = len(c.x)),
 ranked AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 

@@ -226,7 +226,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, paired:
 
 
 def pick(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The row of docs that stays, for each label of found (doc_id, tie and label of rows of docs)."""
+    """The row of docs that stays, for each label of found (doc_id, tie and label of rows of docs).
+
+    Of rows with one doc_id and text that differ elsewhere, the one with the least hash of all columns stays.
+    """
     leader = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "tie"))
     leaders = found.groupBy("label").agg(leader.alias("l")).select("l.doc_id", "l.tie")
     key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
@@ -234,4 +237,5 @@ def pick(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("_tie"), row).withColumns(key).drop("doc_id")
     chosen = leaders.withColumns(key).select("_none", "_id", F.col("tie").alias("_tie"))
     kept = rows.join(chosen, ["_none", "_id", "_tie"], "left_semi")
-    return kept.groupBy("_none", "_id", "_tie").agg(F.first("row").alias("row")).select("row.*")
+    plain = [F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return kept.groupBy("_none", "_id", "_tie").agg(F.min_by("row", F.xxhash64(*plain)).alias("row")).select("row.*")

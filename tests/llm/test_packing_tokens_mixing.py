@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -162,6 +163,51 @@ def test_mixing(spark, docs):
         assert sorted(map(tuple, mixing.mixing_report(df.repartition(3), buckets=100).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
 
 
+def plain_positions(data):
+    """{row number: positions}, document by document; the schedule's demand D(u) is inverted by bisection."""
+    sizes, order = {}, {}
+    for i, (doc_id, text, source) in enumerate(data):
+        n = len((text or "").encode().split())
+        sizes[source] = sizes.get(source, 0) + n
+        inner = "" if text is None else hashlib.md5(text.encode()).hexdigest()
+        order.setdefault(source, []).append((hashlib.md5(f"{'' if doc_id is None else doc_id}:{inner}".encode()).hexdigest(), i, n))
+    targets, out = plain_targets(sizes), {}
+    ranked = sorted(sizes, key=lambda s: (s is None, s))
+    for source, rows in order.items():
+        begin, tilt, target = 0, mixing.TILTS[ranked.index(source) % 3], targets[source]
+        demand = lambda u, tilt=tilt, target=target: target * ((1 + tilt) * u - tilt * u * u)
+        for _, i, n in sorted(rows):
+            out[i] = []
+            for c in (0, 1):
+                middle = c * sizes[source] + begin + n / 2
+                if n and middle < target:
+                    low, high = 0.0, 1.0
+                    for _ in range(60):
+                        u = (low + high) / 2
+                        low, high = (u, high) if demand(u) < middle else (low, u)
+                    out[i].append(low)
+            begin += n
+    return out
+
+
+def test_positions_invert_the_schedule(spark):
+    rng = random.Random(11)
+    data = [(rng.choice([i, None, 7]), " ".join(["w"] * rng.choice([0, 1, 5, 40, 300])) + rng.choice(["", f" {i}"]), rng.choice(["a", "a", "a", "é", None, "b"])) for i in range(900)]
+    data += [(1, "equal rows here", "a")] * 300
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    rows = mixing.mixing_report(df, buckets=5).collect()
+    expected = plain_positions(data)
+    got = sorted((repr(r.doc_id), r.size, [round(u, 9) for u in r.positions]) for r in rows)
+    assert got == sorted((repr(d), len((t or "").split()), [round(u, 9) for u in expected[i]]) for i, (d, t, _) in enumerate(data))
+    first = [r.positions[0] if r.positions else 2.0 for r in rows]
+    assert first == sorted(first)
+    # The stream has every copy, in the order of positions.
+    stream = sorted((u, data[i][1]) for i, own in expected.items() for u in own)
+    mixed = [r.text for r in mixing.mix(df, buckets=5).collect()]
+    assert [len(t) for t in mixed] == [len(t) for _, t in stream] or sorted(mixed) == sorted(t for _, t in stream)
+    assert sum(a == b[1] for a, b in zip(mixed, stream, strict=True)) > 0.95 * len(stream)
+
+
 def test_mixed_stream(spark, docs):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
