@@ -8,9 +8,11 @@ document.
 
 The examples are a bounded sample of labelled rows (EXAMPLES, the least hashes of doc_id), and those with the same vector
 are one entry with their counts, so the index has a proven size and is broadcast. It is an inverted index whose
-postings are cut into blocks of entries, with each feature's largest weight in each block. A search adds the blocks'
-bounds up for a query, scores the blocks with the highest bounds, and then all blocks whose bound reaches the kth cosine
-found there; it returns the exact nearest entries.
+postings are cut into blocks of entries, with each feature's largest weight in each block. The DENSE most common features,
+whose postings name most entries, are columns of a matrix instead, and are scored for many texts at once. A search adds
+up the blocks' bounds for a text, the largest share of the common features and the postings' largest weights, scores the
+blocks with the highest bounds, and then all blocks whose bound reaches the kth cosine found there; it returns the exact
+nearest entries.
 
 The k nearest examples vote with their cosine (one less the distance) as weight, against a vote of weight PRIOR_VOTE for
 the rate among all examples, so that far neighbours say little. Votes become scores by isotonic regression on the examples'
@@ -47,9 +49,11 @@ LEAST_G2, LEAST_LIFT, LIFT = 20.0, 4.0, 6.0
 NEIGHBOURS = 15
 PRIOR_VOTE = 2.0
 THRESHOLD = 0.3
-BLOCK = 64
+BLOCK = 128
 #: Blocks that are scored before the kth cosine is asked for.
 FIRST_BLOCKS = 8
+#: Features whose weights are held as a matrix, and texts that are scored with it at once.
+DENSE, TOGETHER = 512, 64
 FOLDS, TEST_FOLD = 4, 2
 _SEED = 42
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -120,6 +124,7 @@ class Space:
     def start(self) -> None:
         self.names = {int(np.searchsorted(self.terms, np.uint64(self.hash(f)))): f for f in self.chosen}
         self.stems = {f: n for n, f in self.names.items() if f.endswith("*")}
+        self.begins = {f[:4] for f in self.stems}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
@@ -135,32 +140,39 @@ class Space:
 
         return xxh64_intdigest(feature.encode(), _SEED)
 
-    def dimensions(self, word: str) -> tuple[int, ...]:
-        """A word's dimensions: -1 for the word itself if no example has it."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            h = np.uint64(self.hash(word))
-            at = int(np.searchsorted(self.terms, h))
-            own = at if at < len(self.terms) and self.terms[at] == h else -1
-            found = self.known[word] = (own, *(self.stems[s] for s in stems_of(word) if s in self.stems))
-        return found
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
-        """Dimensions in order and their counts, and the squared length that all other words add, before their idf."""
-        seen: dict[int, int] = {}
-        other: list[int] = []
-        for word, times in words_of(text).items():
-            for i in self.dimensions(word):
-                if i < 0:
-                    other.append(times)
-                else:
-                    seen[i] = seen.get(i, 0) + times
-        ids = np.fromiter(seen, np.int64, len(seen))
-        order = np.argsort(ids)
-        rest = float(((1 + np.log(other)) ** 2).sum()) if other else 0.0
-        return ids[order], np.fromiter(seen.values(), np.int64, len(seen))[order], rest
+    def meet(self, words: set[str]) -> None:
+        """Look words up that have not been looked up yet: -1 is for a word that no example has."""
+        from xxhash import xxh64_intdigest
+
+        if len(self.known) > 300_000:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        hashes = np.array([xxh64_intdigest(w, _SEED) for w in new], np.uint64)
+        at = np.searchsorted(self.terms, hashes)
+        own = np.where(np.append(self.terms, np.uint64(0))[at] == hashes, at, -1) if len(self.terms) else np.full(len(new), -1)
+        for word, i, last in zip(new, own.tolist(), (at == len(self.terms)).tolist(), strict=True):
+            more = [self.stems[s] for s in stems_of(word) if s in self.stems] if word[:4] in self.begins else ()
+            self.known[word] = (-1 if last else i, *more)
+
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each text: dimensions in order and their counts, and the squared length that all other words add, before their idf."""
+        counted = [words_of(t) for t in texts]
+        self.meet(set().union(*counted))
+        out, known = [], self.known
+        for words in counted:
+            seen: dict[int, int] = {}
+            other: list[int] = []
+            for word, times in words.items():
+                for i in known[word]:
+                    if i < 0:
+                        other.append(times)
+                    else:
+                        seen[i] = seen.get(i, 0) + times
+            ids = np.fromiter(seen, np.int64, len(seen))
+            order = np.argsort(ids)
+            rest = float(((1 + np.log(other)) ** 2).sum()) if other else 0.0
+            out.append((ids[order], np.fromiter(seen.values(), np.int64, len(seen))[order], rest))
+        return out
 
 
 def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +208,7 @@ class BlockMaxIndex:
         for (ids, counts), (toxic, clean, doc_id) in self.made.items():
             ids, counts = np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32)
             by = ids[np.argsort(rank[ids], kind="stable")]
-            entries.append(((by[::-1][:1].tolist() if toxic else [-1], by[:3].tolist(), ids.tolist(), counts.tolist()), ids, counts, toxic, clean, doc_id))
+            entries.append(((int(by[-1]) if toxic else -1, by[:3].tolist(), ids.tobytes(), counts.tobytes()), ids, counts, toxic, clean, doc_id))
         entries.sort(key=lambda e: e[0])
         self.made = {}
         self.votes = np.array([e[3:5] for e in entries], float).reshape(-1, 2)
@@ -213,15 +225,23 @@ class BlockMaxIndex:
         weights = (1 + np.log(np.maximum(self.counts, 1))) * self.idf[self.ids]
         length = np.sqrt(np.bincount(entry, weights**2, minlength=n))
         weights = weights / length[entry]
-        order = np.argsort(self.ids, kind="stable")
-        self.entry, self.weight = entry[order].astype(np.int32), weights[order]
-        pair = self.ids[order].astype(np.int64) * (n // self.block + 1) + self.entry // self.block
+        common = np.argsort(-np.bincount(self.ids, minlength=len(self.idf)), kind="stable")[:DENSE]
+        self.column = np.full(len(self.idf), -1)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[self.ids] >= 0
+        self.blocks = -(-n // self.block)
+        # Rows are filled up to whole blocks.
+        self.matrix = np.zeros((self.blocks * self.block, len(common)), np.float32)
+        self.matrix[entry[dense], self.column[self.ids[dense]]] = weights[dense]
+        ids, entry, weights = self.ids[~dense], entry[~dense], weights[~dense]
+        order = np.argsort(ids, kind="stable")
+        self.entry, self.weight = entry[order], weights[order]
+        pair = ids[order].astype(np.int64) * (self.blocks + 1) + self.entry // self.block
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
         self.pair_edges = np.append(first, len(pair))
-        self.pair_block = (self.entry[first] // self.block).astype(np.int64)
+        self.pair_block = self.entry[first] // self.block
         self.pair_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.term_edges = np.searchsorted(self.ids[order][first], np.arange(len(self.idf) + 1))
-        self.blocks = -(-n // self.block)
+        self.term_edges = np.searchsorted(ids[order][first], np.arange(len(self.idf) + 1))
 
     def __getstate__(self):
         packed = zlib.compress(self.ids.astype(np.int32).tobytes() + self.counts.astype(np.int32).tobytes(), 1)
@@ -233,38 +253,49 @@ class BlockMaxIndex:
         self.ids, self.counts = np.frombuffer(zlib.decompress(packed), np.int32).reshape(2, -1)
         self.invert()
 
-    def search(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k nearest entries as (cosine, entry), best first, ties to the smaller entry; only positive cosines."""
+    def shares(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common features add to each entry's cosine, for (dimensions, weights) of several texts."""
+        asked = np.zeros((len(vectors), self.matrix.shape[1]), np.float32)
+        for row, (ids, weights) in zip(asked, vectors, strict=True):
+            at = self.column[ids]
+            row[at[at >= 0]] = weights[at >= 0]
+        return (asked @ self.matrix.T).astype(float)
+
+    def search(self, ids: np.ndarray, weights: np.ndarray, k: int, share: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k nearest entries as (cosine, entry), best first, ties to the smaller entry; only positive cosines.
+
+        share: the text's row of shares(), if that has been made with others.
+        """
         if not len(ids) or not self.blocks:
             return []
+        scores = self.shares([(ids, weights)])[0] if share is None else share
         pairs, sizes = _spans(self.term_edges[ids], self.term_edges[ids + 1])
-        if not len(pairs):
-            return []
-        of = np.repeat(weights, sizes)
-        block = self.pair_block[pairs]
-        bound = np.bincount(block, of * self.pair_most[pairs], minlength=self.blocks)
-        scores = np.zeros(len(self.examples))
-        order = np.argsort(-bound, kind="stable")
-        todo, least = order[:FIRST_BLOCKS], 0.0
+        of, block = np.repeat(weights, sizes), self.pair_block[pairs]
+        bound = scores.reshape(self.blocks, self.block).max(axis=1) + np.bincount(block, of * self.pair_most[pairs], minlength=self.blocks)
+        n = len(self.examples)
+        todo, least, done = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS], 0.0, np.zeros(self.blocks, bool)
         while len(todo):
             chosen = np.zeros(self.blocks, bool)
             chosen[todo] = True
-            own = chosen[block]
-            at, sizes = _spans(self.pair_edges[pairs[own]], self.pair_edges[pairs[own] + 1])
-            scores += np.bincount(self.entry[at], np.repeat(of[own], sizes) * self.weight[at], minlength=len(scores))
-            bound[todo] = -1.0
+            done |= chosen
+            own = pairs[chosen[block]]
+            at, sizes = _spans(self.pair_edges[own], self.pair_edges[own + 1])
+            entries = self.entry[at]
+            scores += np.bincount(entries, np.repeat(of[chosen[block]], sizes) * self.weight[at], minlength=len(scores))
+            seen = scores.reshape(self.blocks, self.block)[done].reshape(-1)
             # A block whose bound is not above the kth cosine, or is nothing, has no nearer entry.
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-            todo = np.flatnonzero((bound + 1e-9 >= least) & (bound > 0))
-        found = np.flatnonzero(scores >= max(least, 1e-12))
+            least = float(np.partition(seen, -k)[-k]) if len(seen) >= k else 0.0
+            todo = np.flatnonzero(~done & (bound + 1e-9 >= least) & (bound > 0))
+        # Entries of blocks that were not scored are below the kth cosine by their bound, so by what they have as well.
+        found = np.flatnonzero((scores[:n] >= max(least, 1e-12)) & np.repeat(done, self.block)[:n])
         found = found[np.lexsort((found, -scores[found]))][:k]
-        return [(float(scores[n]), int(n)) for n in found]
+        return [(float(scores[i]), int(i)) for i in found]
 
-    def vote(self, ids: np.ndarray, weights: np.ndarray, k: int, own: tuple[int, bool] | None = None) -> tuple[float | None, int, float]:
-        """The share of toxic votes, the nearest entry and its cosine. own: leave out one example of an entry."""
+    def vote(self, near: list[tuple[float, int]], k: int, own: tuple[int, bool] | None = None) -> tuple[float | None, int, float]:
+        """The share of toxic votes, the nearest entry and its cosine, by the nearest entries. own: leave out one example of an entry."""
         toxic, total = PRIOR_VOTE * self.prior, PRIOR_VOTE
         best, left = (-1, 0.0), float(k)
-        for cosine, n in self.search(ids, weights, k + 1 if own else k):
+        for cosine, n in near:
             t, c = self.votes[n]
             if own and own[0] == n:
                 t, c = t - own[1], c - (not own[1])
@@ -279,12 +310,17 @@ class BlockMaxIndex:
                     break
         return (toxic / total if best[0] >= 0 else None), *best
 
-    def own_votes(self, n: int, k: int) -> list[float | None]:
-        """The votes for an entry's toxic and for its clean examples, each without one of them."""
-        span = slice(self.edges[n], self.edges[n + 1])
-        ids = self.ids[span].astype(np.int64)
-        weights = self.weigh(ids, self.counts[span])
-        return [self.vote(ids, weights, k, (n, label))[0] if times else None for label, times in zip((True, False), self.votes[n], strict=True)]
+    def own_votes(self, entries: list[int], k: int) -> list[list[float | None]]:
+        """For each entry the votes for its toxic and for its clean examples, each without one of them."""
+        out = []
+        for at in range(0, len(entries), TOGETHER):
+            some = entries[at : at + TOGETHER]
+            spans = [slice(self.edges[n], self.edges[n + 1]) for n in some]
+            vectors = [(self.ids[s].astype(np.int64), self.weigh(self.ids[s], self.counts[s])) for s in spans]
+            for n, vector, share in zip(some, vectors, self.shares(vectors), strict=True):
+                near = self.search(*vector, k + 1, share)
+                out.append([self.vote(near, k, (n, label))[0] if times else None for label, times in zip((True, False), self.votes[n], strict=True)])
+        return out
 
     def set_prior(self, empty: tuple[int, int]) -> None:
         """empty: toxic and clean examples without features."""
@@ -310,20 +346,28 @@ class BlockMaxIndex:
         values = [(ones + 2 * share) / (times + 2) for share, ones, times in pools]
         self.steps = ([p[0] for p in pools], np.maximum.accumulate(values).tolist() if values else [])
 
-    def score(self, ids: np.ndarray, counts: np.ndarray, rest: float, k: int) -> tuple[float, int, float, np.ndarray]:
-        """The calibrated score, the nearest entry, its cosine, and the text's weights."""
-        weights = self.weigh(ids, counts, rest)
-        share, nearest, cosine = self.vote(ids, weights, k)
-        if share is None:
-            return self.default, -1, 0.0, weights
+    def calibrated(self, share: float | None) -> float:
+        """The score of a share of votes."""
         starts, values = self.steps
+        if share is None or not values:
+            return self.default
         at = bisect_right(starts, share) - 1
-        if at < 0 or not starts:
-            return (values[0] if values else self.default), nearest, cosine, weights
+        if at < 0:
+            return values[0]
         if at + 1 < len(starts):  # straight lines between the pools' starts keep the order of votes
             into = (share - starts[at]) / (starts[at + 1] - starts[at])
-            return values[at] + into * (values[at + 1] - values[at]), nearest, cosine, weights
-        return values[at], nearest, cosine, weights
+            return values[at] + into * (values[at + 1] - values[at])
+        return values[at]
+
+    def score(self, made: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[tuple[float, int, float, np.ndarray]]:
+        """For each of Space.vectors(): the calibrated score, the nearest entry, its cosine, and the text's weights."""
+        out = []
+        for at in range(0, len(made), TOGETHER):
+            vectors = [(ids, self.weigh(ids, counts, rest)) for ids, counts, rest in made[at : at + TOGETHER]]
+            for (ids, weights), share in zip(vectors, self.shares(vectors), strict=True):
+                voted, nearest, cosine = self.vote(self.search(ids, weights, k, share), k)
+                out.append((self.calibrated(voted), nearest, cosine, weights))
+        return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
@@ -355,11 +399,10 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         seen, rows = np.zeros(len(of.terms), np.int64), 0
-        for batch in batches:
+        for batch in sliced(batches):
             rows += batch.num_rows
-            for text in batch.column(0):
-                own = of.vector(text.as_py())[0]
-                seen[own] += 1
+            for ids, *_ in of.vectors(batch.column(0).to_pylist()):
+                seen[ids] += 1
         ids = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(seen[ids], rows))], names=["id", "n"])
 
@@ -374,7 +417,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shared.value.vector(t) for t in batch.column(1).to_pylist()]
+            made = shared.value.vectors(batch.column(1).to_pylist())
             lists = [pa.array([v[i] for v in made], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "toxic", "ids", "counts"])
 
@@ -393,7 +436,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [early.value.own_votes(n, neighbours) for n in batch.column(0).to_pylist()]
+            votes = early.value.own_votes(batch.column(0).to_pylist(), neighbours)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([v[i] for v in votes], pa.float64()) for i in (0, 1))], names=["id", "toxic", "clean"])
 
     parts = spark.sparkContext.defaultParallelism * 2
@@ -418,13 +461,10 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], text: str, sc
         space, index = shared.value
         for batch in sliced(batches):
             rows = []
-            for raw in batch.column(at):
-                ids, counts, rest = space.vector(raw.as_py())
-                score, nearest, cosine, words = index.default, -1, 0.0, []
-                if len(ids):
-                    score, nearest, cosine, weights = index.score(ids, counts, rest, neighbours)
-                    telling = [i for i in range(len(ids)) if int(ids[i]) in space.names]
-                    words = [space.names[int(ids[i])] for i in sorted(telling, key=lambda i: -weights[i])][:5]
+            made = space.vectors(batch.column(at).to_pylist())
+            for (ids, *_), (score, nearest, cosine, weights) in zip(made, index.score(made, neighbours), strict=True):
+                telling = [i for i in range(len(ids)) if int(ids[i]) in space.names]
+                words = [space.names[int(ids[i])] for i in sorted(telling, key=lambda i: -weights[i])][:5]
                 score = min(1.0, max(0.0, float(score)))
                 rows.append((score, int(score >= THRESHOLD), index.examples[nearest] if nearest >= 0 else None, float(cosine), words))
             kept = batch.columns[:at]
