@@ -38,7 +38,7 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/loomspark-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, partition_by: tuple[str, ...] = (), codec: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage, so that lost executors cost a reread and not a recomputation, and
@@ -47,7 +47,7 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark)
     _made.append(path)
-    writer = df.write
+    writer = df.write.option("compression", codec) if codec else df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -4,15 +4,16 @@ A payload of bytes is kept as signed 8-bit samples (byte - 128) in frames of 102
 constant, a verbatim or a linear-prediction subframe: a fixed predictor of order 0 to 3 or one of order LPC_ORDER
 fitted to the frame, whichever codes shortest, with Rice-coded residuals in eight partitions. The stream has the
 STREAMINFO block with the MD5 of the samples and a SEEKTABLE with every frame, so that any block of samples can
-be read alone.
+be read alone; a stream of more frames than a table can hold has points at equal distances, and the frames between two
+points are found by their headers and checksums.
 
 The decoder reads any such stream of 8-bit mono: all subframe types, predictors up to order 32, both Rice methods,
 escaped partitions, any block size. It checks the CRC-8 of every frame header, the CRC-16 of every
 frame and the MD5 of the stream, and raises ValueError if one is wrong. Frames are decoded side by side: step i takes the
 ith residual of every frame from a 64-bit window at its bit position.
 
-Memory: a task codes batches of about BATCH bytes; a longer text is cut into such batches of frames and only
-its own bytes are held beside them.
+Memory: a task codes batches of about BATCH bytes and decodes TOGETHER frames at once; of a longer text only its own
+bytes, coded and decoded, are held beside them.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ ALIGN = 64
 LPC_ORDER = 4
 PARTITION_ORDER = 3
 BATCH = 1 << 20
+TOGETHER = 1024
+#: Points of a seek table: a metadata block's length has 24 bits.
+POINTS = 900_000
 RATE = 16000
 #: Coefficients of the fixed predictors by order (fixed values of the format).
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -230,12 +234,13 @@ def _stream(payload: bytes, frames: list[bytes]) -> bytes:
     sizes = list(map(len, frames))
     bits = RATE << 44 | 0 << 41 | 7 << 36 | len(payload)
     info = struct.pack(">HH", block, block) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + bits.to_bytes(8, "big") + _samples_md5(payload)
-    offsets = np.cumsum([0, *sizes[:-1]])
-    points = np.zeros(len(frames), [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-    points["sample"], points["offset"], points["n"] = np.arange(len(frames)) * FRAME, offsets, FRAME
-    points["n"][-1] = len(payload) - (len(frames) - 1) * FRAME
-    # A metadata block's length has 24 bits, so very long streams have several seek tables' worth cut off: see seek().
-    table = points.tobytes()[: 18 * 900_000]
+    step = -(-len(frames) // POINTS)
+    offsets = np.cumsum([0, *sizes[:-1]])[::step]
+    points = np.zeros(len(offsets), [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+    points["sample"], points["offset"], points["n"] = np.arange(len(offsets)) * FRAME * step, offsets, FRAME
+    if (len(frames) - 1) % step == 0:
+        points["n"][-1] = len(payload) - (len(frames) - 1) * FRAME
+    table = points.tobytes()
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(frames)
 
 
@@ -448,24 +453,64 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads of streams that have a seek point for each frame, with every checksum verified."""
+    """The payloads of streams, with every checksum verified."""
     out = []
     for batch in _batches(streams):
         layouts = [Layout(s) for s in batch]
-        cut = [_cut(s, x) for s, x in zip(batch, layouts, strict=True)]
-        samples = iter(decode_frames([f for fs in cut for f in fs]))
-        for layout, fs in zip(layouts, cut, strict=True):
-            own = np.concatenate([next(samples) for _ in fs])
-            payload = (own + 128).astype(np.uint8).tobytes()
-            if len(payload) != layout.samples or _samples_md5(payload) != layout.md5:
+        payloads, sums = [bytearray() for _ in batch], [hashlib.md5() for _ in batch]
+        held: list[tuple[int, bytes]] = []
+
+        def take(payloads=payloads, sums=sums, held=held) -> None:
+            for (i, _), samples in zip(held, decode_frames([f for _, f in held]), strict=True):
+                sums[i].update(samples.astype(np.int8).tobytes())
+                payloads[i] += (samples + 128).astype(np.uint8).tobytes()
+            held.clear()
+
+        for i, (stream, layout) in enumerate(zip(batch, layouts, strict=True)):
+            for frame in _cut(stream, layout):
+                held.append((i, frame))
+                if len(held) >= TOGETHER:
+                    take()
+        take()
+        for payload, md5, layout in zip(payloads, sums, layouts, strict=True):
+            if len(payload) != layout.samples or md5.digest() != layout.md5:
                 raise ValueError("wrong MD5 of the samples")
-            out.append(payload)
+            out.append(bytes(payload))
     return out
 
 
-def _cut(stream: bytes, layout: Layout) -> list[bytes]:
-    edges = [*(layout.start + layout.offsets).tolist(), len(stream)]
-    return [stream[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+def _cut(stream: bytes, layout: Layout, first: int = 0, last: int | None = None) -> Iterator[bytes]:
+    """The frames from a seek point on, up to another; all without points."""
+    ends = [*(layout.start + layout.offsets).tolist(), len(stream)] if len(layout.offsets) else [layout.start, len(stream)]
+    samples = [*layout.first.tolist(), layout.samples] if len(layout.offsets) else [0, layout.samples]
+    for i in range(first, len(ends) - 1 if last is None else last):
+        if samples[i + 1] - samples[i] <= layout.block:
+            yield stream[ends[i] : ends[i + 1]]
+        else:
+            yield from _between(stream, ends[i], ends[i + 1])
+
+
+def _between(stream: bytes, at: int, end: int) -> Iterator[bytes]:
+    """The frames of a stretch without seek points: each ends where its CRC-16 is right and a header, or the stretch's end, follows."""
+    while at < end:
+        after = at + 9
+        while after < end:
+            after = stream.find(b"\xff\xf8", after, end)
+            if after < 0:
+                after = end
+            elif _is_header(stream[after : after + 16]) and crc16([stream[at : after - 2]])[0] == int.from_bytes(stream[after - 2 : after], "big"):
+                break
+            else:
+                after += 1
+        yield stream[at : min(after, end)]
+        at = after
+
+
+def _is_header(head: bytes) -> bool:
+    try:
+        return _parse_header(head)[1] > 0
+    except ValueError:
+        return False
 
 
 def _batches(items: list[bytes]) -> Iterator[list[bytes]]:
@@ -485,7 +530,7 @@ def seek(stream: bytes, sample: int, count: int) -> bytes:
     layout = Layout(stream)
     first = max(0, int(np.searchsorted(layout.first, sample, side="right")) - 1)
     last = int(np.searchsorted(layout.first, min(sample + count, layout.samples), side="left"))
-    samples = np.concatenate(decode_frames(_cut(stream, layout)[first:last]) or [np.zeros(0, int)])
+    samples = np.concatenate(decode_frames(list(_cut(stream, layout, first, max(first, last)))) or [np.zeros(0, int)])
     at = sample - int(layout.first[first])
     return (samples[at : at + count] + 128).astype(np.uint8).tobytes()
 
@@ -610,5 +655,8 @@ def block_features(table: DataFrame) -> DataFrame:
 
 
 def through_storage(docs: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """block_features of docs, by two written tables: the media, and the PCM blocks decoded from it as read again."""
-    return block_features(materialize(decoded(materialize(store(docs)), block)))
+    """block_features of docs, by two written tables: the media, and the PCM blocks decoded from it as read again.
+
+    PCM is written with Zstandard, as it is as large as the text; media is dense already.
+    """
+    return block_features(materialize(decoded(materialize(store(docs)), block), codec="zstd"))

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import hashlib
 import struct
 import zlib
@@ -22,7 +25,7 @@ def test_round_trip_and_kinds():
     media = flac.encode(data)
     assert flac.decode(media) == data
     assert len(media[1]) < 200 and len(media[5]) < 0.4 * len(data[5]) and len(media[2]) < 1.05 * len(data[2])
-    kinds = {f[len(flac.frame_header(0, 1024))] >> 1 for m in media for f in flac._cut(m, flac.Layout(m))[:1] if f[2] == 0xA0}
+    kinds = {f[len(flac.frame_header(0, 1024))] >> 1 for m in media for f in list(flac._cut(m, flac.Layout(m)))[:1] if f[2] == 0xA0}
     assert {0, 1} <= kinds and kinds & {8, 9, 10, 11, 31 + flac.LPC_ORDER}
     assert flac.encode([data[4]])[0] == media[4]
     with pytest.raises(ValueError):
@@ -142,3 +145,38 @@ def test_query_reads_media_and_blocks_from_storage(spark, tmp_path):
     assert media.columns == ["doc_id", "n_bytes", "media"] and media.count() == 4
     cut = flac.decoded(media.where("doc_id = 3"), 100).first().blocks
     assert [b.sample_offset for b in cut] == list(range(0, 704, 100)) and b"".join(bytes(b.pcm) for b in cut) == flac.payload_of(rows[0][1].encode())
+
+
+def test_more_frames_than_seek_points(monkeypatch):
+    """Points at equal distances, and frames between them found by their checksums; a stream without points too."""
+    rng = np.random.default_rng(4)
+    payload = (bytes(rng.integers(0, 256, 20_000, np.uint8)) + b"plain words again \xff\xf8\xff\xf8 and " * 3000)[: 64 * 1500]
+    whole = flac.encode([payload])[0]
+    monkeypatch.setattr(flac, "POINTS", 7)
+    few = flac.encode([payload])[0]
+    assert len(flac.Layout(few).first) <= 7 and flac.decode([few, whole]) == [payload, payload]
+    for at, n in ((0, 10), (5000, 3000), (95_000, 1000), (40_000, 1)):
+        assert flac.seek(few, at, n) == payload[at : at + n]
+    layout = flac.Layout(few)
+    info = b"\x80" + few[5:42]
+    assert flac.decode([b"fLaC" + info + few[layout.start :]]) == [payload]
+    with pytest.raises(ValueError):
+        flac.decode([few[:-300] + bytes([few[-300] ^ 1]) + few[-299:]])
+
+
+def test_memory_does_not_grow_with_the_frames(tmp_path):
+    """Beyond the bytes of text and media themselves, decoding holds a batch of frames: 2 and 24 MB peak alike."""
+    code = """
+import resource, sys
+from loomspark.llm import flac
+payload = (b"some words of a text, " * 64 * int(sys.argv[1]))[: 1024 * 1024 * int(sys.argv[1]) // 24 * 24 // 64 * 64]
+media = flac.encode([payload])[0]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert flac.decode([media])[0] == payload
+print(before, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, len(payload) // 1024)
+"""
+    peaks = []
+    for size in ("2000", "24000"):
+        before, after, kilobytes = map(int, subprocess.run([sys.executable, "-c", code, size], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout.split())
+        peaks.append(after - 4 * kilobytes)
+    assert peaks[1] < peaks[0] + 120_000
