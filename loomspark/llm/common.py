@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,16 @@ def clean_up(spark: SparkSession) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def file_order(df: DataFrame) -> list[Column]:
+    """Columns that tell the order in which df's rows were written, if df reads Parquet files as they are; else none."""
+    columns = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        df.select(*columns)
+    except AnalysisException:
+        return []
+    return columns
+
+
 def least_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` rows of df, those whose key has the least hashes: a sample that is the same in every run.
 

@@ -18,10 +18,10 @@ no rows. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,9 +71,10 @@ class BestFit:
         return sequence, self.capacity - free
 
 
-def _piece_schema(docs: DataFrame, keep_ids: bool) -> T.StructType:
+def _piece_schema(docs: DataFrame, keep_ids: bool, order: list[T.StructField]) -> T.StructType:
     fields = [
         T.StructField("doc_id", docs.schema["doc_id"].dataType),
+        *order,
         T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
@@ -82,17 +83,19 @@ def _piece_schema(docs: DataFrame, keep_ids: bool) -> T.StructType:
     return T.StructType(fields + [T.StructField("ids", T.BinaryType())] * keep_ids)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, and ids (binary) if wanted."""
-    schema = _piece_schema(docs, keep_ids)
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, order: Sequence[Column] = ()) -> DataFrame:
+    """One row for each piece: doc_id, the order columns as order_0, order_1, ..., piece, start, length, ids_crc32, and ids (binary) if wanted."""
+    read = docs.select("doc_id", *(c.alias(f"order_{i}") for i, c in enumerate(order)), "text")
+    kept = len(order) + 1
+    schema = _piece_schema(docs, keep_ids, list(read.schema.fields[1:kept]))
     end = end_id.to_bytes(4, "little")
     width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in batches:
-            source, columns = [], [[] for _ in schema.names[1:]]
-            for row, text in enumerate(batch.column(1)):
+            source, columns = [], [[] for _ in schema.names[kept:]]
+            for row, text in enumerate(batch.column(kept)):
                 ids = encode(text.as_py()) + end
                 for at in range(0, len(ids), width):
                     part = ids[at : at + width]
@@ -101,13 +104,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         column.append(value)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *arrays], names=schema.names)
+            rows = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:kept]), *arrays], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return read.mapInArrow(cut, schema)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, open_sequences: int = OPEN_SEQUENCES) -> DataFrame:
-    """Adds sequence_id and offset to rows of pieces(); cut is read twice, so give a written table."""
+    """Adds sequence_id and offset to rows of pieces(); cut is read twice, so give a written table.
+
+    With order columns a task packs a stretch of that order, and sequence_id follows the stretches.
+    """
     total = cut.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, min(shuffle_partitions(cut.sparkSession), round(total / capacity / SEQUENCES_A_TASK)))
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -123,13 +130,18 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_sequences: int = OPEN_SE
             offset = pa.array([at for _, at in placed], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, sequence, offset], names=schema.names)
 
-    order = (F.desc("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32"))
-    return cut.repartition(tasks).sortWithinPartitions(*order).mapInArrow(fill, schema)
+    by = [c for c in cut.columns if c.startswith("order_")]
+    dealt = cut.repartitionByRange(tasks, *by) if by else cut.repartition(tasks)
+    return dealt.sortWithinPartitions(F.desc("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")).mapInArrow(fill, schema)
 
 
-def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_sequences: int = OPEN_SEQUENCES, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """Pack documents (doc_id, text): a row for each piece with its sequence and place."""
-    return pack(materialize(pieces(docs, tokenizer, capacity, end_id, keep_ids)), capacity, open_sequences)
+def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_sequences: int = OPEN_SEQUENCES, end_id: int = END_ID, keep_ids: bool = False, order: Sequence[Column] = ()) -> DataFrame:
+    """Pack documents (doc_id, text): a row for each piece with its sequence and place.
+
+    order: columns that tell the order of training. Documents then share a sequence only with others of their stretch of it,
+    of about SEQUENCES_A_TASK sequences, and the columns come out as order_0, order_1, ...
+    """
+    return pack(materialize(pieces(docs, tokenizer, capacity, end_id, keep_ids, order)), capacity, open_sequences)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
-from loomspark.llm import mixing, packing, secrets, simhash, toxicity  # noqa: E402
+from loomspark.llm import mixing, packing, secrets, toxicity  # noqa: E402
 from loomspark.llm.common import materialize  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -46,14 +46,17 @@ def test_toxicity(spark, stages):
 
 
 def test_near_duplicates(stages):
+    """All pairs of texts, by their whole sets of five-word shingles."""
     before, after = stages["near_duplicates"]
     rows = keyed(before)
-    prints = {d: simhash.fingerprint(r.text.encode()) for d, r in rows.items()}
-    kept = []
+    sets = {}
+    for d, r in rows.items():
+        words = r.text.encode().lower().split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
     label = {d: d for d in rows}
     for d in sorted(rows):
         for e in sorted(rows):
-            if e < d and (prints[d] ^ prints[e]).bit_count() <= 2:
+            if e < d and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]):
                 a, b = sorted((label[d], label[e]))
                 label = {k: a if v == b else v for k, v in label.items()}
     kept = sorted(set(label.values()))
@@ -83,6 +86,9 @@ def test_mixing(stages):
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
         assert r == keyed(before)[r.doc_id]
     assert got == taken
+    order = {r.doc_id: r.positions for r in mixing.mixing_report(before).collect()}
+    stream = [r.doc_id for r in after.orderBy("_metadata.file_name", "_metadata.row_index").collect()]
+    assert stream == [d for _, d in sorted((u, d) for d, own in order.items() for u in own)]
 
 
 def test_packing(spark, stages, vocabulary):
@@ -91,6 +97,10 @@ def test_packing(spark, stages, vocabulary):
     assert sorted(want.collect()) == sorted(after.groupBy("doc_id", "piece", "ids_crc32").count().collect())
     full = after.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("d"), F.count("*").alias("c"))
     assert full.where("n > 4096 OR d <> c").count() == 0
+    # A task's sequences hold one stretch of the training order.
+    spans = after.groupBy(F.shiftright("sequence_id", 40).alias("task")).agg(F.min(F.struct("order_0", "order_1")).alias("a"), F.max(F.struct("order_0", "order_1")).alias("b"))
+    ends = [(tuple(r.a), tuple(r.b)) for r in spans.orderBy("task").collect()]
+    assert all(x[1] < y[0] for x, y in zip(ends, ends[1:], strict=False))
 
 
 def test_run_is_the_stages(spark, stages):
