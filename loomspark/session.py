@@ -31,10 +31,13 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which driver and executors share.
 
-    Only where the setting is absent (tests, a single machine) a temporary folder takes its place.
+    Only where the setting is absent and the master is local (tests, a single machine) a temporary folder takes its place;
+    on a cluster its absence is an error, as other machines could not read such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="loomspark-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
