@@ -95,10 +95,14 @@ def hex_colors(css: Column) -> Column:
 
 def title(html: Column) -> Column:
     """The first title's text, trimmed; null if there is none. The five basic references are decoded."""
-    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return F.nullif(F.trim(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+
+
+def unescape(raw: Column) -> Column:
+    """The five basic character references, decoded."""
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         raw = F.replace(raw, F.lit(name), F.lit(sign))
-    return F.nullif(F.trim(raw), F.lit(""))
+    return raw
 
 
 def html_lang(html: Column) -> Column:

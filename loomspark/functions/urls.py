@@ -75,6 +75,40 @@ def domain(url: Column) -> Column:
     return F.when(host(url) != "", host(url)).when(scheme(url) == "file", F.lit("file")).otherwise(F.lit("invalid"))
 
 
+def _without_dots(target: Column) -> Column:
+    """A path without its . and .. segments."""
+    segments = F.split(target, "/")
+    last = F.element_at(segments, -1).isin(".", "..")
+    kept = F.aggregate(
+        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    whole = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when(target.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), whole).otherwise(target)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """A reference against an absolute base, without its fragment (RFC 3986, section 5.2); native."""
+    ref = F.regexp_replace(F.trim(reference), r"(?s)#.*$", "")
+    query = F.regexp_extract(ref, r"(?s)(\?.*)$", 1)
+    bare = F.regexp_replace(ref, r"(?s)\?.*$", "")
+    site = F.concat(scheme(base), F.lit("://"), F.regexp_replace(_part(base, 2), r"^.*@", ""))
+    own = F.when(path(base) == "", F.lit("/")).otherwise(path(base))
+    folder = F.regexp_replace(own, r"[^/]*$", "")
+    asked = F.when(F.trim(base).rlike(r"^[^#]*\?"), F.concat(F.lit("?"), _part(base, 4))).otherwise(F.lit(""))
+    absolute = ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    whole = F.when(absolute, ref).otherwise(F.concat(scheme(base), F.lit(":"), ref))
+    elsewhere = F.when(whole.rlike(_PARTS), F.concat(scheme(whole), F.lit("://"), _part(whole, 2), _without_dots(path(whole)), query)).otherwise(whole)
+    return (
+        F.when(absolute | ref.startswith("//"), elsewhere)
+        .when(ref == "", F.concat(site, own, asked))
+        .when(bare == "", F.concat(site, own, query))
+        .when(bare.startswith("/"), F.concat(site, _without_dots(bare), query))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, bare)), query))
+    )
+
+
 def registrable_domain(host_name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """Public suffix and one label; IP addresses and bare hosts are themselves."""
     labels = F.split(host_name, r"\.")

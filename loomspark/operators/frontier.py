@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
 from ..session import shared_dir
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """Distinct (page_id, link) of the site's own paths in href attributes. Native: for well-formed anchors.
+#: Text that holds no anchors, whatever it says.
+_NO_ANCHORS = r"(?is)<!--.*?-->|<(script|style|noscript|textarea|title|iframe|xmp|noembed|noframes)\b[^>]*+>.*?</\1\s*>"
+#: An anchor's attributes, in any order and quoting; the repeated group is possessive, so it does not recurse.
+_ANCHOR = r"(?is)<a\s((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+_HREF = r"(?is)(?:^|\s)(?<![\w-])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
-    Fragments are dropped; a link keeps its page's scheme and host.
+
+def anchors(html: Column) -> Column:
+    """The href values of a page's anchors, entities decoded, in page order."""
+    tags = F.regexp_extract_all(F.regexp_replace(html, _NO_ANCHORS, " "), F.lit(_ANCHOR), F.lit(1))
+    # Quoted values of other attributes may hold anything, so they are blanked before href is looked for.
+    blank = lambda t: F.regexp_replace(t, r"(?is)([\w:-]++)(?<!^href)(?<!\shref)\s*=\s*(?:\"[^\"]*\"|'[^']*')", " ")
+    value = lambda t: F.concat(*(F.regexp_extract(blank(t), _HREF, i) for i in (1, 2, 3)))
+    return F.filter(F.transform(tags, lambda t: F.trim(text.unescape(value(t)))), lambda h: h != "")
+
+
+def page_links(pages: DataFrame, scope: urls.Scope | None = None, same_host: bool = True, assets: bool = False) -> DataFrame:
+    """Distinct (page_id, link): what pages (page_id, url, html) link to, resolved, canonical and within scope. Native.
+
+    Links of other schemes than http, https and file go, and so do those to other hosts (same_host), out of scope, and to
+    files that are no pages (unless assets). Globs and prefixes of the scope meet the canonical form. Null pages have none.
     """
-    site = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host_port(F.col("url")))
-    found = F.regexp_extract_all("html", F.lit(r"<a href=\"(/[^\"#]*)\""), F.lit(1))
-    return pages.select("page_id", F.explode(F.array_distinct(F.transform(found, lambda p: F.concat(site, p)))).alias("link"))
+    found = pages.select("page_id", "url", F.explode(F.array_distinct(anchors(F.col("html")))).alias("href"))
+    found = found.select("page_id", "url", urls.resolve(F.col("url"), F.col("href")).alias("target"))
+    found = found.where(urls.scheme(F.col("target")).isin("http", "https", "file"))
+    link = F.col("link")
+    found = found.select("page_id", "url", urls.canonicalize(F.col("target")).alias("link")).where(link.isNotNull())
+    if same_host:
+        found = found.where(urls.host(link) == urls.host(F.col("url")))
+    if scope:
+        found = found.where(scope.allows(link))
+    if not assets:
+        found = found.where(~urls.is_asset(link))
+    return found.select("page_id", "link").distinct()
 
 
 def _keep(df: DataFrame) -> DataFrame:

@@ -124,9 +124,31 @@ links AS (
   SELECT page_id, scheme || '://' || host || unnest(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1)) AS link FROM canonical)"""
 
 
-@query(f"WITH {_LINKS} SELECT DISTINCT page_id, link FROM links")
+# Anchors in many forms, with {h}, {H}, {s} and {n} for a page's host, upper-case host, scheme and number, and what each must come to, by its making.
+_FORMS = (
+    ("""<A class="x" HREF='{s}://{H}/Abs/{n}?b=2&amp;a=1&utm_source=z#top'>""", "'/Abs/' || page_id || '?a=1&b=2'"),
+    ("<a href=rel{n}>", "regexp_replace(path, '[^/]*$', '') || 'rel' || page_id"),
+    ("""<a data-href="/no" title="> href=/not"\n href = "../../../up/./{n}/x/../y?q={n}">""", "'/up/' || page_id || '/y?q=' || page_id"),
+    ("""<a href="//{h}/slashes/{n}" href="/second">""", "'/slashes/' || page_id"),
+    ("""<a rel='nofollow' href="?only={n}">""", "path || '?only=' || page_id"),
+    # No links: in comments and scripts, elsewhere, of other schemes, to files, and on other elements.
+    ("""<!-- <a href="/comment{n}"> --><script>var a = '<a href="/script">';</script>""", None),
+    ("""<a href="https://elsewhere.example/{n}">""", None),
+    ("""<a href="mailto:x{n}@example.com"><a href="javascript:void(0)">""", None),
+    ("""<a href="/file{n}.PDF?x=1">""", None),
+    ("""<abbr href="/abbr"><area href="/area"><a name="/name">""", None),
+)
+_MADE = ", ".join(f"scheme || '://' || host || {link}" for _, link in _FORMS if link)
+
+
+@query(f"WITH {_LINKS} SELECT DISTINCT page_id, link FROM links UNION SELECT page_id, unnest([{_MADE}]) FROM canonical")
 def html_links(spark, sf_dir):
-    return frontier.page_links(table(spark, sf_dir, "pages")).select("page_id", "link")
+    u = F.col("url")
+    written = F.lit("".join(form for form, _ in _FORMS))
+    for sign, value in (("{s}", urls.scheme(u)), ("{h}", urls.host_port(u)), ("{H}", F.upper(urls.host_port(u))), ("{n}", F.col("page_id").cast("string"))):
+        written = F.replace(written, F.lit(sign), value)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", written).alias("html"))
+    return frontier.page_links(pages).select("page_id", "link")
 
 
 @query(f"WITH {_LINKS} SELECT link, COUNT(DISTINCT page_id) AS pages FROM links WHERE link NOT IN (SELECT canonical FROM canonical) GROUP BY link")
@@ -216,16 +238,18 @@ _SIGNS = ("_cf_chl_opt", "challenges.cloudflare.com/turnstile", "datadome captch
 
 def _signed(pages):
     sign = F.element_at(F.array(*map(F.lit, _SIGNS)), (F.col("page_id") % len(_SIGNS) + 1).cast("int"))
-    return pages.withColumn("body", F.concat(F.lit("<html>"), F.left("html", F.lit(300)), sign))
+    return pages.withColumn("body", F.concat(F.col("html"), F.lit(" "), sign))
 
 
-_BODY = f"""b AS (SELECT page_id, '<html>' || substr(html, 1, 300) || [{", ".join(f"'{s}'" for s in _SIGNS)}][CAST(page_id % {len(_SIGNS)} AS INTEGER) + 1] AS body FROM pages),
-l AS (SELECT page_id, lower(body) AS lower FROM b)"""
+# The whole page and the sign at its end; small and thin are the detectors' gates.
+_BODY = rf"""b AS (SELECT page_id, html || ' ' || [{", ".join(f"'{s}'" for s in _SIGNS)}][CAST(page_id % {len(_SIGNS)} AS INTEGER) + 1] AS body FROM pages),
+l AS (SELECT page_id, {_STATUS} AS status, lower(body) AS lower, strlen(body) < {classify.SMALL_PAGE} AS small,
+  len(list_filter(regexp_split_to_array(regexp_replace(body, '[#*_`>~|()!\[\]-]+', ' ', 'g'), '\s+'), lambda x: x <> '')) < {classify.THIN_WORDS} AS thin FROM b)"""
 
 
 @query(
     f"""WITH {_BODY} SELECT page_id, CASE
-    {" ".join("WHEN " + " AND ".join(f"contains(lower, '{m}')" for m in marks) + f" THEN '{vendor}'" for vendor, marks in classify.VENDORS)} ELSE '' END AS vendor FROM l"""
+    {" ".join("WHEN small AND thin AND " + " AND ".join(f"contains(lower, '{m}')" for m in marks) + f" THEN '{vendor}'" for vendor, marks in classify.VENDORS)} ELSE '' END AS vendor FROM l"""
 )
 def challenge_vendor(spark, sf_dir):
     return _signed(table(spark, sf_dir, "pages")).select("page_id", classify.challenge_vendor(F.col("body")).alias("vendor"))
@@ -234,3 +258,9 @@ def challenge_vendor(spark, sf_dir):
 @query(f"WITH {_BODY} SELECT page_id, {_ANY(classify.MARKERS)} AS marked FROM l")
 def marker_scan(spark, sf_dir):
     return _signed(table(spark, sf_dir, "pages")).select("page_id", classify.has_any(F.lower("body"), classify.MARKERS).alias("marked"))
+
+
+@query(f"WITH {_BODY} SELECT page_id, status, small AND thin AND (status IN ({', '.join(map(str, classify.CHALLENGE_STATUSES))}) OR {_ANY(classify.MARKERS)}) AS challenge FROM l")
+def challenge_page(spark, sf_dir):
+    pages = _statuses(_signed(table(spark, sf_dir, "pages")))
+    return pages.select("page_id", "status", classify.is_challenge(F.col("body"), F.col("status")).alias("challenge"))

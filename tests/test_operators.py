@@ -171,6 +171,9 @@ def test_learning_and_moving_selectors():
     assert moved is None or moved["expr"] in (".price", "b.price")
     again = selectors.relocate([A.format(n="N", p="3.10").replace("<em>", "<i>"), A.format(n="M", p="4.20").replace("<em>", "<i>")], fp, {"coerce": "float"})
     assert again["expr"] == ".price" and selectors.relocate([A.format(n="N", p="3.1")], fp, {}) is None
+    pages = [A.format(n=n, p=p).replace("<em>", "<i>") for n, p in (("N", "3.10"), ("M", "4.20"), ("K", "5.00"))]
+    assert selectors.relocate(pages, fp, {"coerce": "float"}, [3.1, 4.2, None])["expr"] == ".price"
+    assert selectors.relocate(pages, fp, {"coerce": "float"}, [3.1, 9.9, 5.0]) is None and selectors.relocate(pages, fp, {"coerce": "float"}, [3.1, None, None]) is None
     assert [selectors.need(n) for n in (1, 2, 3, 5)] == [1, 2, 2, 4] and selectors.jaccard([], []) == 0 and selectors.jaccard(["a", "b"], ["b", "c"]) == 1 / 3
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"enum": ["x"]}}, "additionalProperties": False}
     assert selectors.validate({"a": 1, "b": "x"}, schema) == [] and len(selectors.validate({"b": "y", "c": 1}, schema)) == 3 and selectors.validate({"a": True}, schema)
@@ -231,3 +234,15 @@ def test_watch_stream_keeps_its_state(spark, tmp_path):
     rows = watch.run_once(watch.watch(stream), str(tmp_path / "kept")).where("NOT baseline").collect()
     assert [(r.url, r.seq, r.changed, r.diff) for r in rows] == [("u", 3, True, "- one\n+ two")]
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_relocation_sees_attribute_values():
+    """Two elements that differ in the value of one attribute only: the one with the remembered value is found."""
+    page = '<div class=box><span itemprop="{a}">10.00</span><span itemprop="{b}">12.00</span></div>'
+    fp = selectors.fingerprint(dom.first(dom.parse(page.format(a="price", b="shipping")), "[itemprop=price]"))
+    spec = {"coerce": "float"}
+    for order in ({"a": "price", "b": "shipping"}, {"a": "shipping", "b": "price"}):
+        found = {n.attrs["itemprop"]: selectors.similarity(n, fp, spec) for n in dom.parse(page.format(**order)).walk() if "itemprop" in n.attrs}
+        assert found["price"] == pytest.approx(found["shipping"] + 2 / 14.5)
+    moved = selectors.relocate([page.format(a="shipping", b="price")] * 2, fp, spec, [12.0, 12.0])
+    assert moved and [n.text() for n in selectors.select(dom.parse(page.format(a="shipping", b="price")), moved["expr"])][:1] == ["12.00"]

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from loomspark.functions import small
+from loomspark.functions import small, urls
 from loomspark.operators import ledger
 from loomspark.session import shared_dir, spread
 
@@ -83,3 +83,15 @@ def test_what_callers_bring(spark):
     for call in (lambda: clean.render(page, "pdf"), lambda: clean.prepare("", "csv")):
         with pytest.raises(ValueError):
             call()
+
+
+def test_resolve_is_rfc_3986(spark):
+    """The examples of the standard's section 5.4, without fragments, with http://a/b/c/d;p?q as base."""
+    cases = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y",
+        "#s": "http://a/b/c/d;p?q", "g#s": "http://a/b/c/g", ";x": "http://a/b/c/;x", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/",
+        "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g",
+        "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/../y": "http://a/b/c/y", "g?y/../x": "http://a/b/c/g?y/../x", "mailto:x": "mailto:x",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "r string").select("r", urls.resolve(F.lit("http://a/b/c/d;p?q"), F.col("r")).alias("u")).collect()
+    assert {r.r: r.u for r in rows} == cases
