@@ -170,3 +170,20 @@ def resolve_citations(report: str, known: dict[str, str]) -> tuple[str, list[str
 
     text = _CITE.sub(put, report)
     return text, [f"[^{n}]: {known[f]}" for f, n in numbers.items()], unknown
+
+
+def containing(pages: DataFrame, text: str, quotes: DataFrame, quote: str, anchor: int = 4) -> DataFrame:
+    """pages joined with quotes that their text holds, as it stands. Both are to have single spaces between words.
+
+    A quote's inner words stand between spaces wherever it occurs, so `anchor` of them, from its second word on, are among
+    the runs of words of every text that holds it: a hash join on these finds the candidates, and each is looked up. Quotes
+    of fewer than anchor + 2 words have no such run; they are looked up in every text, so give few of them.
+    """
+    words = F.split(F.col(quote), " ")
+    long = quotes.where(F.size(words) >= anchor + 2).withColumn("_anchor", F.xxhash64(F.slice(words, 2, anchor)))
+    short = quotes.where(F.size(words) < anchor + 2)
+    own = F.split(F.col(text), " ")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(own) - anchor + 1)), lambda i: F.xxhash64(F.slice(F.col("_words"), i, anchor)))
+    anchored = pages.withColumn("_words", own).withColumn("_anchor", F.explode(F.array_distinct(runs))).drop("_words")
+    found = anchored.join(long, "_anchor").where(F.contains(F.col(text), F.col(quote))).drop("_anchor")
+    return found.unionByName(pages.join(short, F.contains(F.col(text), F.col(quote)))) if not short.isEmpty() else found

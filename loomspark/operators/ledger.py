@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What a run or a call adds up to.
+PAGES, TOKENS = ("pages_ok", "pages_err"), ("prompt_tokens", "completion_tokens")
+
+
 def activity(runs: DataFrame, offset_minutes: int, since: str | None = None) -> DataFrame:
-    """Runs by local day, command and status. runs: ts, command, status, pages, tokens, usd. Watch checks are not runs."""
+    """Runs by local day, command and status. runs: ts, command, status, PAGES, TOKENS, usd. Watch checks are not runs."""
     day = F.to_date(F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(offset_minutes), F.lit(0)))
-    rows = runs.where("command <> 'watch'").withColumn("day", day).where("day IS NOT NULL")
-    if since:
-        rows = rows.where(F.col("ts") >= F.lit(since).cast("timestamp"))
-    sums = [F.count("*").alias("runs"), F.sum("pages").alias("pages"), F.sum("tokens").alias("tokens"), F.round(F.sum("usd"), 6).alias("usd")]
+    rows = _since(runs.where("command <> 'watch'"), since).withColumn("day", day).where("day IS NOT NULL")
+    sums = [F.count("*").alias("runs"), *(F.sum(c).alias(c) for c in (*PAGES, *TOKENS)), F.round(F.sum("usd"), 6).alias("usd")]
     return rows.groupBy("day", "command", "status").agg(*sums)
 
 
-def spend_by(calls: DataFrame, key: str = "provider", usd: str = "usd") -> DataFrame:
-    return calls.groupBy(key).agg(F.count("*").alias("calls"), F.round(F.sum(usd), 6).alias("usd"))
+def spend_by(calls: DataFrame, key: str = "provider", since: str | None = None) -> DataFrame:
+    """Calls, TOKENS and usd of each provider. calls: ts, the key, TOKENS, usd."""
+    sums = [F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in TOKENS), F.round(F.sum("usd"), 6).alias("usd")]
+    return _since(calls, since).groupBy(key).agg(*sums)
+
+
+def _since(rows: DataFrame, since: str | None) -> DataFrame:
+    return rows.where(F.col("ts") >= F.lit(since).cast("timestamp")) if since else rows
 
 
 def status_counts(state: DataFrame, statuses: tuple[str, ...], by: str | None = None) -> DataFrame:
@@ -138,13 +146,13 @@ VERDICTS = ("verified", "softened", "dropped", "contested")
 
 
 def apply_verdicts(facts: DataFrame, verdicts: DataFrame, order: str) -> DataFrame:
-    """facts (run_id, fact_id, status, note) under the last valid verdict of each; a softened one needs a note.
+    """facts (run_id, fact_id, status, note) under the first valid verdict of each; a softened one needs a note.
 
-    Verdicts on unknown facts are ignored.
+    Later verdicts on a fact and verdicts on unknown facts are ignored.
     """
     good = verdicts.where(F.col("status").isin(*VERDICTS) & ((F.col("status") != "softened") | (F.coalesce("note", F.lit("")) != "")))
-    last = good.groupBy("run_id", "fact_id").agg(F.max(F.struct(order, "status", "note")).alias("v"))
-    joined = facts.join(last, ["run_id", "fact_id"], "left")
+    first = good.groupBy("run_id", "fact_id").agg(F.min(F.struct(order, "status", "note")).alias("v"))
+    joined = facts.join(first, ["run_id", "fact_id"], "left")
     return joined.select("run_id", "fact_id", F.coalesce("v.status", "status").alias("status"), F.when(F.col("v").isNotNull(), F.col("v.note")).otherwise(F.col("note")).alias("note"))
 
 

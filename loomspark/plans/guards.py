@@ -48,7 +48,7 @@ def run_state_guard(spark, sf_dir):
 @query(
     """WITH v AS (SELECT l_orderkey AS run_id, CAST(l_linenumber % 3 AS VARCHAR) AS fact_id, l_partkey * 10 + l_linenumber AS seq, CASE WHEN l_quantity > 30 THEN 'verified' WHEN l_quantity > 20 THEN 'softened' WHEN l_quantity > 10 THEN 'contested' ELSE 'unverified' END AS status,
       CASE WHEN l_quantity > 25 THEN 'n' || l_partkey ELSE '' END AS note FROM lineitem),
-    good AS (SELECT run_id, fact_id, arg_max(status, (seq, status, note)) AS status, arg_max(note, (seq, status, note)) AS note FROM v WHERE status <> 'unverified' AND (status <> 'softened' OR note <> '') GROUP BY 1, 2),
+    good AS (SELECT run_id, fact_id, arg_min(status, (seq, status, note)) AS status, arg_min(note, (seq, status, note)) AS note FROM v WHERE status <> 'unverified' AND (status <> 'softened' OR note <> '') GROUP BY 1, 2),
     f AS (SELECT DISTINCT l_orderkey AS run_id, CAST(l_linenumber % 3 AS VARCHAR) AS fact_id FROM lineitem)
     SELECT f.run_id, f.fact_id, COALESCE(g.status, 'unverified') AS status, CASE WHEN g.run_id IS NULL THEN 'none' ELSE g.note END AS note FROM f LEFT JOIN good g USING (run_id, fact_id)"""
 )
@@ -117,12 +117,18 @@ def required_fields(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", small.all_present(record, ["a", "b"]).alias("complete"), small.needs_slow_path(fields, document).alias("slow"))
 
 
-@query(r"""SELECT doc_id, md5(trim(text)) AS plain FROM (SELECT doc_id, 'See link now  and   ' || left(text, 80) AS text FROM documents WHERE NOT regexp_matches(left(text, 80), '[\[<]|https?://'))""")
+_LEAD, _TAIL = "See [link](http://x/y) now [^1] and ![i](http://x/z.png) https://a.b/c ", " <b>end</b> [1]: http://x/q"
+#: The same steps as they are defined: images, links, reference definitions, footnote marks, tags, bare addresses.
+_STEPS = ((r"!\[([^\]]*)\]\(([^)]+)\)", ""), (r"\[([^\]]*)\]\(([^)]+)\)", r"\1"), (r"(?m)^\[[^\]]+\]:\s.*$", ""), (r"\[\^[^\]]+\]", ""), (r"<[^>]+>", ""), (r"https?://\S+", ""))
+_UNLINKED = f"'{_LEAD}' || text || '{_TAIL}'"
+for _pattern, _left in _STEPS:
+    _UNLINKED = f"regexp_replace({_UNLINKED}, '{_pattern}', '{_left}', 'g')"
+
+
+@query(f"SELECT doc_id, md5(trim({_UNLINKED})) AS plain FROM documents")
 def unlinked_report(spark, sf_dir):
-    head = F.left("text", F.lit(80))
-    report = F.concat(F.lit("See [link](http://x/y) now [^1] and ![i](http://x/z.png) https://a.b/c "), head)
-    rows = table(spark, sf_dir, "documents").where(~head.rlike(r"[\[<]|https?://"))
-    return rows.select("doc_id", F.md5(small.unlinked(report)).alias("plain"))
+    report = F.concat(F.lit(_LEAD), F.col("text"), F.lit(_TAIL))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(small.unlinked(report)).alias("plain"))
 
 
 @query("SELECT p_partkey, regexp_replace(p_brand || ' ' || p_name, '[^A-Za-z0-9_-]', '', 'g') AS css, left(p_name, 5) AS cut FROM part")

@@ -124,17 +124,22 @@ def site_feed(spark, sf_dir):
 
 @query()
 def word_diff(spark, sf_dir):
-    pages = table(spark, sf_dir, "conversations").where("turn < 2")
-    sides = pages.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("old"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("new"))
-    return diff.word_diffs(sides, "conv_id")
+    """Each turn of a conversation against the one before it."""
+    from pyspark.sql import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    key = F.concat_ws("/", "conv_id", "turn", "role").alias("turn_id")
+    turns = table(spark, sf_dir, "conversations").withColumn("old", before).where("old IS NOT NULL")
+    return diff.word_diffs(turns.select(key, "old", F.col("text").alias("new")), "turn_id")
 
 
 @query()
 def quote_verify_full(spark, sf_dir):
-    """Benchmark passages with copying's changes, each checked against the document of its number."""
+    """Passages from the middle of every document, with copying's changes, each checked against the whole document."""
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("markdown"))
-    quote = F.upper(F.substring("text", 1, 120))
-    facts = table(spark, sf_dir, "documents").where(F.length("text") > 200).select(F.col("doc_id").alias("url"), F.concat(F.lit('"'), quote, F.lit('."')).alias("quote"))
+    size = F.length("text")
+    quote = F.upper(F.substring(F.col("text"), F.floor(size / 3).cast("int") + 1, F.least(F.lit(500), F.floor(size / 3).cast("int"))))
+    facts = table(spark, sf_dir, "documents").where(size >= 60).select(F.col("doc_id").alias("url"), F.concat(F.lit('"'), quote, F.lit('."')).alias("quote"))
     return evidence.verify_quotes(facts, documents)
 
 

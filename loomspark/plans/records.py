@@ -77,7 +77,7 @@ def recdiff_items(spark, sf_dir):
 
 
 _RUNS = """runs AS (SELECT o_orderkey AS run_id, o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE AS ts, CASE o_orderkey % 4 WHEN 0 THEN 'scrape' WHEN 1 THEN 'crawl' WHEN 2 THEN 'watch' ELSE 'research' END AS command,
-  CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'finished' ELSE 'forgotten' END AS status, o_orderkey % 9 AS pages, o_custkey AS tokens, o_totalprice / 1000 AS usd, o_custkey % 4 AS provider_no FROM orders)"""
+  CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'finished' ELSE 'forgotten' END AS status, o_orderkey % 9 AS pages_ok, o_orderkey % 2 AS pages_err, o_custkey AS prompt_tokens, o_custkey // 7 AS completion_tokens, o_totalprice / 1000 AS usd, o_custkey % 4 AS provider_no FROM orders)"""
 
 
 def _runs(spark, sf_dir):
@@ -86,20 +86,23 @@ def _runs(spark, sf_dir):
     command = F.element_at(F.array(*map(F.lit, ("scrape", "crawl", "watch", "research"))), (k % 4 + 1).cast("int"))
     status = F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "finished").otherwise("forgotten")
     usd = (F.col("o_totalprice") / 1000).alias("usd")
-    return table(spark, sf_dir, "orders").select(k.alias("run_id"), ts.alias("ts"), command.alias("command"), status.alias("status"), (k % 9).alias("pages"), F.col("o_custkey").alias("tokens"), usd, (F.col("o_custkey") % 4).alias("provider_no"))
+    return table(spark, sf_dir, "orders").select(k.alias("run_id"), ts.alias("ts"), command.alias("command"), status.alias("status"), (k % 9).alias("pages_ok"), (k % 2).alias("pages_err"), F.col("o_custkey").alias("prompt_tokens"), F.floor(F.col("o_custkey") / 7).alias("completion_tokens"), usd, (F.col("o_custkey") % 4).alias("provider_no"))
 
 
 @query(
-    f"""WITH {_RUNS} SELECT CAST(ts + INTERVAL 420 MINUTE AS DATE) AS day, command, status, COUNT(*) AS runs, CAST(SUM(pages) AS BIGINT) AS pages, CAST(SUM(tokens) AS BIGINT) AS tokens, round(SUM(usd), 6) AS usd
+    f"""WITH {_RUNS} SELECT CAST(ts + INTERVAL 420 MINUTE AS DATE) AS day, command, status, COUNT(*) AS runs, CAST(SUM(pages_ok) AS BIGINT) AS pages_ok, CAST(SUM(pages_err) AS BIGINT) AS pages_err, CAST(SUM(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(SUM(completion_tokens) AS BIGINT) AS completion_tokens, round(SUM(usd), 6) AS usd
     FROM runs WHERE command <> 'watch' AND ts >= TIMESTAMP '1997-01-01' GROUP BY 1, 2, 3"""
 )
 def activity_by_day(spark, sf_dir):
     return ledger.activity(_runs(spark, sf_dir), 420, since="1997-01-01")
 
 
-@query(f"WITH {_RUNS} SELECT provider_no, COUNT(*) AS calls, round(SUM(usd), 6) AS usd FROM runs GROUP BY 1")
+@query(
+    f"""WITH {_RUNS} SELECT provider_no, COUNT(*) AS calls, CAST(SUM(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(SUM(completion_tokens) AS BIGINT) AS completion_tokens, round(SUM(usd), 6) AS usd
+    FROM runs WHERE ts >= TIMESTAMP '1997-01-01' GROUP BY 1"""
+)
 def spend_by_provider(spark, sf_dir):
-    return ledger.spend_by(_runs(spark, sf_dir), "provider_no")
+    return ledger.spend_by(_runs(spark, sf_dir), "provider_no", since="1997-01-01")
 
 
 @query(f"WITH {_RUNS} SELECT command, COUNT(*) FILTER (WHERE status = 'running') AS running, COUNT(*) FILTER (WHERE status = 'finished') AS finished, COUNT(*) FILTER (WHERE status = 'forgotten') AS forgotten FROM runs GROUP BY 1")
@@ -116,10 +119,10 @@ def selector_rollup(spark, sf_dir):
     return rows.groupBy(F.col("p_brand").alias("domain")).agg(F.count_distinct("p_type").alias("schemas"), F.sum(F.size("n")).alias("fields"), F.max("p_size").alias("samples"), F.max("p_partkey").alias("updated"))
 
 
-@query(f"WITH {_RUNS} SELECT r.run_id, r.tokens AS own_tokens, COUNT(l.l_orderkey) AS calls, round(COALESCE(SUM(l.l_extendedprice), 0), 2) AS usd FROM runs r LEFT JOIN lineitem l ON l.l_orderkey = r.run_id GROUP BY 1, 2")
+@query(f"WITH {_RUNS} SELECT r.run_id, r.prompt_tokens AS own_tokens, COUNT(l.l_orderkey) AS calls, round(COALESCE(SUM(l.l_extendedprice), 0), 2) AS usd FROM runs r LEFT JOIN lineitem l ON l.l_orderkey = r.run_id GROUP BY 1, 2")
 def run_rollup(spark, sf_dir):
     calls = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("calls"), F.round(F.sum("l_extendedprice"), 2).alias("usd"))
-    rows = _runs(spark, sf_dir).select("run_id", F.col("tokens").alias("own_tokens")).join(calls, "run_id", "left")
+    rows = _runs(spark, sf_dir).select("run_id", F.col("prompt_tokens").alias("own_tokens")).join(calls, "run_id", "left")
     return rows.select("run_id", "own_tokens", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("usd", F.lit(0.0)).alias("usd"))
 
 
@@ -228,11 +231,11 @@ def rrf_rank(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_LISTS}, v AS (SELECT DISTINCT 'http://ex.com/' || (o_custkey % 40) AS url FROM orders WHERE o_orderkey < 60), h AS (SELECT list_id, url, MIN(rank) AS rank FROM lists WHERE url NOT IN (SELECT url FROM v) GROUP BY 1, 2),
+    f"""WITH {_LISTS}, v AS (SELECT DISTINCT 'http://ex.com/' || (o_custkey % 13) AS url FROM orders), h AS (SELECT list_id, url, MIN(rank) AS rank FROM lists WHERE url NOT IN (SELECT url FROM v) GROUP BY 1, 2),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY list_id ORDER BY rank, url) AS pick FROM h) SELECT list_id, url, CAST(rank AS INTEGER) AS rank, CAST(pick AS INTEGER) AS pick FROM r WHERE pick <= 3"""
 )
 def topk_unvisited(spark, sf_dir):
-    visited = table(spark, sf_dir, "orders").where("o_orderkey < 60").select(F.concat(F.lit("http://ex.com/"), (F.col("o_custkey") % 40).cast("string")).alias("url"))
+    visited = table(spark, sf_dir, "orders").select(F.concat(F.lit("http://ex.com/"), (F.col("o_custkey") % 13).cast("string")).alias("url")).distinct()
     hits = _lists(spark, sf_dir).groupBy("list_id", "url").agg(F.min("rank").alias("rank"))
     return rank.pick(hits, visited, ["list_id"], 3).select("list_id", "url", "rank", "pick")
 
@@ -293,20 +296,20 @@ def claim_pending(spark, sf_dir):
 
 
 @query(
-    f"""WITH q AS (SELECT item_id, {_QUOTE.format("substr(text, 1, 150)")} AS q FROM benchmark), d AS (SELECT doc_id, {_QUOTE.format("text")} AS t FROM documents)
+    f"""WITH q AS (SELECT item_id, {_QUOTE.format("text")} AS q FROM benchmark), d AS (SELECT doc_id, {_QUOTE.format("text")} AS t FROM documents)
     SELECT q.item_id, d.doc_id FROM q JOIN d ON contains(d.t, q.q) WHERE length(q.q) BETWEEN 20 AND 600"""
 )
 def quote_verify(spark, sf_dir):
-    """Which documents hold a benchmark passage: a stated set of quotes (a few hundred at any scale) against all pages."""
+    """Which documents hold a benchmark passage of 20 to 600 characters, whole."""
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", fold(F.substring("text", 1, 150)).alias("q")).where(F.length("q").between(20, 600))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", fold(F.col("text")).alias("q")).where(F.length("q").between(20, 600))
     pages = table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("t"))
-    return pages.join(quotes, F.contains(pages["t"], quotes["q"])).select("item_id", "doc_id")
+    return evidence.containing(pages, "t", quotes, "q").select("item_id", "doc_id")
 
 
 _FACTS = """facts AS (SELECT o_custkey AS run_id, 'f' || o_orderkey AS fact_id, 'd' || (o_orderkey % 5) AS domain, CASE WHEN o_orderkey % 4 = 0 THEN 'softened' ELSE 'unverified' END AS status, o_orderpriority AS claim, 'old' AS note FROM orders),
 evidence AS (SELECT o.o_custkey AS run_id, 'f' || o.o_orderkey AS fact_id, CASE WHEN l.l_linenumber = 4 THEN NULL ELSE 'f' || l.l_partkey END AS other_id, 'd' || (l.l_partkey % 5) AS domain,
-  CASE WHEN l.l_quantity > 45 THEN 'contradicts' ELSE 'supports' END AS stance, l.l_partkey AS n FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber IN (1, 4))"""
+  CASE WHEN l.l_quantity > 45 THEN 'contradicts' ELSE 'supports' END AS stance, l.l_partkey AS n FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey)"""
 
 
 def _facts(spark, sf_dir):
@@ -316,7 +319,7 @@ def _facts(spark, sf_dir):
         F.col("o_custkey").alias("run_id"), fact, F.concat(F.lit("d"), (F.col("o_orderkey") % 5).cast("string")).alias("domain"),
         F.when(F.col("o_orderkey") % 4 == 0, "softened").otherwise("unverified").alias("status"), F.col("o_orderpriority").alias("claim"), F.lit("old").alias("note"),
     )
-    joined = orders.join(items.where("l_linenumber IN (1, 4)"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = orders.join(items, F.col("l_orderkey") == F.col("o_orderkey"))
     found = joined.select(
         F.col("o_custkey").alias("run_id"), fact, F.when(F.col("l_linenumber") != 4, F.concat(F.lit("f"), F.col("l_partkey").cast("string"))).alias("other_id"),
         F.concat(F.lit("d"), (F.col("l_partkey") % 5).cast("string")).alias("domain"), F.when(F.col("l_quantity") > 45, "contradicts").otherwise("supports").alias("stance"),

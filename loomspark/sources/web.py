@@ -84,6 +84,13 @@ def robots_sitemaps(robots: DataFrame, key: str = "host", body: str = "body") ->
     return lines.select(key, url.alias("url")).where("url <> ''").distinct()
 
 
+def sitemaps_of(robots: DataFrame, key: str = "host", body: str = "body", site: str = "site") -> DataFrame:
+    """robots_sitemaps, and for hosts whose robots file names none (or that have none) the usual place on their site."""
+    named = robots_sitemaps(robots, key, body)
+    usual = robots.select(key, F.concat(F.regexp_replace(site, "/+$", ""), F.lit("/sitemap.xml")).alias("url")).distinct()
+    return named.unionByName(usual.join(named.select(key).distinct(), key, "left_anti"))
+
+
 def _xml_list(body: Column, root: str, item: str) -> Column:
     """Trimmed loc texts; XML without that root gives nothing."""
     clean = F.regexp_replace(F.regexp_replace(body, r"(?s)<\?.*?\?>|<!--.*?-->", ""), r"\sxmlns(?::\w+)?\s*=\s*\"[^\"]*\"", "")
@@ -186,38 +193,57 @@ MOST_INFLATED = 64 << 20
 
 
 def inflate(body: bytes, encodings: str = "") -> bytes:
-    """Undo gzip and deflate, named in a Content-Encoding header (right to left) or seen by gzip's magic number."""
+    """Undo gzip, deflate and zstd, named in a Content-Encoding header (right to left) or seen by gzip's magic number.
+
+    All members of a gzip body are read. ValueError for a body that is cut, that inflates beyond MOST_INFLATED, or of an
+    encoding that is not known.
+    """
     for name in reversed([e.strip().lower() for e in encodings.split(",") if e.strip()]):
         if name in ("gzip", "x-gzip"):
-            body = _bounded(zlib.decompressobj(31), body)
+            body = _members(body)
         elif name == "deflate":
             try:
-                body = _bounded(zlib.decompressobj(), body)
+                body = _bounded(zlib.decompressobj(), body)[0]
             except zlib.error:
-                body = _bounded(zlib.decompressobj(-15), body)
+                body = _bounded(zlib.decompressobj(-15), body)[0]
         elif name == "zstd":
             import zstandard
 
-            body = zstandard.ZstdDecompressor().stream_reader(body).read(MOST_INFLATED)
+            reader = zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True)
+            body = reader.read(MOST_INFLATED + 1)
+            if len(body) > MOST_INFLATED:
+                raise ValueError("a body inflates beyond the limit")
         elif name != "identity":
             raise ValueError(f"unsupported encoding {name}")
-    return _bounded(zlib.decompressobj(31), body) if body[:2] == b"\x1f\x8b" else body
+    return _members(body) if body[:2] == b"\x1f\x8b" else body
 
 
-def _bounded(reader, body: bytes) -> bytes:
-    out = reader.decompress(body, MOST_INFLATED)
-    if reader.unconsumed_tail:
-        raise ValueError("a body inflates beyond the limit")
+def _members(body: bytes) -> bytes:
+    out = b""
+    while body[:2] == b"\x1f\x8b":
+        part, body = _bounded(zlib.decompressobj(31), body, MOST_INFLATED - len(out))
+        out += part
     return out
 
 
+def _bounded(reader, body: bytes, most: int | None = None) -> tuple[bytes, bytes]:
+    """What a body inflates to, and what comes after it."""
+    most = MOST_INFLATED if most is None else most
+    out = reader.decompress(body, most + 1)
+    if reader.unconsumed_tail or len(out) > most:
+        raise ValueError("a body inflates beyond the limit")
+    if not reader.eof:
+        raise ValueError("a body is cut")
+    return out, reader.unused_data
+
+
 def is_pdf(body: Column, content_type: Column) -> Column:
     return F.lower(F.coalesce(content_type, F.lit(""))).startswith("application/pdf") | F.coalesce(body.startswith("%PDF-"), F.lit(False))
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """url: the trimmed, non-blank lines of a text file."""
-    return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> '' AND NOT url LIKE '#%'")
+    return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

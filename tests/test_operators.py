@@ -2,6 +2,7 @@ import gzip
 import json
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from loomspark.operators import clean, diff, dom, evidence, frontier, ledger, lines, rank, recdiff, selectors, sites
@@ -43,7 +44,7 @@ def test_record_differences(spark):
 
 
 def test_ledger(spark):
-    runs = spark.createDataFrame([("2026-10-01 20:30:00", "scrape", "done", 1, 2, 0.5), ("2026-10-01 20:30:00", "watch", "done", 1, 2, 0.5)], "ts string, command string, status string, pages int, tokens int, usd double")
+    runs = spark.createDataFrame([("2026-10-01 20:30:00", "scrape", "done", 1, 0, 2, 3, 0.5), ("2026-10-01 20:30:00", "watch", "done", 1, 0, 2, 3, 0.5)], "ts string, command string, status string, pages_ok int, pages_err int, prompt_tokens int, completion_tokens int, usd double")
     runs = runs.withColumn("ts", F.to_timestamp("ts"))
     for minutes, day in ((420, "2026-10-02"), (0, "2026-10-01"), (-300, "2026-10-01")):
         assert [str(r.day) for r in ledger.activity(runs, minutes).collect()] == [day]
@@ -192,6 +193,13 @@ def test_web_answers(spark, tmp_path):
     assert web.inflate(gzip.compress(b"abc")) == b"abc" and web.inflate(gzip.compress(gzip.compress(b"abc")), "gzip") == b"abc"
     with pytest.raises(ValueError):
         web.inflate(b"x", "br")
+    assert web.inflate(gzip.compress(b"abc") + gzip.compress(b"def")) == b"abcdef"
+    packed = zstandard.ZstdCompressor().compress(bytes(web.MOST_INFLATED + 1))
+    for body, named in ((packed, "zstd"), (gzip.compress(bytes(web.MOST_INFLATED + 1)), "gzip"), (gzip.compress(b"abc" * 99)[:-20], "gzip")):
+        with pytest.raises(ValueError):
+            web.inflate(body, named)
+    hosts = spark.createDataFrame([("a", "https://a/", "Sitemap: https://a/own.xml"), ("b", "https://b", "User-agent: *"), ("c", "https://c/", None)], "host string, site string, body string")
+    assert sorted(map(tuple, web.sitemaps_of(hosts).collect())) == [("a", "https://a/own.xml"), ("b", "https://b/sitemap.xml"), ("c", "https://c/sitemap.xml")]
     for text, n in (('{"a":1}\n{"a":2}\n', 2), ('[{"a":1},\n {"a":9007199254749936}]', 2), ('{"a":\n1}', 1)):
         path = tmp_path / f"r{n}{len(text)}.json"
         path.write_text(text)
