@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,19 @@ def file_order(df: DataFrame) -> list[Column]:
     return columns
 
 
+def columns_of(df: DataFrame) -> Iterator[list[np.ndarray]]:
+    """The long columns of a bounded table, in pieces, fetched by the driver a partition at a time as packed bytes."""
+    names = df.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [pa.array([c.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(packed, names=names)
+
+    for r in df.mapInArrow(pack, ", ".join(f"`{n}` binary" for n in names)).toLocalIterator():
+        yield [np.frombuffer(c, np.int64) for c in r]
+
+
 def least_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` rows of df, those whose key has the least hashes: a sample that is the same in every run.
 

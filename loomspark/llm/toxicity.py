@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, least_hashes, materialize, sliced
+from .common import columns_of, fold, least_hashes, materialize, sliced
 
 EXAMPLES = 20000
 #: The least log-likelihood ratio, times two, of a feature that speaks for toxicity; how much likelier it must be in toxic texts; its weight.
@@ -205,10 +205,10 @@ class BlockMaxIndex:
         """Lay the entries out, those that share their heaviest and most common features together, which makes bounds tight."""
         entries = []
         rank = np.argsort(np.argsort(self.idf, kind="stable"), kind="stable")
-        for (ids, counts), (toxic, clean, doc_id) in self.made.items():
-            ids, counts = np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32)
+        for (packed, times), (toxic, clean, doc_id) in self.made.items():
+            ids, counts = np.frombuffer(packed, np.int32), np.frombuffer(times, np.int32)
             by = ids[np.argsort(rank[ids], kind="stable")]
-            entries.append(((int(by[-1]) if toxic else -1, by[:3].tolist(), ids.tobytes(), counts.tobytes()), ids, counts, toxic, clean, doc_id))
+            entries.append(((int(by[-1]) if toxic else -1, by[:3].tolist(), packed, times), ids, counts, toxic, clean, doc_id))
         entries.sort(key=lambda e: e[0])
         self.made = {}
         self.votes = np.array([e[3:5] for e in entries], float).reshape(-1, 2)
@@ -216,10 +216,10 @@ class BlockMaxIndex:
         self.ids = np.concatenate([np.zeros(0, np.int32), *(e[1] for e in entries)])
         self.counts = np.concatenate([np.zeros(0, np.int32), *(e[2] for e in entries)])
         self.edges = np.cumsum([0, *(len(e[1]) for e in entries)])
-        self.invert()
+        self.matrix = None
 
     def invert(self) -> None:
-        """Postings by dimension and entry, and (dimension, block) pairs with their largest weight."""
+        """Postings by dimension and entry, and (dimension, block) pairs with their largest weight; made where it is searched."""
         n = len(self.examples)
         entry = np.repeat(np.arange(n), np.diff(self.edges))
         weights = (1 + np.log(np.maximum(self.counts, 1))) * self.idf[self.ids]
@@ -251,10 +251,12 @@ class BlockMaxIndex:
         self.idf, self.other, self.block, self.prior, self.default, self.steps, self.votes, self.examples, self.edges, packed = state
         self.made = {}
         self.ids, self.counts = np.frombuffer(zlib.decompress(packed), np.int32).reshape(2, -1)
-        self.invert()
+        self.matrix = None
 
     def shares(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the common features add to each entry's cosine, for (dimensions, weights) of several texts."""
+        if self.matrix is None:
+            self.invert()
         asked = np.zeros((len(vectors), self.matrix.shape[1]), np.float32)
         for row, (ids, weights) in zip(asked, vectors, strict=True):
             at = self.column[ids]
@@ -266,7 +268,7 @@ class BlockMaxIndex:
 
         share: the text's row of shares(), if that has been made with others.
         """
-        if not len(ids) or not self.blocks:
+        if not len(ids) or not self.examples:
             return []
         scores = self.shares([(ids, weights)])[0] if share is None else share
         pairs, sizes = _spans(self.term_edges[ids], self.term_edges[ids + 1])
@@ -392,8 +394,9 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
             own.update(Space.hash(w) for text in batch.column(0).to_pylist() for w in words_of(text))
         yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(own, np.uint64, len(own)).view(np.int64))], names=["h"])
 
-    found = texts.select("text").mapInArrow(hashes, "h long").distinct().toArrow()
-    space = Space(chosen, found.column(0).to_numpy().view(np.uint64))
+    found = [h for (h,) in columns_of(texts.select("text").mapInArrow(hashes, "h long").distinct())]
+    space = Space(chosen, np.concatenate([np.zeros(0, np.int64), *found]).view(np.uint64))
+    del found
     shared = spark.sparkContext.broadcast(space)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,9 +409,10 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
         ids = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(seen[ids], rows))], names=["id", "n"])
 
-    counted = docs.select("text").mapInArrow(frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select("text").mapInArrow(frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     frequency = np.zeros(len(space.terms) + 1)
-    frequency[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    for ids, n in columns_of(counted):
+        frequency[ids] = n
     total = frequency[-1]
     idf = np.log((1 + total) / (1 + frequency[:-1]))
     idf[list(space.names)] *= LIFT
@@ -416,20 +420,18 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
     index = BlockMaxIndex(np.maximum(idf, 0.01), max(0.01, float(np.log((1 + total) / 2))))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = shared.value.vectors(batch.column(1).to_pylist())
-            lists = [pa.array([v[i] for v in made], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "toxic", "ids", "counts"])
+            packed = [pa.array([v[i].astype(np.int32).tobytes() for v in made], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *packed], names=["doc_id", "toxic", "ids", "counts"])
 
-    schema = T.StructType([texts.schema["doc_id"], texts.schema["toxic"], *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("ids", "counts"))])
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["toxic"], *(T.StructField(n, T.BinaryType()) for n in ("ids", "counts"))])
     empty = [0, 0]
-    for batch in texts.select("doc_id", "text", "toxic").mapInArrow(vectors, schema).orderBy("doc_id").toArrow().to_batches():
-        for doc_id, toxic, ids, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            own = ids.values.to_numpy()
-            if len(own):
-                index.add(own, counts.values.to_numpy(), toxic, doc_id)
-            else:
-                empty[0 if toxic else 1] += 1
+    for r in texts.select("doc_id", "text", "toxic").mapInArrow(vectors, schema).orderBy("doc_id").toLocalIterator():
+        if len(r.ids):
+            index.add(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32), r.toxic, r.doc_id)
+        else:
+            empty[0 if r.toxic else 1] += 1
     index.close()
     index.set_prior((empty[0], empty[1]))
     early = spark.sparkContext.broadcast(index)
