@@ -143,6 +143,25 @@ def writer_order(facts: DataFrame, most: int = 80) -> DataFrame:
     return facts.withColumn("rank", rank).where("rank IS NOT NULL").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
 
 
+@F.pandas_udf(T.StringType())
+def folded_quote(quotes: pd.Series) -> pd.Series:
+    """Quotes as they are compared."""
+    return quotes.map(lambda q: normal_text(q or ""))
+
+
+def match_facts(before: DataFrame, after: DataFrame, order: str = "fact_id") -> DataFrame:
+    """old_id and new_id of the facts (fact_id, url, quote) of two runs that quote the same of the same source.
+
+    Of facts with the same source and quote in one run the first by `order` stands for all; a fact without a counterpart has
+    a null on the other side.
+    """
+
+    def keyed(facts: DataFrame, name: str) -> DataFrame:
+        return facts.withColumn("_quote", folded_quote("quote")).groupBy("url", "_quote").agg(F.min_by("fact_id", order).alias(name))
+
+    return keyed(before, "old_id").join(keyed(after, "new_id"), ["url", "_quote"], "full_outer").select("url", "old_id", "new_id")
+
+
 def evidence_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """url and change: added, gone or changed, from the newest pin of each source (url, content_hash, checked_at)."""
     newest = lambda df, name: df.groupBy("url").agg(F.max_by("content_hash", "checked_at").alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -69,3 +69,18 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, max_nodes: int | N
             break
         seen = _keep(seen.unionByName(frontier))
     return seen
+
+
+def harvest(pages: DataFrame, starts: DataFrame, most: int = 3, max_depth: int = 2) -> DataFrame:
+    """domain and url of up to `most` pages of each start's (domain, url) own site, nearest first: fresh samples for healing.
+
+    pages (url, html) are what can be read. A page is nearer the fewer links lead to it; of equally near ones the lesser url counts.
+    """
+    read = pages.select(F.xxhash64("url").alias("page_id"), "url", "html")
+    address = read.select("page_id", urls.canonicalize(F.col("url")).alias("src"))
+    links = page_links(read).join(address, "page_id").select("src", F.col("link").alias("dst"))
+    own = links.join(address.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+    begin = starts.select("domain", urls.canonicalize(F.col("url")).alias("node"))
+    found = reach(begin.select("node"), own, max_depth).join(begin, "node", "left").withColumn("domain", F.coalesce("domain", urls.host(F.col("node"))))
+    nth = F.row_number().over(Window.partitionBy("domain").orderBy("depth", "node"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= most).select("domain", F.col("node").alias("url"), "depth")
