@@ -30,23 +30,18 @@ def mark_short_runs(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 def merge_stats(lines: Column) -> Column:
     """An array of lines with each number line and the label line after it as one 'label: number' line.
 
-    A fold from the left: a label that has been taken cannot begin another pair.
+    No line is a number and a label, so pairs never overlap, and each line's lot is told by its neighbours.
     """
     number, label = r"^\s*[\d.,]+%?\s*$", r"^\s*[A-Za-z][\w\s&/-]{1,40}\s*$"
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
-
-    def step(state: Column, line: Column) -> Column:
-        held, out = state["held"], state["out"]
-        pair = held.isNotNull() & line.rlike(label)
-        flushed = F.when(held.isNotNull(), F.concat(out, F.array(held))).otherwise(out)
-        merged = F.concat(out, F.array(F.concat(F.trim(line), F.lit(": "), F.trim(held))))
-        waits = line.rlike(number)
-        none = F.lit(None).cast("string")
-        return (
-            F.when(pair, F.struct(merged.alias("out"), none.alias("held")))
-            .when(waits, F.struct(flushed.alias("out"), line.alias("held")))
-            .otherwise(F.struct(F.concat(flushed, F.array(line)).alias("out"), none.alias("held")))
-        )
-
-    end = lambda s: F.when(s["held"].isNotNull(), F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"])
-    return F.aggregate(lines, zero, step, end)
+
+    def merged(all_lines: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            before, after = F.when(i > 0, F.get(all_lines, i - 1)), F.get(all_lines, i + 1)
+            joined = F.concat(F.trim(line), F.lit(": "), F.trim(before))
+            taken = line.rlike(number) & F.coalesce(after.rlike(label), F.lit(False))
+            return F.when(line.rlike(label) & F.coalesce(before.rlike(number), F.lit(False)), joined).when(~taken, line)
+
+        return F.filter(F.transform(all_lines, one), lambda x: x.isNotNull())
+
+    # The lines are bound once, so that a neighbour is looked up and not computed.
+    return F.get(F.transform(F.array(lines), merged), F.lit(0))
