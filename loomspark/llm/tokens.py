@@ -4,11 +4,12 @@ The vocabulary splits a text into runs of letters, single digits and runs of oth
 encodes each run by itself. A run's ids are therefore the same wherever it stands, so a worker asks
 the library once for each different run and joins the answers. Texts with anything whose treatment
 could depend on the Unicode tables of a library, or with the vocabulary's special tokens, go to the
-library whole.
+library whole; so do all texts if the file normalises or splits in any other way.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -47,6 +48,23 @@ class _Words(dict):
         return ids
 
 
+#: What a file's parts are to be for its texts to be split here (fixed values).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _splits_here(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    return parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == _SPLITTER and parts["model"]["type"] == "BPE" and not any(parts.get(k) for k in ("truncation", "padding"))
+
+
 class Encoder:
     """encode(text): the text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -56,6 +74,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model, self.signs = self.library.model, _byte_signs()
         self.words = _Words(self._run, cached_runs)
+        self.splits = _splits_here(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def _by_library(self, text: str) -> bytes:
@@ -69,7 +88,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if not self.splits or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self._by_library(text)
         runs = _ASCII_RUNS if text.isascii() else _RUNS
         return b"".join(map(self.words.__getitem__, runs.findall(text.lower())))

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import zlib
 
@@ -40,6 +41,18 @@ def test_encoder_equals_library(vocabulary, reference):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference(text), repr(text)
 
 
+def test_other_vocabularies_go_to_the_library(vocabulary):
+    from tokenizers import Tokenizer
+
+    other = os.path.join(os.path.dirname(vocabulary), "byte_bpe_50k.json")
+    if not os.path.exists(other):
+        pytest.skip("one vocabulary only")
+    library, encoder = Tokenizer.from_file(other), Encoder(other)
+    for text in ("Hello World, it's 2024!", "  two  spaces\tand tab ", "ÉA b", ""):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not encoder.splits and Encoder(vocabulary).splits
+
+
 def test_packing_keeps_every_id_once(spark, docs, vocabulary, reference):
     rows = packing.best_fit_pack(docs, vocabulary, keep_ids=True).collect()
     expected = []
