@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: What a run or a call adds up to.
@@ -60,23 +64,59 @@ def null_rates(outcomes: DataFrame, keys: list[str], order: list[str], is_null:
     return out.withColumn("trigger", (F.col("seen") >= window // 5) & (F.col("null_rate") > threshold))
 
 
-def null_rate_resets(outcomes: DataFrame, keys: list[str], order: str, is_null: str, window: int = 50, threshold: float = 0.30) -> DataFrame:
-    """Triggers for each key with the ring cleared at each: a fold in order, since later states depend on earlier ones.
+_KINDS = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], begin: Callable, step: Callable, end: Callable, schema: str) -> DataFrame:
+    """keys and what end(state) gives, for each key: step(state, row) over its rows in order, from begin().
 
-    A key's outcomes fold in one array; their number is that of a domain's field checks.
+    Rows are sorted by Spark, which spills, and fold as they pass, so a key of any length needs no more than its state.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, is_null))), lambda s: s[is_null].cast("int"))
-    zero = F.struct(F.array().cast("array<int>").alias("ring"), F.lit(0).alias("fired"))
+    at = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, done = None, None, []
+
+        def made() -> pa.RecordBatch:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            arrow = to_arrow_schema(T.StructType([*known, *added]))
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
+            done.clear()
+            return out
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:at] != key or state is None:
+                    if state is not None:
+                        done.append((*key, *end(state)))
+                    key, state = row[:at], begin()
+                state = step(state, row[at:])
+            if len(done) > 10_000:
+                yield made()
+        if state is not None:
+            done.append((*key, *end(state)))
+        if done:
+            yield made()
+
+    known = [rows.schema[k] for k in keys]
+    added = [T.StructField(n, _KINDS[k]) for n, k in (part.split() for part in schema.split(", "))]
+    sorted_rows = rows.select(*keys, *columns, *(F.col(o).alias(f"_o{i}") for i, o in enumerate(order))).repartition(*keys)
+    sorted_rows = sorted_rows.sortWithinPartitions(*keys, *(f"_o{i}" for i in range(len(order)))).select(*keys, *columns)
+    return sorted_rows.mapInArrow(fold, T.StructType([*known, *added]))
+
+
+def null_rate_resets(outcomes: DataFrame, keys: list[str], order: str, is_null: str, window: int = 50, threshold: float = 0.30) -> DataFrame:
+    """outcomes, triggers and in_ring of each key, with the ring cleared at each trigger: later states depend on earlier ones."""
 
-    def step(state: Column, x: Column) -> Column:
-        ring = F.concat(state["ring"], F.array(x))
-        ring = F.slice(ring, F.greatest(F.lit(1), F.size(ring) - (window - 1)), window)
-        rate = F.aggregate(ring, F.lit(0.0), lambda a, v: a + v) / F.size(ring)
-        fire = (F.size(ring) >= window // 5) & (rate > threshold)
-        return F.struct(F.when(fire, F.array().cast("array<int>")).otherwise(ring).alias("ring"), (state["fired"] + fire.cast("int")).alias("fired"))
+    def step(state: tuple, row: tuple) -> tuple:
+        ring, seen, fired = state
+        ring = [*ring, int(bool(row[0]))][-window:]
+        fire = len(ring) >= window // 5 and sum(ring) / len(ring) > threshold
+        return ([] if fire else ring), seen + 1, fired + fire
 
-    folded = outcomes.groupBy(*keys).agg(ordered.alias("o")).withColumn("s", F.aggregate("o", zero, step))
-    return folded.select(*keys, F.size("o").alias("outcomes"), F.col("s.fired").alias("triggers"), F.size("s.ring").alias("in_ring"))
+    end = lambda s: (s[1], s[2], len(s[0]))
+    return fold_sorted(outcomes, keys, [order], [is_null], lambda: ([], 0, 0), step, end, "outcomes int, triggers int, in_ring int")
 
 
 def streaks(rows: DataFrame, keys: list[str], order: list[str], good: Column) -> DataFrame:
@@ -118,14 +158,14 @@ def within_ceiling(calls: DataFrame, by: list[str], order: list[str], usd: str,
 
 def throttle(reports: DataFrame, host: str, order: str, floor: float = 1.0, most: float = 60.0) -> DataFrame:
     """A host's delay after all its answers: doubled by 429 and 5xx, three quarters after 2xx, not under the floor."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, "status", "retry_after"))), lambda s: F.struct(s["status"].alias("status"), s["retry_after"].alias("retry_after")))
 
-    def step(delay: Column, r: Column) -> Column:
-        bad = (r["status"] == 429) | r["status"].between(500, 599)
-        slower = F.when(r["retry_after"].isNotNull(), F.least(F.lit(300.0), F.greatest(delay, r["retry_after"].cast("double")))).otherwise(F.least(F.lit(most), delay * 2))
-        return F.when(bad, slower).when(r["status"].between(200, 299), F.greatest(F.lit(floor), delay * 0.75)).otherwise(delay)
+    def step(delay: float, row: tuple) -> float:
+        status, asked = row
+        if status is not None and (status == 429 or 500 <= status <= 599):
+            return min(most, delay * 2) if asked is None else min(300.0, max(delay, float(asked)))
+        return max(floor, delay * 0.75) if status is not None and 200 <= status <= 299 else delay
 
-    return reports.groupBy(host).agg(F.aggregate(ordered, F.lit(floor), step).alias("delay"))
+    return fold_sorted(reports, [host], [order], ["status", "retry_after"], lambda: floor, step, lambda d: (d,), "delay double")
 
 
 #: From which states a research run may go to which (fixed values).

@@ -170,7 +170,13 @@ def null_rate_window(spark, sf_dir):
     return rows.select("event_id", "seen", F.round("null_rate", 9).alias("null_rate"), "trigger")
 
 
-@query()
+@query(
+    """WITH l AS (SELECT user_id, list({'ring': []::INTEGER[], 'fired': 0, 'v': CAST(value < 8 AS INTEGER)} ORDER BY event_id) AS l FROM events GROUP BY user_id),
+    f AS (SELECT user_id, len(l) AS n, list_reduce(list_prepend({'ring': []::INTEGER[], 'fired': 0, 'v': 0}, l), lambda a, x: {
+      'ring': CASE WHEN len(list_append(a.ring, x.v)[-50:]) >= 10 AND list_avg(list_append(a.ring, x.v)[-50:]) > 0.3 THEN []::INTEGER[] ELSE list_append(a.ring, x.v)[-50:] END,
+      'fired': a.fired + CASE WHEN len(list_append(a.ring, x.v)[-50:]) >= 10 AND list_avg(list_append(a.ring, x.v)[-50:]) > 0.3 THEN 1 ELSE 0 END, 'v': x.v}) AS s FROM l)
+    SELECT user_id, CAST(n AS INTEGER) AS outcomes, s.fired AS triggers, CAST(len(s.ring) AS INTEGER) AS in_ring FROM f"""
+)
 def null_rate_reset(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("is_null", F.col("value") < 8)
     return ledger.null_rate_resets(rows, ["user_id"], "event_id", "is_null")
@@ -195,7 +201,13 @@ def stale_streak(spark, sf_dir):
 _FOLD_STATUS = {"view": 200, "click": 204, "signup": 404, "purchase": 429, "error": 503}
 
 
-@query()
+@query(
+    f"""WITH r AS (SELECT user_id, event_id, {{"delay": 1.0::DOUBLE, "status": CASE event_type {" ".join(f"WHEN '{k}' THEN {c}" for k, c in _FOLD_STATUS.items())} ELSE 0 END, "asked": CASE WHEN event_id % 50 = 0 THEN 7 END}} AS x FROM events),
+    l AS (SELECT user_id, list(x ORDER BY event_id) AS l FROM r GROUP BY user_id)
+    SELECT user_id, list_reduce(list_prepend({{"delay": 1.0::DOUBLE, "status": 0, "asked": NULL::INTEGER}}, l), lambda a, x: {{
+      "delay": CASE WHEN x.status = 429 OR x.status BETWEEN 500 AND 599 THEN CASE WHEN x.asked IS NULL THEN least(60.0, a.delay * 2) ELSE least(300.0, greatest(a.delay, CAST(x.asked AS DOUBLE))) END
+        WHEN x.status BETWEEN 200 AND 299 THEN greatest(1.0, a.delay * 0.75) ELSE a.delay END, "status": x.status, "asked": x.asked}}).delay AS delay FROM l"""
+)
 def throttle_fold(spark, sf_dir):
     status = F.lit(0)
     for kind, code in _FOLD_STATUS.items():
