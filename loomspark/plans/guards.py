@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import small, text
+from ..functions import small, text, urls
 from ..operators import ledger
 from ..sources.tables import table
 from .registry import query
@@ -16,26 +16,44 @@ def published_range(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", small.in_range(published, "1995-01-01", "1996-12-31").alias("kept"))
 
 
-@query("SELECT p_partkey, p_partkey % 4 IN (0, 2) AS low FROM part")
-def low_value_paths(spark, sf_dir):
-    paths = F.element_at(F.array(*map(F.lit, ("http://x.com/", "http://x.com/a/b", "http://x.com/Tag/b?c=1", "http://x.com/a/tagged"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", small.low_value_path(paths).alias("low"))
+_SEGMENT = "['Tag', 'search', 'tagged', '', 'LOGIN', 'cart', 'a'][CAST(p_size % 7 AS INTEGER) + 1]"
 
 
-_ADDRESSES = ("http://example.com/", "http://127.0.0.1/", "https://10.1.2.3/", "ftp://example.com/", "http://localhost:80/", "http://[::1]/", "http://8.8.8.8/", "http://169.254.169.254/latest", "http://0x7f000001/", "http://a.internal/")
+@query(
+    f"""WITH u AS (SELECT p_partkey, list_filter(string_split(lower(CASE WHEN p_size = 50 THEN '/' ELSE '/' || replace(p_type, ' ', '/') || '/' || {_SEGMENT} || '/' || p_partkey END), '/'), lambda x: x <> '') AS s FROM part)
+    SELECT p_partkey, len(s) = 0 OR list_has_any(s, ['tag', 'tags', 'category', 'categories', 'author', 'search', 'login', 'signup', 'cart', 'account']) AS low FROM u"""
+)
+def low_value_paths(spark, sf_dir):
+    segment = F.element_at(F.array(*map(F.lit, ("Tag", "search", "tagged", "", "LOGIN", "cart", "a"))), (F.col("p_size") % 7 + 1).cast("int"))
+    path = F.concat(F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/"), segment, F.lit("/"), F.col("p_partkey").cast("string"))
+    url = F.concat(F.lit("http://x.com"), F.when(F.col("p_size") == 50, "/").otherwise(path), F.lit("?search=1#tag"))
+    return table(spark, sf_dir, "part").select("p_partkey", small.low_value_path(url).alias("low"))
 
 
-@query("SELECT p_partkey, p_partkey % 10 IN (0, 6) AS allowed FROM part")
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 256 AS a, o_custkey % 256 AS b, (o_orderkey // 7) % 4 AS c FROM orders)
+    SELECT o_orderkey, NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127)
+      OR (a = 198 AND b IN (18, 19)) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AND o_orderkey % 11 <> 5 AS allowed FROM o"""
+)
 def fetch_guard(spark, sf_dir):
-    url = F.element_at(F.array(*map(F.lit, _ADDRESSES)), (F.col("p_partkey") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", url.alias("url")).select("p_partkey", small.is_fetch_allowed("url").alias("allowed"))
+    """Addresses of all kinds made of order numbers; one in eleven is asked for over a scheme that is not fetched."""
+    k = F.col("o_orderkey")
+    octets = [k % 256, F.col("o_custkey") % 256, F.floor(k / 7) % 4, F.lit(77)]
+    scheme = F.when(k % 11 == 5, "ftp://").when(k % 2 == 0, "http://").otherwise("https://")
+    url = F.concat(scheme, F.concat_ws(".", *(o.cast("string") for o in octets)), F.lit(":80/x"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", url.alias("url")).select("o_orderkey", small.is_fetch_allowed("url").alias("allowed"))
 
 
-@query("SELECT p_partkey, 'http://ex.com/' || ['b/x', 'x', 'a/x?y=1', 'a/b/#f'][CAST(p_partkey % 4 AS INTEGER) + 1] AS resolved FROM part")
+@query(
+    """SELECT p_partkey, 'https://ex' || (p_size % 9) || '.com/' || CASE p_partkey % 6 WHEN 0 THEN 'a' || p_size || '/d' || p_partkey WHEN 1 THEN 'e' || p_partkey WHEN 2 THEN 'a' || p_size || '/b/c?q=' || p_partkey
+      WHEN 3 THEN 'a' || p_size || '/b/f/h' || p_partkey WHEN 4 THEN 'a' || p_size || '/b/c?x=1' ELSE p_partkey || '/' END AS resolved FROM part"""
+)
 def resolve_urls(spark, sf_dir):
-    href = F.element_at(F.array(*map(F.lit, ("../b/x", "/x", "../a/x?y=1", "#f"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("http://ex.com/a/b/").alias("base"), href.alias("href")).withColumn("base", F.when(F.col("href") == "#f", F.lit("http://ex.com/a/b/")).otherwise(F.lit("http://ex.com/a/b")))
-    return rows.select("p_partkey", small.resolve_url("base", "href").alias("resolved"))
+    size, number = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    base = F.concat(F.lit("https://ex"), (F.col("p_size") % 9).cast("string"), F.lit(".com/a"), size, F.lit("/b/c?x=1"))
+    forms = (F.concat(F.lit("../d"), number), F.concat(F.lit(" /e"), number, F.lit("#top ")), F.concat(F.lit("?q="), number), F.concat(F.lit("f/./g/../h"), number), F.lit("#only"), F.concat(F.lit("../../../"), number, F.lit("/")))
+    href = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", urls.resolve(base, href).alias("resolved"))
 
 
 @query("SELECT o_orderkey, CASE WHEN p IS NULL THEN s = 'launch' WHEN s IN ('running', 'failed') THEN p IN ('launch', 'running', 'writing') WHEN s = 'done' THEN p IN ('writing', 'running') ELSE FALSE END AS valid FROM (SELECT o_orderkey, s, lag(s) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 'launch' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS s FROM orders))")
@@ -101,12 +119,13 @@ def url_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", small.url_ids(url).alias("i")).select("p_partkey", "i.*")
 
 
-@query("SELECT p_partkey, round(CASE WHEN p_size % 3 = 0 THEN 1.0 / 3 WHEN p_size % 3 = 1 THEN 1.0 ELSE 0.0 END, 9) AS j FROM part")
+@query(
+    """WITH w AS (SELECT p_partkey, list_distinct(string_split(p_name || ' ' || p_brand, ' ')) AS a, list_distinct(string_split(p_brand || ' ' || p_type, ' ')) AS b FROM part)
+    SELECT p_partkey, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 9) AS j FROM w"""
+)
 def class_jaccard(spark, sf_dir):
-    k = F.col("p_size") % 3
-    a = F.when(k == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"), F.lit("y")))
-    b = F.when(k == 0, F.array(F.lit("y"), F.lit("z"))).when(k == 1, F.array(F.lit("y"), F.lit("x"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(small.jaccard(a, b), 9).alias("j"))
+    words = lambda *c: F.array_distinct(F.split(F.concat_ws(" ", *c), " "))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(small.jaccard(words("p_name", "p_brand"), words("p_brand", "p_type")), 9).alias("j"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 3 = 0 AS complete, o_orderkey % 2 = 0 AS slow FROM orders")
