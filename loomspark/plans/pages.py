@@ -235,13 +235,18 @@ def robots_sitemaps(spark, sf_dir):
     return answers.robots_sitemaps(table(spark, sf_dir, "nation").select(F.col("n_name").alias("host"), body.alias("body")))
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE WHEN 3 THEN TRUE ELSE FALSE END AS allowed, CASE WHEN page_id % 5 < 3 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS delay FROM pages")
+@query(
+    f"""WITH {_CANON}, c AS (SELECT page_id, path, page_id % 7 AS s, '/' || ['en', 'fr', 'de'][CAST(page_id % 3 AS INTEGER) + 1] || '/' AS closed FROM canonical)
+    SELECT page_id, CASE s WHEN 6 THEN TRUE WHEN 5 THEN FALSE ELSE NOT starts_with(path, closed) OR regexp_matches(path, '^/en/.*5$') END AS allowed,
+      CASE WHEN s < 5 THEN CAST(page_id % 4 AS DOUBLE) ELSE 0.0::DOUBLE END AS delay FROM c"""
+)
 def robots_decisions(spark, sf_dir):
-    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /private\nAllow: /private/open$\nCrawl-delay: 2\n"
-    n = F.col("page_id") % 5
-    path = F.when(n == 1, F.lit("/private/x")).when(n == 2, F.lit("/private/open")).otherwise(F.lit("/en"))
-    status = F.when(n == 3, F.lit(404)).when(n == 4, F.lit(500)).otherwise(F.lit(200))
-    checks = table(spark, sf_dir, "pages").select("page_id", status.alias("status"), F.lit(body).alias("body"), path.alias("path"))
+    """Every page's own path under rules that close one language to all agents but for pages that end in 5."""
+    k, n = F.col("page_id"), (F.col("page_id") % 7)
+    closed = F.element_at(F.array(*map(F.lit, ("en", "fr", "de"))), (k % 3 + 1).cast("int"))
+    body = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /"), closed, F.lit("/ # closed\nALLOW: /en/*5$\nCrawl-delay: "), (k % 4).cast("string"), F.lit("\n"))
+    status = F.when(n == 6, 404).when(n == 5, 500).otherwise(200)
+    checks = table(spark, sf_dir, "pages").select("page_id", status.alias("status"), body.alias("body"), urls.path(F.col("url")).alias("path"))
     return answers.robots_allowed(checks, "loom/1").select("page_id", "allowed", "delay")
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.functions import hosting
+from loomspark.functions import classify, hosting
 from loomspark.operators import dom, evidence, frontier, research, selectors
 
 
@@ -113,3 +113,9 @@ def test_hosting(spark):
         with pytest.raises(ValueError):
             hosting.flexible(v, k)
     assert len(hosting.run_id()) == 32
+
+
+def test_flat_rates_and_free_models_cost_nothing(spark):
+    rows = spark.createDataFrame([("gpt-4o-mini", "openai"), ("gpt-4o-mini", "codex"), ("llama3", None), ("odd", None)], "m string, p string")
+    usd = [r.x for r in rows.select(classify.cost(F.col("m"), F.lit(1_000_000), F.lit(1_000_000), True, F.col("p")).alias("x")).collect()]
+    assert usd == pytest.approx([0.75, 0.0, 0.0, 12.0])
