@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,7 +145,7 @@ class Space:
         """Look words up that have not been looked up yet: -1 is for a word that no example has."""
         from xxhash import xxh64_intdigest
 
-        if len(self.known) > 300_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         hashes = np.array([xxh64_intdigest(w, _SEED) for w in new], np.uint64)
@@ -221,10 +222,10 @@ class BlockMaxIndex:
     def invert(self) -> None:
         """Postings by dimension and entry, and (dimension, block) pairs with their largest weight; made where it is searched."""
         n = len(self.examples)
-        entry = np.repeat(np.arange(n), np.diff(self.edges))
+        entry = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.edges))
         weights = (1 + np.log(np.maximum(self.counts, 1))) * self.idf[self.ids]
         length = np.sqrt(np.bincount(entry, weights**2, minlength=n))
-        weights = weights / length[entry]
+        weights = (weights / length[entry]).astype(np.float32)
         common = np.argsort(-np.bincount(self.ids, minlength=len(self.idf)), kind="stable")[:DENSE]
         self.column = np.full(len(self.idf), -1)
         self.column[common] = np.arange(len(common))
@@ -235,13 +236,14 @@ class BlockMaxIndex:
         self.matrix[entry[dense], self.column[self.ids[dense]]] = weights[dense]
         ids, entry, weights = self.ids[~dense], entry[~dense], weights[~dense]
         order = np.argsort(ids, kind="stable")
-        self.entry, self.weight = entry[order], weights[order]
-        pair = ids[order].astype(np.int64) * (self.blocks + 1) + self.entry // self.block
+        self.entry, self.weight, ids = entry[order].astype(np.int32), weights[order], ids[order]
+        del order, entry, weights, dense
+        pair = ids.astype(np.int64) * (self.blocks + 1) + self.entry // self.block
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
         self.pair_edges = np.append(first, len(pair))
         self.pair_block = self.entry[first] // self.block
         self.pair_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.term_edges = np.searchsorted(ids[order][first], np.arange(len(self.idf) + 1))
+        self.term_edges = np.searchsorted(ids[first], np.arange(len(self.idf) + 1))
 
     def __getstate__(self):
         packed = zlib.compress(self.ids.astype(np.int32).tobytes() + self.counts.astype(np.int32).tobytes(), 1)
@@ -381,8 +383,8 @@ def labelled(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
     return materialize(texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")))
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Space, BlockMaxIndex]:
-    """The space and the calibrated index. What the driver holds is bounded by `examples`."""
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Broadcast, tuple[list[float], list[float]]]:
+    """The space and the index, sent to the workers once, and the steps of its calibration. What the driver holds is bounded by `examples`."""
     spark = docs.sparkSession
     texts = labelled(docs, labels, examples)
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
@@ -434,18 +436,18 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
             empty[0 if r.toxic else 1] += 1
     index.close()
     index.set_prior((empty[0], empty[1]))
-    early = spark.sparkContext.broadcast(index)
+    sent = spark.sparkContext.broadcast((space, index))
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = early.value.own_votes(batch.column(0).to_pylist(), neighbours)
+            votes = sent.value[1].own_votes(batch.column(0).to_pylist(), neighbours)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([v[i] for v in votes], pa.float64()) for i in (0, 1))], names=["id", "toxic", "clean"])
 
     parts = spark.sparkContext.defaultParallelism * 2
     votes = spark.range(0, len(index.examples), 1, parts).mapInArrow(leave_one_out, "id long, toxic double, clean double").collect()
     index.calibrate({r.id: [r.toxic, r.clean] for r in votes})
-    early.destroy()
-    return space, index
+    shared.destroy()
+    return sent, index.steps
 
 
 def judged(docs: DataFrame, labels: DataFrame, columns: list[str], text: str, schema: T.StructType, clean_only: bool = False, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -453,14 +455,15 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], text: str, sc
 
     text: the column to score; schema: that of the result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, examples, neighbours))
+    sent, steps = learn(docs, labels, examples, neighbours)
     at = len(columns)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        space, index = shared.value
+        space, index = sent.value
+        index.steps = steps
         for batch in sliced(batches):
             rows = []
             made = space.vectors(batch.column(at).to_pylist())

@@ -101,8 +101,14 @@ def isotonic(points):
     for p, label in points:
         ones[p] += label
         size[p] += 1
-    mean = lambda i, j: sum(ones[p] for p in at[i : j + 1]) / sum(size[p] for p in at[i : j + 1])
-    return {p: max(min(mean(i, j) for j in range(n, len(at))) for i in range(n + 1)) for n, p in enumerate(at)}, at, ones, size
+    above = np.concatenate([[0], np.cumsum([ones[p] for p in at])])
+    below = np.concatenate([[0], np.cumsum([size[p] for p in at])])
+    n = len(at)
+    means = np.full((n, n), np.inf)
+    for i in range(n):
+        means[i, i:] = (above[i + 1 :] - above[i]) / (below[i + 1 :] - below[i])
+    least = np.minimum.accumulate(means[:, ::-1], axis=1)[:, ::-1]
+    return {p: max(least[: k + 1, k]) for k, p in enumerate(at)}, at, ones, size
 
 
 def test_end_to_end_against_brute_force(spark):
@@ -110,8 +116,8 @@ def test_end_to_end_against_brute_force(spark):
     rows, labels = corpus(500, seed=3)
     rows[7], rows[8] = (7, None), (8, "only unseenwordaa unseenwordbb")
     got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
-    space, _ = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    telling = set(space.chosen)
+    sent, _ = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    telling = set(sent.value[0].chosen)
     label = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2}
     words = {i: toxicity.words_of(t) for i, t in rows}
     vocabulary = {w for i in label for w in words[i]}
