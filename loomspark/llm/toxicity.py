@@ -456,7 +456,9 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], text: str, sc
     text: the column to score; schema: that of the result.
     """
     sent, steps = learn(docs, labels, examples, neighbours)
-    at = len(columns)
+    # The text travels once, also where it is among the columns that stay.
+    asked = columns if text in columns else [*columns, text]
+    at, of = len(columns), asked.index(text)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -466,7 +468,7 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], text: str, sc
         index.steps = steps
         for batch in sliced(batches):
             rows = []
-            made = space.vectors(batch.column(at).to_pylist())
+            made = space.vectors(batch.column(of).to_pylist())
             for (ids, *_), (score, nearest, cosine, weights) in zip(made, index.score(made, neighbours), strict=True):
                 telling = [i for i in range(len(ids)) if int(ids[i]) in space.names]
                 words = [space.names[int(ids[i])] for i in sorted(telling, key=lambda i: -weights[i])][:5]
@@ -480,7 +482,7 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], text: str, sc
                 made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(arrow)[at:], strict=True)] if rows else [pa.array([], f.type) for f in list(arrow)[at:]]
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
 
-    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*columns, text]))).mapInArrow(judge, schema)
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(asked))).mapInArrow(judge, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
