@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors, once for each application, so that their workers can import it."""
+    """Send the package to the executors, once for each application, so that their workers can import it, and set the rows of an Arrow batch."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         folder = tempfile.mkdtemp(prefix="loomspark-")
@@ -25,6 +26,9 @@ def ship(spark: SparkSession) -> SparkSession:
                     z.write(path, os.path.join("loomspark", os.path.relpath(path, _PACKAGE)))
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
+        # Spark's default fits narrow rows; a batch of so many whole texts would be held several times over in a task.
+        if spark.conf.get(_BATCH) == "10000":
+            spark.conf.set(_BATCH, BATCH_ROWS)
     return spark
 
 
