@@ -32,7 +32,7 @@ def plan_tidy(spark, sf_dir):
     SELECT event_id, COALESCE(last_value(CASE WHEN trim(steer) <> '' THEN trim(steer) END IGNORE NULLS) OVER w, '') AS steer, bool_or(stop) OVER w AS write_now
     FROM m WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 )
-def operator_control(spark, sf_dir):
+def steering_fold(spark, sf_dir):
     kind = F.col("event_type")
     steer = F.when(kind == "purchase", F.concat(F.lit(" "), "props", F.lit(" "))).when(kind == "view", F.lit("  "))
     messages = table(spark, sf_dir, "events").select("user_id", "event_id", steer.alias("steer"), (kind == "error").alias("write_now"))
