@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, kdtree, mainline, mixing, mixlm, packing, secrets, simhash, simple8b, toxicity
+from . import flac, kdtree, mainline, mixing, mixlm, packing, secrets, simhash, simple8b, toxicity, turns
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
+
+
 SQL = {}
 
 SQL["op9_source_mixing"] = r"""
@@ -114,6 +118,84 @@ ranked AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+
+
+def _with(weight: str, cost: str, label: str) -> str:
+    """A weight, its cost in nine digits and then its labels, so that strings compare as weights do, with one more label."""
+    return f"lpad(CAST(CAST(left({weight}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({weight}, 10) || '{label}'"
+
+
+_INSERTED = f"""LEAST(v2, {_with("v0", "2", "I")}, {_with("v1", "2", "I")}, {_with("v3", "2", "I")}) AS w2"""
+_INSERTED_TOO = f"""LEAST(v3, {_with("w2", "2", "I")}) AS w3"""
+_STAYS = "fault NOT IN ('b', 'd')"
+_CUT = "(CASE fault WHEN 't' THEN 1 ELSE 0 END)"
+
+
+def _kept(initial: str, *states: str) -> str:
+    return ", ".join(f"CASE WHEN {_STAYS} AND initial = '{initial}' THEN {_with(v, _CUT, 'K')} END" for v in states)
+
+
+def _reroled(*states: str) -> str:
+    return ", ".join(f"CASE WHEN {_STAYS} THEN {_with(v, '2 + ' + _CUT, 'R')} END" for v in states)
+
+
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE
+coded AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT)),
+                lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS hit
+  FROM coded),
+damaged AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed),
+numbered AS (
+  SELECT *, left(role, 1) AS initial, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM damaged),
+marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+                 WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '.' END AS fault,
+         LAG(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial NOT IN ('su', 'ua', 'au') AS broken
+  FROM numbered),
+states AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, '000000000' AS v0, NULL::VARCHAR AS v1, NULL::VARCHAR AS v2, NULL::VARCHAR AS v3 FROM conversations
+  UNION ALL
+  SELECT conv_id, n, {_with("v0", "3", "D")},
+         LEAST({_with("v1", "3", "D")}, {_kept("s", "v0")}),
+         LEAST({_with("w2", "3", "D")}, {_kept("u", "v0", "v1", "w3")}, {_reroled("v0", "v1", "w3")}),
+         LEAST({_with("w3", "3", "D")}, {_kept("a", "w2")}, {_reroled("w2")})
+  FROM (SELECT s.conv_id, m.n, v0, v1, w2, {_INSERTED_TOO}, m.initial, m.fault
+        FROM (SELECT *, {_INSERTED} FROM states) s JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.n = s.n + 1)),
+best AS (
+  SELECT conv_id, LEAST(v0, w3) AS best
+  FROM (SELECT *, {_INSERTED_TOO} FROM (SELECT *, {_INSERTED} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY n DESC) AS last FROM states) WHERE last = 1))),
+paths AS (
+  SELECT conv_id, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM best),
+labels AS (
+  SELECT conv_id, p, substr(audit, p, 1) AS label FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM paths)),
+placed AS (
+  SELECT *, COUNT(*) FILTER (label <> 'I') OVER w AS n, COUNT(*) FILTER (label <> 'D') OVER w AS o FROM labels WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+taken AS (
+  SELECT p.conv_id, p.label, p.o, CASE WHEN p.label <> 'I' THEN m.role END AS role, CASE WHEN p.label <> 'I' THEN m.text ELSE '' END AS text,
+         COALESCE(BOOL_OR(p.o = 1 AND p.label = 'K' AND m.initial = 's') OVER (PARTITION BY p.conv_id), FALSE) AS led
+  FROM placed p LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.n = p.n WHERE p.label <> 'D'),
+written AS (
+  SELECT conv_id, string_agg(CASE WHEN label = 'K' THEN role WHEN (o - CAST(led AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY o) AS lines
+  FROM taken GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 'b') AS blank, COUNT(*) FILTER (fault = 'd') AS duplicate,
+         COUNT(*) FILTER (fault = 't') AS truncated, COUNT(*) FILTER (broken) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT p.conv_id, CAST(COALESCE(gaps, 0) AS BIGINT) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated,
+       COALESCE(illegal, 0) AS illegal, cost, audit, sha256(COALESCE(lines, '')) AS repaired_sha256
+FROM paths p LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM p.conv_id
+"""
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -125,4 +207,5 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op12_conversation_repair": op12_conversation_repair,
 }

@@ -19,6 +19,11 @@ COLUMNS = {
     "op8": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
     "op9": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op10": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op11": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    "op12": {
+        "conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string",
+    },
+    "op13": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
 }
 
 
@@ -29,13 +34,13 @@ def test_query(spark, name):
     want = COLUMNS[name.split("_")[0]]
     assert {k: kinds.get(k) for k in want} == want
     rows = df.toArrow()
-    source = {"op1": "pages", "op2": None, "op5": None, "op10": None}.get(name.split("_")[0], "documents")
+    source = {"op1": "pages", "op11": "pages", "op2": None, "op5": None, "op10": None, "op12": None, "op13": None}.get(name.split("_")[0], "documents")
     if source:
         assert rows.num_rows == spark.read.parquet(f"{SF}/{source}.parquet").count()
     if name in SQL:
         duckdb = pytest.importorskip("duckdb")
         connection = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
             connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         expected = connection.execute(SQL[name]).to_arrow_table()
         plain = lambda t: sorted(repr([round(v, 6) if isinstance(v, float) else v for _, v in sorted(r.items())]) for r in t.to_pylist())
