@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, kdtree, mainline, mixing, mixlm, packing, secrets, simhash, simple8b, toxicity, turns
+from . import flac, kdtree, mainline, mixing, mixlm, packing, secrets, simhash, simple8b, slices, toxicity, turns, warc
 from .common import table
 
 
@@ -59,10 +59,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.through_archives(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SQL = {}
 
 SQL["op9_source_mixing"] = r"""
@@ -119,6 +128,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+SQL["op11_warc_dictionary"] = """
+WITH hashed AS (
+  SELECT page_id, url, sha1(COALESCE(html, '')) AS h, CAST(strlen(COALESCE(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS place, FIRST_VALUE(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS kept FROM hashed)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT)
+         >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE place WHEN 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN kept END AS refers_to
+FROM ranked
+"""
+
 
 def _with(weight: str, cost: str, label: str) -> str:
     """A weight, its cost in nine digits and then its labels, so that strings compare as weights do, with one more label."""
@@ -157,9 +178,11 @@ damaged AS (
 numbered AS (
   SELECT *, left(role, 1) AS initial, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM damaged),
 marked AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b'
                  WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
-                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '.' END AS fault,
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '.' END AS fault,
          LAG(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial NOT IN ('su', 'ua', 'au') AS broken
   FROM numbered),
 states AS (
@@ -195,6 +218,25 @@ SELECT p.conv_id, CAST(COALESCE(gaps, 0) AS BIGINT) AS gaps, COALESCE(blank, 0)
        COALESCE(illegal, 0) AS illegal, cost, audit, sha256(COALESCE(lines, '')) AS repaired_sha256
 FROM paths p LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM p.conv_id
 """
+SQL["op13_ranked_search"] = r"""
+WITH words AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT ROW_NUMBER() OVER () AS row, doc_id, text FROM documents)),
+tf AS (SELECT row, doc_id, term, COUNT(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT row, CAST(SUM(tf) AS BIGINT) AS n FROM tf GROUP BY row),
+totals AS (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS words FROM sizes),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * COUNT(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY term, docs),
+items AS (
+  SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT ROW_NUMBER() OVER () AS item, item_id, text FROM benchmark)),
+asked AS (SELECT item, item_id, term, COUNT(*) AS q FROM items GROUP BY ALL),
+scored AS (
+  SELECT item, item_id, t.row, t.doc_id, CAST(SUM(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+  FROM asked a JOIN tf t ON a.term = t.term JOIN weights v ON v.term = a.term JOIN sizes s ON s.row = t.row, totals GROUP BY ALL),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
 
 QUERIES = {
     "op1_main_text": op1_main_text,
@@ -207,5 +249,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_warc_dictionary": op11_warc_dictionary,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_ranked_search": op13_ranked_search,
 }
