@@ -11,14 +11,19 @@ from .common import materialize
 HOT_SHARE = 1000
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def hot_keys(left: DataFrame, key: str) -> DataFrame:
+    """The keys of left with more than one in HOT_SHARE of its rows, so at most HOT_SHARE of them."""
+    counts = left.groupBy(key).count()
+    return counts.where(F.col("count") * HOT_SHARE > left.count()).select(key)
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """left, a written table, with the columns of right, whose key is unique, or nulls; null keys find nothing.
 
-    Rows of hot keys meet their match by a broadcast of at most HOT_SHARE rows; all others are shuffled.
+    Rows of hot keys meet their match by a broadcast of at most HOT_SHARE rows; all others are shuffled. hot: the
+    hot_keys() of left, where they are known already.
     """
-    counts = left.groupBy(key).count()
-    total = left.count()
-    hot = counts.where(F.col("count") * HOT_SHARE > total).select(key)
+    hot = hot_keys(left, key) if hot is None else hot
     known = right.join(F.broadcast(hot), key).withColumn("_hot", F.lit(True))
     marked = left.join(F.broadcast(known), key, "left")
     added = [c for c in right.columns if c != key]
@@ -31,15 +36,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, label), label being the least node that can be reached.
 
     Nodes take the least label among their neighbours, then the label of that label, until none
-    changes; each round is written to the shared folder. Labels are looked up with lookup(), so a component
-    with a large part of all nodes does not gather in a task. The degree of a node is the caller's to bound.
+    changes; each round is written to the shared folder. Labels are looked up with lookup(), for edges and for labels, so
+    neither a component with a large part of all nodes nor a node with a large part of all edges gathers in a task.
     An edge with a null end is ignored.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    hubs = materialize(hot_keys(both, "b"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = lookup(both, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         joined = labels.join(near, "node", "left")
         hooked = materialize(joined.select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
         further = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
