@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..session import shared_dir
+from ..session import keep as _keep
 
 
 #: Text that holds no anchors, whatever it says.
@@ -45,12 +45,6 @@ def page_links(pages: DataFrame, scope: urls.Scope | None = None, same_host: boo
     return found.select("page_id", "link").distinct()
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, max_nodes: int | None = None) -> DataFrame:
     """node and its least depth, from seeds (node) over edges (src, dst), by levels.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import guards, pages, records, research, texts, web  # noqa: F401
+from . import flows, guards, pages, records, research, texts, web  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -48,6 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for work that costs far more than a shuffle.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -244,34 +243,3 @@ def is_pdf(body: Column, content_type: Column) -> Column:
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """url: the trimmed, non-blank lines of a text file."""
     return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''")
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """record (JSON text): one for each value of a JSON, JSONL or JSON-array file; arrays are opened, digits kept."""
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"record": [r for text in pdf["value"] for r in _values(text)]})
-
-    lines = spark.read.text(path)
-    whole = spark.read.text(path, wholetext=True)
-    # A line that is no value by itself belongs to a file of another shape, which is read whole.
-    odd = lines.where("trim(value) <> '' AND (try_parse_json(value) IS NULL OR ltrim(value) LIKE '[%')").isEmpty()
-    return lines.where("trim(value) <> ''").select(F.trim("value").alias("record")) if odd else whole.mapInPandas(split, "record string")
-
-
-def _values(text: str) -> Iterator[str]:
-    at, decoder = 0, json.JSONDecoder()
-    while at < len(text):
-        if text[at].isspace() or text[at] == ",":
-            at += 1
-            continue
-        if text[at] == "[":
-            at += 1
-            continue
-        if text[at] == "]":
-            at += 1
-            continue
-        _, end = decoder.raw_decode(text, at)
-        yield text[at:end]
-        at = end
