@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from ..operators import pacing
 from ..session import shared_dir
 from ..sources import records
 from ..sources.tables import table
+from ..streaming.heal import PAGES, HealingStream
 from .registry import query
 
 
@@ -53,3 +55,24 @@ def rate_admissions(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), hours.alias("at"), "event_id", "event_type", "value")
     delays = events.where("event_type = 'error' AND value > 60").select("host", "at", F.when(F.col("event_id") % 3 == 0, 2.0).otherwise(8.0).alias("delay"))
     return pacing.admissions(events.select("host", "at", "event_id"), delays, "event_id", rate=0.25).select("event_id", F.col("at").alias("hours"), "wait", "starts")
+
+
+@query("SELECT p_partkey AS seq, p_brand AS domain, CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE CAST(p_retailprice AS DOUBLE) END AS price, CASE WHEN p_partkey % 4 < 2 THEN 0 ELSE 2 END AS since FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING COUNT(*) FILTER (p_partkey % 4 = 1) >= 10)")
+def healing_stream(spark, sf_dir):
+    """Parts as pages of their brand's site, in four batches; the template changes with the second, whose prices are lost until it has healed."""
+    part = table(spark, sf_dir, "part")
+    batch, price = F.col("p_partkey") % 4, F.col("p_retailprice").cast("string")
+    box = F.when(batch == 0, F.concat(F.lit('<div class="offer"><span class="price">'), price, F.lit("</span></div>")))
+    box = box.otherwise(F.concat(F.lit('<div class="offer"><p><b class="price amount">'), price, F.lit("</b></p></div>")))
+    html = F.concat(F.lit("<html><body><h1>"), "p_name", F.lit("</h1>"), box, F.lit("</body></html>"))
+    truth = F.to_json(F.struct(F.col("p_retailprice").alias("price")))
+    enough = part.where(batch == 1).groupBy("p_brand").count().where("count >= 10").select("p_brand")
+    pages = part.join(enough, "p_brand", "left_semi").select(F.col("p_brand").alias("domain"), F.col("p_partkey").alias("seq"), html.alias("html"), truth.alias("truth"), batch.alias("batch"))
+    folder = f"{shared_dir(spark)}/healing-{uuid.uuid4().hex}"
+    for n in range(4):  # in this order
+        pages.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+    fields = json.dumps({"price": {"type": "css", "expr": "span.price", "coerce": "float"}})
+    run = HealingStream(spark, folder, {"price": {"coerce": "float"}})
+    run.begin(pages.select("domain").distinct().select("domain", F.lit(fields).alias("fields"), F.lit(None).cast("string").alias("fingerprints")))
+    records = run.run(spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages"))
+    return records.select("seq", "domain", F.get_json_object("record", "$.price").cast("double").alias("price"), F.col("since").cast("int").alias("since"))
