@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..operators import pacing
 from ..session import shared_dir
-from ..sources import records
+from ..sources import delivery, records
 from ..sources.tables import table
 from ..streaming.heal import PAGES, HealingStream
 from .registry import query
@@ -76,3 +77,22 @@ def healing_stream(spark, sf_dir):
     run.begin(pages.select("domain").distinct().select("domain", F.lit(fields).alias("fields"), F.lit(None).cast("string").alias("fingerprints")))
     records = run.run(spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages"))
     return records.select("seq", "domain", F.get_json_object("record", "$.price").cast("double").alias("price"), F.col("since").cast("int").alias("since"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, 1 AS times FROM orders")
+def delivered_once(spark, sf_dir):
+    """Orders, sent to a process that keeps its lines, by a run that is broken off and by one that goes on: how often each arrived."""
+    folder = f"{shared_dir(spark)}/delivery-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    broken = orders.where(F.when(F.col("o_orderkey") == last, F.raise_error(F.lit("broken off")).cast("boolean")).otherwise(True))
+    inbox = folder.removeprefix("file:").replace("//", "/") + "/inbox"
+    keep_lines = json.dumps(["sh", "-c", f"mkdir -p {inbox} && cat > {inbox}/$$-$(date +%s%N)"])
+    for rows in (broken, orders):
+        try:
+            delivery.deliver(rows, f"{folder}/log", "command", command=keep_lines)
+        except PySparkException as e:
+            if "broken off" not in str(e):
+                raise
+    lines = spark.read.schema("o_orderkey long, o_orderstatus string").json(f"{folder}/inbox")
+    return lines.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").cast("int").alias("times"))
