@@ -2,18 +2,20 @@
 
 Markup is stripped to lines: one for each block of a page, in page order. The lengths of lines are summed over
 a sliding window. A surge is where the sums rise above the threshold, a dive where they have fallen to nothing; the text
-between the dives around a surge is kept, on every page by the same rule: the threshold is THRESHOLD signs a window, or
-a PEAK-th of the page's highest window if that is more.
+between the dives around a surge is kept, on every page by the same rule: the threshold is THRESHOLD signs a window. How long
+the rest of the page is does not matter, but for text beside a marked article that surges: it must reach a PEAK-th of the article's
+highest window, too.
 
 Elements and attributes only weigh the distribution:
 
 * A line that cannot be article text has length zero: in menus, headers and footers of the page, sidebars, notices,
   adverts, forms and reader comments, known by element, role or by a class or id that says nothing else; and lines that are
-  links for the most part. A class or id (or a form) that would hide more than half of a page's text, and its heading or
+  links for the most part, unless text stands before and after in the same container. A class or id (or a form) that would hide more than half of a page's text, and its heading or
   article with it, is a wrapper around the page and hides nothing.
 * A line in a marked article (article, main, or a role of that kind) weighs WEIGHT times its length, and the edges of marked
   articles are dives, so that what stands beside them surges on its own or not at all. Hidden lines inside an article are
   taken out of the distribution, so that they do not cut the article in two.
+* Short lines that a dive has cut off stay if their container has kept lines of their kind of element, THRESHOLD signs of them.
 
 Scripts, styles and comments leave no line. Reading is linear in the page's length, however deep its elements nest: open
 elements are found by name. A quote is a quote only where a value begins, as browsers have it.
@@ -45,8 +47,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # HTML's void elements, elements whose content is not text, and inline elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math noembed noframes canvas audio video xmp".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+_RAW = frozenset("script style noscript template iframe object svg annotation annotation-xml noembed noframes canvas audio video xmp".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr "
+    "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd semantics mstyle mpadded mphantom menclose mspace".split())
+#: Blocks of text; what else is a block is a container.
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption center address hgroup".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = frozenset("ul ol dl table menu select article body html div section td".split())
@@ -70,6 +75,11 @@ _WORD_EDGE = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+@lru_cache(64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I)
+
+
 def _attributes(text: str) -> dict[str, str]:
     if "=" not in text and not text.strip(" /\n\t"):
         return {}
@@ -114,12 +124,15 @@ def _is_boiler(tag: str, at: dict[str, str], inside: bool) -> int:
 
 
 class Line:
-    """mark: the number of the innermost element that hides it, or 0. article: whether it is in a marked article."""
+    """mark: the number of the innermost element that hides it, or 0. article: whether it is in a marked article.
+
+    holder: the number of its container (0: the page's body), with the kind of its innermost block.
+    """
 
-    __slots__ = ("text", "links", "mark", "article")
+    __slots__ = ("text", "links", "mark", "article", "holder")
 
-    def __init__(self, text: str, links: int, mark: int, article: bool):
-        self.text, self.links, self.mark, self.article = text, links, mark, article
+    def __init__(self, text: str, links: int, mark: int, article: bool, holder: tuple[int, str]):
+        self.text, self.links, self.mark, self.article, self.holder = text, links, mark, article, holder
 
 
 class Mark:
@@ -135,7 +148,7 @@ class Open:
     """The open elements, innermost last, and the places of each kind."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, mark, article, link
+        self.stack: list[tuple[str, int, bool, bool, tuple[int, str]]] = []  # tag, mark, article, link, holder
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
 
@@ -143,7 +156,7 @@ class Open:
         """The place of the innermost open element of these, or -1."""
         return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
-    def push(self, entry: tuple[str, int, bool, bool]) -> None:
+    def push(self, entry: tuple[str, int, bool, bool, tuple[int, str]]) -> None:
         self.places.setdefault(entry[0], []).append(len(self.stack))
         if entry[0] not in _INLINE:
             self.blocks.append(len(self.stack))
@@ -168,7 +181,7 @@ def lines(page: str) -> tuple[list[Line], list[Mark]]:
     parts: list[str] = []
     links = 0
     opened = Open()
-    mark, article, link = 0, False, False
+    mark, article, link, holder, containers = 0, False, False, (0, ""), 0
 
     def text(raw: str) -> None:
         nonlocal links
@@ -182,18 +195,18 @@ def lines(page: str) -> tuple[list[Line], list[Mark]]:
         nonlocal links
         line = " ".join("".join(parts).split())
         if line:
-            out.append(Line(line, links, mark, article))
+            out.append(Line(line, links, mark, article, holder))
             marks[mark].size += len(line)
         parts.clear()
         links = 0
 
     def close(depth: int) -> None:
-        nonlocal mark, article, link
+        nonlocal mark, article, link, holder
         # The line ends before its element does.
         if opened.blocks and opened.blocks[-1] >= depth:
             end_line()
         opened.cut(depth)
-        _, mark, article, link = opened.stack[-1] if opened.stack else ("", 0, False, False)
+        _, mark, article, link, holder = opened.stack[-1] if opened.stack else ("", 0, False, False, (0, ""))
 
     at, end = 0, len(page)
     while at < end:
@@ -214,8 +227,9 @@ def lines(page: str) -> tuple[list[Line], list[Mark]]:
                 end_line()
             continue
         if tag in _RAW and not token[3].rstrip().endswith("/"):
-            ending = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(page, at)
-            at = ending.end() if ending else end
+            ending = _raw_end(tag).search(page, at)
+            close_at = page.find(">", ending.end()) if ending else -1
+            at = close_at + 1 if close_at >= 0 else end
             continue
         if tag in _VOID:
             if tag in ("br", "hr"):
@@ -239,8 +253,12 @@ def lines(page: str) -> tuple[list[Line], list[Mark]]:
                 end_line()
             marks.append(Mark(mark, bad == 1))
             own = len(marks) - 1
-        opened.push((tag, own, article or marked and not bad, link or tag == "a"))
-        _, mark, article, link = opened.stack[-1]
+        within = holder
+        if tag not in _INLINE and tag not in ("html", "body"):
+            containers += tag not in _TEXTUAL
+            within = (holder[0] if tag in _TEXTUAL else containers, tag)
+        opened.push((tag, own, article or marked and not bad, link or tag == "a", within))
+        _, mark, article, link, holder = opened.stack[-1]
     end_line()
     return out, marks
 
@@ -258,22 +276,28 @@ def hiding(marks: list[Mark]) -> list[bool]:
     return hides
 
 
-def distribution(page: str, weight: int = WEIGHT, window: int = WINDOW) -> tuple[list[str], list[int]]:
-    """The texts of the page's lines and their weighed lengths, with empty lines at the edges of marked articles."""
+def distribution(page: str, weight: int = WEIGHT, window: int = WINDOW) -> tuple[list[Line | None], list[int]]:
+    """The page's lines and their weighed lengths, with empty lines (None) at the edges of marked articles."""
     found, marks = lines(page)
     hides = hiding(marks)
-    texts: list[str] = []
+    mostly = [x.links > LINK_SHARE * len(x.text) for x in found]
+    texts: list[Line | None] = []
     lengths: list[int] = []
     inside = False
-    for x in found:
+
+    def between(i: int) -> bool:
+        near = [j for j in (i - 1, i + 1) if 0 <= j < len(found)]
+        return len(near) == 2 and all(not mostly[j] and not hides[found[j].mark] and found[j].holder[0] == found[i].holder[0] for j in near)
+
+    for i, x in enumerate(found):
         if x.article and hides[x.mark]:
             continue
         if x.article != inside:
-            texts += [""] * window
+            texts += [None] * window
             lengths += [0] * window
             inside = x.article
-        texts.append(x.text)
-        menu = not x.article and x.links > LINK_SHARE * len(x.text)
+        texts.append(x)
+        menu = not x.article and mostly[i] and not between(i)
         lengths.append(0 if hides[x.mark] or menu else len(x.text) * (weight if x.article else 1))
     return texts, lengths
 
@@ -282,16 +306,23 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     """The page's main text: its blocks joined by one space."""
     if not page:
         return ""
-    texts, lengths = distribution(page, window=window)
-    return " ".join(texts[i] for i in surges(lengths, window, threshold) if lengths[i])
-
-
-def surges(lengths: list[int], window: int, threshold: int) -> list[int]:
+    found, lengths = distribution(page, window=window)
+    kept = surges(lengths, window, threshold, [bool(x and x.article) for x in found])
+    sizes: dict[tuple[int, str], int] = {}
+    for i in kept:
+        if lengths[i]:
+            sizes[found[i].holder] = sizes.get(found[i].holder, 0) + len(found[i].text)
+    stays = {holder for holder, size in sizes.items() if size >= threshold and (holder[0] or holder[1] == "p")}
+    also = [i for i, x in enumerate(found) if x and x.holder in stays]
+    return " ".join(found[i].text for i in sorted({*kept, *also}) if lengths[i])
+
+
+def surges(lengths: list[int], window: int, threshold: int, inside: list[bool] | None = None) -> list[int]:
     """The lines between the dives around each surge.
 
     sums[i] is over the lines i to i + window - 1. A dive is where a window is empty; between two dives the sums rise and
-    fall, and if one of them reaches the threshold, or a PEAK-th of the highest if that is more, all lines there are
-    kept. If no window of the page reaches the threshold, the highest stands in for it.
+    fall, and if one of them reaches the threshold, all lines there are kept. If no window of the page reaches the threshold,
+    the highest stands in for it. inside: the lines of marked articles; others must also reach a PEAK-th of their highest.
     """
     n = len(lengths)
     total = [0]
@@ -300,14 +331,16 @@ def surges(lengths: list[int], window: int, threshold: int) -> list[int]:
     if not total[-1]:
         return []
     sums = [total[min(n, i + window)] - total[i] for i in range(n)]
-    highest = max(sums)
-    least = min(max(threshold, highest / PEAK), highest)
+    inside = inside or [False] * n
+    least = min(threshold, max(sums))
+    beside = max(least, max((s for s, x in zip(sums, inside, strict=True) if x), default=0) / PEAK)
     kept, i = [], 0
     while i < n:
         begin = i
         while i < n and sums[i]:
             i += 1
-        if i > begin and max(sums[begin:i]) >= least:
+        # A stretch is of one kind: the edges of articles are dives. Its last line tells, as windows look ahead.
+        if i > begin and max(sums[begin:i]) >= (least if inside[i - 1] else beside):
             kept += range(begin, i)
         i += 1
     return kept

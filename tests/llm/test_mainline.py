@@ -55,16 +55,17 @@ def test_surges_and_dives():
     assert kept == [2, 3, 4, 5, 6, 7]
     assert mainline.surges([0, 0], 3, 86) == [] and mainline.surges([], 3, 86) == []
     assert mainline.surges([1], 3, 86) == [0]
-    # A far lower hill beside a high one is not kept, a comparable one is.
-    assert mainline.surges([900, 0, 0, 0, 100], 3, 86) == [0]
-    assert mainline.surges([900, 0, 0, 0, 200], 3, 86) == [0, 2, 3, 4]
+    # A far lower hill is kept beside a high one, but not beside a marked article.
+    assert mainline.surges([900, 0, 0, 0, 100], 3, 86) == [0, 2, 3, 4]
+    assert mainline.surges([900, 0, 0, 0, 100], 3, 86, [True] + [False] * 4) == [0]
+    assert mainline.surges([900, 0, 0, 0, 200], 3, 86, [True] + [False] * 4) == [0, 2, 3, 4]
 
 
 def plain_surges(lengths, window, threshold):
     """By windows written out, each line asked for itself."""
     n = len(lengths)
     sums = [sum(lengths[i : i + window]) for i in range(n)]
-    least = min(max(threshold, max(sums, default=0) / mainline.PEAK), max(sums, default=0))
+    least = min(threshold, max(sums, default=0))
     kept = []
     for i in range(n):
         if not sums[i]:
@@ -88,7 +89,35 @@ def test_pages_without_a_marked_article(blocks):
     """The distribution alone chooses: text of a page of plain blocks, against windows written out."""
     page = "".join(f"<{tag}>{'x' * n}</{tag}>" for tag, n in blocks)
     lengths = [0 if tag == "nav" else n for tag, n in blocks]
-    assert main_text(page) == " ".join("x" * lengths[i] for i in plain_surges(lengths, mainline.WINDOW, mainline.THRESHOLD) if lengths[i])
+    kept = set(plain_surges(lengths, mainline.WINDOW, mainline.THRESHOLD))
+    paragraphs = [i for i, (tag, _) in enumerate(blocks) if tag == "p"]
+    if sum(lengths[i] for i in paragraphs if i in kept) >= mainline.THRESHOLD:
+        kept.update(paragraphs)
+    assert main_text(page) == " ".join("x" * lengths[i] for i in sorted(kept) if lengths[i])
+
+
+@pytest.mark.parametrize("rest", [2, 20, 200])
+def test_the_length_of_the_rest_does_not_matter(rest):
+    """A paragraph that adverts part from a long article."""
+    advert = "<div class=ad><a href=x>buy</a></div>"
+    for wrap in ("{}", "<div class=content>{}</div>"):
+        body = f"<p>{LONG}</p>" * rest + advert * 4 + f"<p>{LONG} end</p>" + advert * 3 + "<p>Closing line.</p>"
+        assert main_text(wrap.format(body)) == " ".join([LONG] * rest + [f"{LONG} end", "Closing line."])
+
+
+def test_link_lines_and_formulas_in_an_article():
+    page = f"<div><p>{LONG}</p><p><a href=s>First linked source of this story</a></p><p>{LONG}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></div>"
+    assert main_text(page) == f"{LONG} First linked source of this story {LONG} So x=2 holds."
+    menu = "".join(f"<p><a href=s>item {i}</a></p>" for i in range(4))
+    assert main_text(f"<div>{menu}<p>{LONG}</p>{menu}</div>") == LONG
+
+
+def test_unclosed_raw_elements():
+    assert main_text(f"<p>{LONG}</p><script>var x = '<p>no</p>'") == LONG
+    assert main_text(f"<p>{LONG}</p><style>p {{}}</style") == LONG
+    start = time.perf_counter()
+    assert main_text(f"<p>{LONG}</p><script>" + "</script " * 100_000) == LONG
+    assert time.perf_counter() - start < 1
 
 
 @pytest.mark.parametrize("unit", ["<div>", "<div></p>", "<b>", "<p><i><b></i>", "<li>", "<a href='", "<ul><li>", "<div class=x>text", "<p =\"", "<table><td>"])
