@@ -55,6 +55,8 @@ BLOCK = 128
 FIRST_BLOCKS = 8
 #: Features whose weights are held as a matrix, and texts that are scored with it at once.
 DENSE, TOGETHER = 512, 64
+#: Entries whose postings are weighed at once.
+INVERTED = 1024
 FOLDS, TEST_FOLD = 4, 2
 _SEED = 42
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -222,22 +224,30 @@ class BlockMaxIndex:
     def invert(self) -> None:
         """Postings by dimension and entry, and (dimension, block) pairs with their largest weight; made where it is searched."""
         n = len(self.examples)
-        entry = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.edges))
-        weights = (1 + np.log(np.maximum(self.counts, 1))) * self.idf[self.ids]
-        length = np.sqrt(np.bincount(entry, weights**2, minlength=n))
-        weights = (weights / length[entry]).astype(np.float32)
         common = np.argsort(-np.bincount(self.ids, minlength=len(self.idf)), kind="stable")[:DENSE]
         self.column = np.full(len(self.idf), -1)
         self.column[common] = np.arange(len(common))
-        dense = self.column[self.ids] >= 0
         self.blocks = -(-n // self.block)
         # Rows are filled up to whole blocks.
         self.matrix = np.zeros((self.blocks * self.block, len(common)), np.float32)
-        self.matrix[entry[dense], self.column[self.ids[dense]]] = weights[dense]
-        ids, entry, weights = self.ids[~dense], entry[~dense], weights[~dense]
+        rare = self.column[self.ids] < 0
+        ids, entry, weights = self.ids[rare], np.empty(int(rare.sum()), np.int32), np.empty(int(rare.sum()), np.float32)
+        del rare
+        done = 0
+        for first in range(0, n, INVERTED):  # a stretch of entries at a time, which bounds what is held beside the result
+            span = slice(self.edges[first], self.edges[min(n, first + INVERTED)])
+            own = np.repeat(np.arange(first, min(n, first + INVERTED)), np.diff(self.edges[first : first + INVERTED + 1]))
+            values = (1 + np.log(np.maximum(self.counts[span], 1))) * self.idf[self.ids[span]]
+            values /= np.sqrt(np.bincount(own, values**2, minlength=n))[own]
+            column = self.column[self.ids[span]]
+            dense = column >= 0
+            self.matrix[own[dense], column[dense]] = values[dense]
+            more = len(own) - int(dense.sum())
+            entry[done : done + more], weights[done : done + more] = own[~dense], values[~dense]
+            done += more
         order = np.argsort(ids, kind="stable")
-        self.entry, self.weight, ids = entry[order].astype(np.int32), weights[order], ids[order]
-        del order, entry, weights, dense
+        self.entry, self.weight, ids = entry[order], weights[order], ids[order]
+        del order, entry, weights
         pair = ids.astype(np.int64) * (self.blocks + 1) + self.entry // self.block
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
         self.pair_edges = np.append(first, len(pair))
@@ -245,6 +255,12 @@ class BlockMaxIndex:
         self.pair_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.term_edges = np.searchsorted(ids[first], np.arange(len(self.idf) + 1))
 
+    def forget(self) -> None:
+        """Keep what searches need only: without the entries' own vectors, and so not to be sent on."""
+        if self.matrix is None:
+            self.invert()
+        self.ids = self.counts = None
+
     def __getstate__(self):
         packed = zlib.compress(self.ids.astype(np.int32).tobytes() + self.counts.astype(np.int32).tobytes(), 1)
         return self.idf, self.other, self.block, self.prior, self.default, self.steps, self.votes, self.examples, self.edges, packed
@@ -466,6 +482,8 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], text: str, sc
         arrow = to_arrow_schema(schema)
         space, index = sent.value
         index.steps = steps
+        if index.ids is not None:
+            index.forget()
         for batch in sliced(batches):
             rows = []
             made = space.vectors(batch.column(of).to_pylist())
