@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .hosting import is_flat_rate, is_free_model
+from .hosting import is_free_model, needs_key
 from .text import fields, markdown_words, strip_tags
 
 #: Fixed vocabulary of challenge pages.
@@ -104,9 +104,16 @@ FALLBACK_PRICE = (2.0, 10.0)
 
 
 def cost(model: Column, prompt: Column, completion: Column, fallback: bool = False, provider: Column | None = None) -> Column:
-    """USD of a call: 0 for an unknown model, or the fallback rate; free models and calls at a flat rate cost nothing."""
+    """USD of a call.
+
+    With a provider it settles first: calls at a flat rate or to one without a key cost nothing, whatever the model. Any other is metered:
+    a model in PRICES has its price, `:free` is free, and every other name costs FALLBACK_PRICE, also one like `llama...`. Where no provider is
+    known (none given, or null), models that are free by their name cost nothing, and unknown ones nothing or the fallback.
+    """
     price = lambda p: prompt / 1e6 * p[0] + completion / 1e6 * p[1]
-    out = F.when(is_free_model(model) if provider is None else is_free_model(model) | F.coalesce(is_flat_rate(provider), F.lit(False)), F.lit(0.0))
+    known = F.lit(None).cast("string") if provider is None else provider
+    settled = known.isNotNull() & ~F.coalesce(needs_key(known), F.lit(True))
+    out = F.when(settled | (known.isNull() & is_free_model(model)), F.lit(0.0))
     for name, p in PRICES.items():
         out = out.when(model == name, price(p))
-    return out.otherwise(price(FALLBACK_PRICE) if fallback else F.lit(0.0))
+    return out.when(F.lower(model).endswith(":free"), F.lit(0.0)).otherwise(F.when(known.isNotNull() | F.lit(fallback), price(FALLBACK_PRICE)).otherwise(F.lit(0.0)))

@@ -57,12 +57,50 @@ def clean_query(url: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(kept), lambda s: F.concat(_form_encode(s["k"]), F.lit("="), _form_encode(s["v"]))), "&")
 
 
+#: Signs that a path may have as they are, and those of them that stay when a path is written anew (fixed values).
+_PATH_SIGNS = r"^[A-Za-z0-9\-._~!$&'()*+,;=:@\[\]%/]*$"
+_PATH_KEPT, _USER_KEPT = "/$&+,:;=@~", "$&+,;=~"
+
+
+def _decode(text: Column) -> Column:
+    """Percent signs undone, null if one does not belong to two hex digits; a plus stays."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _percent_encode(text: Column, kept: str) -> Column:
+    """UTF-8 in percent signs, but for letters, digits, - . _ and the signs in kept."""
+    out = F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    for sign in kept:
+        out = F.replace(out, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return out
+
+
+def escaped_path(url: Column) -> Column:
+    """The path as it is if it has only signs that a path may have, else written anew; null if its percent signs are wrong."""
+    own = path(url)
+    return F.when(_decode(own).isNull(), F.lit(None)).when(own.rlike(_PATH_SIGNS), own).otherwise(_percent_encode(_decode(own), _PATH_KEPT))
+
+
+def user_info(url: Column) -> Column:
+    """What stands before the host, with its @; '' if there is nothing."""
+    own = F.regexp_extract(_part(url, 2), r"^(.*)@", 1)
+    name, word = F.substring_index(own, ":", 1), F.regexp_replace(own, r"^[^:]*:?", "")
+    written = F.concat(_percent_encode(_decode(name), _USER_KEPT), F.when(F.instr(own, ":") > 0, F.concat(F.lit(":"), _percent_encode(_decode(word), _USER_KEPT))).otherwise(F.lit("")))
+    return F.when(F.instr(_part(url, 2), "@") > 0, F.concat(written, F.lit("@"))).otherwise(F.lit(""))
+
+
 def canonicalize(url: Column) -> Column:
-    """Canonical URL; null if there is no host (file: URLs keep their path)."""
+    """Canonical URL; null if there is no host (file: URLs keep their path) or what is there is no URL.
+
+    The path and the user stay as they are or are percent-encoded. Control signs, wrong percent signs, hosts with spaces and
+    the like, and ports that are no number make no URL.
+    """
+    url = F.when(~F.trim(url).rlike(r"[\x00-\x1F\x7F]"), url)
     query = clean_query(url)
-    target = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
-    whole = F.concat(scheme(url), F.lit("://"), host_port(url), target, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
-    file = F.when(scheme(url) == "file", F.concat(F.lit("file://"), path(url)))
+    target = F.when(path(url) == "", F.lit("/")).otherwise(escaped_path(url))
+    odd_host = host_port(url).rlike(r"[ \\^`{|}%]") | host_port(url).rlike(r":[^\]]*[^0-9\]][^\]]*$")
+    whole = F.concat(scheme(url), F.lit("://"), F.when(~odd_host, user_info(url)), host_port(url), target, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    file = F.when(scheme(url) == "file", F.concat(F.lit("file://"), escaped_path(url)))
     return F.when(host_port(url) != "", whole).otherwise(file)
 
 

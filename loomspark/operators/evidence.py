@@ -194,15 +194,29 @@ def resolve_citations(report: str, known: dict[str, str]) -> tuple[str, list[str
 def containing(pages: DataFrame, text: str, quotes: DataFrame, quote: str, anchor: int = 4) -> DataFrame:
     """pages joined with quotes that their text holds, as it stands. Both are to have single spaces between words.
 
-    A quote's inner words stand between spaces wherever it occurs, so `anchor` of them, from its second word on, are among
-    the runs of words of every text that holds it: a hash join on these finds the candidates, and each is looked up. Quotes
-    of fewer than anchor + 2 words have no such run; they are looked up in every text, so give few of them.
+    A quote's inner words stand between spaces wherever it occurs, so `anchor` of them, from its second word on (or all, if it
+    has fewer), are among the runs of words of every text that holds it. Hashes of runs meet, without the texts; the
+    texts are joined to what has met, by their own hash, and looked up. A quote of one or two words has no inner word: it
+    is looked up in every text, as a set that is broadcast.
     """
     words = F.split(F.col(quote), " ")
-    long = quotes.where(F.size(words) >= anchor + 2).withColumn("_anchor", F.xxhash64(F.slice(words, 2, anchor)))
-    short = quotes.where(F.size(words) < anchor + 2)
+    length = F.least(F.lit(anchor), F.size(words) - 2)
+    asked = quotes.withColumns({"_n": length, "_quote": F.monotonically_increasing_id()})
+    long = asked.where("_n > 0").withColumn("_run", F.xxhash64(F.slice(words, F.lit(2), F.col("_n"))))
+    short = asked.where("_n <= 0").drop("_n", "_quote")
+    sizes = [r._n for r in long.select("_n").distinct().collect()]  # anchor of them at most
     own = F.split(F.col(text), " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(own) - anchor + 1)), lambda i: F.xxhash64(F.slice(F.col("_words"), i, anchor)))
-    anchored = pages.withColumn("_words", own).withColumn("_anchor", F.explode(F.array_distinct(runs))).drop("_words")
-    found = anchored.join(long, "_anchor").where(F.contains(F.col(text), F.col(quote))).drop("_anchor")
-    return found.unionByName(pages.join(short, F.contains(F.col(text), F.col(quote)))) if not short.isEmpty() else found
+
+    def runs_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - n + 1))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.slice(F.col("_words"), i, n)).alias("_run")))
+
+    runs = [runs_of(n) for n in sizes]
+    hashed = pages.withColumn("_text", F.xxhash64(text))
+    empty = F.array().cast("array<struct<_n:int,_run:bigint>>")
+    each = hashed.select("_text", own.alias("_words")).select("_text", F.explode(F.array_distinct(F.concat(empty, *runs))).alias("r")).select("_text", "r._n", "r._run")
+    met = each.join(long, ["_n", "_run"]).select("_text", "_quote", *(F.col(f"`{c}`") for c in quotes.columns)).dropDuplicates(["_text", "_quote"])
+    found = hashed.join(met, "_text").where(F.contains(F.col(text), F.col(quote))).drop("_text", "_quote")
+    if short.isEmpty():
+        return found
+    return found.unionByName(pages.join(F.broadcast(short), F.contains(F.col(text), F.col(quote))))

@@ -24,7 +24,7 @@ from .web import _CANON, _statuses
 def clean_pages(spark, sf_dir):
     pages = _statuses(table(spark, sf_dir, "pages"))
     cleaned = clean.with_quality(clean.clean(pages), pages)
-    return cleaned.select("page_id", "url", "title", "lang", "markdown", "words", "issue", "status", "js_score", F.size("links").alias("n_links"))
+    return cleaned.select("page_id", "url", "title", "lang", "markdown", "words", "issue", "status", "js_score", F.size("links").alias("n_links"), "error")
 
 
 @query()

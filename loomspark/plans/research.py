@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import coerce, hosting
+from ..functions import classify, coerce, hosting
 from ..functions import text as texts
 from ..operators import evidence, lines, research
 from ..sources import web
@@ -64,6 +64,23 @@ def budget_governor(spark, sf_dir):
     return research.govern(ask.unionByName(log), 500.0)
 
 
+_PROVIDERS = ("openai", "codex", "Ollama", "openrouter", "", None)
+_MODELS = ("gpt-4o-mini", "llama3.1", "ollama/phi", "any:FREE", "mystery")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, p_size * 1000.0::DOUBLE AS n, CAST(p_partkey AS DOUBLE) AS m, ['openai', 'codex', 'Ollama', 'openrouter', '', NULL][CAST(p_size % 6 AS INTEGER) + 1] AS provider,
+      ['gpt-4o-mini', 'llama3.1', 'ollama/phi', 'any:FREE', 'mystery'][CAST(p_partkey % 5 AS INTEGER) + 1] AS model FROM part)
+    SELECT p_partkey, round(CASE WHEN provider IN ('codex', 'Ollama', '') THEN 0.0 WHEN provider IS NULL AND model IN ('llama3.1', 'ollama/phi', 'any:FREE') THEN 0.0
+      WHEN model = 'gpt-4o-mini' THEN n / 1e6 * 0.15 + m / 1e6 * 0.60 WHEN model = 'any:FREE' THEN 0.0 WHEN provider IS NULL THEN 0.0 ELSE n / 1e6 * 2.0 + m / 1e6 * 10.0 END, 9) AS usd FROM c"""
+)
+def provider_costs(spark, sf_dir):
+    """A name that is free elsewhere is metered where its provider is."""
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+    usd = classify.cost(pick(_MODELS, "p_partkey"), F.col("p_size") * 1000.0, F.col("p_partkey").cast("double"), provider=pick(_PROVIDERS, "p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(usd, 9).alias("usd"))
+
+
 _MODEL = "CASE p_size % 4 WHEN 0 THEN 'Ollama/' || p_name WHEN 1 THEN p_name || ':FREE' WHEN 2 THEN 'llama' || p_brand ELSE p_type END"
 
 

@@ -30,6 +30,23 @@ def url_canonicalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", urls.canonicalize(F.col("url")).alias("canonical"))
 
 
+@query(
+    r"""SELECT p_partkey, CASE CAST(p_size % 8 AS INTEGER)
+      WHEN 0 THEN 'http://U:p%40@h.com/' || url_encode(p_name) || '/%C3%A9%28' || p_size || '%29' WHEN 1 THEN 'http://h.com:8080/(' || p_size || ')!*%20?b=1&c=' || p_size
+      WHEN 3 THEN 'https://h.com/a%20b/%C3%A9//' || p_size || '?q=' || replace(url_encode(p_name), '%20', '+') WHEN 5 THEN 'http://h.com/a+b' || p_size || '~' END AS canonical FROM part"""
+)
+def url_canonicalize_odd(spark, sf_dir):
+    """Spaces, letters outside ASCII, users, ports, and what is no URL, around parts' names and sizes."""
+    size = F.col("p_size").cast("string")
+    odd = [
+        ("HTTP://U:p%40@H.com:80/", F.col("p_name"), "/é(", size, ")#f"), ("http://h.com:8080/(", size, ")!*%20?c=", size, "&utm_a=1&b=1"), ("http://h.com/%zz", size), ("https://H.COM:443/a%20b/é/%2F", size, "?q=", F.col("p_name")),
+        ("http://h .com/", size), (" http://h.com/a+b", size, "~ "), ("http://h.com/\t", size), ("http://h.com:8a/", size),
+    ]
+    made = [F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)) for parts in odd]
+    url = F.element_at(F.array(*made), (F.col("p_size") % len(odd) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", urls.canonicalize(url).alias("canonical"))
+
+
 @query(f"WITH {_CANON} SELECT canonical, sha256(canonical) AS url_hash, COUNT(*) AS n, MIN(page_id) AS first_page FROM canonical GROUP BY canonical")
 def url_hash_dedup(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", urls.canonicalize(F.col("url")).alias("canonical"))

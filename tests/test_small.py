@@ -95,3 +95,39 @@ def test_resolve_is_rfc_3986(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "r string").select("r", urls.resolve(F.lit("http://a/b/c/d;p?q"), F.col("r")).alias("u")).collect()
     assert {r.r: r.u for r in rows} == cases
+
+
+def test_canonical_urls_of_all_kinds(spark):
+    vectors = {
+        "HTTP://EX.com:80/a?utm_x=1&b=2": "http://ex.com/a?b=2",
+        "http://ex.com/a?z=1&b=2": "http://ex.com/a?b=2&z=1",
+        "http://ex.com": "http://ex.com/",
+        "http://ex.com/a b/é": "http://ex.com/a%20b/%C3%A9",
+        "http://ex.com/a%20b/%C3%A9": "http://ex.com/a%20b/%C3%A9",
+        "http://u:p@ex.com/": "http://u:p@ex.com/",
+        "http://u@ex.com/": "http://u@ex.com/",
+        "http://ex.com/(x)!*'": "http://ex.com/(x)!*'",
+        'http://ex.com/"(x)!+': "http://ex.com/%22%28x%29%21+",
+        "http://[::1]:80/a": "http://[::1]/a",
+        "file:///a b": "file:///a%20b",
+        **dict.fromkeys(["", "://bad", "http://", "http://ex.com/%4", "http://a b.com/", "http://ex.com:x/", "http://ex.com/\x01"]),
+    }
+    df = spark.createDataFrame([(u,) for u in vectors], "u string")
+    from loomspark.functions import urls
+
+    assert {r.u: r.c for r in df.select("u", urls.canonicalize(F.col("u")).alias("c")).collect()} == vectors
+
+
+def test_texts_that_hold_quotes_of_any_length(spark):
+    import random
+
+    from loomspark.operators import evidence
+
+    rng = random.Random(3)
+    words = ["a", "bb", "ccc", "dd", "e"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(80)]
+    quotes = [t[i : i + n] for t in texts[::4] for i, n in ((0, 3), (1, 9), (2, 14), (0, 40))] + ["nowhere to be found", ""]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "id int, t string")
+    asked = spark.createDataFrame([(i % 50, q) for i, q in enumerate(quotes)], "n int, q string")
+    got = sorted((r.id, r.n, r.q) for r in evidence.containing(pages, "t", asked, "q").collect())
+    assert got == sorted((i, n % 50, q) for i, t in [*enumerate(texts), (0, texts[0])] for n, q in enumerate(quotes) if q in t)
