@@ -525,8 +525,13 @@ _FROM_URL = ("url", "asin", "item_id", "listing_id", "kind", "isOnline", "remote
 
 
 def extract_record(name: str, body: str, url: str) -> dict | None:
+    """The record of one body by the extractor of that name."""
+    return record_of(lookup(name), body, url)
+
+
+def record_of(site: Site, body: str, url: str) -> dict | None:
     """The record of one body, without what is empty; None if the body is no such page."""
-    site, source = lookup(name), Source(body or "", url or "")
+    source = Source(body or "", url or "")
     record = {k: v for k, read in site.fields.items() if (v := read(source)) not in (None, "", [], {})}
     needs = site.needs or tuple(k for k in site.fields if k not in _FROM_URL or k in ("og", "twitter"))
     return record if any(k in record for k in needs) else None
@@ -538,12 +543,14 @@ def extract(bodies: DataFrame, key: str, name: str | None = None) -> DataFrame:
     if name:
         lookup(name)
     kind = bodies.schema[key].dataType.simpleString()
+    # Sites that have been registered here are not known to the workers' own registry.
+    known = {s.name: s for s in REGISTRY if name in (None, s.name)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             records, errors = [], []
             for extractor, body, url in zip(pdf["extractor"], pdf["body"], pdf["url"], strict=True):
-                record = extract_record(extractor, body, url) if extractor else None
+                record = record_of(known[extractor], body, url) if extractor else None
                 records.append(json.dumps(record, sort_keys=True, ensure_ascii=False) if record else None)
                 errors.append(None if record else "no data" if extractor else "no extractor")
             yield pd.DataFrame({key: pdf[key], "extractor": pdf["extractor"], "record": records, "error": errors})

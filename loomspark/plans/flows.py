@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ..operators import pacing
+from ..operators import modules, pacing
 from ..session import shared_dir
 from ..sources import delivery, records
 from ..sources.tables import table
@@ -96,3 +96,17 @@ def delivered_once(spark, sf_dir):
                 raise
     lines = spark.read.schema("o_orderkey long, o_orderstatus string").json(f"{folder}/inbox")
     return lines.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").cast("int").alias("times"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN p_name END AS name, CASE WHEN p_size % 7 > 0 THEN p_size || '.0' END AS version, CASE WHEN p_size % 7 > 0 THEN p_type END AS summary,
+    CASE WHEN p_size % 7 = 0 THEN 'no data' END AS error FROM part"""
+)
+def extract_table(spark, sf_dir):
+    """Parts as answers of a package index, read by the table function."""
+    info = F.to_json(F.struct(F.struct(F.col("p_name").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("version"), F.col("p_type").alias("summary")).alias("info")))
+    body = F.when(F.col("p_size") % 7 > 0, info).otherwise("<html>not found</html>")
+    url = F.concat(F.lit("https://pypi.org/project/p"), F.col("p_partkey").cast("string"))
+    modules.register_functions(spark)
+    rows = table(spark, sf_dir, "part").select("p_partkey", url.alias("url"), body.alias("body"))
+    return spark.sql("SELECT p_partkey, name, version, summary, error FROM extract('pypi', TABLE({rows}))", rows=rows)
