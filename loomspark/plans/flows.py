@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import modules, pacing
 from ..session import shared_dir
-from ..sources import delivery, records
+from ..sources import delivery, records, xml
 from ..sources.tables import table
 from ..streaming.heal import PAGES, HealingStream
 from .registry import query
@@ -110,3 +110,24 @@ def extract_table(spark, sf_dir):
     modules.register_functions(spark)
     rows = table(spark, sf_dir, "part").select("p_partkey", url.alias("url"), body.alias("body"))
     return spark.sql("SELECT p_partkey, name, version, summary, error FROM extract('pypi', TABLE({rows}))", rows=rows)
+
+
+@query(
+    """SELECT p_partkey, p_name || ' & co' AS title, 'http://h/' || p_size AS link, [{'title': p_type, 'link': 'http://h/i/' || p_partkey, 'published': CAST(p_size AS VARCHAR), 'summary': p_brand || ' <3'},
+      {'title': p_brand, 'link': 'http://h/j', 'published': NULL, 'summary': NULL}] AS items FROM part"""
+)
+def feed_items(spark, sf_dir):
+    """Parts as feeds, by turns RSS and Atom with prefixes, CDATA and entities; items are its entries in order."""
+    name, size, kind, brand, key = (F.col(c).cast("string") for c in ("p_name", "p_size", "p_type", "p_brand", "p_partkey"))
+    join = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    rss = join(
+        "<?xml version='1.0'?><!-- <feed> --><rss version='2.0' xmlns:atom='http://www.w3.org/2005/Atom'><channel><atom:link rel='self' href='http://self'/><title>", name, " &amp; co</title>",
+        "<atom:link href='http://h/", size, "'/><item><title> ", kind, "\n</title><link>http://h/i/", key, "</link><pubDate>", size, "</pubDate><description><![CDATA[<b>", brand, "</b> <3]]></description></item>",
+        "<item><title>", brand, "</title><link>http://h/j</link></item></channel></rss>",
+    )
+    atom = join(
+        '<a:feed xmlns:a = "http://www.w3.org/2005/Atom"><a:title type="html">', name, " &#38; co</a:title><a:link href='http://h/", size, "' rel='alternate'/><a:entry><a:link rel='edit' href='http://e'/><a:link href='http://h/i/", key, "'/><a:title>", kind,
+        "</a:title><a:updated>", size, "</a:updated><a:content><![CDATA[", brand, " <3]]></a:content></a:entry><a:entry><a:title>", brand, '</a:title><a:link href="http://h/j"/></a:entry></a:feed>',
+    )
+    bodies = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, rss).otherwise(atom).alias("body"))
+    return xml.feeds(bodies, "body").select("p_partkey", "feed.title", "feed.link", "feed.items")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dom import parse, select
+from .xml import sitemap_index, urlset
 
 #: Where each search backend keeps its hits, and what it calls title, url and snippet (fixed values).
 BACKENDS = {
@@ -90,23 +91,6 @@ def sitemaps_of(robots: DataFrame, key: str = "host", body: str = "body", site:
     return named.unionByName(usual.join(named.select(key).distinct(), key, "left_anti"))
 
 
-def _xml_list(body: Column, root: str, item: str) -> Column:
-    """Trimmed loc texts; XML without that root gives nothing."""
-    clean = F.regexp_replace(F.regexp_replace(body, r"(?s)<\?.*?\?>|<!--.*?-->", ""), r"\sxmlns(?::\w+)?\s*=\s*\"[^\"]*\"", "")
-    is_kind = clean.rlike(rf"(?s)^\s*<{root}\b")
-    found = F.regexp_extract_all(clean, F.lit(rf"(?s)<{item}\b[^>]*>.*?<loc>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</loc>"), F.lit(1))
-    locs = F.transform(found, lambda x: F.replace(F.trim(x), F.lit("&amp;"), F.lit("&")))
-    return F.when(is_kind, F.filter(locs, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
-
-
-def urlset(body: Column) -> Column:
-    return _xml_list(body, "urlset", "url")
-
-
-def sitemap_index(body: Column) -> Column:
-    return _xml_list(body, "sitemapindex", "sitemap")
-
-
 def expand_sitemaps(seeds: DataFrame, documents: DataFrame, max_depth: int = 5, max_documents: int = 100, max_urls: int = 10_000) -> tuple[DataFrame, bool]:
     """Page urls under seed sitemaps (url) in documents (url, body), by levels; whether a limit cut it short.
 
