@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, urls
-from ..operators import frontier
+from ..operators import frontier, suffixes
 from ..sources.tables import table
 from .registry import query
 
@@ -281,3 +281,25 @@ def marker_scan(spark, sf_dir):
 def challenge_page(spark, sf_dir):
     pages = _statuses(_signed(table(spark, sf_dir, "pages")))
     return pages.select("page_id", "status", classify.is_challenge(F.col("body"), F.col("status")).alias("challenge"))
+
+
+@query(
+    """WITH t AS (SELECT n_nationkey AS k, lower(replace(n_name, ' ', '-')) AS tld FROM nation),
+    h AS (SELECT s_suppkey % 4 AS form, k % 3 AS kind, tld, 's' || s_suppkey AS own, s_suppkey FROM supplier JOIN t ON s_nationkey = k)
+    SELECT 'www.' || own || '.' || CASE form WHEN 0 THEN 'co.' WHEN 1 THEN 'city.' WHEN 2 THEN 'a.b.' ELSE '' END || upper(tld) AS host,
+      CASE kind WHEN 0 THEN CASE form WHEN 0 THEN own || '.co.' || tld WHEN 1 THEN 'city.' || tld WHEN 2 THEN 'a.b.' || tld ELSE 'www.' || own || '.' || tld END
+        WHEN 1 THEN CASE form WHEN 0 THEN own || '.co.' || tld WHEN 1 THEN 'city.' || tld WHEN 2 THEN 'b.' || tld ELSE own || '.' || tld END
+        ELSE CASE form WHEN 0 THEN 'co.' || tld WHEN 1 THEN 'city.' || tld WHEN 2 THEN 'b.' || tld ELSE own || '.' || tld END END AS domain,
+      CASE kind WHEN 0 THEN CASE form WHEN 0 THEN 'co.' || tld WHEN 1 THEN tld WHEN 2 THEN 'b.' || tld ELSE own || '.' || tld END WHEN 1 THEN CASE form WHEN 0 THEN 'co.' || tld ELSE tld END ELSE tld END AS suffix FROM h"""
+)
+def suffix_domains(spark, sf_dir):
+    """Suppliers' hosts under their nations, of which a third have a wildcard with an exception, a third a rule of two labels, and a third one."""
+    tld = F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), tld.alias("tld"))
+    kind = F.col("s_nationkey") % 3
+    made = F.when(kind == 0, F.array(F.concat(F.lit("*."), "tld"), F.concat(F.lit("!city."), "tld"))).when(kind == 1, F.array("tld", F.concat(F.lit("co."), "tld"))).otherwise(F.array("tld"))
+    rules = suffixes.rules_of(nations.select(F.explode(made).alias("rule")))
+    form = F.col("s_suppkey") % 4
+    middle = F.when(form == 0, "co.").when(form == 1, "city.").when(form == 2, "a.b.").otherwise("")
+    host = F.concat(F.lit("www.s"), F.col("s_suppkey").cast("string"), F.lit("."), middle, F.upper("tld"))
+    return suffixes.registrable(table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(host.alias("host")), rules)
