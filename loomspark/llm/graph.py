@@ -44,8 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     hubs = materialize(hot_keys(both, "b"))
+    plain = hubs.isEmpty()
     while True:
-        near = lookup(both, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        named = labels.withColumnRenamed("node", "b")
+        near = (both.join(named, "b") if plain else lookup(both, named, "b", hubs)).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         joined = labels.join(near, "node", "left")
         hooked = materialize(joined.select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
         further = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))

@@ -453,6 +453,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
     index.close()
     index.set_prior((empty[0], empty[1]))
     sent = spark.sparkContext.broadcast((space, index))
+    index.ids = index.counts = None  # the driver needs them no more
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
