@@ -9,6 +9,14 @@ from ..operators import frontier, suffixes
 from ..sources.tables import table
 from .registry import query
 
+def _escaped(path: str) -> str:
+    """A path as SQL: as it is if it may be, else its text written anew, with the signs that stay."""
+    written = f"url_encode(url_decode({path}))"
+    for sign in "/$&+,:;=@":
+        written = f"replace({written}, '%{ord(sign):02X}', '{sign}')"
+    return rf"CASE WHEN regexp_full_match({path}, '[A-Za-z0-9\-._~!$&''()*+,;=:@\[\]%/]*') THEN {path} ELSE {written} END"
+
+
 # The canonical form, as SQL over a column url.
 _CANON = r"""
 parts AS (
@@ -17,12 +25,12 @@ parts AS (
 canon AS (
   SELECT * EXCLUDE (u), lower(u.s) AS scheme,
          CASE lower(u.s) WHEN 'http' THEN regexp_replace(lower(u.a), ':80$', '') WHEN 'https' THEN regexp_replace(lower(u.a), ':443$', '') ELSE lower(u.a) END AS host,
-         u.p AS path,
+         u.p AS path, @ESCAPED AS escaped,
          array_to_string(list_sort(list_filter(string_split(u.q, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_|(gclid|fbclid|msclkid)(=|$))'))), '&') AS query
   FROM parts),
 canonical AS (
-  SELECT *, CASE WHEN host <> '' THEN scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical
-  FROM canon)"""
+  SELECT *, CASE WHEN host <> '' THEN scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE escaped END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical
+  FROM canon)""".replace("@ESCAPED", _escaped("u.p"))
 
 
 @query(f"WITH {_CANON} SELECT page_id, url, canonical FROM canonical")
@@ -137,8 +145,10 @@ def html_comment_strip(spark, sf_dir):
 
 
 _LINKS = f"""{_CANON},
+written AS (
+  SELECT page_id, scheme || '://' || host AS site, unnest(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1)) AS target FROM canonical),
 links AS (
-  SELECT page_id, scheme || '://' || host || unnest(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1)) AS link FROM canonical)"""
+  SELECT page_id, site || {_escaped("target")} AS link FROM written)"""
 
 
 # Anchors in many forms, with {h}, {H}, {s} and {n} for a page's host, upper-case host, scheme and number, and what each must come to, by its making.
