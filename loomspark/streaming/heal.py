@@ -1,7 +1,8 @@
 """Selectors that heal while a stream runs: each micro-batch is read with the newest selectors, and may leave newer ones.
 
 A batch's pages are read by their domain's selectors, in parallel. Only the outcomes, a flag for each field, go on to the ring
-of their domain and field; a ring with too many nulls triggers, and the domain's document is mended from its newest samples. Selectors,
+of their domain and field; a ring with too many nulls triggers, and the domain's document is mended from its newest samples. The ring of a
+mended field begins anew: the outcomes after its trigger came from the selector that went. Selectors,
 rings and samples are tables by version: batch n reads version n and writes version n + 1. A batch that is run again, after
 a restart, reads what it has read before and overwrites what it has written, so nothing is counted, healed or written
 twice. The batch after it sees the mended selectors.
@@ -89,7 +90,6 @@ class HealingStream:
         before = before.select("domain", "field", F.lit(-(2**63)).cast("long").alias("seq"), "ring", F.lit(None).cast("boolean").alias("is_null"))
         after = fold_sorted(before.unionByName(outcomes), ["domain", "field"], ["seq"], ["ring", "is_null"], lambda: ("", 0), _step, lambda s: s, "ring string, fired int")
         after = keep(after)
-        self.rings.write(after.select("domain", "field", "ring"), version + 1)
 
         fresh = pages.where("truth IS NOT NULL")
         newest = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("seq")))
@@ -100,7 +100,11 @@ class HealingStream:
 
         triggers = after.where("fired > 0").select("domain", "field")
         known = self.samples.read(version + 1).join(triggers.select("domain").distinct(), "domain", "left_semi").select("domain", F.explode("newest").alias("s")).select("domain", "s.*")
-        healed = selectors.heal_domains(triggers, documents, known, self.hints).where(F.size("healed") > 0)
+        healed = keep(selectors.heal_domains(triggers, documents, known, self.hints).where(F.size("healed") > 0))
+        # What a replaced selector has found says nothing about the one in its place, so the ring of a mended field begins anew.
+        mended = healed.select("domain", F.explode("healed").alias("field"), F.lit(True).alias("mended"))
+        rings = after.join(mended, ["domain", "field"], "left").select("domain", "field", F.when(F.col("mended"), "").otherwise(F.col("ring")).alias("ring"))
+        self.rings.write(rings, version + 1)
         self.selectors.write(healed.select("domain", "fields", "fingerprints"), version + 1)
 
     def run(self, stream: DataFrame) -> DataFrame:

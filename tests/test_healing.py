@@ -45,6 +45,18 @@ def test_stream_heals_and_a_restart_repeats_nothing(spark, tmp_path):
     assert read(spark.read.schema("domain string, seq long, record string, nulls array<string>, since long").parquet(f"{folder}/records")) == expected + [(400 + i, 400.5 + i, 2) for i in range(20)]
 
 
+def test_a_mended_fields_ring_begins_anew(spark, tmp_path):
+    """Nulls left after a trigger came from the old selector; the first good page must not make a full ring of them."""
+    folder = str(tmp_path)
+    run = HealingStream(spark, folder)
+    run.begin(spark.createDataFrame([("d", json.dumps({"price": {"type": "css", "expr": "span.price", "coerce": "float"}}), None)], "domain string, fields string, fingerprints string"))
+    for batch, (template, start, n) in enumerate(((OLD, 0, 20), (NEW, 100, 18), (NEW, 200, 5), (NEW, 300, 5))):  # fires at the 9th null, nine more follow
+        write(spark, folder, batch, template, start, n)
+    records = run.run(spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")).collect()
+    assert {(r.seq // 100, r.since) for r in records} == {(0, 0), (1, 0), (2, 2), (3, 2)}
+    assert [r.ring for r in run.rings.read(2).collect()] == [""]
+
+
 def test_versions(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(VersionedTable, "SNAPSHOT", 3)
     t = VersionedTable(spark, str(tmp_path / "t"), ["k"], "v int, since long")
