@@ -209,12 +209,15 @@ def containing(pages: DataFrame, text: str, quotes: DataFrame, quote: str, ancho
 
     def runs_of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - n + 1))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.slice(F.col("_words"), i, n)).alias("_run")))
+        # Distinct as longs: Spark compares the structs of an array with each other, by the square of a text's words.
+        runs = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("_words"), i, n))))
+        return F.transform(runs, lambda run: F.struct(F.lit(n).alias("_n"), run.alias("_run")))
 
     runs = [runs_of(n) for n in sizes]
+    pages = spread(pages)
     hashed = pages.withColumn("_text", F.xxhash64(text))
     empty = F.array().cast("array<struct<_n:int,_run:bigint>>")
-    each = hashed.select("_text", own.alias("_words")).select("_text", F.explode(F.array_distinct(F.concat(empty, *runs))).alias("r")).select("_text", "r._n", "r._run")
+    each = hashed.select("_text", own.alias("_words")).select("_text", F.explode(F.concat(empty, *runs)).alias("r")).select("_text", "r._n", "r._run")
     met = each.join(long, ["_n", "_run"]).select("_text", "_quote", *(F.col(f"`{c}`") for c in quotes.columns)).dropDuplicates(["_text", "_quote"])
     found = hashed.join(met, "_text").where(F.contains(F.col(text), F.col(quote))).drop("_text", "_quote")
     if short.isEmpty():

@@ -131,3 +131,16 @@ def test_texts_that_hold_quotes_of_any_length(spark):
     asked = spark.createDataFrame([(i % 50, q) for i, q in enumerate(quotes)], "n int, q string")
     got = sorted((r.id, r.n, r.q) for r in evidence.containing(pages, "t", asked, "q").collect())
     assert got == sorted((i, n % 50, q) for i, t in [*enumerate(texts), (0, texts[0])] for n, q in enumerate(quotes) if q in t)
+
+
+def test_containing_takes_long_texts_in_proportion(spark):
+    """A text of 60,000 different words: comparing all its runs with each other takes minutes."""
+    import time
+
+    from loomspark.operators import evidence
+
+    pages = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60_000)))], "id int, t string")
+    asked = spark.createDataFrame([(1, "w59990 w59991 w59992 w59993 w59994 w59995"), (2, "w1 w3 w4 w5 w6 w7")], "n int, q string")
+    began = time.perf_counter()
+    assert [(r.id, r.n) for r in evidence.containing(pages, "t", asked, "q").collect()] == [(1, 1)]
+    assert time.perf_counter() - began < 30
