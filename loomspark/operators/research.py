@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,26 +135,33 @@ EVENTS = "run_id, seq, event (ask, logged, tool or write_now), call, kind, usd,
 def govern(events: DataFrame, most: float, reserve: float = RESERVE, tools: int | None = None) -> DataFrame:
     """run_id, seq, event, admitted and spent after each of EVENTS, in the order of seq within a run.
 
-    A run's events are its tool and model calls, whose number its options bound, so a run fits a group.
+    Rows are sorted by Spark and fold as they pass, over all of the session's shuffle partitions, however few their bytes are.
     """
     kinds = [events.schema["run_id"], events.schema["seq"], T.StructField("event", T.StringType()), T.StructField("admitted", T.BooleanType()), T.StructField("spent", T.DoubleType())]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        budget, rows = Governor(most, reserve, tools), []
-        for e in pdf.sort_values(["seq", "event"]).itertuples():
-            admitted = True
-            if e.event == "ask":
-                admitted = budget.ask(e.call, e.kind, e.usd, bool(e.flat))
-            elif e.event == "logged":
-                budget.logged(e.call, e.usd)
-            elif e.event == "tool":
-                admitted = budget.tool()
-            else:
-                budget.write_now = True
-            rows.append((e.run_id, e.seq, e.event, admitted, round(budget.spent, 9)))
-        return pd.DataFrame(rows, columns=["run_id", "seq", "event", "admitted", "spent"])
-
-    return events.groupBy("run_id").applyInPandas(fold, T.StructType(kinds))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, budget = None, None
+        for batch in batches:
+            admitted, spent = [], []
+            for own, event, call, kind, usd, flat in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
+                if budget is None or own != run:
+                    run, budget = own, Governor(most, reserve, tools)
+                usd, good = float("nan") if usd is None else usd, True
+                if event == "ask":
+                    good = budget.ask(call, kind, usd, bool(flat))
+                elif event == "logged":
+                    budget.logged(call, usd)
+                elif event == "tool":
+                    good = budget.tool()
+                else:
+                    budget.write_now = True
+                admitted.append(good)
+                spent.append(None if budget.spent != budget.spent else round(budget.spent, 9))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(admitted, pa.bool_()), pa.array(spent, pa.float64())], names=[k.name for k in kinds])
+
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.select("run_id", "seq", "event", "call", "kind", F.col("usd").cast("double"), "flat").repartition(tasks, "run_id")
+    return rows.sortWithinPartitions("run_id", F.asc_nulls_last("seq"), F.asc_nulls_last("event")).mapInArrow(fold, T.StructType(kinds))
 
 
 def search_queue(searches: DataFrame, done: DataFrame, most: int) -> DataFrame:

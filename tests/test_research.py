@@ -119,3 +119,13 @@ def test_flat_rates_and_free_models_cost_nothing(spark):
     rows = spark.createDataFrame([("gpt-4o-mini", "openai"), ("gpt-4o-mini", "codex"), ("llama3", None), ("odd", None)], "m string, p string")
     usd = [r.x for r in rows.select(classify.cost(F.col("m"), F.lit(1_000_000), F.lit(1_000_000), True, F.col("p")).alias("x")).collect()]
     assert usd == pytest.approx([0.75, 0.0, 0.0, 12.0])
+
+
+def test_few_bytes_of_many_runs_are_dealt_to_all_tasks(spark):
+    rows = [(f"r{i % 200}", i, "ask", str(i), "research", 0.3, False) for i in range(800)]
+    events = spark.createDataFrame(rows, "run_id string, seq long, event string, call string, kind string, usd double, flat boolean").coalesce(1)
+    told = research.govern(events, 1.0)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert told.rdd.getNumPartitions() == tasks
+    got = [(r.run_id, r.admitted) for r in told.orderBy("run_id", "seq").collect()]
+    assert all([a for _, a in got[i : i + 4]] == [True, True, False, False] for i in range(0, 800, 4))
