@@ -260,10 +260,24 @@ def _joined(crossing: DataFrame) -> DataFrame:
     return ordered.mapInArrow(join, "file string, start long, number long, text string")
 
 
+def _cuts_all(spark: SparkSession, path: str, separator: str) -> bool:
+    """Whether no piece of the files is much longer than PIECE: Spark's reader passes over longer lines, and their bytes are missing.
+
+    So a file on one line is not given to Python, or held by a reader, as one row.
+    """
+    lines = ship(spark).read.option("lineSep", separator).option("mapreduce.input.linerecordreader.line.maxlength", str(2 * PIECE)).text(path)
+    own = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("n"))
+    files = own.groupBy("file").agg(F.max("size").alias("size"), F.sum(F.col("n") + 1).alias("read"))
+    read = files.agg(F.sum("size"), F.sum(F.greatest(F.lit(0), F.col("size") - F.col("read"))), F.count("*")).first()
+    # A file of which no line is left has no row at all.
+    empty = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0").join(files, F.col("path") == F.col("file"), "left_anti")
+    return (read[1] or 0) < PIECE and empty.isEmpty()
+
+
 def _summed(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     """The separator to read with, and the summaries with it."""
     best, refused = None, None
-    for separator in SEPARATORS:
+    for separator in [s for s in SEPARATORS if _cuts_all(spark, path, s)] or SEPARATORS:
         try:
             summed = keep(summaries(_pieces(spark, path, separator), separator))
         except PySparkException as e:  # a piece of more than 2 GB; with another separator it may be shorter

@@ -122,3 +122,15 @@ def test_many_splits_are_joined_by_a_shuffle(spark, small_splits, tmp_path, monk
     found = [{"n": i, "t": ["z" * 50]} for i in range(2000)]
     (tmp_path / "a.json").write_text(json.dumps(found))
     assert [json.loads(r.record) for r in read(spark, tmp_path / "a.json")] == found
+
+
+def test_a_file_on_one_line_is_not_read_as_one_row(spark, tmp_path, monkeypatch):
+    """The separators that leave a long piece are known before Python gets any; a folder's other files do not hide it."""
+    monkeypatch.setattr(records, "PIECE", 1000)
+    (tmp_path / "a.json").write_text("[" + ",".join(f'{{"a":{i}}}' for i in range(2000)) + "]")
+    (tmp_path / "b.json").write_text("[1,2]\n")
+    tried = []
+    real = records.summaries
+    monkeypatch.setattr(records, "summaries", lambda pieces, separator: (tried.append(separator), real(pieces, separator))[1])
+    assert records.read_records(spark, f"{tmp_path}").count() == 2002
+    assert tried == [","]
