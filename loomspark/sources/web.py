@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dom import parse, select
+from ..session import spread
 from .xml import sitemap_index, urlset
 
 #: Where each search backend keeps its hits, and what it calls title, url and snippet (fixed values).
@@ -48,7 +49,7 @@ def parse_hits(answers: DataFrame, limit: int = 10) -> DataFrame:
             rows = [(q, b, n, *hit) for q, b, body in zip(pdf["query"], pdf["backend"], pdf["body"], strict=True) for n, hit in enumerate(html_hits(body or "")[:limit], 1)]
             yield pd.DataFrame(rows, columns=["query", "backend", "rank", "title", "url", "snippet"])
 
-    scraped = answers.where("backend = 'duckduckgo'").select("query", "backend", "body").mapInPandas(scrape, "query string, backend string, rank int, title string, url string, snippet string")
+    scraped = spread(answers.where("backend = 'duckduckgo'").select("query", "backend", "body")).mapInPandas(scrape, "query string, backend string, rank int, title string, url string, snippet string")
     return native.unionByName(scraped)
 
 

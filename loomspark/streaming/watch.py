@@ -39,13 +39,17 @@ class Watcher(StatefulProcessor):
         self.last = handle.getValueState("last", "markdown string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        # The state is asked and told once a batch, not once a row: each time is a round trip to the store.
+        out, known = [], self.last.get()[0] if self.last.exists() else None
+        before = known
         for row in sorted((r for pdf in rows for r in pdf.to_dict("records")), key=lambda r: r["seq"]):
             if row.get("source") not in (None, "", "watch"):
                 continue
-            before = self.last.get()[0] if self.last.exists() else None
-            out.append({"url": key[0], "seq": row["seq"], **compare(before, row["markdown"] or "")})
-            self.last.update((row["markdown"] or "",))
+            after = row["markdown"] or ""
+            out.append({"url": key[0], "seq": row["seq"], **compare(before, after)})
+            before = after
+        if before != known:
+            self.last.update((before,))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in WATCH_OUTPUT.split(", ")])
 
     def close(self) -> None:

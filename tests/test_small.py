@@ -144,3 +144,41 @@ def test_containing_takes_long_texts_in_proportion(spark):
     began = time.perf_counter()
     assert [(r.id, r.n) for r in evidence.containing(pages, "t", asked, "q").collect()] == [(1, 1)]
     assert time.perf_counter() - began < 30
+
+
+def test_watching_asks_the_state_once_a_batch():
+    import pandas as pd
+
+    from loomspark.streaming.watch import Watcher
+
+    class State:
+        value, calls = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    watcher = Watcher()
+    watcher.last = State()
+    rows = pd.DataFrame([(i, "read" if i % 3 == 1 else "watch", f"v{i // 4}") for i in range(40)], columns=["seq", "source", "markdown"])
+    halves = [list(watcher.handleInputRows(("u",), iter([rows[at : at + 20]]), None))[0] for at in (0, 20)]
+    assert [len(h) for h in halves] == [13, 14]
+    assert [bool(b) for h in halves for b in h["baseline"]] == [True] + [False] * 26
+    assert sum(bool(c) for h in halves for c in h["changed"]) == 9 and watcher.last.value == ("v9",) and watcher.last.calls == 3
+
+
+def test_answers_in_one_partition_are_read_by_all_cores(spark):
+    from loomspark.sources import web
+
+    body = '<div class="result"><a class="result__a" href="http://a/">x</a></div>'
+    answers = spark.range(64, numPartitions=1).selectExpr("cast(id as string) query", "'duckduckgo' backend", f"'{body}' body")
+    hits = web.parse_hits(answers)
+    assert hits.count() == 64
+    assert hits.selectExpr("spark_partition_id() p").distinct().count() == min(64, spark.sparkContext.defaultParallelism) or spark.sparkContext.defaultParallelism == 1
