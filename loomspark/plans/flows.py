@@ -84,13 +84,13 @@ def delivered_once(spark, sf_dir):
     """Orders, sent to a process that keeps its lines, by a run that is broken off and by one that goes on: how often each arrived."""
     folder = f"{shared_dir(spark)}/delivery-{uuid.uuid4().hex}"
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    last = orders.agg(F.max("o_orderkey")).first()[0]
+    last, count = orders.agg(F.max("o_orderkey"), F.count("*")).first()
     broken = orders.where(F.when(F.col("o_orderkey") == last, F.raise_error(F.lit("broken off")).cast("boolean")).otherwise(True))
     inbox = folder.removeprefix("file:").replace("//", "/") + "/inbox"
     keep_lines = json.dumps(["sh", "-c", f"mkdir -p {inbox} && cat > {inbox}/$$-$(date +%s%N)"])
     for rows in (broken, orders):
         try:
-            delivery.deliver(rows, f"{folder}/log", "command", command=keep_lines)
+            delivery.deliver(rows, f"{folder}/log", "command", delivery.tasks_for(count), command=keep_lines)
         except PySparkException as e:
             if "broken off" not in str(e):
                 raise

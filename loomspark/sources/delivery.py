@@ -35,6 +35,8 @@ from . import sinks
 
 NAME = "loomspark_delivery"
 FLUSH = 64
+#: Entries of a command's log that are written at once, and the messages that a task should get at most.
+LOGGED, A_TASK = 10_000, 50_000
 SUMMARY = "_SUMMARY.json"
 
 
@@ -49,7 +51,7 @@ class Log:
         from pyarrow import fs
 
         self.store, self.folder = fs.FileSystem.from_uri(folder)
-        self.attempt, self.files, self.waiting = uuid.uuid4().hex, 0, []
+        self.attempt, self.files, self.waiting, self.refused = uuid.uuid4().hex, 0, [], 0
 
     def read(self) -> dict[str, bool]:
         from pyarrow import fs
@@ -62,6 +64,7 @@ class Log:
 
     def add(self, ids: list[str], accepted: bool) -> None:
         self.waiting += [f"{int(accepted)} {i}" for i in ids]
+        self.refused += 0 if accepted else len(ids)
         if len(self.waiting) >= FLUSH:
             self.flush()
 
@@ -97,7 +100,8 @@ class CommandChannel:
         code, self.process = self.process.wait(), None
         if code:
             raise DeliveryError(f"{self.command[0]} ended with {code}")
-        log.add(self.sent, True)
+        for at in range(0, len(self.sent), LOGGED):
+            log.add(self.sent[at : at + LOGGED], True)
 
 
 class WebhookChannel:
@@ -148,7 +152,7 @@ def _send(rows: Iterator[Row], options: dict[str, str], folder: str) -> Sent:
     log = Log(f"{folder}/part-{TaskContext.get().partitionId():05d}")
     before = log.read()
     channel = CHANNELS[options["channel"]](options)
-    copies, known, sent = Counter(), 0, []  # alike rows are in one task, and it does not matter which of them is which
+    copies, known, sent = Counter(), 0, 0  # alike rows are in one task, and it does not matter which of them is which
     try:
         for row in rows:
             message_id = f"{row.id}-{copies[row.id]}" if copies[row.id] else row.id
@@ -157,15 +161,13 @@ def _send(rows: Iterator[Row], options: dict[str, str], folder: str) -> Sent:
                 known += 1
                 continue
             channel.send(message_id, row.body, log)
-            sent.append(message_id)
+            sent += 1
     finally:
         try:
             channel.close(log)
         finally:
             log.flush()
-    after = log.read()
-    refused = sum(not after[i] for i in sent)
-    return Sent(len(sent) - refused, refused, known)
+    return Sent(sent - log.refused, log.refused, known)
 
 
 def _summary(folder: str, messages: list[Sent | None]) -> None:
@@ -234,11 +236,16 @@ def _messages(rows: DataFrame, tasks: int) -> DataFrame:
     return body.select(F.left(F.sha2("body", 256), F.lit(32)).alias("id"), "body").repartition(tasks, "id")
 
 
+def tasks_for(messages: int) -> int:
+    """How many tasks keep the ids that one of them holds few: those it has sent, and those of earlier runs."""
+    return max(8, -(-messages // A_TASK))
+
+
 def deliver(rows: DataFrame, log: str, channel: str, tasks: int = 8, **options: str) -> dict[str, int]:
     """Send each of rows as a line of JSON, once, and return how many were delivered, refused, and known from an earlier run.
 
     log: the folder of this delivery, which all machines can open; with the same log, rows that were received are not sent again,
-    so the number of tasks must stay too. channel: `command` (command, a JSON list) or `webhook` (url, and secret, tries, pause, timeout).
+    so the number of tasks must stay too; tasks_for() says how many many rows need. channel: `command` (command, a JSON list) or `webhook` (url, and secret, tries, pause, timeout).
     """
     writer = _messages(rows, tasks).write.format(NAME).mode("append").option("log", log).option("channel", channel)
     for k, v in options.items():

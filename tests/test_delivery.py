@@ -133,3 +133,15 @@ def test_streams_deliver_each_batch_once(spark, tmp_path):
 def test_options_are_checked(spark, tmp_path):
     with pytest.raises(Exception, match="needs a log and a channel"):
         delivery.deliver(spark.range(1), f"file://{tmp_path}", "pigeon")
+
+
+def test_a_task_gets_no_more_messages_as_deliveries_grow():
+    assert [delivery.tasks_for(n) for n in (0, 400_000, 9_000_000)] == [8, 8, 180]
+
+
+def test_copies_are_told_apart(spark, tmp_path):
+    rows = spark.range(90).selectExpr("id % 30 as k")
+    out = tmp_path / "out"
+    options = {"command": cat_to(out)}
+    assert delivery.deliver(rows, f"file://{tmp_path}/log", "command", **options) == {"delivered": 90, "refused": 0, "known": 0}
+    assert delivery.deliver(rows, f"file://{tmp_path}/log", "command", **options) == {"delivered": 0, "refused": 0, "known": 90}
