@@ -44,7 +44,8 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = (), codec: str |
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage, so that lost executors cost a reread and not a recomputation, and
-    it lets a table be used several times without computing it several times.
+    it lets a table be used several times without computing it several times. The shuffle files of the write go
+    with its end, and not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = work_dir(spark)
@@ -52,17 +53,30 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = (), codec: str |
     writer = df.write.option("compression", codec) if codec else df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[str] = []
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Remove the tables that operators have written so far, once no result that reads them is needed any more."""
-    while _made:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def written() -> int:
+    """How many tables there are now, to clean up later ones only."""
+    return len(_made)
+
+
+def clean_up(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Remove the tables that operators have written so far, or those from first to last, once no result that reads them is needed any more."""
+    gone = _made[first:last]
+    del _made[first:last]
+    while gone:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(gone.pop())
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 

@@ -20,14 +20,17 @@ def hot_keys(left: DataFrame, key: str) -> DataFrame:
 def lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """left, a written table, with the columns of right, whose key is unique, or nulls; null keys find nothing.
 
-    Rows of hot keys meet their match by a broadcast of at most HOT_SHARE rows; all others are shuffled. hot: the
-    hot_keys() of left, where they are known already.
+    Rows of hot keys meet their match by a broadcast of at most HOT_SHARE rows; all others are shuffled. Without hot keys it
+    is a plain join. hot: the hot_keys() of left, where they are known already.
     """
-    hot = hot_keys(left, key) if hot is None else hot
+    columns = [*left.columns, *(c for c in right.columns if c != key)]
+    if hot is None:
+        hot = hot_keys(left, key)
+        if hot.isEmpty():
+            return left.join(right, key, "left").select(columns)
     known = right.join(F.broadcast(hot), key).withColumn("_hot", F.lit(True))
     marked = left.join(F.broadcast(known), key, "left")
     added = [c for c in right.columns if c != key]
-    columns = [*left.columns, *added]
     cold = marked.where("_hot IS NULL").drop("_hot", *added).join(right, key, "left")
     return marked.where("_hot").select(columns).unionByName(cold.select(columns))
 

@@ -3,10 +3,11 @@
 Texts are linked if their sets of shingles of WORDS words (A-Z count as a-z) have a similarity of LEAST or more;
 components of links get their least doc_id. Texts with the same set are one node before anything else happens.
 
-Candidates share one of BANDS keys, each made of ROWS minimum hashes of the set. A pair at similarity s shares none with
-probability (1 - s ** ROWS) ** BANDS: 0.000015 at 0.8, less above. SimHash cannot give them: pairs at 0.8 differ in up to
-eleven of 64 bits, and a pigeonhole over so many would probe nearly everything. Only texts of candidates are read again
-and compared, by their whole sets.
+Each set has a SimHash fingerprint, and the generalised pigeonhole (simhash.links) finds the fingerprints that differ in RADIUS
+bits at most. Pairs at a similarity of 0.8 differ in up to eleven bits, and a pigeonhole over so many would probe nearly everything,
+so the pairs that are further apart in bits come by keys: candidates share one of BANDS keys, each made of ROWS minimum hashes
+of the set. A pair at similarity s shares none with probability (1 - s ** ROWS) ** BANDS: 0.000015 at 0.8, less above. Only texts
+of candidates, of either kind, are read again and compared, by their whole sets.
 
 In a key of up to PAIRED different texts all pairs are candidates. The texts of larger keys (a licence or a template
 that many share) meet once more by an exact prefix filter over all of them together: shingles are ordered by how many of
@@ -34,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_of, materialize
+from .common import clean_up, columns_of, materialize, written
 from .graph import components, lookup
-from .simhash import SEED, pick
+from .simhash import RADIUS, SEED, links, of_set, pick
 
 WORDS = 5
 #: The least similarity, as a fraction of integers.
@@ -94,19 +95,20 @@ def _ids(values: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, a hash of the text, same, which names the set, and the band keys, of every row of docs."""
+    """doc_id, tie, a hash of the text, same, which names the set, fp, its fingerprint, and the band keys, of every row of docs."""
     keys = T.StructField("keys", T.ArrayType(T.LongType()))
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("tie", T.LongType()), T.StructField("same", T.LongType()), keys])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("tie", "same", "fp")), keys])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
+            ids, prints, found = [], [], []
             for t in batch.column(2):
                 hashes = shingles(t.as_py() or b"")
                 ids.append(_set_id(hashes))
+                prints.append(of_set(hashes))
                 found.append(band_keys(hashes))
-            same = pa.array(np.array(ids, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, _longs(found)], names=schema.names)
+            same, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, prints))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, fp, _longs(found)], names=schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text")).mapInArrow(take, schema)
 
@@ -123,6 +125,16 @@ def sets(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(take, schema)
 
 
+def by_fingerprints(distinct: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFrame:
+    """Pairs (a, b) to compare of a written table of sets (same, fp): those within the radius, and all of one fingerprint with its least set."""
+    firsts = materialize(distinct.groupBy("fp").agg(F.min("same").alias("first")))
+    own = lookup(distinct.select("same", "fp"), firsts, "fp").select(F.col("first").alias("a"), F.col("same").alias("b")).where("a <> b")
+    near = materialize(links(firsts.select("fp"), radius, paired))
+    named = lookup(near, firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+    named = named.join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return materialize(own.unionByName(named.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+
+
 def in_keys(keyed: DataFrame) -> DataFrame:
     """same, key and n, the number of sets with the key, of a written table of sets (same) and keys, where n is at least 2."""
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -263,22 +275,30 @@ def settle(lists: DataFrame, known: DataFrame, linked: DataFrame, paired: int =
 
 
 def near_duplicates(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
-    """For every row of docs (doc_id, text): doc_id, tie, same, and label, the component's least set."""
+    """For every row of docs (doc_id, text): doc_id, tie, same, and label, the component's least set.
+
+    Written; the tables on the way to it go.
+    """
+    before = written()
     made = materialize(sketches(docs))
     prints = made.select("doc_id", "tie", "same")
-    distinct = materialize(made.groupBy("same").agg(F.first("keys").alias("keys")))
+    distinct = materialize(made.groupBy("same").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    near = by_fingerprints(distinct, paired=paired)
     shared = in_keys(materialize(distinct.select("same", F.explode("keys").alias("key"))))
-    suspects = materialize(shared.groupBy("same").agg(F.max("n").alias("n")).withColumn("label", F.col("same")))
+    ends = near.select(F.explode(F.array("a", "b")).alias("same"), F.lit(2).cast("long").alias("n"))
+    suspects = materialize(shared.select("same", "n").unionByName(ends).groupBy("same").agg(F.max("n").alias("n")).withColumn("label", F.col("same")))
     texts = pick(docs.select("doc_id", "text"), lookup(prints, suspects, "same").where("label IS NOT NULL"))
     known = materialize(sets(texts))
-    pairs = by_keys(shared, paired)
+    pairs = by_keys(shared, paired).unionByName(near)
     if suspects.where(F.col("n") > paired).isEmpty():
         nodes = materialize(components(similar(pairs, known)))
     else:
         crowded = known.join(suspects.where(F.col("n") > paired).select("same"), "same", "left_semi")
         more, lists = by_prefixes(materialize(crowded), paired)
         nodes = settle(lists, known, similar(pairs.unionByName(more), known), paired)
-    return lookup(prints, nodes.withColumnRenamed("node", "same"), "same").withColumn("label", F.coalesce("label", "same"))
+    labelled = materialize(lookup(prints, nodes.withColumnRenamed("node", "same"), "same").withColumn("label", F.coalesce("label", "same")))
+    clean_up(docs.sparkSession, before, -1)
+    return labelled
 
 
 def keep_one(docs: DataFrame, paired: int = PAIRED) -> DataFrame:

@@ -62,6 +62,14 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n))
 
 
+def of_set(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes, each of which counts once; zero for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > len(hashes)))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, tie, a hash of the text, and fp, the fingerprint as a signed long, of every row of docs."""
     numbers = [T.StructField(c, T.LongType()) for c in ("tie", "fp")]

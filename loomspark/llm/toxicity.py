@@ -29,6 +29,7 @@ examples every score is 0. Only doc_id and text of the documents are used.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from bisect import bisect_right
@@ -55,6 +56,8 @@ BLOCK = 128
 FIRST_BLOCKS = 8
 #: Features whose weights are held as a matrix, and texts that are scored with it at once.
 DENSE, TOGETHER = 512, 64
+#: Bytes of the packed index in a row.
+PIECE = 4 << 20
 #: Entries whose postings are weighed at once.
 INVERTED = 1024
 FOLDS, TEST_FOLD = 4, 2
@@ -390,6 +393,19 @@ class BlockMaxIndex:
         return out
 
 
+class Sealed:
+    """An index as pickled bytes in pieces, which is opened where it is searched, once in a worker."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.pieces, self.index = pieces, None
+
+    def open(self) -> BlockMaxIndex:
+        if self.index is None:
+            self.index = pickle.loads(b"".join(self.pieces))
+            self.pieces = []
+        return self.index
+
+
 def labelled(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """doc_id, text and toxic of at most `examples` training rows, those with the least hashes; written."""
     rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
@@ -400,7 +416,7 @@ def labelled(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
 
 
 def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Broadcast, tuple[list[float], list[float]]]:
-    """The space and the index, sent to the workers once, and the steps of its calibration. What the driver holds is bounded by `examples`."""
+    """The space and the index (sealed), sent to the workers once, and the steps of its calibration. What a task and the driver hold is bounded by `examples`."""
     spark = docs.sparkSession
     texts = labelled(docs, labels, examples)
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
@@ -435,7 +451,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
     idf = np.log((1 + total) / (1 + frequency[:-1]))
     idf[list(space.names)] *= LIFT
     # No weight is quite nothing, so that texts which share only words that are everywhere have neighbours.
-    index = BlockMaxIndex(np.maximum(idf, 0.01), max(0.01, float(np.log((1 + total) / 2))))
+    weights = np.maximum(idf, 0.01), max(0.01, float(np.log((1 + total) / 2)))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -443,25 +459,42 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
             packed = [pa.array([v[i].astype(np.int32).tobytes() for v in made], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *packed], names=["doc_id", "toxic", "ids", "counts"])
 
+    def packed(index: BlockMaxIndex, empty: list[int]) -> list[tuple[int, bytes]]:
+        index.close()
+        index.set_prior((empty[0], empty[1]))
+        whole = pickle.dumps(index)
+        return [(-1, pickle.dumps((index.votes, index.default))), *((at, whole[at : at + PIECE]) for at in range(0, len(whole), PIECE))]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, empty = BlockMaxIndex(*weights), [0, 0]
+        for batch in batches:
+            for doc_id, toxic, ids, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(ids):
+                    index.add(np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32), toxic, doc_id)
+                else:
+                    empty[0 if toxic else 1] += 1
+        for at, part in packed(index, empty):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part], pa.binary())], names=["at", "part"])
+
     schema = T.StructType([texts.schema["doc_id"], texts.schema["toxic"], *(T.StructField(n, T.BinaryType()) for n in ("ids", "counts"))])
-    empty = [0, 0]
-    for r in texts.select("doc_id", "text", "toxic").mapInArrow(vectors, schema).orderBy("doc_id").toLocalIterator():
-        if len(r.ids):
-            index.add(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32), r.toxic, r.doc_id)
-        else:
-            empty[0 if r.toxic else 1] += 1
-    index.close()
-    index.set_prior((empty[0], empty[1]))
-    sent = spark.sparkContext.broadcast((space, index))
-    index.ids = index.counts = None  # the driver needs them no more
+    made = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, schema)
+    # One task lays the index out, whose size `examples` bounds; the driver only passes its bytes on.
+    pieces = materialize(made.repartition(1).sortWithinPartitions("doc_id").mapInArrow(build, "at long, part binary"), codec="uncompressed")
+    # Without examples there is no such task.
+    parts_of = [(r.at, bytes(r.part)) for r in pieces.orderBy("at").toLocalIterator()] or packed(BlockMaxIndex(*weights), [0, 0])
+    votes_of, default = pickle.loads(parts_of[0][1])
+    sent = spark.sparkContext.broadcast((space, Sealed([part for _, part in parts_of[1:]])))
+    del parts_of
+    index = BlockMaxIndex(np.zeros(0), 0.0)
+    index.votes, index.default = votes_of, default
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = sent.value[1].own_votes(batch.column(0).to_pylist(), neighbours)
+            votes = sent.value[1].open().own_votes(batch.column(0).to_pylist(), neighbours)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([v[i] for v in votes], pa.float64()) for i in (0, 1))], names=["id", "toxic", "clean"])
 
     parts = spark.sparkContext.defaultParallelism * 2
-    votes = spark.range(0, len(index.examples), 1, parts).mapInArrow(leave_one_out, "id long, toxic double, clean double").collect()
+    votes = spark.range(0, len(votes_of), 1, parts).mapInArrow(leave_one_out, "id long, toxic double, clean double").collect()
     index.calibrate({r.id: [r.toxic, r.clean] for r in votes})
     shared.destroy()
     return sent, index.steps
@@ -481,7 +514,7 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], text: str, sc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        space, index = sent.value
+        space, index = sent.value[0], sent.value[1].open()
         index.steps = steps
         if index.ids is not None:
             index.forget()

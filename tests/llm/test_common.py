@@ -16,3 +16,16 @@ def test_tables_are_written_once_and_cleaned_up(spark):
     assert df.count() == 10 and os.path.exists(path)
     common.clean_up(spark)
     assert not os.path.exists(path)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from loomspark.llm.common import materialize
+
+    def blocks():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum("shuffle" in b.name() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folders.getAllBlocks()))
+
+    before = blocks()
+    made = materialize(spark.range(1000).groupBy("id").count())
+    assert blocks() <= before
+    assert made.count() == 1000

@@ -144,3 +144,29 @@ def test_settle_finds_all_links_of_a_list_alone(spark):
     groups = [sorted(k for k, v in near.items() if v == root) for root in set(near.values())]
     assert sorted(sorted(g) for g in found.values()) == sorted(g for g in groups if len(g) > 1)
     assert jaccard.settle(lists.limit(0), known, none).isEmpty() and jaccard.settle(jaccard.materialize(lists.limit(1)), known, none).isEmpty()
+
+
+def test_fingerprints_give_candidates(spark):
+    """The pigeonhole's pairs: all that differ in two bits at most are brought together, as are sets of one fingerprint."""
+    rng = random.Random(5)
+    prints = [rng.getrandbits(63) for _ in range(60)]
+    prints += [p ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for p in prints[:30]] + prints[:10] + [p ^ 7 for p in prints[30:40]]
+    table = jaccard.materialize(spark.createDataFrame(list(enumerate(prints)), "same long, fp long"))
+    pairs = [(r.a, r.b) for r in jaccard.by_fingerprints(table).collect()]
+    assert all((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in pairs)
+    got = plain_components(range(len(prints)), lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    assert got == plain_components(range(len(prints)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+
+
+def test_the_stage_takes_candidates_from_fingerprints(spark, monkeypatch):
+    """Without any MinHash key a copy with one edited word of many is still found, by its fingerprint, and its tables go but for one."""
+    from loomspark.llm import common
+
+    monkeypatch.setattr(jaccard, "in_keys", lambda keyed: spark.createDataFrame([], "same long, key long, n long"))
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited(rng, words, 1))), (3, " ".join(edited(rng, words, 2000))), (4, None)]
+    before = len(common._made)
+    labels = {r.doc_id: r.label for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert labels[1] == labels[2] and len(set(labels.values())) == 3
+    assert len(common._made) == before + 1
