@@ -25,6 +25,11 @@ def anchors(html: Column) -> Column:
     return F.filter(F.transform(tags, lambda t: F.trim(text.unescape(value(t)))), lambda h: h != "")
 
 
+def _once(df: DataFrame, column: str) -> DataFrame:
+    """df with a column as a generator's output, so that its expression is not copied into every filter that names it."""
+    return df.select(*(c for c in df.columns if c != column), F.explode(F.array(column)).alias(column))
+
+
 def page_links(pages: DataFrame, scope: urls.Scope | None = None, same_host: bool = True, assets: bool = False) -> DataFrame:
     """Distinct (page_id, link): what pages (page_id, url, html) link to, resolved, canonical and within scope. Native.
 
@@ -32,10 +37,10 @@ def page_links(pages: DataFrame, scope: urls.Scope | None = None, same_host: boo
     files that are no pages (unless assets). Globs and prefixes of the scope meet the canonical form. Null pages have none.
     """
     found = pages.select("page_id", "url", F.explode(F.array_distinct(anchors(F.col("html")))).alias("href"))
-    found = found.select("page_id", "url", urls.resolve(F.col("url"), F.col("href")).alias("target"))
+    found = _once(found.select("page_id", "url", urls.resolve(F.col("url"), F.col("href")).alias("target")), "target")
     found = found.where(urls.scheme(F.col("target")).isin("http", "https", "file"))
     link = F.col("link")
-    found = found.select("page_id", "url", urls.canonicalize(F.col("target")).alias("link")).where(link.isNotNull())
+    found = _once(found.select("page_id", "url", urls.canonicalize(F.col("target")).alias("link")), "link").where(link.isNotNull())
     if same_host:
         found = found.where(urls.host(link) == urls.host(F.col("url")))
     if scope:

@@ -250,3 +250,12 @@ def test_relocation_sees_attribute_values():
         assert found["price"] == pytest.approx(found["shipping"] + 2 / 14.5)
     moved = selectors.relocate([page.format(a="shipping", b="price")] * 2, fp, spec, [12.0, 12.0])
     assert moved and [n.text() for n in selectors.select(dom.parse(page.format(a="shipping", b="price")), moved["expr"])][:1] == ["12.00"]
+
+
+def test_links_are_made_once(spark):
+    """The canonical form of a link stands in the plan once, not in each filter that names it."""
+    pages = spark.createDataFrame([(1, "http://a.com/x", "<a href='/y?b=1'>y</a> <a href='z.pdf'>z</a> <a href='http://b.com/'>b</a>")], "page_id long, url string, html string")
+    links = frontier.page_links(pages)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") < 300
+    assert [(r.page_id, r.link) for r in links.collect()] == [(1, "http://a.com/y?b=1")]
