@@ -283,8 +283,12 @@ def near_duplicates(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
     made = materialize(sketches(docs))
     prints = made.select("doc_id", "tie", "same")
     distinct = materialize(made.groupBy("same").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    first = written()
     near = by_fingerprints(distinct, paired=paired)
+    clean_up(docs.sparkSession, first, -1)
+    first = written()
     shared = in_keys(materialize(distinct.select("same", F.explode("keys").alias("key"))))
+    clean_up(docs.sparkSession, first, -1)
     ends = near.select(F.explode(F.array("a", "b")).alias("same"), F.lit(2).cast("long").alias("n"))
     suspects = materialize(shared.select("same", "n").unionByName(ends).groupBy("same").agg(F.max("n").alias("n")).withColumn("label", F.col("same")))
     texts = pick(docs.select("doc_id", "text"), lookup(prints, suspects, "same").where("label IS NOT NULL"))
