@@ -59,9 +59,20 @@ def long_form(records: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> Dat
     return rows.select("key", "x.path", "x.leaf.kind", "x.leaf.text", "x.leaf.is_long")
 
 
-def matched(prev: DataFrame, cur: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+#: Tasks of the join for each split of the input that the records come from.
+TASKS_A_SPLIT = 8
+
+
+def tasks_for(source: DataFrame) -> int:
+    """Tasks that a table's records are compared in: by its splits, so that a task's records do not grow with the table."""
+    return max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), TASKS_A_SPLIT * source.rdd.getNumPartitions())
+
+
+def matched(prev: DataFrame, cur: DataFrame, key: str, ignore: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """key, in_prev, in_cur and changes, an array of (path, old, new): one full outer join on the key.
 
+    tasks: that many, which Spark does not put together by their packed bytes; otherwise as many as Spark finds fit.
+
     A path that only one side has is a change of every record there. Null keys match nothing and go.
     """
     sides = [leaves(df, key, ignore) for df in (prev, cur)]
@@ -70,7 +81,8 @@ def matched(prev: DataFrame, cur: DataFrame, key: str, ignore: tuple[str, ...] =
 
     def wide(df: DataFrame, own: dict[str, Column], name: str) -> DataFrame:
         row = F.array(*(own.get(p, missing) for p in paths)) if paths else F.array()
-        return df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), row.alias(name))
+        rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), row.alias(name))
+        return rows.repartition(tasks, "key") if tasks else rows
 
     both = wide(prev, sides[0], "old").join(wide(cur, sides[1], "new"), "key", "full_outer")
     each = F.transform(F.array(*map(F.lit, paths)), lambda p, i: F.struct(p.alias("path"), F.get("old", i).alias("old"), F.get("new", i).alias("new")))
@@ -93,10 +105,10 @@ def field_changes(prev: DataFrame, cur: DataFrame, key: str, ignore: tuple[str,
     return rows.select("key", "c.path", F.col("c.old.text").alias("old"), F.col("c.new.text").alias("new"), is_long.alias("long"))
 
 
-def row_kinds(prev: DataFrame, cur: DataFrame, key: str, ignore: tuple[str, ...] = (), unseen: DataFrame | None = None, no_gone: bool = False) -> DataFrame:
+def row_kinds(prev: DataFrame, cur: DataFrame, key: str, ignore: tuple[str, ...] = (), unseen: DataFrame | None = None, no_gone: bool = False, tasks: int | None = None) -> DataFrame:
     """key and kind (added, changed or gone). unseen: keys that were not looked at; a partial run has no_gone."""
     kind = F.when(~F.col("in_prev"), "added").when(~F.col("in_cur"), "gone").when(F.size("changes") > 0, "changed")
-    rows = matched(prev, cur, key, ignore).select("key", kind.alias("kind")).where("kind IS NOT NULL")
+    rows = matched(prev, cur, key, ignore, tasks).select("key", kind.alias("kind")).where("kind IS NOT NULL")
     if no_gone:
         rows = rows.where("kind <> 'gone'")
     if unseen is not None:

@@ -66,13 +66,15 @@ def recdiff_fields(spark, sf_dir):
 )
 def recdiff_items(spark, sf_dir):
     """Records exploded from an array inside a parent record, keyed within it."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("items"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    tasks = recdiff.tasks_for(lines)
+    items = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("items"))
     each = items.select("l_orderkey", F.explode("items").alias("i")).select("l_orderkey", "i.l_linenumber", "i.l_quantity")
     one = each.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("a"))
     key = F.concat_ws("/", "l_orderkey", "l_linenumber").alias("id")
     prev = one.select(key, F.col("a").alias("q"))
     cur = one.select(key, F.when(F.col("l_linenumber") == 2, F.col("a") + 1).otherwise(F.col("a")).alias("q"))
-    kinds = recdiff.row_kinds(prev, cur, "id")
+    kinds = recdiff.row_kinds(prev, cur, "id", tasks=tasks)
     return kinds.agg(F.count("*").alias("changed")).crossJoin(prev.agg(F.count("*").alias("items")))
 
 

@@ -259,3 +259,11 @@ def test_links_are_made_once(spark):
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") < 300
     assert [(r.page_id, r.link) for r in links.collect()] == [(1, "http://a.com/y?b=1")]
+
+
+def test_compared_records_keep_their_tasks(spark):
+    prev, cur = (spark.range(100).selectExpr("id", f"id % {n} AS q") for n in (7, 8))
+    kinds = recdiff.row_kinds(prev, cur, "id", tasks=9)
+    assert kinds.rdd.getNumPartitions() == 9
+    assert kinds.count() == sum(i % 7 != i % 8 for i in range(100))
+    assert recdiff.tasks_for(prev) >= 8 * prev.rdd.getNumPartitions()
