@@ -22,7 +22,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import clean_up, materialize, written
 
 FRAME = 1024
 ALIGN = 64
@@ -38,6 +38,8 @@ LPC_ORDER = 4
 PARTITION_ORDER = 3
 BATCH = 1 << 20
 TOGETHER = 1024
+#: PCM of up to so many bytes of media is written at once, more in so many waves.
+WAVE, WAVES = 1 << 25, 12
 #: Points of a seek table: a metadata block's length has 24 bits.
 POINTS = 900_000
 RATE = 16000
@@ -654,9 +656,23 @@ def block_features(table: DataFrame) -> DataFrame:
     return table.mapInArrow(read, schema)
 
 
-def through_storage(docs: DataFrame, block: int = 1 << 16) -> DataFrame:
+def through_storage(docs: DataFrame, block: int = 1 << 16, wave: int = WAVE) -> DataFrame:
     """block_features of docs, by two written tables: the media, and the PCM blocks decoded from it as read again.
 
-    PCM is written with Zstandard, as it is as large as the text; media is dense already.
+    Both are written with Zstandard: PCM is as large as the text, and of media it saves a twentieth, seek tables and headers. Of media beyond `wave` bytes the PCM blocks
+    are written, read again and removed in WAVES waves of its files, so that all of the PCM never lies beside all of the media; the features
+    of each wave are written instead. Every row goes through both tables in either case.
     """
-    return block_features(materialize(decoded(materialize(store(docs)), block), codec="zstd"))
+    spark = docs.sparkSession
+    media = materialize(store(docs), codec="zstd")
+    files = sorted(media.inputFiles())
+    if len(files) < 2 or media.agg(F.sum(F.octet_length("media"))).first()[0] <= wave:
+        return block_features(materialize(decoded(media, block), codec="zstd"))
+    done = []
+    for i in range(min(WAVES, len(files))):
+        part = spark.read.schema(media.schema).parquet(*files[i::WAVES])
+        first = written()
+        blocks = materialize(decoded(part, block), codec="zstd")
+        done.append(materialize(block_features(blocks), codec="zstd"))
+        clean_up(spark, first, first + 1)
+    return reduce(DataFrame.unionByName, done)

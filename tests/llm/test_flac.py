@@ -147,6 +147,30 @@ def test_query_reads_media_and_blocks_from_storage(spark, tmp_path):
     assert [b.sample_offset for b in cut] == list(range(0, 704, 100)) and b"".join(bytes(b.pcm) for b in cut) == flac.payload_of(rows[0][1].encode())
 
 
+def test_pcm_goes_in_waves(spark):
+    """Of larger media the PCM of one wave at most lies beside it, and every row's features still come from PCM that was read again."""
+    from loomspark.llm import common
+
+    rows = [(i if i % 7 else None, None if i % 11 == 0 else f"text {i % 30} " * (i % 40)) for i in range(200)]
+    docs, before = spark.createDataFrame(rows, "doc_id long, text string").repartition(15), common.written()
+    held, whole = [], flac.materialize
+
+    def spy(df, *rest, **more):
+        made = whole(df, *rest, **more)
+        held.append([f for f in map(spark.read.parquet, common._made[before:]) if "blocks" in f.columns])
+        return made
+
+    flac.materialize = spy
+    try:
+        got = flac.through_storage(docs, wave=0)
+    finally:
+        flac.materialize = whole
+    assert sum(map(len, held)) == 24 and max(map(len, held)) == 1  # a wave's PCM lies there when it and when its features are written
+    assert not [f for f in map(spark.read.parquet, common._made[before:]) if "blocks" in f.columns]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, flac.read_features(flac.store(docs)).collect()))
+    assert flac.through_storage(docs.limit(0), wave=0).count() == 0
+
+
 def test_more_frames_than_seek_points(monkeypatch):
     """Points at equal distances, and frames between them found by their checksums; a stream without points too."""
     rng = np.random.default_rng(4)
