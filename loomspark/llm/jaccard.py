@@ -18,7 +18,8 @@ of fixed size. Where more than PAIRED texts share such a shingle they are compar
 others by hash, as are those of a large key with the one that shares most keys with others (the source of a group of edited
 copies). What leaders leave apart is settled exactly, without all pairs (settle): lists whose texts are in one component are done;
 all others meet their smallest text; where at most PAIRED texts are outside the largest component, these are compared with
-all; and the rest is narrowed, by the same filter in an order of the list's own. Shingles that the whole list holds bring
+all, and so are more of them as long as a round has at most PAIRED such comparisons for each text, as narrowing lists that have most of
+their texts in common multiplies them by a fifth of a text's shingles; and the rest is narrowed, by the same filter in an order of the list's own. Shingles that the whole list holds bring
 nobody together there: two similar texts that share no other are both similar to the smallest text, as those shingles
 are eight ninths of the shorter one. So each new list is smaller than its own, and the last pairs end the work.
 
@@ -248,10 +249,26 @@ def narrowed(lists: DataFrame, known: DataFrame) -> DataFrame:
     return materialize(lookup(first, sizes, "g").where("n IS NOT NULL").select("g", "same"))
 
 
+def _comparable(tops: DataFrame, paired: int, budget: int) -> int:
+    """How many texts may be outside a list's largest component for these to be compared with all of the list.
+
+    paired, or the largest power of two up to which all comparisons beyond those are no more than budget together.
+    """
+    power = F.greatest(F.ceil(F.log2(F.greatest("others", F.lit(1)))), F.lit(0)).cast("int")
+    pairs, most = 0, paired
+    for p, n in tops.where(F.col("others") > paired).groupBy(power.alias("p")).agg(F.sum(F.col("others") * F.col("all"))).orderBy("p").collect():  # 64 rows at most
+        pairs += n
+        if pairs > budget:
+            break
+        most = max(most, 1 << p)
+    return most
+
+
 def settle(lists: DataFrame, known: DataFrame, linked: DataFrame, paired: int = PAIRED) -> DataFrame:
     """The components (node, label) of linked (a, b) and of all links between texts that share a list of lists (g, same)."""
     nodes = materialize(components(linked))
     sizes = materialize(known.select("same", F.size("set").alias("size")))
+    texts = sizes.count()
     lists = _apart(lists, nodes.withColumnRenamed("node", "same"))
     while not lists.isEmpty():
         smallest = lists.join(sizes, "same").groupBy("g").agg(F.min_by("same", F.struct("size", "same")).alias("a"))
@@ -260,13 +277,14 @@ def settle(lists: DataFrame, known: DataFrame, linked: DataFrame, paired: int =
         nodes = components(linked)
         lists = _apart(lists.select("g", "same"), nodes.withColumnRenamed("node", "same"))
         shares = lists.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
-        tops = materialize(shares.select("g", F.col("top.label").alias("most"), (F.col("all") - F.col("top.c")).alias("others")))
-        ranked = materialize(lookup(lists, tops, "g"))
-        few = ranked.where(F.col("others") <= paired)
+        tops = materialize(shares.select("g", F.col("top.label").alias("most"), "all", (F.col("all") - F.col("top.c")).alias("others")))
+        most = _comparable(tops, paired, paired * texts)
+        ranked = materialize(lookup(lists, tops.drop("all"), "g"))
+        few = ranked.where(F.col("others") <= most)
         outside = materialize(few.where("label <> most").groupBy("g").agg(F.collect_list(F.struct("same", "label")).alias("outside")))
         met = lookup(materialize(few.select("g", "same", "label")), outside, "g").select(F.col("same").alias("b"), "label", F.explode("outside").alias("o"))
         linked = linked.unionByName(similar(met.where("label <> o.label").select(F.col("o.same").alias("a"), "b"), known))
-        rest = materialize(ranked.where(F.col("others") > paired).select("g", "same", "n"))
+        rest = materialize(ranked.where(F.col("others") > most).select("g", "same", "n"))
         nodes = components(linked)
         if rest.isEmpty():
             break

@@ -170,3 +170,19 @@ def test_the_stage_takes_candidates_from_fingerprints(spark, monkeypatch):
     labels = {r.doc_id: r.label for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert labels[1] == labels[2] and len(set(labels.values())) == 3
     assert len(common._made) == before + 1
+
+
+def test_settle_compares_what_few_leave_outside_without_narrowing(spark, monkeypatch):
+    """More texts than `paired` outside a list's largest component are compared with all of it while that is little work; narrowing multiplies lists."""
+
+    def narrowed(lists, known):
+        raise AssertionError("narrowed")
+
+    monkeypatch.setattr(jaccard, "narrowed", narrowed)
+    sets = {i: [1, *range(1000 * i + 2, 1000 * i + 50 + i)] for i in range(60)}
+    sets[19] = [*sets[13], 7]  # similar to a text of the component that is not the smallest
+    known = spark.createDataFrame(list(sets.items()), "same long, set array<long>")
+    linked = spark.createDataFrame([(0, i) for i in range(1, 14)], "a long, b long")
+    lists = spark.createDataFrame([(g, i) for g, left in ((1, 20), (2, 18)) for i in range(20) if i != left], "g long, same long")
+    labels = dict(jaccard.settle(lists, known, linked, paired=4).collect())
+    assert {i for i, label in labels.items() if label == 0} == {*range(14), 19} and all(labels.get(i, i) == i for i in range(14, 19))
