@@ -17,9 +17,9 @@ passage of up to eight ninths of a text does not bring texts together. Any order
 of fixed size. Where more than PAIRED texts share such a shingle they are compared with leaders first, the smallest and
 others by hash, as are those of a large key with the one that shares most keys with others (the source of a group of edited
 copies). What leaders leave apart is settled exactly, without all pairs (settle): lists whose texts are in one component are done;
-all others meet their smallest text; where at most PAIRED texts are outside the largest component, these are compared with
-all, and so are more of them as long as a round has at most PAIRED such comparisons for each text, as narrowing lists that have most of
-their texts in common multiplies them by a fifth of a text's shingles; and the rest is narrowed, by the same filter in an order of the list's own. Shingles that the whole list holds bring
+all others meet their smallest text; then all texts outside a list's largest component are compared with all of it, by parities
+first, in blocks (crossing), as long as a round has at most COMPARED such comparisons for each text;
+and the rest is narrowed, by the same filter in an order of the list's own. Shingles that the whole list holds bring
 nobody together there: two similar texts that share no other are both similar to the smallest text, as those shingles
 are eight ninths of the shorter one. So each new list is smaller than its own, and the last pairs end the work.
 
@@ -47,6 +47,10 @@ BANDS, ROWS = 28, 5
 #: Keys with up to so many different texts are compared pair by pair.
 PAIRED = 64
 LEADERS = 8
+#: Comparisons of parities that settle() may make for each text before it narrows lists, and the texts on a side of a block of them.
+COMPARED, BLOCK = 1 << 16, 2048
+#: The most bits of a parity; longer texts have no more, so that more of their pairs are compared by their sets.
+WIDEST = 1 << 15
 #: Counters of shingles, by hash, that order them.
 BUCKETS = 1 << 20
 _CHUNK = 4096
@@ -249,6 +253,105 @@ def narrowed(lists: DataFrame, known: DataFrame) -> DataFrame:
     return materialize(lookup(first, sizes, "g").where("n IS NOT NULL").select("g", "same"))
 
 
+def parities(known: DataFrame) -> DataFrame:
+    """same, size and bits, of every row of known (same, set): the parity of the number of shingles at each bit, by hash.
+
+    A shingle that only one of two sets has turns one bit, so as many differ as bits do at least. Twice as many bits as shingles tell sets
+    at 0.78 from sets at 0.8; wider parities fold to narrower ones.
+    """
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = [], []
+            for held in batch.column(1):
+                tokens = held.values.to_numpy()
+                width = min(WIDEST, max(512, 1 << (2 * len(tokens) - 1).bit_length())) if len(tokens) else 512
+                sizes.append(len(tokens))
+                bits.append(np.packbits(np.bincount(tokens & (width - 1), minlength=width) & 1 > 0, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["same", "size", "bits"])
+
+    return known.select("same", "set").mapInArrow(take, "same long, size long, bits binary")
+
+
+def _matrices(same: np.ndarray, label: np.ndarray, size: np.ndarray, bits: list[bytes]) -> dict[int, tuple]:
+    """The rows by the width of their parities in bytes, ascending by size."""
+    widths, out = np.array(list(map(len, bits))), {}
+    for w in np.unique(widths).tolist():
+        here = np.flatnonzero(widths == w)
+        here = here[np.argsort(size[here], kind="stable")]
+        out[w] = same[here], label[here], size[here], np.frombuffer(b"".join(bits[i] for i in here), np.uint64).reshape(len(here), -1)
+    return out
+
+
+def _folded(rows: np.ndarray) -> np.ndarray:
+    half = rows.shape[-1] // 2
+    return rows[..., :half] ^ rows[..., half:]
+
+
+def _close(outside: dict[int, tuple], every: dict[int, tuple], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """a, b, their labels and the differing bits of the pairs of an outside text and any that have two labels and can be similar; each once."""
+    for w, (same, label, size, rows) in outside.items():
+        for v in (w // 2, w, 2 * w):
+            if v not in every:
+                continue
+            others, labels, sizes, against = every[v]
+            mine, against = _folded(rows) if v < w else rows, _folded(against) if v > w else against
+            starts, ends = np.searchsorted(sizes, -(-4 * size // 5)), np.searchsorted(sizes, 5 * size // 4, "right")
+            for i in np.flatnonzero(starts < ends).tolist():
+                at = slice(starts[i], ends[i])
+                bits = np.bitwise_count(against[at] ^ mine[i]).sum(axis=1, dtype=np.int64)
+                good = (9 * bits <= size[i] + sizes[at]) & (labels[at] != label[i]) & ((labels[at] == most) | (others[at] > same[i]))
+                if good.any():
+                    n = int(good.sum())
+                    yield np.full(n, same[i]), others[at][good], np.full(n, label[i]), labels[at][good], bits[good]
+
+
+def crossing(lists: DataFrame, known: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) with their labels (x, y) and differing bits of all texts outside the largest component of each of lists
+    (g, same, label, n, most, others) and all of its texts, that have two labels and can be similar by their parities. No pair of similar sets is left out.
+
+    A list is compared in blocks of about `block` texts on a side, each in a task; a text goes to a block for each `block` texts of the other side.
+    """
+    wanted = materialize(lists.select("same").distinct())
+    bits = materialize(parities(known.join(wanted, "same", "left_semi")))
+    rows = lookup(lists, bits, "same").withColumn("outer", F.ceil(F.col("others") / block)).withColumn("inner", F.ceil(F.col("n") / block))
+    place = F.xxhash64("same", "g")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ("g", "i", "j", "same", "label", "most", "size", "bits", "out")
+    outside = rows.where("label <> most").withColumn("i", F.pmod(place, "outer")).withColumn("j", every("inner")).withColumn("out", F.lit(True)).select(*columns)
+    inside = rows.withColumn("j", F.pmod(place, "inner")).withColumn("i", every("outer")).withColumn("out", F.lit(False)).select(*columns)
+    names = ["a", "b", "x", "y", "bits"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        out = table.column("out").to_numpy()
+        numbers = [table.column(c).to_numpy() for c in ("same", "label", "size")]
+        held = table.column("bits").to_pylist()
+        sides = [_matrices(*(c[side] for c in numbers), [held[i] for i in np.flatnonzero(side)]) for side in (out, ~out)]
+        found = list(_close(*sides, table.column("most")[0].as_py()))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * len(names)
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    met = outside.unionByName(inside).groupBy("g", "i", "j").applyInArrow(compare, ", ".join(f"{n} long" for n in names))
+    return materialize(met)
+
+
+def _joined(met: DataFrame, known: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """linked with all links among the pairs met (a, b, x, y, bits) that components need, and the components (node, label).
+
+    Of the pairs between two components the closest is compared first; the others are only if it leaves these apart.
+    """
+    first = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p"))
+    linked = linked.unionByName(similar(first.select("p.a", "p.b"), known))
+    nodes = components(linked)
+    left = lookup(met.select("a", "b"), nodes.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
+    left = materialize(left.join(nodes.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"))
+    more = similar(left, known)
+    if more.isEmpty():
+        return linked, nodes
+    linked = linked.unionByName(more)
+    return linked, components(linked)
+
+
 def _comparable(tops: DataFrame, paired: int, budget: int) -> int:
     """How many texts may be outside a list's largest component for these to be compared with all of the list.
 
@@ -278,14 +381,10 @@ def settle(lists: DataFrame, known: DataFrame, linked: DataFrame, paired: int =
         lists = _apart(lists.select("g", "same"), nodes.withColumnRenamed("node", "same"))
         shares = lists.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
         tops = materialize(shares.select("g", F.col("top.label").alias("most"), "all", (F.col("all") - F.col("top.c")).alias("others")))
-        most = _comparable(tops, paired, paired * texts)
+        most = _comparable(tops, paired, COMPARED * texts)
         ranked = materialize(lookup(lists, tops.drop("all"), "g"))
-        few = ranked.where(F.col("others") <= most)
-        outside = materialize(few.where("label <> most").groupBy("g").agg(F.collect_list(F.struct("same", "label")).alias("outside")))
-        met = lookup(materialize(few.select("g", "same", "label")), outside, "g").select(F.col("same").alias("b"), "label", F.explode("outside").alias("o"))
-        linked = linked.unionByName(similar(met.where("label <> o.label").select(F.col("o.same").alias("a"), "b"), known))
+        linked, nodes = _joined(crossing(ranked.where(F.col("others") <= most), known), known, linked)
         rest = materialize(ranked.where(F.col("others") > most).select("g", "same", "n"))
-        nodes = components(linked)
         if rest.isEmpty():
             break
         lists = _apart(narrowed(rest, known), nodes.withColumnRenamed("node", "same"))

@@ -186,3 +186,41 @@ def test_settle_compares_what_few_leave_outside_without_narrowing(spark, monkeyp
     lists = spark.createDataFrame([(g, i) for g, left in ((1, 20), (2, 18)) for i in range(20) if i != left], "g long, same long")
     labels = dict(jaccard.settle(lists, known, linked, paired=4).collect())
     assert {i for i, label in labels.items() if label == 0} == {*range(14), 19} and all(labels.get(i, i) == i for i in range(14, 19))
+
+
+def test_settle_compares_lists_of_unlike_texts_without_narrowing(spark, monkeypatch):
+    """No text of the lists is linked, so nearly all are outside the largest component; their parities are compared in blocks."""
+
+    def narrowed(lists, known):
+        raise AssertionError("narrowed")
+
+    monkeypatch.setattr(jaccard, "narrowed", narrowed)
+    sets = {i: [1, *range(1000 * i + 2, 1000 * i + 40 + 3 * i)] for i in range(60)}
+    for i in range(20, 30):
+        sets[i] = [*sets[i + 10], 5]
+    known = spark.createDataFrame(list(sets.items()), "same long, set array<long>")
+    lists = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(60) if i != g], "g long, same long")
+    none = spark.createDataFrame([], "a long, b long")
+    labels = dict(jaccard.settle(lists, known, none, paired=4).collect())
+    assert labels == {i: 20 + i % 10 for i in range(20, 40)}
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_parities_lose_no_similar_pair(spark, block):
+    """Sets of many sizes, on either side of each width of a parity and beyond the widest, at similarities about 0.8; each pair comes once."""
+    rng = random.Random(8)
+    sets = {}
+    for size in (1, 2, 9, 120, 126, 128, 130, 250, 258, 1000, 1040, 20000):
+        own = [rng.getrandbits(62) for _ in range(size)]
+        for edits in (0, size // 10, size // 9, size // 8):
+            for more in (0, size // 9):
+                sets[len(sets)] = own[edits:] + [rng.getrandbits(62) for _ in range(edits + more)]
+    known = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "same long, set array<long>")
+    n = len(sets)
+    lists = [(1, i, min(i, 3) if i < 5 else i, n, 3, n - 2) for i in range(n)]
+    lists = jaccard.materialize(spark.createDataFrame(lists, "g long, same long, label long, n long, most long, others long"))
+    found = [(min(r.a, r.b), max(r.a, r.b)) for r in jaccard.crossing(lists, known, block).collect()]
+    plain = {k: frozenset(v) for k, v in sets.items()}
+    near = {(a, b) for a in plain for b in plain if a < b and (a, b) != (3, 4) and 5 * len(plain[a] & plain[b]) >= 4 * len(plain[a] | plain[b])}
+    assert len(found) == len(set(found)) and near <= set(found) and len(near) > 30
+    assert len(found) < 3 * len(near)
